@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import packing, quality_rules, token_counts
+from . import packing, quality_rules, sharding, token_counts, toxicity
 
-MODULES = (packing, quality_rules, token_counts)
+MODULES = (packing, quality_rules, sharding, token_counts, toxicity)
 
 
 def queries() -> dict:
