@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import packing, quality_rules, sharding, token_counts, toxicity
+from . import packing, quality_rules, sharding, substring_dedup, token_counts, toxicity
 
-MODULES = (packing, quality_rules, sharding, token_counts, toxicity)
+MODULES = (packing, quality_rules, sharding, substring_dedup, token_counts, toxicity)
 
 
 def queries() -> dict:
