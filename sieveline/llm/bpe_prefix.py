@@ -40,6 +40,8 @@ class PrefixCounts:
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.merges = {(raw(a), raw(b)): r for r, (a, b) in enumerate(pairs)}
         self.longest = max(map(len, self.vocab))
+        self.spines: dict[bytes, tuple[list, list]] = {}
+        self.split = {a + b: (a, b, r) for (a, b), r in reversed(self.merges.items())}
         self.keep, self.pairs, self.own, self.tables = keep, {}, {}, {}
         self.pieces = regex.compile(PIECES.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
         self.blank = regex.compile(f"[{SPACE}]+")
@@ -63,14 +65,59 @@ class PrefixCounts:
             parts = out
         return parts
 
+    def whole(self, token: bytes) -> bool:
+        """Whether a token of the vocabulary is its own encoding."""
+        ok = self.own.get(token)
+        if ok is None:
+            ok = self.own[token] = self.merge(token) == [token]
+        return ok
+
+    def edges(self, token: bytes) -> tuple[list, list]:
+        """What stands at a token's right and at its left end as its merges go on: (part, rank of the merge that takes it in)."""
+        found = self.spines.get(token)
+        if found is None:
+            found = ([], [])
+            for side in (1, 0):
+                part, taken = token, len(self.merges)
+                while True:
+                    found[1 - side].append((part, taken))
+                    if part not in self.split:
+                        break
+                    taken = self.split[part][2]
+                    part = self.split[part][side]
+                found[1 - side].reverse()
+            self.spines[token] = found
+        return found
+
     def ends(self, before: bytes, token: bytes) -> bool:
-        """Whether before, token stays as it is when the two are encoded together."""
+        """Whether before, token stays as it is when the two are encoded together.
+
+        A part of a token is older than what it is merged into, so the parts at
+        the seam are known for every moment: the pair breaks if two that meet
+        there merge before either is taken in by its own token (of equal ranks
+        the left one goes first).
+        """
         key = (before, token)
         ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) > 4 * self.keep:
                 self.pairs.clear()
-            ok = self.pairs[key] = self.merge(before + token) == ([before, token] if before else [token])
+            left, right = self.edges(before)[0], self.edges(token)[1]
+            i = j = 0
+            merges, ok = self.merges, True
+            while True:
+                (x, gone), (y, lost) = left[i], right[j]
+                r = merges.get((x, y))
+                if r is not None and r < gone and r <= lost:
+                    ok = False
+                    break
+                if gone <= lost:
+                    i += 1
+                else:
+                    j += 1
+                if i == len(left) or j == len(right):
+                    break
+            self.pairs[key] = ok
         return ok
 
     def table(self, piece: bytes) -> list[int]:
@@ -81,11 +128,11 @@ class PrefixCounts:
         n = len(piece)
         last: list[bytes] = [b""] * (n + 1)
         count = [0] * (n + 1)
-        vocab, longest, ends = self.vocab, self.longest, self.ends
+        vocab, longest, ends, whole = self.vocab, self.longest, self.ends, self.whole
         for i in range(1, n + 1):
             for j in range(max(0, i - longest), i):
                 token = piece[j:i]
-                if token in vocab and (j or ends(b"", token)) and (not j or ends(last[j], token)):
+                if token in vocab and whole(token) and (not j or ends(last[j], token)):
                     last[i], count[i] = token, count[j] + 1
                     break
             else:

@@ -7,6 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,24 +26,18 @@ class TextCounter:
         self.bpe, self.keep = bpe_prefix.PrefixCounts(path), keep
         self.after_space: dict[str, int] = {}
 
-    def chunks(self, text: str) -> tuple[str, list[str]]:
-        """The first chunk, and the others without the one space they start with.
-
-        Cutting before a white-space run never changes the pieces. Texts whose
-        runs are longer than one space are cut by the pattern.
-        """
-        if "  " in text or _RUN.search(text) or any(x in text for x in self.bpe.special_strings):
-            return text, []
-        head, *rest = text.split(" ")
-        return head, rest
+    def plain(self, text: str) -> bool:
+        """Whether a text may be cut at every space: cutting before a run of white space never changes the pieces."""
+        return not ("  " in text or _RUN.search(text) or any(x in text for x in self.bpe.special_strings))
 
     def learn(self, parts: set[str]) -> None:
         new = parts.difference(self.after_space)
         if len(self.after_space) + len(new) > self.keep:
             self.after_space.clear()
             new = parts
+        count = self.bpe.count
         for x in new:
-            self.after_space[x] = self.bpe.count(" " + x)
+            self.after_space[x] = count(" " + x)
 
     def long_count(self, text: str) -> int:
         if any(x in text for x in self.bpe.special_strings):
@@ -50,18 +45,28 @@ class TextCounter:
         return sum(self.bpe.count(x) for x in _CHUNK.findall(text))
 
     def counts(self, texts: list[str]) -> list[int]:
-        cut = [self.chunks(x) for x in texts]
-        self.learn(set().union(*(rest for _, rest in cut)))
-        get = self.after_space.__getitem__
-        return [self.long_count(head) + sum(map(get, rest)) for head, rest in cut]
+        plain = [x if self.plain(x) else "" for x in texts]
+        lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        starts = np.asarray(lists.offsets, dtype=np.int64)
+        parts = lists.values.dictionary_encode()
+        distinct = parts.dictionary.to_pylist()
+        self.learn(set(distinct))
+        known = np.fromiter(map(self.after_space.__getitem__, distinct), np.int64, len(distinct))
+        each = known[np.asarray(parts.indices, dtype=np.int64)]
+        each[starts[:-1]] = 0  # what comes before the first space is counted as it stands
+        total = np.add.reduceat(each, starts[:-1]) if len(texts) else each
+        head = self.bpe.count
+        return [int(n) + (head(p.split(" ", 1)[0]) if p else self.long_count(x)) for n, p, x in zip(total, plain, texts, strict=True)]
 
     def fitting_bytes(self, text: str, limit: int) -> int:
         """Bytes of the longest prefix (of whole code points) with at most limit tokens."""
-        head, rest = self.chunks(text)
-        if not rest and any(x in head for x in self.bpe.special_strings):
-            first = [head]
-        else:
+        if any(x in text for x in self.bpe.special_strings):
+            first, rest = [text], []
+        elif self.plain(text):
+            head, *rest = text.split(" ")
             first = _CHUNK.findall(head)
+        else:
+            first, rest = _CHUNK.findall(text), []
         done = size = 0
         for piece, n in chain(((x, self.bpe.count(x)) for x in first), ((" " + x, self.after_space[x]) for x in rest)):
             if done + n > limit:
