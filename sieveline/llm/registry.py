@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import near_dedup, packing, quality_rules, sharding, substring_dedup, token_counts, toxicity
+from . import decontamination, near_dedup, packing, quality_rules, sharding, substring_dedup, token_counts, toxicity
 
-MODULES = (near_dedup, packing, quality_rules, sharding, substring_dedup, token_counts, toxicity)
+MODULES = (decontamination, near_dedup, packing, quality_rules, sharding, substring_dedup, token_counts, toxicity)
 
 
 def queries() -> dict:
