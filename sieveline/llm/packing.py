@@ -14,6 +14,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,55 +23,97 @@ from .common import batch, map_texts, spill, table, word_codes
 CAPACITY = 2048
 
 
+#: Letters whose lower case and normal form are single letters, so that a run of them is one piece (fixed value).
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿА-яЁё"
+#: Marks that may stand around them; those next to each other are one piece, too.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class WordIds:
-    """Token ids of a vocabulary that drops white space, from a cache of words.
+    """Token ids of a lower-case vocabulary that drops white space, from a cache of word parts.
 
     White space never crosses its pieces and its normaliser works within words,
-    so the ids of a text are those of its words in turn.
+    so the ids of a text are those of its words in turn. A word of marks, letters
+    and marks is three pieces; all other words are encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[list(ends)] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
         self.at = {"": 0}
-        self.starts, self.lengths, self.flat = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(0, np.uint32)]
-        self.used = 0
+        self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self, words: set[str]) -> None:
-        new = list(words.difference(self.at))
-        if len(self.at) + len(new) > self.keep:
+    def learn(self, letters: set[str], others: set[str]) -> None:
+        """Encode what is not known: runs of letters in one go, other strings one by one."""
+        if len(self.at) + len(letters) + len(others) > self.keep and not (letters | others) <= self.at.keys():
             self.clear()
-            new = list(words.difference(self.at))
-        if not new:
+        runs, rest = list(letters.difference(self.at)), list(others.difference(self.at).difference(letters))
+        sizes, flat = [], []
+        for a in range(0, len(runs), 2000):
+            part = runs[a : a + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])  # the last id of each piece
+            if len(last) != len(part):
+                raise ValueError("a run of letters is not one piece of this vocabulary")
+            sizes.append(np.diff(last, prepend=-1))
+            flat.append(ids)
+        ids = [x.ids for x in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        flat.append(np.fromiter((i for x in ids for i in x), np.uint32, int(sizes[-1].sum())))
+        n = np.concatenate(sizes)
+        if not len(n):
             return
-        ids = [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
         base = len(self.at)
-        self.at.update(zip(new, range(base, base + len(new)), strict=True))
-        self.starts.append(self.used + np.cumsum(n) - n)
-        self.lengths.append(n)
-        self.flat.append(np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum())))
-        self.used += int(n.sum())
-        if len(self.starts) > 1:
-            self.starts, self.lengths, self.flat = [np.concatenate(self.starts)], [np.concatenate(self.lengths)], [np.concatenate(self.flat)]
+        self.at.update(zip([*runs, *rest], range(base, base + len(n)), strict=True))
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(n) - n))
+        self.lengths = np.concatenate((self.lengths, n))
+        self.flat = np.concatenate((self.flat, *flat))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         bounds, codes, distinct = word_codes(texts)
-        distinct = distinct.to_pylist()
-        self.learn(set(distinct))
-        which = np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))
-        starts, lengths, flat = self.starts[0][which], self.lengths[0][which], self.flat[0]
-        out = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            own = codes[a:b]
-            n = lengths[own]
-            ends = np.cumsum(n)
-            out.append(flat[np.repeat(starts[own] - (ends - n), n) + np.arange(n.sum())])
-        return out
+        if not len(distinct):
+            return [np.zeros(0, np.uint32) for _ in range(len(texts))]
+        inner = pc.utf8_trim(distinct, MARKS)
+        whole = pc.invert(pc.match_substring_regex(inner, f"^[{LETTERS}]+$"))
+        for x in self.special:
+            whole = pc.or_(whole, pc.match_substring(distinct, x))
+        middle = pc.if_else(whole, distinct, pc.utf8_lower(inner)).dictionary_encode()
+        names, codes_of = middle.dictionary.to_pylist(), np.asarray(middle.indices, np.int64)
+        whole = np.asarray(whole)
+        odd = {names[i] for i in np.unique(codes_of[whole])}
+        # The marks before and after: few words have them, and few differ.
+        size = np.asarray(pc.utf8_length(distinct))
+        sides = []
+        for trim, cut in ((pc.utf8_ltrim, lambda x, n: x[:n]), (pc.utf8_rtrim, lambda x, n: x[-n:])):
+            n = np.where(whole, 0, size - np.asarray(pc.utf8_length(trim(distinct, MARKS))))
+            at = np.flatnonzero(n)
+            sides.append((at, list(map(cut, distinct.take(pa.array(at)).to_pylist(), n[at].tolist()))))
+        self.learn(set(names) - odd, odd.union(*(x for _, x in sides)))
+        get = self.at.__getitem__
+        which = np.zeros((len(distinct), 3), np.int64)
+        which[:, 1] = np.fromiter(map(get, names), np.int64, len(names))[codes_of]
+        for k, (at, marks) in zip((0, 2), sides, strict=True):
+            which[at, k] = np.fromiter(map(get, marks), np.int64, len(marks))
+        which = which.ravel()
+        # Ids of the three parts of each distinct word, one after another.
+        flat = _gather(self.starts[which], self.lengths[which], self.flat)
+        lengths = self.lengths[which].reshape(-1, 3).sum(axis=1)
+        starts = np.cumsum(lengths) - lengths
+        return [_gather(starts[own], lengths[own], flat) for own in np.split(codes, bounds[1:-1])]
+
+
+def _gather(starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The slices of flat that begin at starts, joined."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(lengths.sum())]
 
 
 @cache
