@@ -34,15 +34,17 @@ def scratch_root(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def spill(df: DataFrame, name: str) -> DataFrame:
+def spill(df: DataFrame, name: str, held: bool = True) -> DataFrame:
     """Write df to a scratch table in the shared folder and read it back.
 
     This cuts lineage: a lost executor costs a re-read of files, not of work.
+    release() deletes the tables that are held, not the others.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    if held:
+        _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

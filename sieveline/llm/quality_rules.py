@@ -110,6 +110,23 @@ def judge(docs: DataFrame, host: str = "source", keep: tuple[str, ...] = ("doc_i
     return joined.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False))).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
+def keep_good(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows of docs (text, host and any other columns) that judge() would keep, unchanged.
+
+    The rules are applied twice, first for the hosts and then to the rows, so
+    that no text is written or shuffled in between.
+    """
+    measured = spill(base_rules(docs.select(host, "text"), [host]), "quality")
+    rejected = host_verdicts(measured, host, max_rate).where("host_rejected").select(F.col(host).alias("_rejected"))
+
+    def work(part: pa.RecordBatch):
+        m = measure(part.column("text"))
+        failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+        yield part.filter(pa.array(~failed))
+
+    return map_texts(docs, lambda: work, docs.schema).join(rejected, F.col(host) == F.col("_rejected"), "left_anti")
+
+
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict on every document."""
     out = judge(table(spark, sf_dir, "documents"))
