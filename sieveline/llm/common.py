@@ -106,3 +106,20 @@ def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         starts = np.concatenate(([0], np.cumsum(real)))[starts]
         codes = codes[real]
     return starts, codes, found
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has (Spark compares without case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as SQL and schema strings take it."""
+    return f"`{name.replace('`', '``')}`"

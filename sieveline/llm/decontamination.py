@@ -1,7 +1,7 @@
 """Benchmark decontamination: items met again in documents, also with other numbers, names and units.
 
 Words become a template: numbers, names and units turn into typed placeholders.
-Windows of the template are joined by hash to those of the benchmark items; then
+Windows of the template, and of the plain words, are joined by hash to those of the items; then
 the slots must agree: one value in the item always stands for one value in the
 document. Benchmark windows are broadcast in blocks of a bounded number.
 """
@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, map_texts, table, word_codes
+from .common import batch, fresh, map_texts, table, word_codes
 from .substring_dedup import _ODD, _mix, word_hashes
 
 #: Words of a template window. Items with fewer words are one window, if they have MIN_WORDS.
@@ -62,19 +62,23 @@ class Templates:
         self.raw = word_hashes(low)[self.codes]
         self.template = np.where(self.kind > 0, _PLACE[self.kind], self.raw)
 
-    def windows(self, size: int) -> np.ndarray:
-        """The hash of every window of the row; one that is mostly placeholders keeps its words."""
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of every window of the row as a template, and in its own words.
+
+        One that is mostly placeholders is taken in its own words only; one
+        without any has the same hash for both.
+        """
         n = len(self.raw) - size + 1
         if n <= 0:
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         slots = np.cumsum(np.concatenate(([0], self.kind > 0)))
-        out = None
+        out = []
         for hashes in (self.template, self.raw):
             h = np.full(n, size, np.uint64)
             for k in range(size):
                 h = _mix(h * _ODD + hashes[k : k + n])
-            out = h if out is None else np.where(2 * (slots[size:] - slots[:-size]) > size, h, out)
-        return out
+            out.append(h)
+        return np.where(2 * (slots[size:] - slots[:-size]) > size, out[1], out[0]), out[1]
 
     def inside(self, size: int) -> np.ndarray:
         """Which windows lie within one text."""
@@ -104,16 +108,17 @@ class Index:
             self.sizes.append(w)
             if w < MIN_WORDS:
                 continue
-            found = by_size[w][a : b - w + 1]
-            hashes.append(found)
-            item.append(np.full(len(found), k))
-            at.append(np.arange(len(found)))
-            size.append(np.full(len(found), w))
+            template, raw = (x[a : b - w + 1] for x in by_size[w])
+            differ = np.flatnonzero(template != raw)
+            hashes += [template, raw[differ]]
+            at += [np.arange(len(template)), differ]
+            item.append(np.full(len(template) + len(differ), k))
+            size.append(w)
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         h = join(hashes).astype(np.uint64)
         order = np.argsort(h, kind="stable")
         self.hashes, self.item, self.at = h[order], join(item)[order], join(at)[order]
-        self.used = sorted(set(join(size).tolist()))
+        self.used = sorted(set(size))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
@@ -121,20 +126,23 @@ class Index:
         """By text and item the pairs (place in the item, place in the row of words) of equal windows."""
         found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for size in self.used:
-            h = texts.windows(size)
-            near = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
-            low = np.searchsorted(self.hashes, h[near], "left")
-            hit = low < len(self.hashes)
-            hit[hit] = self.hashes[low[hit]] == h[near[hit]]
-            near, low = near[hit], low[hit]
-            ok = texts.inside(size)[near] if len(near) else np.zeros(0, bool)
-            near, low = near[ok], low[ok]
-            doc = np.searchsorted(texts.starts, near, "right") - 1
-            high = np.searchsorted(self.hashes, h[near], "right")
-            for place, d, a, b in zip(near.tolist(), doc.tolist(), low.tolist(), high.tolist(), strict=True):
-                for j in range(a, b):
-                    if self.sizes[self.item[j]] == size:
-                        found[d][int(self.item[j])].append((int(self.at[j]), place))
+            template, raw = texts.windows(size)
+            for h, only in ((template, None), (raw, template)):
+                near = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+                if only is not None:
+                    near = near[only[near] != h[near]]
+                low = np.searchsorted(self.hashes, h[near], "left")
+                hit = low < len(self.hashes)
+                hit[hit] = self.hashes[low[hit]] == h[near[hit]]
+                near, low = near[hit], low[hit]
+                ok = texts.inside(size)[near] if len(near) else np.zeros(0, bool)
+                near, low = near[ok], low[ok]
+                doc = np.searchsorted(texts.starts, near, "right") - 1
+                high = np.searchsorted(self.hashes, h[near], "right")
+                for place, d, a, b in zip(near.tolist(), doc.tolist(), low.tolist(), high.tolist(), strict=True):
+                    for j in range(a, b):
+                        if self.sizes[self.item[j]] == size:
+                            found[d][int(self.item[j])].append((int(self.at[j]), place))
         return found
 
     def consistent(self, item: int, pairs: list[tuple[int, int]], texts: Templates, words: list) -> tuple[int, bool]:
@@ -212,10 +220,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs (with any columns) without the documents that hold a benchmark item; rows with a null doc_id are matched by text."""
-    th = F.xxhash64(F.coalesce("text", F.lit("")))
-    marked = docs.select(F.coalesce(F.col("doc_id").cast("long"), th).alias("doc_id"), "text")
-    leaks = find_leaks(marked, benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.withColumn("_own", F.coalesce(F.col("doc_id").cast("long"), th)).join(leaks, F.col("_own") == F.col("_id"), "left_anti").drop("_own")
+    own = F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
+    (id_,) = fresh(docs, "id")
+    leaks = find_leaks(docs.select(own.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(id_)).distinct()
+    return docs.join(leaks, own == F.col(id_), "left_anti")
 
 
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch, map_texts, table
+from .common import batch, map_texts, quoted, table
 from .html_tree import parse, render
 
 
@@ -18,7 +18,7 @@ def extract_text(pages: DataFrame, html: str = "html", text: str = "text") -> Da
     repeated rows and an empty table need nothing special.
     """
     kept = [f for f in pages.schema.fields if f.name != text]
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept) + f", `{text}` string"
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in kept) + f", `{text}` string"
 
     def work(part: pa.RecordBatch):
         texts = [None if x is None else render(*parse(x)) for x in part.column(html).to_pylist()]

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, map_texts, spill, table, word_codes
+from .common import batch, map_texts, quoted, spill, table, word_codes
 
 CAPACITY = 2048
 
@@ -257,7 +257,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 50_
     added ones are replaced.
     """
     spark = pieces.sparkSession
-    pieces = pieces.drop("sequence_id", "offset", "_bucket", "_rank", "_base", "_at")
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    pieces = pieces.select(F.struct(*map(quoted, names)).alias("row"), "length", "doc_id", "piece")
     n = pieces.count()
     buckets = max(64, -(-n // rows_per_bucket))
     dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
@@ -270,11 +271,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 50_
         by_size[size].append(tuple(map(int, row)))
     kind = "array<struct<lo:bigint,hi:bigint,times:bigint,first:bigint,at:bigint>>"
     lookup = F.broadcast(spark.createDataFrame(sorted(by_size.items()), f"length long, _spans {kind}"))  # at most `capacity` rows
-    rank = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", *(["ids_crc32"] if "ids_crc32" in pieces.columns else [])))
+    rank = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece"))
     ranked = dealt.withColumn("_rank", rank - 1).join(base, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     placed = ranked.join(lookup, "length").withColumn("_at", F.element_at(F.filter("_spans", lambda x: (x.lo <= F.col("_rank")) & (F.col("_rank") < x.hi)), 1))
     within = F.col("_rank") - F.col("_at.lo")
-    return placed.select(*[F.col(f"`{c}`") for c in pieces.columns], (F.col("_at.first") + F.floor(within / F.col("_at.times"))).cast("long").alias("sequence_id"), (F.col("_at.at") + F.pmod(within, F.col("_at.times")) * F.col("length")).cast("long").alias("offset"))
+    return placed.select(*[F.col("row")[c].alias(c) for c in names], (F.col("_at.first") + F.floor(within / F.col("_at.times"))).cast("long").alias("sequence_id"), (F.col("_at.at") + F.pmod(within, F.col("_at.times")) * F.col("length")).cast("long").alias("offset"))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

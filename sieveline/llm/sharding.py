@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, spill, table
+from .common import batch, fresh, quoted, spill, table
 
 SHARDS = 24
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -79,13 +79,13 @@ def histogram(keys: DataFrame, probes: list[Key]) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, len(probes) + 1), np.int64)
         for part in batches:
-            h, d, size = (np.asarray(part.column(c)) for c in ("_hash", "_id", "_size"))
+            h, d, size = (np.asarray(part.column(c)) for c in ("hash", "id", "size"))
             at = positions(h, d, probes)
             np.add.at(total[0], at, size)
             total[1] += np.bincount(at, minlength=len(probes) + 1)
         yield batch(i=pa.array(range(len(probes) + 1), pa.int32()), size=pa.array(total[0]), n=pa.array(total[1]))
 
-    sums = keys.select("_hash", "_id", "_size").mapInArrow(count, "i int, size long, n long").groupBy("i").agg(F.sum("size"), F.sum("n"))
+    sums = keys.select("hash", "id", "size").mapInArrow(count, "i int, size long, n long").groupBy("i").agg(F.sum("size"), F.sum("n"))
     out = np.zeros((2, len(probes) + 1), np.int64)
     for i, size, n in sums.collect():  # at most 23 x 64 x a few rows, whatever the input
         out[:, i] = size, n
@@ -118,32 +118,33 @@ def shard_by_bytes(df: DataFrame, shards: int = SHARDS, text: str = "text", doc_
     one shard, each with a slot of its own; an empty table gives an empty result. Columns of df named shard or slot are
     replaced.
     """
-    df = df.drop("shard", "slot", "_hash", "_id", "_size", "_cell")
-    keyed = df.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(LOW + 1))).withColumn("_size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8)
-    keys = spill(keyed.select("_hash", "_id", "_size"), "shard-keys")
-    total, rows = keys.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count("*")).first()
+    df = df.drop("shard", "slot")
+    hash_, id_, size_, cell_ = fresh(df, "hash", "id", "size", "cell")
+    keyed = df.withColumn(hash_, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn(id_, F.coalesce(F.col(doc_id).cast("long"), F.lit(LOW + 1))).withColumn(size_, F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8)
+    keys = spill(keyed.select(F.col(hash_).alias("hash"), F.col(id_).alias("id"), F.col(size_).alias("size")), "shard-keys")
+    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    rows = keys.count()
     per = max(1, min(64, -(-total // (shards * cell_bytes))))
     cells = shards * per
     found = find_splitters(keys, cells, total, rows, tolerance * total / shards, per, 0.05 * total / cells)
     probes, before = [k for k, _, _ in found], [0, *(n for _, _, n in found)]
     first = [before[c - c % per] for c in range(cells)]  # rows before the shard of a cell
     names = df.columns
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    kinds = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            at = positions(np.asarray(part.column("_hash")), np.asarray(part.column("_id")), probes) if probes else np.zeros(part.num_rows, np.int64)
-            yield batch(**{c: part.column(c) for c in (*names, "_hash", "_id")}, _cell=pa.array(at, pa.int32()))
+            at = positions(np.asarray(part.column(hash_)), np.asarray(part.column(id_)), probes) if probes else np.zeros(part.num_rows, np.int64)
+            yield batch(**{c: part.column(c) for c in (*names, hash_, id_)}, **{cell_: pa.array(at, pa.int32())})
 
-    quoted = ", ".join(f"`{c.replace('`', '``')}` {types[c]}" for c in names)
-    dealt = keyed.drop("_size").mapInArrow(place, f"{quoted}, _hash long, _id long, _cell int")
+    dealt = keyed.drop(size_).mapInArrow(place, f"{kinds}, {quoted(hash_)} long, {quoted(id_)} long, {quoted(cell_)} int")
     # One exchange: a cell goes to the partition of its number, and is sorted there.
-    own = dealt.repartitionById(cells, F.col("_cell")).sortWithinPartitions("_cell", "_hash", "_id")
+    own = dealt.repartitionById(cells, F.col(cell_)).sortWithinPartitions(cell_, hash_, id_)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: dict[int, int] = {}
         for part in batches:
-            cell = np.asarray(part.column("_cell"), np.int64)
+            cell = np.asarray(part.column(cell_), np.int64)
             slot = np.empty(len(cell), np.int64)
             for c in np.unique(cell).tolist():
                 at = np.flatnonzero(cell == c)
@@ -151,7 +152,7 @@ def shard_by_bytes(df: DataFrame, shards: int = SHARDS, text: str = "text", doc_
                 done[c] = done.get(c, 0) + len(at)
             yield batch(**{c: part.column(c) for c in names}, shard=pa.array(cell // per, pa.int32()), slot=pa.array(slot))
 
-    return own.mapInArrow(number, f"{quoted}, shard int, slot long")
+    return own.mapInArrow(number, f"{kinds}, shard int, slot long")
 
 
 def op5_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

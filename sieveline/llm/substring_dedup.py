@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, map_texts, spill, table, word_codes
+from .common import as_bytes, batch, fresh, map_texts, quoted, spill, table, word_codes
 from .fm_index import FMIndex
 
 WINDOW = 50
@@ -241,14 +241,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Documents of which nothing is left go. n_chars, where there is one, is that of
     the new text. Equal rows stay equal rows; for the rest see find_repeats.
     """
-    found = find_repeats(docs.select("doc_id", "text"), window).where("kept IS NOT NULL").select(F.col("id").alias("_id"), F.col("th").alias("_th"), "kept").dropDuplicates(["_id", "_th"])
-    found = found.withColumnRenamed("kept", "_kept")
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = keyed.join(found, ["_id", "_th"], "left").where("_kept IS NULL OR _kept <> ''").withColumn("text", F.coalesce("_kept", "text"))
+    id_, hash_, left = fresh(docs, "id", "hash", "left")
+    found = find_repeats(docs.select("doc_id", "text"), window).where("kept IS NOT NULL").select(F.col("id").alias(id_), F.col("th").alias(hash_), F.col("kept").alias(left)).dropDuplicates([id_, hash_])
+    keyed = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(hash_, F.xxhash64(F.coalesce("text", F.lit(""))))
+    out = keyed.join(found, [id_, hash_], "left").where(F.col(left).isNull() | (F.col(left) != "")).withColumn("text", F.coalesce(left, "text"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.withColumn("n_chars", F.when(F.col(left).isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*map(quoted, docs.columns))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

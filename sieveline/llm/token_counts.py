@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe_prefix
-from .common import batch, map_texts, table
+from .common import batch, map_texts, quoted, table
 
 #: A space and then more white space: such texts are cut by the full pattern.
 _RUN = regex.compile(f" [{bpe_prefix.SPACE}]")
@@ -96,7 +96,7 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", limit: int
     """
     added = ["n_bytes", "n_tokens"] + ["fitting_bytes"] * (limit is not None) + ["prefix_tokens"] * prefixes
     kept = [f for f in df.schema.fields if f.name not in added]
-    schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept] + [f"{x} bigint" for x in added if x != "prefix_tokens"] + ["prefix_tokens array<int>"] * prefixes)
+    schema = ", ".join([f"{quoted(f.name)} {f.dataType.simpleString()}" for f in kept] + [f"{x} bigint" for x in added if x != "prefix_tokens"] + ["prefix_tokens array<int>"] * prefixes)
     names = [f.name for f in kept]
 
     def make():

@@ -77,7 +77,7 @@ class Isotonic:
 
     def fit(self, margin: np.ndarray, y: np.ndarray) -> Isotonic:
         if len(y) == 0:
-            self.at, self.value = np.zeros(1), np.full(1, 0.5)
+            self.at, self.value = np.zeros(1), np.zeros(1)
             return self
         order = np.argsort(margin, kind="stable")
         blocks: list[list[float]] = []
