@@ -36,13 +36,14 @@ class PrefixCounts:
         special = [x["content"] for x in spec["added_tokens"]]
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in special) + ")") if special else None
         self.special_strings = special
-        self.vocab = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        #: Tokens, and whether each is its own encoding (None: not asked yet).
+        self.vocab: dict[bytes, bool | None] = {raw(t): None for t in spec["model"]["vocab"] if t not in special}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.merges = {(raw(a), raw(b)): r for r, (a, b) in enumerate(pairs)}
         self.longest = max(map(len, self.vocab))
         self.spines: dict[bytes, tuple[list, list]] = {}
         self.split = {a + b: (a, b, r) for (a, b), r in reversed(self.merges.items())}
-        self.keep, self.pairs, self.own, self.tables = keep, {}, {}, {}
+        self.keep, self.pairs, self.tables = keep, {}, {}
         self.pieces = regex.compile(PIECES.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
         self.blank = regex.compile(f"[{SPACE}]+")
 
@@ -65,13 +66,6 @@ class PrefixCounts:
             parts = out
         return parts
 
-    def whole(self, token: bytes) -> bool:
-        """Whether a token of the vocabulary is its own encoding."""
-        ok = self.own.get(token)
-        if ok is None:
-            ok = self.own[token] = self.merge(token) == [token]
-        return ok
-
     def edges(self, token: bytes) -> tuple[list, list]:
         """What stands at a token's right and at its left end as its merges go on: (part, rank of the merge that takes it in)."""
         found = self.spines.get(token)
@@ -97,27 +91,19 @@ class PrefixCounts:
         there merge before either is taken in by its own token (of equal ranks
         the left one goes first).
         """
-        key = (before, token)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) > 4 * self.keep:
-                self.pairs.clear()
-            left, right = self.edges(before)[0], self.edges(token)[1]
-            i = j = 0
-            merges, ok = self.merges, True
-            while True:
-                (x, gone), (y, lost) = left[i], right[j]
-                r = merges.get((x, y))
-                if r is not None and r < gone and r <= lost:
-                    ok = False
-                    break
-                if gone <= lost:
-                    i += 1
-                else:
-                    j += 1
-                if i == len(left) or j == len(right):
-                    break
-            self.pairs[key] = ok
+        if len(self.pairs) > 4 * self.keep:
+            self.pairs.clear()
+        left, right = self.edges(before)[0], self.edges(token)[1]
+        i, j, ok = 0, 0, True
+        while ok and i < len(left) and j < len(right):
+            (x, gone), (y, lost) = left[i], right[j]
+            r = self.merges.get((x, y))
+            ok = r is None or r >= gone or r > lost
+            if gone <= lost:
+                i += 1
+            else:
+                j += 1
+        self.pairs[before, token] = ok
         return ok
 
     def table(self, piece: bytes) -> list[int]:
@@ -128,13 +114,24 @@ class PrefixCounts:
         n = len(piece)
         last: list[bytes] = [b""] * (n + 1)
         count = [0] * (n + 1)
-        vocab, longest, ends, whole = self.vocab, self.longest, self.ends, self.whole
+        vocab, longest, pairs = self.vocab, self.longest, self.pairs
         for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
+            for j in range(i - longest if i > longest else 0, i):
                 token = piece[j:i]
-                if token in vocab and whole(token) and (not j or ends(last[j], token)):
-                    last[i], count[i] = token, count[j] + 1
-                    break
+                whole = vocab.get(token, False)
+                if whole is None:
+                    whole = vocab[token] = self.merge(token) == [token]
+                if not whole:
+                    continue
+                if j:
+                    before = last[j]
+                    ok = pairs.get((before, token))
+                    if ok is None:
+                        ok = self.ends(before, token)
+                    if not ok:
+                        continue
+                last[i], count[i] = token, count[j] + 1
+                break
             else:
                 raise ValueError(f"no token of the vocabulary ends {piece[:i]!r}")
         if n <= 64:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe_prefix
 from .common import batch, map_texts, quoted, table
+from .packing import LETTERS, MARKS
 
 #: A space and then more white space: such texts are cut by the full pattern.
 _RUN = regex.compile(f" [{bpe_prefix.SPACE}]")
@@ -20,58 +20,94 @@ _CHUNK = regex.compile(f"[{bpe_prefix.SPACE}]*[^{bpe_prefix.SPACE}]+|[{bpe_prefi
 
 
 class TextCounter:
-    """Counts a text from the prefix tables of its chunks (a run of white space and what follows)."""
+    """Counts a text from the prefix tables of its pieces, which it keeps by what stands between spaces."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 1_200_000):
         self.bpe, self.keep = bpe_prefix.PrefixCounts(path), keep
-        self.after_space: dict[str, int] = {}
+        self.known: dict[str, int] = {"": 0}
 
     def plain(self, text: str) -> bool:
         """Whether a text may be cut at every space: cutting before a run of white space never changes the pieces."""
         return not ("  " in text or _RUN.search(text) or any(x in text for x in self.bpe.special_strings))
 
-    def learn(self, parts: set[str]) -> None:
-        new = parts.difference(self.after_space)
-        if len(self.after_space) + len(new) > self.keep:
-            self.after_space.clear()
-            new = parts
-        count = self.bpe.count
-        for x in new:
-            self.after_space[x] = count(" " + x)
+    def learn(self, parts: list[str]) -> np.ndarray:
+        """The counts of some distinct strings."""
+        if len(self.known) + len(parts) > self.keep:
+            self.known = {"": 0}
+        known, count = self.known, self.bpe.count
+        out = np.empty(len(parts), np.int64)
+        for k, x in enumerate(parts):
+            n = known.get(x)
+            if n is None:
+                n = known[x] = count(x)
+            out[k] = n
+        return out
+
+    def after_space(self, parts: pa.Array) -> np.ndarray:
+        """The counts of distinct strings that each stand after one space.
+
+        Marks, letters and marks are three pieces (the space goes with the first
+        one); all others are counted as they are.
+        """
+        inner = pc.utf8_trim(parts, MARKS)
+        three = pc.match_substring_regex(inner, f"^[{LETTERS}]+$")
+        size = np.asarray(pc.utf8_length(parts))
+        before = np.where(np.asarray(three), size - np.asarray(pc.utf8_length(pc.utf8_ltrim(parts, MARKS))), 0)
+        after = np.where(np.asarray(three), size - np.asarray(pc.utf8_length(pc.utf8_rtrim(parts, MARKS))), 0)
+        middle = pc.if_else(three, inner, parts)
+        spaced = pc.binary_join_element_wise(pa.array(np.where(before > 0, "", " ").tolist(), middle.type), middle, pa.scalar("", middle.type)).dictionary_encode()
+        out = self.learn(spaced.dictionary.to_pylist())[np.asarray(spaced.indices, dtype=np.int64)]
+        for n, cut in ((before, lambda x, k: " " + x[:k]), (after, lambda x, k: x[-k:])):
+            at = np.flatnonzero(n)
+            marks = list(map(cut, parts.take(pa.array(at)).to_pylist(), n[at].tolist()))
+            out[at] += self.learn(marks)
+        return out
 
     def long_count(self, text: str) -> int:
         if any(x in text for x in self.bpe.special_strings):
             return self.bpe.count(text)
         return sum(self.bpe.count(x) for x in _CHUNK.findall(text))
 
-    def counts(self, texts: list[str]) -> list[int]:
+    def counts(self, texts: list[str], limit: int | None = None) -> tuple[list[int], list[int]]:
+        """The tokens of each text and, given a limit, the bytes of its longest prefix of whole code points within it."""
         plain = [x if self.plain(x) else "" for x in texts]
         lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
         starts = np.asarray(lists.offsets, dtype=np.int64)
         parts = lists.values.dictionary_encode()
-        distinct = parts.dictionary.to_pylist()
-        self.learn(set(distinct))
-        known = np.fromiter(map(self.after_space.__getitem__, distinct), np.int64, len(distinct))
-        each = known[np.asarray(parts.indices, dtype=np.int64)]
-        each[starts[:-1]] = 0  # what comes before the first space is counted as it stands
-        total = np.add.reduceat(each, starts[:-1]) if len(texts) else each
-        head = self.bpe.count
-        return [int(n) + (head(p.split(" ", 1)[0]) if p else self.long_count(x)) for n, p, x in zip(total, plain, texts, strict=True)]
-
-    def fitting_bytes(self, text: str, limit: int) -> int:
-        """Bytes of the longest prefix (of whole code points) with at most limit tokens."""
-        if any(x in text for x in self.bpe.special_strings):
-            first, rest = [text], []
-        elif self.plain(text):
-            head, *rest = text.split(" ")
-            first = _CHUNK.findall(head)
-        else:
-            first, rest = _CHUNK.findall(text), []
+        codes = np.asarray(parts.indices, dtype=np.int64)
+        each = self.after_space(parts.dictionary)[codes]
+        size = np.asarray(pc.binary_length(parts.dictionary))[codes] + 1
+        totals, fits = [], []
+        for k, (text, whole) in enumerate(zip(texts, plain, strict=True)):
+            if not whole:
+                totals.append(self.long_count(text))
+                fits.append(self.long_fit(text, limit) if limit is not None and totals[-1] > limit else len(text.encode()))
+                continue
+            a, b = starts[k], starts[k + 1]
+            head = text.split(" ", 1)[0]
+            each[a], size[a] = self.bpe.count(head), len(head.encode())
+            totals.append(int(each[a:b].sum()))
+            if limit is None or totals[-1] <= limit:
+                fits.append(int(size[a:b].sum()))
+                continue
+            done = np.cumsum(each[a:b])
+            at = int(np.searchsorted(done, limit, side="right"))  # this part passes the limit
+            spent = int(done[at - 1]) if at else 0
+            part = (" " if at else "") + parts.dictionary[codes[a + at]].as_py()
+            fits.append(int(size[a : a + at].sum()) + self.fit(part, limit - spent))
+        return totals, fits
+
+    def fit(self, text: str, limit: int) -> int:
+        best = max(k for k, c in enumerate(self.bpe.prefixes(text)) if c <= limit)
+        return len(text[:best].encode())
+
+    def long_fit(self, text: str, limit: int) -> int:
+        special = any(x in text for x in self.bpe.special_strings)
         done = size = 0
-        for piece, n in chain(((x, self.bpe.count(x)) for x in first), ((" " + x, self.after_space[x]) for x in rest)):
+        for piece in [text] if special else _CHUNK.findall(text):
+            n = self.bpe.count(piece)
             if done + n > limit:
-                best = max(k for k, c in enumerate(self.bpe.prefixes(piece)) if done + c <= limit)
-                return size + len(piece[:best].encode())
+                return size + self.fit(piece, limit - done)
             done, size = done + n, size + len(piece.encode())
         return size
 
@@ -104,12 +140,12 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", limit: int
 
         def work(part: pa.RecordBatch):
             texts = [x or "" for x in part.column(text).to_pylist()]
-            counts = counter.counts(texts)
+            counts, fits = counter.counts(texts, limit)
             out = {n: part.column(n) for n in names}
             out["n_bytes"] = np.fromiter((len(x.encode()) for x in texts), np.int64, len(texts))
             out["n_tokens"] = np.array(counts, np.int64)
             if limit is not None:
-                out["fitting_bytes"] = pa.array([int(b) if n <= limit else counter.fitting_bytes(x, limit) for x, n, b in zip(texts, counts, out["n_bytes"], strict=True)], pa.int64())
+                out["fitting_bytes"] = np.array(fits, np.int64)
             if prefixes:
                 out["prefix_tokens"] = pa.array([counter.bpe.prefixes(x) for x in texts], pa.list_(pa.int32()))
             yield batch(**out)
