@@ -32,7 +32,7 @@ LIMITS = {
 }
 
 #: White space as the patterns mean it (Unicode, spelled out: Java's \\s is ASCII).
-WS = r"\s\x1c-\x1f\x85\xa0  -     　"
+WS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @dataclass(frozen=True)
@@ -62,8 +62,8 @@ RULES = (
     Rule("secret.jwt", "secret", "high", 0.95, "jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,4093}\.[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,4096}(?![A-Za-z0-9_-])", ("eyJ",)),
     Rule("privacy.windows_user_path", "path_disclosure", "medium", 0.95, "user_path", rf"(?iu)(?<![A-Za-z0-9:])(?:[A-Za-z]:[\\/]++(?:Users|Documents and Settings)[\\/]++|[\\/]{{2,}}+[^\\/{WS}!]++[\\/]++(?:Users|Documents and Settings)[\\/]++|(?:Users|Documents and Settings)[\\/]++)[^\\/{WS}!\"'<>|:]++(?:[\\/][^\\/{WS}!\"'<>|:]++)*+"),
     Rule("privacy.unix_user_path", "path_disclosure", "medium", 0.95, "user_path", rf"(?iu)(?<![A-Za-z0-9:/])(?:/++(?:home|Users)/++[^/{WS}!\"'<>]++(?:/++[^/{WS}!\"'<>]++)*+|/++root(?:/++[^/{WS}!\"'<>]++)++|/++mnt/++[a-z]/++(?:Users|Documents and Settings)/++[^/{WS}!\"'<>]++(?:/++[^/{WS}!\"'<>]++)*+|home/++[^/{WS}!\"'<>]++(?:/++[^/{WS}!\"'<>]++)*+)", ("/",)),
-    Rule("unicode.bidi_control", "unicode_control", "high", 0.98, "unicode_control", r"[؜‎‏‪-‮⁦-⁩]"),
-    Rule("unicode.zero_width", "unicode_control", "medium", 0.75, "unicode_control", r"[­​-‍⁠﻿]"),
+    Rule("unicode.bidi_control", "unicode_control", "high", 0.98, "unicode_control", r"[\u061c\u200e\u200f\u202a-\u202e\u2066-\u2069]"),
+    Rule("unicode.zero_width", "unicode_control", "medium", 0.75, "unicode_control", r"[\u00ad\u200b-\u200d\u2060\ufeff]"),
 )
 
 #: Rules whose hit is the value of an assignment: groups are double-quoted, single-quoted and bare (fixed values).
@@ -81,6 +81,17 @@ ID_CHECKS = "10X98765432"
 
 ALL_RULES = RULES + ASSIGNMENTS
 
+#: Parts of paths that name a person or a host, each with what takes its place (fixed values).
+HOME_MASKS = (
+    (r"(?iu)((?<![A-Za-z0-9:/\\])[\\/]{2,})[^\\/!\s]+([\\/]+(?:Users|Documents and Settings)[\\/]+)[^\\/!:\x00-\x1f]+", "$1<host>$2<user>"),
+    (r"((?<![A-Za-z0-9:/\\])[\\/]{2,})[^\\/!\s]+([\\/]+)", "$1<host>$2"),
+    (r"(?iu)((?<![A-Za-z0-9])(?:[A-Z]:[\\/]+(?:Users|Documents and Settings)[\\/]+))[^\\/!:\x00-\x1f]+", "$1<user>"),
+    (r"(?iu)((?<![A-Za-z0-9:/])/+mnt/+[a-z]/+(?:Users|Documents and Settings)/+)[^/!\x00-\x1f]+", "$1<user>"),
+    (r"((?<![A-Za-z0-9:/])/+(?:home|Users)/+)[^/!\x00-\x1f]+", "$1<user>"),
+    (r"(?<![A-Za-z0-9:/])/+root(?=/|!|$)", "/<user>"),
+    (r"(?iu)((?<![A-Za-z0-9])(?:home|Users|Documents and Settings)[\\/]+)[^\\/!:\x00-\x1f]+", "$1<user>"),
+)
+
 #: Names of files that are sensitive whatever they hold (fixed values).
 SENSITIVE_NAMES = (".env", ".git-credentials", ".netrc", ".npmrc", ".pypirc", "credentials.json", "id_dsa", "id_ecdsa", "id_ed25519", "id_rsa", "secrets.json", "secrets.yaml", "secrets.yml", "service-account.json")
 SENSITIVE_SUFFIXES = (".jks", ".key", ".keystore", ".p12", ".pem", ".pfx")
