@@ -12,7 +12,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are handled in groups of at most this many bytes (one text may be longer).
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,6 +20,8 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: A host is rejected if its shrunk failure rate is over this.
 MAX_HOST_RATE = 0.5
+#: At most this many rejected hosts are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 50_000
 #: Bounds of the prior's strength, in documents.
 WEAKEST, STRONGEST = 1.0, 1_000_000.0
 
@@ -117,14 +119,18 @@ def keep_good(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_
     that no text is written or shuffled in between.
     """
     measured = spill(base_rules(docs.select(host, "text"), [host]), "quality")
-    rejected = host_verdicts(measured, host, max_rate).where("host_rejected").select(F.col(host).alias("_rejected"))
+    rejected = spill(host_verdicts(measured, host, max_rate).where("host_rejected").select(F.col(host).alias("_rejected")), "rejected")
+    n = rejected.count()
 
     def work(part: pa.RecordBatch):
         m = measure(part.column("text"))
         failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
         yield part.filter(pa.array(~failed))
 
-    return map_texts(docs, lambda: work, docs.schema).join(rejected, F.col(host) == F.col("_rejected"), "left_anti")
+    passed = map_texts(docs, lambda: work, docs.schema)
+    if not n:
+        return passed
+    return passed.join(F.broadcast(rejected) if n <= MOST_BROADCAST else rejected, F.col(host) == F.col("_rejected"), "left_anti")
 
 
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
