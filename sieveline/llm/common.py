@@ -9,10 +9,14 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are handled in groups of at most this many bytes (one text may be longer).
 GROUP_BYTES = 4 << 20
+#: Tables of a few numbers a row are broadcast up to this many counted rows (a few MB).
+MOST_BROADCAST = 100_000
+ROWS_OF_A_FILE = 25_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +52,20 @@ def spill(df: DataFrame, name: str, held: bool = True) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spill_counted(df: DataFrame, name: str, most: int | None = None) -> tuple[DataFrame, int]:
+    """spill() and the number of rows, from the same job. A table of at most `most` rows is written in few files."""
+    seen = Observation()
+    if most is not None:
+        df = df.coalesce(max(8, most // ROWS_OF_A_FILE))
+    out = spill(df.observe(seen, F.count("*").alias("n")), name)
+    return out, seen.get["n"]
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df for a join: broadcast if its counted rows are few, else left to be shuffled."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+
+
 def release(spark: SparkSession) -> None:
     """Delete every scratch table made so far. Call it only when no DataFrame needs them."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
