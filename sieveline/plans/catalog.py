@@ -371,4 +371,4 @@ def output_relation(spark, sf_dir):
 def byte_budget(spark, sf_dir):
     """Documents in order until a budget of bytes is used up."""
     sizes = _docs(spark, sf_dir).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
-    return inventory.running_budget(sizes, ["doc_id"], "size", 1_000_000).select("doc_id", "running", "within")
+    return inventory.running_budget(sizes, "doc_id", "size", 1_000_000).select("doc_id", "running", "within")
