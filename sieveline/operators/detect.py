@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions import fixed
-from sieveline.functions.fixed import ASSIGNMENTS, RULES, Rule
+from sieveline.functions.fixed import ALL_RULES, ASSIGNMENTS, Rule
 from sieveline.functions.spans import let, spans
 
 HITS = "array<struct<start:int,end:int,rule_id:string,category:string,severity:string,confidence:double,value_class:string,value:string>>"
@@ -116,16 +117,22 @@ def detect(df: DataFrame, text: str = "text", hits: str = "hits", most: int = fi
     All of it happens inside the row: no shuffle, no Python. A null text has no
     hits. A generic credential goes if it overlaps a personal datum or secret.
     """
-    source = F.coalesce(F.col(text), F.lit(""))
-    names = [f"_hit{k}" for k in range(len(RULES) + len(ASSIGNMENTS))]
-    out = df.withColumns({n: rule_hits(source, r, most) for n, r in zip(names, RULES + ASSIGNMENTS, strict=True)})
-    strong = [n for n, r in zip(names, RULES + ASSIGNMENTS, strict=True) if r.confidence >= 0.9 and r.category in ("pii", "secret")]
+    names = [f"_hit{k}" for k in range(len(ALL_RULES))]
+    out = df.withColumns(dict(zip(names, _columns(id(SparkContext._gateway), text, most), strict=True)))
+    strong = [n for n, r in zip(names, ALL_RULES, strict=True) if r.confidence >= 0.9 and r.category in ("pii", "secret")]
     guard = F.concat(*[F.transform(n, lambda x: F.struct(x["start"], x["end"])) for n in strong])
     free = F.filter(names[-1], lambda g: ~F.exists("_guard", lambda p: (g["start"] < p["end"]) & (p["start"] < g["end"])))
     every = F.concat(*names[:-1], free)
     return out.withColumn("_guard", guard).withColumn(hits, F.slice(F.array_sort(F.array_distinct(every)), 1, most)).drop("_guard", *names)
 
 
+@lru_cache(maxsize=32)
+def _columns(gateway: int, text: str, most: int) -> list[Column]:
+    """The rules' hits as columns; making them takes more than a second, so they are kept for a JVM, column and cap."""
+    source = F.coalesce(F.col(text), F.lit(""))
+    return [rule_hits(source, r, most) for r in ALL_RULES]
+
+
 def findings(df: DataFrame, keys: list[str], text: str = "text", most: int = fixed.LIMITS["max_findings_per_artifact"]) -> DataFrame:
     """A row for each hit: the keys, the hit's fields (value included), and line and column of its start."""
     from sieveline.functions.spans import column_of, line_of
