@@ -28,6 +28,9 @@ WINDOW = 50
 RUN = 24
 #: A segment has at most this many windows; a longer run of one route is cut.
 SEGMENT = 256
+#: A route of more segments than this is split by the least hash of longer runs (of SUB_RUN words) inside its windows.
+HOT_ROUTE = 500
+SUB_RUN = 44
 #: Words that an index is built over at a time, and words a shard task aims at.
 BLOCK_WORDS = 1_000_000
 #: A null doc_id counts as later than all others.
@@ -95,16 +98,23 @@ def _analyse(docs: DataFrame, window: int, run: int) -> DataFrame:
     return map_texts(docs, lambda: work, "doc_id long, id long, th long, key string, n_words long, sha string, route array<bigint>, begin array<int>")
 
 
-def _pieces(candidates: DataFrame, window: int) -> DataFrame:
+def _pieces(candidates: DataFrame, window: int, run: int) -> DataFrame:
     """The segments of each candidate text: route, words, sid (hash of the words), where and how many windows."""
 
     def work(part: pa.RecordBatch):
         rows: list[tuple] = []
         for id_, th, text, segs in zip(part.column("id").to_pylist(), part.column("th").to_pylist(), as_bytes(part.column("text")), part.column("segs").to_pylist(), strict=True):
             words = text.split()
+            hashes = pd.util.hash_array(np.array(words, dtype=object), categorize=False) if any(s["hot"] for s in segs) else None
             for s in segs:
-                seg = b" ".join(words[s["begin"] : s["begin"] + s["n"] + window - 1])
-                rows.append((s["route"], seg, int.from_bytes(hashlib.blake2b(seg, digest_size=8).digest(), "little", signed=True), id_, th, s["begin"], s["n"]))
+                cut = [(s["route"], s["begin"], s["n"])]
+                if s["hot"]:
+                    begin, low = segments_of(routes(hashes[s["begin"] : s["begin"] + s["n"] + window - 1], window, max(run, window * SUB_RUN // WINDOW)))
+                    keys = _mix(low * _ODD + np.int64(s["route"]).view(np.uint64)).view(np.int64)
+                    cut = zip(keys.tolist(), (begin + s["begin"]).tolist(), np.diff(np.append(begin, s["n"])).tolist(), strict=True)
+                for route, at, n in cut:
+                    seg = b" ".join(words[at : at + n + window - 1])
+                    rows.append((route, seg, int.from_bytes(hashlib.blake2b(seg, digest_size=8).digest(), "little", signed=True), id_, th, at, n))
         kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
         cols = list(zip(*rows, strict=True)) or [[]] * 7
         named = {c: pa.array(x, k) for c, x, k in zip(("route", "seg", "sid", "id", "th", "begin", "n"), cols, kinds, strict=True)}
@@ -212,10 +222,10 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataF
     ends = F.concat(F.slice("begin", 2, F.greatest(F.size("begin") - 1, F.lit(0))), F.array(windows.cast("int")))
     parts = own.select("id", "th", F.explode(F.arrays_zip(F.col("route"), F.col("begin"), ends.alias("end"))).alias("s")).select("id", "th", F.col("s.route").alias("route"), F.col("s.begin").alias("begin"), (F.col("s.end") - F.col("s.begin")).alias("n"))
     parts = spill(parts, "sub-routes")
-    shared = parts.groupBy("route").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("route")
-    wanted = parts.join(shared, "route").groupBy("id", "th").agg(F.collect_list(F.struct("route", "begin", "n")).alias("segs"))
+    shared = parts.groupBy("route").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("of")).where("lo < hi").select("route", (F.col("of") > HOT_ROUTE).alias("hot"))
+    wanted = parts.join(shared, "route").groupBy("id", "th").agg(F.collect_list(F.struct("route", "begin", "n", "hot")).alias("segs"))
     candidates = spill(docs.select("id", "th", "text").join(wanted, ["id", "th"]), "sub-texts")
-    pieces = _pieces(candidates, window)
+    pieces = _pieces(candidates, window, run)
     distinct = spill(pieces.groupBy("route", "sid", "seg").agg(F.min("id").alias("least")), "sub-segments")
     words = distinct.agg(F.coalesce(F.sum(F.octet_length("seg")), F.lit(0))).first()[0] // 5
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // BLOCK_WORDS))

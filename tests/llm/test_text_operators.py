@@ -45,10 +45,25 @@ def test_substring_dedup_short_windows_and_blocks(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(k // 2, " ".join(rng.choice("ab") for _ in range(rng.randrange(0, 60)))) for k in range(60)]
     monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 200)
+    monkeypatch.setattr(substring_dedup, "HOT_ROUTE", 3)
     got = substring_dedup.find_repeats(documents(spark, rows), window=6, run=3).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert collections.Counter(map(tuple, got)) == plain_repeats(rows, 6)
 
 
+def test_hot_routes_are_split_and_lose_nothing(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    rows = []
+    for k in range(40):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"edit{k}"
+        rows.append((k, " ".join(w[rng.randrange(20) :])))
+    monkeypatch.setattr(substring_dedup, "HOT_ROUTE", 5)
+    got = substring_dedup.find_repeats(documents(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert collections.Counter(map(tuple, got)) == plain_repeats(rows, 50)
+
+
 def test_remove_repeats_keeps_columns_and_clean_texts(spark):
     df = documents(spark, extra=True).selectExpr("*", "length(text) AS n_chars")
     out = substring_dedup.remove_repeats(df)
