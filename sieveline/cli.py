@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.fixed import SEVERITIES
 from sieveline.operators import compare, policy, prepare, report, scan, transform
+from sieveline.operators.evidence import display_path
 from sieveline.sources import media, reports
 
 
@@ -34,11 +35,11 @@ def scanned(spark: SparkSession, paths: list[str], limits: dict | None = None) -
     """The relations of local paths, files over a limit and what a listing leaves out among the gaps and findings."""
     limits = scan.LIMITS | (limits or {})
     contents, left_out = scan.files(spark, *paths, limits=limits)
-    out = scan.scan(contents, limits, secrets.token_bytes(32))
-    extra = [(p, k, r) for top in paths if os.path.isdir(top) for p, k, r in scan.walk(top, limits)]
+    out = scan.scan(contents, limits, secrets.token_bytes(32), tuple(paths))
+    extra = [(f"{os.path.basename(os.path.abspath(top))}/{p}", k, r) for top in paths if os.path.isdir(top) for p, k, r in scan.walk(top, limits)]
     rules = report.catalog(spark).select("rule_id", "category", F.col("default_severity").alias("severity"), "confidence")
     listed = spark.createDataFrame([x for x in extra if x[1] == "finding"], "path string, part string, rule_id string").withColumn("part", F.lit("")).join(rules, "rule_id")
-    gaps = left_out.withColumn("part", F.lit("")).unionByName(spark.createDataFrame([(p, "files", "not_followed" if k == "finding" else r, "") for p, k, r in extra if k != "directory"], "path string, capability string, reason string, part string"))
+    gaps = left_out.withColumn("part", F.lit("")).withColumn("path", display_path(scan.below(F.col("path"), tuple(paths)))["value"]).unionByName(spark.createDataFrame([(p, "files", "not_followed" if k == "finding" else r, "") for p, k, r in extra if k != "directory"], "path string, capability string, reason string, part string"))
     return out | {"findings": out["findings"].unionByName(listed, allowMissingColumns=True), "gaps": out["gaps"].unionByName(gaps)}
 
 

@@ -6,11 +6,12 @@ coverage); texts then go through the same detectors as tables do.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import fixed
@@ -184,9 +185,21 @@ def open_files(contents: DataFrame, limits: dict = LIMITS) -> DataFrame:
     return contents.select("path", "content").mapInArrow(run, EVENTS)
 
 
-def scan(contents: DataFrame, limits: dict = LIMITS, key: bytes | None = None) -> dict[str, DataFrame]:
-    """artifacts, findings and gaps of files (path, content). Read the events once: pass a DataFrame that is cheap to read again."""
-    events = open_files(contents, limits)
+def below(path: Column, roots: tuple[str, ...]) -> Column:
+    """A path from the last part of the root that it lies under; as it is if under none."""
+    for root in roots:
+        above = os.path.dirname(os.path.abspath(root)).rstrip("/") + "/"
+        path = F.regexp_replace(path, r"^(?:file:/{0,2}(?=/))?\Q" + above + r"\E", "")
+    return path
+
+
+def scan(contents: DataFrame, limits: dict = LIMITS, key: bytes | None = None, roots: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """artifacts, findings and gaps of files (path, content). Read the events once: pass a DataFrame that is cheap to read again.
+
+    Paths are reported from the last part of their root on, and names are
+    searched in that form: what stands above a root is not part of a report.
+    """
+    events = open_files(contents, limits).withColumn("path", below(F.col("path"), roots))
     texts = events.where("event = 'text'").select("path", "part", "text")
     in_text = report.masked_findings(texts, ["path", "part"], key, most=limits["max_findings_per_artifact"])
     in_names = report.masked_findings(events.where("event = 'artifact'").select("path", F.lit("name").alias("part"), F.col("path").alias("text")), ["path", "part"], key)
