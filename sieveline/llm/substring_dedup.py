@@ -216,7 +216,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataF
     docs = _keyed(docs.select("doc_id", "text"))
     rows = spill(_analyse(docs, window, run), "sub-rows")
     # Equal word sequences are one text with its least document: every window of the others starts there.
-    firsts = rows.groupBy("key").agg(F.min("id").alias("first"))
+    # (Written before it is joined, so that very many copies of a text are not one task.)
+    firsts = spill(rows.groupBy("key").agg(F.min("id").alias("first")), "sub-copies")
     own = rows.where(F.size("route") > 0).join(firsts, "key").where("id = first")
     windows = F.col("n_words") - (window - 1)
     ends = F.concat(F.slice("begin", 2, F.greatest(F.size("begin") - 1, F.lit(0))), F.array(windows.cast("int")))
