@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from functools import reduce
 
@@ -32,7 +33,7 @@ def hmac_token(key: bytes, message: Column, domain: str = "evidence-v1") -> Colu
     """
     if len(key) < 16:
         raise ValueError("a key has at least 16 bytes")
-    block = key.ljust(64, b"\0") if len(key) <= 64 else __import__("hashlib").sha256(key).digest().ljust(64, b"\0")
+    block = key.ljust(64, b"\0") if len(key) <= 64 else hashlib.sha256(key).digest().ljust(64, b"\0")
     inner, outer = (F.lit(bytearray(b ^ pad for b in block)) for pad in (0x36, 0x5C))
     first = F.unhex(F.sha2(F.concat(inner, F.lit(bytearray(domain.encode() + b"\0")), F.encode(message, "UTF-8")), 256))
     return F.concat(F.lit(f"hmac-sha256:{domain}:"), F.left(F.sha2(F.concat(outer, first), 256), F.lit(32)))
