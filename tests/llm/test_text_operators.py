@@ -235,7 +235,7 @@ def test_html_layout():
     assert draw("<p>One<p>Two <b>bold</b>  text<br>line<ul><li>a<li>b<ol start=3><li>x<li>y</ol><li>c</ul>after") == "One\n\nTwo bold text\nline\n\n- a\n- b\n  3. x\n  4. y\n- c\n\nafter"
     assert draw("<table><tr><th>Name<th>Qty<tr><td>apple<td>1<tr><td colspan=2>a longer total<tr><td>x<td>22</table>") == "Name  | Qty\napple | 1\na longer total\nx     | 22"
     assert draw("<style>.ad{display:none}#z{visibility:hidden}</style><div class='ad big'>n</div><i id=z>n</i><b hidden>n</b><s style='display: none'>n</s><input type=hidden value=n>yes &amp; so") == "yes & so"
-    assert draw("<details><summary>S</summary>no</details><script>if(a<b)'</p>'</script><title>t</title>a < b") == "S\n\na < b" or True
+    assert draw("<details><summary>S</summary>no</details><script>if(a<b)'</p>'</script><title>t</title>a < b") == "S\na < b"
     assert draw("<div>" * 20_000 + "deep") == "deep"
     assert draw("<pre>a\n  b</pre><blockquote>q</blockquote>") == "a\n  b\n\n> q"
     assert draw("") == "" and draw("<") == "<" and draw("<a href='x") == ""
@@ -267,5 +267,5 @@ def test_quotes_equal_sql(spark):
     got = quotation.link_quotes(df).collect()
     assert collections.Counter(map(tuple, got)) == collections.Counter(want)
     replies = {(r.conv_id, r.turn, r.clean): (r.reply_to, r.root_turn, r.depth) for r in got}
-    assert replies[1, 2, "Good.\n\nBye."] == (1, 0, 2) or replies[1, 2, "Good.\n\nBye."][0] == 1
+    assert replies[1, 2, "Good.\n\nBye."] == (1, 0, 2)
     assert quotation.link_quotes(df.where("false")).count() == 0
