@@ -73,8 +73,9 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     A quoted sentence comes from the first message of the conversation that has
     it as its own, if that is earlier. Null text: stays null, quotes nothing. A
     null conv_id is a conversation of its own; a null turn neither quotes nor is
-    quoted. Repeated rows give equal results, repeated turns are messages side by
-    side; an empty table gives an empty result.
+    quoted. Repeated rows give equal results; messages of one turn stand side by side
+    and share the chain of the one that answers the earliest turn. An empty table gives an
+    empty result.
     """
     parsed = parse_quotes(messages.select("conv_id", "turn", "role", "text")).withColumn("_m", F.md5(F.coalesce("text", F.lit(""))))
     quoting = parsed.where(F.size("passages") > 0)

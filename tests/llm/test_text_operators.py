@@ -255,6 +255,7 @@ def test_quotes_equal_sql(spark):
     rng = random.Random(3)
     lines = [f"Sentence number {i} says w{i}." for i in range(12)]
     rows = [(1, 0, "u", "Hello there. How are you?\nIt rains."), (1, 1, "a", "> Hello there. How are you?\n\nFine."), (1, 2, "u", "Bob wrote:\n>> Hello there. How\n>> are you?\n> Fine.\nGood.\n\n\n\nBye."), (2, 0, "u", None), (2, 1, "u", ""), (None, 0, "a", "Say this."), (None, 1, "b", "> say THIS\nok"), (3, None, "x", "> Hello\nq"), (1, 2, "u", "> It rains.\ntwice"), (1, 1, "a", "> Hello there. How are you?\n\nFine.")]
+    rows += [(20, 0, "u", "One."), (20, 1, "u", "> One.\nTwo."), (20, 2, "u", "> Two.\nThree."), (20, 3, "u", "> Three.\nFour.")]
     for c in range(5, 10):
         for t in range(10):
             quoted = [rng.choice(["> ", ">> ", "> > "]) + rng.choice(lines) for _ in range(rng.randrange(4))] if t else []
@@ -267,5 +268,7 @@ def test_quotes_equal_sql(spark):
     got = quotation.link_quotes(df).collect()
     assert collections.Counter(map(tuple, got)) == collections.Counter(want)
     replies = {(r.conv_id, r.turn, r.clean): (r.reply_to, r.root_turn, r.depth) for r in got}
-    assert replies[1, 2, "Good.\n\nBye."] == (1, 0, 2)
+    # Another message of turn 2 answers turn 0, and messages of one turn share the chain of the earliest.
+    assert replies[1, 2, "Good.\n\nBye."] == (1, 0, 1)
+    assert replies[20, 3, "Four."] == (2, 0, 3)
     assert quotation.link_quotes(df.where("false")).count() == 0
