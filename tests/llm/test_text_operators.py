@@ -272,3 +272,31 @@ def test_quotes_equal_sql(spark):
     assert replies[1, 2, "Good.\n\nBye."] == (1, 0, 1)
     assert replies[20, 3, "Four."] == (2, 0, 3)
     assert quotation.link_quotes(df.where("false")).count() == 0
+
+
+def template_texts(rng, unlike, pairs, shared, size=300):
+    """Texts that share a long passage: so many unlike ones, then pairs of near copies that are like no other."""
+    passage = [f"p{k}" for k in range(shared)]
+    out = []
+    for k in range(unlike + pairs):
+        own = [f"o{k}w{i}" for i in range(size - shared)]
+        out.append(passage + own)
+        if k >= unlike:
+            for e in rng.sample(range(len(own)), 5):
+                own[e] = f"e{k}w{e}"
+            out.append(passage + own)
+    return out
+
+
+@pytest.mark.parametrize("few", [64, 2])
+def test_near_pairs_behind_unlike_hubs_are_found(spark, monkeypatch, few):
+    import numpy as np
+
+    monkeypatch.setattr(near_dedup, "FEW", few, raising=False)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16, raising=False)
+    # One bucket for all, so that a pair has no second one to meet in.
+    monkeypatch.setattr(near_dedup, "sketch", lambda hashes: np.array([7], np.uint64))
+    texts = template_texts(random.Random(4), 25, 12, 200)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(documents(spark, rows)).collect()}
+    assert got == {k: k if k < 25 or (k - 25) % 2 == 0 else k - 1 for k in range(len(rows))}
