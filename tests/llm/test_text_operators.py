@@ -300,3 +300,17 @@ def test_near_pairs_behind_unlike_hubs_are_found(spark, monkeypatch, few):
     rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
     got = {r.doc_id: r.class_id for r in near_dedup.near_classes(documents(spark, rows)).collect()}
     assert got == {k: k if k < 25 or (k - 25) % 2 == 0 else k - 1 for k in range(len(rows))}
+
+
+@pytest.mark.parametrize("few", [64, 2])
+def test_a_text_near_a_member_of_the_hubs_class_is_found(spark, monkeypatch, few):
+    import numpy as np
+
+    monkeypatch.setattr(near_dedup, "FEW", few, raising=False)
+    monkeypatch.setattr(near_dedup, "sketch", lambda hashes: np.array([7], np.uint64))
+    hub = [f"w{k}" for k in range(200)]
+    a = [f"a{k}" if k % 6 == 0 else w for k, w in enumerate(hub)]  # 17% away
+    b = [f"b{k}" if k % 6 == 1 and k < 100 else w for k, w in enumerate(a)]  # 8% from a, 25% from the hub
+    rows = [(k, " ".join(t)) for k, t in enumerate([hub, a, b, [f"x{k}" for k in range(200)]])]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(documents(spark, rows)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3}
