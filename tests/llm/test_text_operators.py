@@ -314,3 +314,18 @@ def test_a_text_near_a_member_of_the_hubs_class_is_found(spark, monkeypatch, few
     rows = [(k, " ".join(t)) for k, t in enumerate([hub, a, b, [f"x{k}" for k in range(200)]])]
     got = {r.doc_id: r.class_id for r in near_dedup.near_classes(documents(spark, rows)).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
+def test_texts_with_spread_edits_share_an_entry():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for share, most in ((0.1, 0), (0.15, 2), (0.19, 10)):
+        lost = 0
+        for _ in range(200):
+            words = rng.integers(1, 1 << 62, 200).astype(np.uint64)
+            edited = words.copy()
+            at = rng.choice(200, round(share * 200), replace=False)
+            edited[at] = rng.integers(1, 1 << 62, len(at)).astype(np.uint64)
+            lost += not (near_dedup.sketch(words) == near_dedup.sketch(edited)).any()
+        assert lost <= most, (share, lost)
