@@ -98,12 +98,12 @@ def _named(found: Column, rule: Rule) -> Column:
 def rule_hits(text: Column, rule: Rule, most: int) -> Column:
     """The first `most` valid hits of one rule. A candidate that is not valid has used up its text."""
     if rule in ASSIGNMENTS:
-        found = spans(text, rule.pattern, 3, 1 << 20)
+        found = spans(text, rule.pattern, 3, ALL)
         if rule.rule_id == "secret.credential_assignment":
             found = F.filter(found, likely_credential)
     else:
         check = VALID.get(rule.rule_id)
-        found = spans(text, rule.pattern, 0, 1 << 20 if check else most)
+        found = spans(text, rule.pattern, 0, ALL if check else most)
         if check:
             found = F.filter(found, lambda x: check(x["value"]))
     out = _named(F.slice(found, 1, most), rule)
@@ -111,8 +111,12 @@ def rule_hits(text: Column, rule: Rule, most: int) -> Column:
     return F.coalesce(F.when(gate, out) if gate is not None else out, F.array().cast(HITS))
 
 
-def detect(df: DataFrame, text: str = "text", hits: str = "hits", most: int = fixed.LIMITS["max_findings_per_artifact"]) -> DataFrame:
-    """Add the hits of a text column, in order of (start, end, rule), at most `most`.
+#: No cap: more hits than a text can have.
+ALL = (1 << 31) - 1
+
+
+def detect(df: DataFrame, text: str = "text", hits: str = "hits", most: int = ALL) -> DataFrame:
+    """Add the hits of a text column, in order of (start, end, rule), all unless `most` is given. report.cap() caps with a gap.
 
     All of it happens inside the row: no shuffle, no Python. A null text has no
     hits. A generic credential goes if it overlaps a personal datum or secret.
@@ -133,7 +137,7 @@ def _columns(gateway: int, text: str, most: int) -> list[Column]:
     return [rule_hits(source, r, most) for r in ALL_RULES]
 
 
-def findings(df: DataFrame, keys: list[str], text: str = "text", most: int = fixed.LIMITS["max_findings_per_artifact"]) -> DataFrame:
+def findings(df: DataFrame, keys: list[str], text: str = "text", most: int = ALL) -> DataFrame:
     """A row for each hit: the keys, the hit's fields (value included), and line and column of its start."""
     from sieveline.functions.spans import column_of, line_of
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import fixed
-from sieveline.functions.fixed import LIMITS, SEVERITIES
+from sieveline.functions.fixed import SEVERITIES
 
-from .detect import findings
+from .detect import ALL, findings
 from .evidence import hmac_token, mask_value, stable_id
 
 
@@ -23,7 +23,7 @@ def severity_counts(severity: Column = None) -> list[Column]:
     return [F.count_if(severity == s).alias(s) for s in SEVERITIES]
 
 
-def masked_findings(docs: DataFrame, keys: list[str], key: bytes | None = None, text: str = "text", most: int = LIMITS["max_findings_per_artifact"]) -> DataFrame:
+def masked_findings(docs: DataFrame, keys: list[str], key: bytes | None = None, text: str = "text", most: int = ALL) -> DataFrame:
     """Findings with masked evidence (and a token, given a run's key) in place of values, ids and occurrences.
 
     The value is dropped here, so nothing downstream can show it. Occurrences

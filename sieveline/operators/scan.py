@@ -201,7 +201,8 @@ def scan(contents: DataFrame, limits: dict = LIMITS, key: bytes | None = None, r
     """
     events = open_files(contents, limits).withColumn("path", below(F.col("path"), roots))
     texts = events.where("event = 'text'").select("path", "part", "text")
-    in_text = report.masked_findings(texts, ["path", "part"], key, most=limits["max_findings_per_artifact"])
+    in_text, over = report.cap(report.masked_findings(texts, ["path", "part"], key), ["path", "part"], ["start", "end", "rule_id"], limits["max_findings_per_artifact"])
+    over = over.withColumns({"capability": F.lit("findings"), "reason": F.lit("artifact_finding_limit")})
     in_names = report.masked_findings(events.where("event = 'artifact'").select("path", F.lit("name").alias("part"), F.col("path").alias("text")), ["path", "part"], key)
     in_names = in_names.where("category IN ('pii', 'secret', 'unicode_control')").withColumns({"rule_id": F.lit("file.personal_name"), "severity": F.lit("high")})
     rules = report.catalog(contents.sparkSession).select("rule_id", "category", F.col("default_severity").alias("severity"), "confidence")
@@ -210,10 +211,12 @@ def scan(contents: DataFrame, limits: dict = LIMITS, key: bytes | None = None, r
     columns = ["path", "part", "rule_id", "category", "severity", "confidence", "evidence", "line", "column"]
     found = in_text.select(*columns).unionByName(in_names.select(*columns)).unionByName(built.select("path", "part", "rule_id", "category", "severity", "confidence"), allowMissingColumns=True)
     found = found.withColumn("path", display_path(F.col("path"))["value"])
-    gaps = events.where("event = 'gap'").select("path", "part", F.col("name").alias("capability"), F.col("value").alias("reason")).distinct()
+    gaps = events.where("event = 'gap'").select("path", "part", F.col("name").alias("capability"), F.col("value").alias("reason")).unionByName(over.drop("omitted")).distinct()
     covered = report.coverage(events.where("event = 'coverage'").select(F.col("path").alias("artifact_id"), F.col("name").alias("capability"), "value", F.lit(0).alias("seq")))
     artifacts = events.where("event = 'artifact'").select("path", F.col("name").alias("kind"), F.col("value").alias("media_type"), F.col("n").alias("size"))
     artifacts = artifacts.join(covered, artifacts["path"] == covered["artifact_id"], "left").drop("artifact_id").withColumn("status", F.coalesce("status", F.lit("scanned")))
+    cut = over.select("path", F.lit("partial").alias("_cut")).distinct()
+    artifacts = artifacts.join(cut, "path", "left").withColumn("status", F.coalesce("_cut", "status")).drop("_cut")
     shown = lambda df: df.withColumn("path", display_path(F.col("path"))["value"])
     return {"artifacts": shown(artifacts), "findings": found, "gaps": shown(gaps)}
 
