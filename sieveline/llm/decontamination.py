@@ -2,8 +2,8 @@
 
 Words become a template: numbers, names and units turn into typed placeholders.
 Windows of the template, and of the plain words, are joined by hash to those of the items; then
-the slots must agree: one value in the item always stands for one value in the
-document. Benchmark windows are broadcast in blocks of a bounded number.
+the slots must agree: one value in the item always stands for one value in an
+occurrence of the item. Benchmark windows are broadcast in blocks of a bounded number.
 """
 
 from __future__ import annotations
@@ -145,6 +145,18 @@ class Index:
                             found[d][int(self.item[j])].append((int(self.at[j]), place))
         return found
 
+    def best(self, item: int, pairs: list[tuple[int, int]], texts: Templates, words: list) -> tuple[int, bool]:
+        """consistent() of the best occurrence of the item, or of all pairs together, if those meet more.
+
+        Pairs are one occurrence while the distance of their places moves by less
+        than half the item at a time.
+        """
+        near = min(WINDOW, max(1, len(self.words[item]) // 2))
+        pairs = sorted(pairs, key=lambda x: (x[1] - x[0], x))
+        cuts = [k for k in range(1, len(pairs)) if pairs[k][1] - pairs[k][0] - pairs[k - 1][1] + pairs[k - 1][0] >= near]
+        groups = [pairs[a:b] for a, b in zip([0, *cuts], [*cuts, len(pairs)], strict=True)]
+        return max((self.consistent(item, g, texts, words) for g in (groups if len(groups) == 1 else [*groups, pairs])), key=lambda x: (x[0], not x[1]))
+
     def consistent(self, item: int, pairs: list[tuple[int, int]], texts: Templates, words: list) -> tuple[int, bool]:
         """How many windows of the item are met with slots that agree, and whether a slot differs."""
         size, kinds, own = self.sizes[item], self.kinds[item], self.words[item]
@@ -164,7 +176,10 @@ class Index:
         met, differs = set(), False
         for at, place in pairs:
             slots = [(int(kinds[at + k]), own[at + k], words[texts.codes[place + k]]) for k in range(size) if kinds[at + k]]
-            if all(of.get((kind, a)) == b for kind, a, b in slots):
+            # A window in the item's own words needs no vote.
+            if all(own[at + k] == words[texts.codes[place + k]] for k in range(size)):
+                met.add(at)
+            elif all(of.get((kind, a)) == b for kind, a, b in slots):
                 met.add(at)
                 differs |= any(a != b for _, a, b in slots)
         return len(met), differs
@@ -173,8 +188,8 @@ class Index:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Documents (doc_id, text) that hold benchmark items (item_id, text), a row for each such pair.
 
-    Returns doc_id, item_id, n_windows (of the item), n_met (met in the document
-    with consistent slots, coverage or more of them) and reparameterised (a slot
+    Returns doc_id, item_id, n_windows (of the item), n_met (met in the best
+    occurrence with consistent slots, coverage or more of them) and reparameterised (a slot
     has another value than in the item). Null texts have no words; items of fewer
     than MIN_WORDS words can't be met. Null ids are carried. Repeated rows of docs
     give repeated results, repeated rows of the benchmark do not; an empty table
@@ -203,7 +218,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
                 for d, by_item in hits.items():
                     for item, pairs in by_item.items():
                         total = len(found.words[item]) - found.sizes[item] + 1
-                        met, differs = found.consistent(item, pairs, texts, words)
+                        met, differs = found.best(item, pairs, texts, words)
                         if met >= coverage * total:
                             res.append((ids[d], found.ids[item], total, met, differs))
                 cols = list(zip(*res, strict=True)) or [[]] * 5

@@ -232,3 +232,11 @@ def test_every_operator_is_registered():
     names = registry.queries()
     assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def test_leaks_of_an_item_with_several_variants(spark):
+    item = "when a shop sells 60 pens and 3 books how many are left"
+    variant = lambda a, b: item.replace("60", a).replace("3", b)
+    rows = [(1, item), (2, " then ".join([item, variant("80", "4"), variant("80", "5")])), (3, f"{variant('70', '8')} or {variant('80', '4')}")]
+    out = decontamination.find_leaks(documents(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_met, r.reparameterised) for r in out) == [(1, 6, False), (2, 6, False), (3, 6, True)]
