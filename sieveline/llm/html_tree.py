@@ -32,8 +32,9 @@ IMPLIED = {
 }
 _STOPS = {"table", "td", "th", "caption", "body", "html", "button", "object", "template"}
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|$))|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"?|'[^']*'?)*)>?", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+#: Quotes enclose only a value right after its "="; any other quote is a character of a name or value.
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|$))|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"?|'[^']*+'?|[^\s>\"'][^\s>]*+)?)?)*+)>?", re.S)
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*))?)?")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _SIMPLE = re.compile(r"^(?:[a-zA-Z][\w-]*|\*)?(?:[.#][\w-]+)?$")

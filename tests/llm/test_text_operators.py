@@ -329,3 +329,11 @@ def test_texts_with_spread_edits_share_an_entry():
             edited[at] = rng.integers(1, 1 << 62, len(at)).astype(np.uint64)
             lost += not (near_dedup.sketch(words) == near_dedup.sketch(edited)).any()
         assert lost <= most, (share, lost)
+
+
+def test_html_with_stray_quotes():
+    draw = lambda x: render(*parse(x))
+    assert draw("<p class='x\"'\">first</p><p>second <b>third</b></p>") == "first\n\nsecond third"
+    assert draw('<p class="x"">first</p><p>second <b>third</b></p>') == "first\n\nsecond third"
+    assert draw("<p don't>first</p><p>it's</p>") == "first\n\nit's"
+    assert draw("<a href=x\"y>one</a> <a title = 'a>b' hidden>no</a><i ='>two</i>") == "one two"
