@@ -9,7 +9,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Their content is text up to their own end tag.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "plaintext"}
 #: Never drawn.
-UNSEEN = {"head", "script", "style", "template", "noscript", "title", "iframe", "noembed", "noframes", "datalist", "object", "audio", "video", "canvas", "svg", "math", "area", "base", "link", "meta", "param", "source", "track", "colgroup", "col"}
+UNSEEN = {"head", "script", "style", "template", "noscript", "title", "iframe", "noembed", "noframes", "datalist", "object", "audio", "video", "canvas", "annotation", "annotation-xml", "area", "base", "link", "meta", "param", "source", "track", "colgroup", "col"}
 #: Start tags that end an open paragraph.
 ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul"}
 BLOCK = ENDS_P | {"body", "html", "li", "dt", "dd", "caption", "legend", "optgroup", "option", "tr", "thead", "tbody", "tfoot"}
@@ -35,16 +35,19 @@ _STOPS = {"table", "td", "th", "caption", "body", "html", "button", "object", "t
 #: Quotes enclose only a value right after its "="; any other quote is a character of a name or value.
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|$))|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"?|'[^']*+'?|[^\s>\"'][^\s>]*+)?)?)*+)>?", re.S)
 _ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*))?)?")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SHOWN = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?", re.I)
+#: Where svg keeps what it draws only by reference, or not at all.
+_KEPT = {"defs", "symbol", "clippath", "mask", "pattern", "marker", "desc", "metadata"}
+#: The screen that media queries are asked for, in px.
+SCREEN = 1280
 _SIMPLE = re.compile(r"^(?:[a-zA-Z][\w-]*|\*)?(?:[.#][\w-]+)?$")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "foreign")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], foreign: bool = False):
+        self.tag, self.attrs, self.children, self.foreign = tag, attrs, [], foreign
 
 
 def parse(html: str) -> tuple[Node, str]:
@@ -108,9 +111,9 @@ def parse(html: str) -> tuple[Node, str]:
                 row = Node("tr", {})
                 open_[-1].children.append(row)
                 open_.append(row)
-            node = Node(tag, attrs)
+            node = Node(tag, attrs, tag in ("svg", "math") or open_[-1].foreign and tag != "foreignobject")
             open_[-1].children.append(node)
-            if tag in VOID:
+            if tag in VOID or node.foreign and found[3].endswith("/"):
                 continue
             if tag in RAW:
                 stop = re.compile(rf"</{tag}(?=[\s/>]|$)[^>]*>?", re.I).search(html, at) if tag != "plaintext" else None
@@ -126,26 +129,89 @@ def parse(html: str) -> tuple[Node, str]:
     return root, "\n".join(styles)
 
 
-def hidden_by(styles: str) -> set[str]:
-    """Simple selectors (tag, .class, #id, tag.class) whose rule hides what they name."""
-    out = set()
-    for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", styles, flags=re.S)):
-        if _HIDING.search(body):
-            out.update(s for x in selectors.split(",") if _SIMPLE.match(s := x.strip().lower()) and s)
-    return out
+def on_screen(query: str) -> bool:
+    """Whether one of the media queries holds for a screen; one with features other than widths does not."""
+
+    def holds(one: str) -> bool:
+        for part in re.split(r"\band\b", one):
+            part = part.strip().removeprefix("only ").strip()
+            width = re.fullmatch(r"\(\s*(min|max)-width\s*:\s*([\d.]+)(px|em|rem)\s*\)", part)
+            if width and re.fullmatch(r"\d+(?:\.\d+)?", width[2]):
+                px = float(width[2]) * (1 if width[3] == "px" else 16)
+                if (SCREEN < px) if width[1] == "min" else (SCREEN > px):
+                    return False
+            elif part not in ("", "all", "screen", "not print", "not speech"):
+                return False
+        return True
+
+    return any(holds(q.strip()) for q in query.lower().split(","))
+
+
+def hidden_by(styles: str) -> dict[str, dict[str, tuple]]:
+    """By property (display, visibility) and simple selector (tag, .class, #id, tag.class) its last rule: rank of it, and whether it hides.
+
+    Rules within at-rules count only in @layer and in @media for a screen.
+    """
+    out: dict[str, dict[str, tuple]] = {"display": {}, "visibility": {}}
+    open_: list[tuple[str, bool]] = []  # selectors or at-rule of each open block, and whether it applies
+    parts = re.split(r"([{}])", re.sub(r"/\*.*?\*/", "", styles, flags=re.S))
+    for k in range(0, len(parts) - 1, 2):
+        text, sign = parts[k], parts[k + 1]
+        if sign == "{":
+            name = text.rsplit(";", 1)[-1].replace("<!--", "").replace("-->", "").strip().lower()
+            at = re.match(r"@([\w-]+)(.*)", name, re.S)
+            ok = not at or at[1] == "layer" or at[1] == "media" and on_screen(at[2])
+            open_.append((name, ok and (not open_ or open_[-1][1])))
+        elif open_:
+            name, ok = open_.pop()
+            # A rule within a style rule has selectors relative to it, which are not simple.
+            if not ok or name.startswith("@") or any(not n.startswith("@") for n, _ in open_):
+                continue
+            for j, (prop, value, important) in enumerate(_SHOWN.findall(text)):
+                hides = value.lower() == "none" if prop.lower() == "display" else value.lower() in ("hidden", "collapse")
+                for one in name.split(","):
+                    one = one.strip()
+                    if one and _SIMPLE.match(one):
+                        rank = (bool(important), "#" in one, "." in one, one[0] not in "*.#", k, j)
+                        of = out[prop.lower()]
+                        of[one] = max(of.get(one, ((),)), (rank, hides))
+    return out if any(x[1] for of in out.values() for x in of.values()) else {}
 
 
-def unseen(node: Node, hidden: set[str]) -> bool:
+def unseen(node: Node, hidden: dict[str, dict[str, tuple]]) -> bool:
     a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden") or (node.tag == "dialog" and "open" not in a):
-        return True
-    if "style" in a and _HIDING.search(a["style"]):
+    if node.tag in UNSEEN or (node.tag == "input" and a.get("type", "").lower() == "hidden") or (node.tag == "dialog" and "open" not in a):
         return True
-    if not hidden:
-        return False
-    names = [f"#{a['id'].lower()}"] if a.get("id") else []
-    names += [f".{c}" for c in a.get("class", "").lower().split()]
-    return node.tag in hidden or "*" in hidden or any(n in hidden or node.tag + n in hidden for n in names)
+    own = {p.lower(): (bool(i), v.lower() in ("none", "hidden", "collapse")) for p, v, i in _SHOWN.findall(a["style"])} if "style" in a else {}
+    names = []
+    if hidden:
+        names = ["*", node.tag]
+        for n in ([f"#{a['id'].lower()}"] if a.get("id") else []) + [f".{c}" for c in a.get("class", "").lower().split()]:
+            names += [n, node.tag + n, "*" + n]
+    for prop in ("display", "visibility"):
+        ranked = [of[n] for n in names if n in of] if (of := hidden.get(prop)) else []
+        if prop in own:
+            ranked.append(((own[prop][0], 2), own[prop][1]))
+        if ranked:
+            if max(ranked)[1]:
+                return True
+        elif prop == "display" and "hidden" in a:
+            return True
+    return False
+
+
+def drawn(svg: Node, hidden: dict[str, dict[str, tuple]]) -> list[Node]:
+    """The text of a drawing, in order: its text elements and foreign content."""
+    out, stack = [], svg.children[::-1]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str) or node.tag in _KEPT or unseen(node, hidden):
+            continue
+        if node.tag in ("text", "foreignobject"):
+            out.append(node)
+        else:
+            stack += node.children[::-1]
+    return out
 
 
 class Lines:
@@ -299,6 +365,8 @@ def render(root: Node, styles: str = "") -> str:
             children = node.children
             if tag == "details" and "open" not in node.attrs:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
+            if tag == "svg":
+                children = [c for part in drawn(node, hidden) for c in (" ", part, " ")]
             if grids and tag in ("table", "thead", "tbody", "tfoot", "tr"):
                 children = [c for c in children if isinstance(c, Node) or not c.isspace()]
             stack += [("text", c, pre) if isinstance(c, str) else ("in", c, pre) for c in reversed(children)]

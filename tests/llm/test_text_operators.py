@@ -337,3 +337,14 @@ def test_html_with_stray_quotes():
     assert draw('<p class="x"">first</p><p>second <b>third</b></p>') == "first\n\nsecond third"
     assert draw("<p don't>first</p><p>it's</p>") == "first\n\nit's"
     assert draw("<a href=x\"y>one</a> <a title = 'a>b' hidden>no</a><i ='>two</i>") == "one two"
+
+
+def test_html_shows_what_a_screen_shows():
+    draw = lambda x: render(*parse(x))
+    page = lambda css: draw(f"<style>{css}</style><p class='content'>a</p><p class='tab on'>b</p>")
+    assert page("@media print{.content{display:none}}") == page("@media (max-width:600px){.tab{display:none}}") == "a\n\nb"
+    assert page(".tab{display:none}.tab{display:block}") == page(".tab{display:none}.on{display:block}") == "a\n\nb"
+    assert page("@media screen{.content{display:none}}") == page("@import 'x';@media print{p{color:red}}.content{display:none}") == "b"
+    assert page(".tab{display:none!important}.tab{display:block}") == page("@media (min-width:600px){.tab{visibility:hidden}}") == "a"
+    assert draw("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>") == "x=2"
+    assert draw("a<svg><title>no</title><defs><text>no</text></defs><path d='M0'/><text x=1>one <tspan>two</tspan></text><g><text>three</text></g>no</svg>b") == "a one two three b"
