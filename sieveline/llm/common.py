@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +36,58 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-_written: list[str] = []
+class Run:
+    """Owns the scratch tables that are written while it is open; leaving it deletes those it was not told to keep.
 
+    Runs nest. keep(df) hands the table behind df over to the run around this
+    one, so an operator deletes its own intermediate tables and leaves only what
+    its result reads. The outermost tables belong to the session's own run: they
+    live until release(). To have a folder empty after a job, write the job's
+    result inside `with Run(spark):`.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def __enter__(self) -> Run:
+        self.before = _open.get()
+        self.token = _open.set(self)
+        return self
+
+    def keep(self, *dfs: DataFrame) -> None:
+        """Do not delete these tables (as spill() returned them) when this run ends; the run around it gets them."""
+        for df in dfs:
+            mine = [t for t in self.tables if t[1] is df]
+            self.tables = [t for t in self.tables if t[1] is not df]
+            (self.before or _session).tables.extend(mine)
+
+    def close(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        while self.tables:
+            path = jvm.org.apache.hadoop.fs.Path(self.tables.pop()[0])
+            path.getFileSystem(conf).delete(path, True)
 
-def spill(df: DataFrame, name: str, held: bool = True) -> DataFrame:
+    def __exit__(self, *_) -> None:
+        _open.reset(self.token)
+        self.close()
+
+
+_open: ContextVar[Run | None] = ContextVar("run", default=None)
+_session = Run(None)
+
+
+def spill(df: DataFrame, name: str) -> DataFrame:
     """Write df to a scratch table in the shared folder and read it back.
 
     This cuts lineage: a lost executor costs a re-read of files, not of work.
-    release() deletes the tables that are held, not the others.
+    The table belongs to the open Run.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if held:
-        _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    (_open.get() or _session).tables.append((path, out))
+    return out
 
 
 def spill_counted(df: DataFrame, name: str, most: int | None = None) -> tuple[DataFrame, int]:
@@ -67,11 +105,9 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete every scratch table made so far. Call it only when no DataFrame needs them."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    """Delete what finished operators keep for results that are read outside any Run. Call it only when none is needed any more."""
+    _session.spark = spark
+    _session.close()
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

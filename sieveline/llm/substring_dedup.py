@@ -1,11 +1,13 @@
 """Substring dedup: word windows that start in an earlier document are removed.
 
 Each window of a text is routed by the least hash of the word runs inside it, so
-equal windows meet in one shard whatever stands around them. Shards hold only
-routes that two or more different texts share. In a shard the segments (runs of
-windows of one route, equal ones once, with their least document) make a
-compressed FM-index; the segments are streamed against it by backward search,
-which gives for every window the least document that has it.
+equal windows meet in one shard whatever stands around them. Only routes that
+two or more documents share are kept. In a shard the segments (runs of windows of
+one route, equal ones once) of documents that others may repeat make a compressed
+FM-index, and those of documents that may repeat others are streamed against it:
+backward search gives the matching statistics, and for every window that is
+matched whole the least document that has it. A route of very many unlike
+segments is split by longer runs of words first, in the end by whole windows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, fresh, map_texts, quoted, spill, table, word_codes
+from .common import Run, as_bytes, batch, fresh, map_texts, quoted, spill, table, word_codes
 from .fm_index import FMIndex
 
 WINDOW = 50
@@ -28,8 +30,8 @@ WINDOW = 50
 RUN = 24
 #: A segment has at most this many windows; a longer run of one route is cut.
 SEGMENT = 256
-#: A route of more segments than this is split by the least hash of longer runs (of SUB_RUN words) inside its windows.
-HOT_ROUTE = 500
+#: A route of more unlike segments than this is split by the least hash of longer runs inside its windows: of SUB_RUN words, then of WINDOW.
+HOT_ROUTE = 200
 SUB_RUN = 44
 #: Words that an index is built over at a time, and words a shard task aims at.
 BLOCK_WORDS = 1_000_000
@@ -98,61 +100,99 @@ def _analyse(docs: DataFrame, window: int, run: int) -> DataFrame:
     return map_texts(docs, lambda: work, "doc_id long, id long, th long, key string, n_words long, sha string, route array<bigint>, begin array<int>")
 
 
-def _pieces(candidates: DataFrame, window: int, run: int) -> DataFrame:
-    """The segments of each candidate text: route, words, sid (hash of the words), where and how many windows."""
+def _sid(seg: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(seg, digest_size=8).digest(), "little", signed=True)
+
+
+def _pieces(candidates: DataFrame, window: int) -> DataFrame:
+    """The segments of each candidate text: route, words, sid (hash of the words), and where."""
 
     def work(part: pa.RecordBatch):
         rows: list[tuple] = []
         for id_, th, text, segs in zip(part.column("id").to_pylist(), part.column("th").to_pylist(), as_bytes(part.column("text")), part.column("segs").to_pylist(), strict=True):
             words = text.split()
-            hashes = pd.util.hash_array(np.array(words, dtype=object), categorize=False) if any(s["hot"] for s in segs) else None
             for s in segs:
-                cut = [(s["route"], s["begin"], s["n"])]
-                if s["hot"]:
-                    begin, low = segments_of(routes(hashes[s["begin"] : s["begin"] + s["n"] + window - 1], window, max(run, window * SUB_RUN // WINDOW)))
-                    keys = _mix(low * _ODD + np.int64(s["route"]).view(np.uint64)).view(np.int64)
-                    cut = zip(keys.tolist(), (begin + s["begin"]).tolist(), np.diff(np.append(begin, s["n"])).tolist(), strict=True)
-                for route, at, n in cut:
-                    seg = b" ".join(words[at : at + n + window - 1])
-                    rows.append((route, seg, int.from_bytes(hashlib.blake2b(seg, digest_size=8).digest(), "little", signed=True), id_, th, at, n))
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        named = {c: pa.array(x, k) for c, x, k in zip(("route", "seg", "sid", "id", "th", "begin", "n"), cols, kinds, strict=True)}
+                seg = b" ".join(words[s["begin"] : s["begin"] + s["n"] + window - 1])
+                rows.append((s["route"], seg, _sid(seg), id_, th, s["begin"]))
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        named = {c: pa.array(x, k) for c, x, k in zip(("route", "seg", "sid", "id", "th", "begin"), cols, kinds, strict=True)}
         yield batch(**named | {"seg": named["seg"].cast(pa.string())})
 
-    return map_texts(candidates, lambda: work, "route long, seg string, sid long, id long, th long, begin int, n int")
+    return map_texts(candidates, lambda: work, "route long, seg string, sid long, id long, th long, begin int")
+
+
+def _split(hot: DataFrame, window: int, run: int) -> DataFrame:
+    """Segments cut anew by runs of `run` words: route, words and sid of each part, what it is part of (of_route, of_sid), from which window on (at), how many (n), and its documents' bounds."""
+
+    def work(part: pa.RecordBatch):
+        starts, codes, words = word_codes(part.column("seg"))
+        hashes = word_hashes(words)[codes] if len(codes) else np.zeros(0, np.uint64)
+        rows: list[tuple] = []
+        for k, (route, sid, least, most, seg) in enumerate(zip(*(part.column(c).to_pylist() for c in ("route", "sid", "least", "most")), as_bytes(part.column("seg")), strict=True)):
+            low = routes(hashes[starts[k] : starts[k + 1]], window, run)
+            begin, low_of = segments_of(low)
+            keys = _mix(low_of * _ODD + np.int64(route).view(np.uint64)).view(np.int64)
+            own = seg.split()
+            for key, at, n in zip(keys.tolist(), begin.tolist(), np.diff(np.append(begin, len(low))).tolist(), strict=True):
+                cut = b" ".join(own[at : at + n + window - 1])
+                rows.append((key, cut, _sid(cut), route, sid, at, n, least, most))
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        cols = list(zip(*rows, strict=True)) or [[]] * 9
+        named = {c: pa.array(x, k) for c, x, k in zip(("route", "seg", "sid", "of_route", "of_sid", "at", "n", "least", "most"), cols, kinds, strict=True)}
+        yield batch(**named | {"seg": named["seg"].cast(pa.string())})
+
+    return map_texts(hot.select("route", "sid", "least", "most", "seg"), lambda: work, "route long, seg string, sid long, of_route long, of_sid long, at int, n int, least long, most long", "seg")
 
 
 def _words(rows: pa.Table | pa.RecordBatch) -> int:
     return rows.num_rows + (pc.sum(pc.count_substring(rows.column("seg"), " ")).as_py() or 0)
 
 
-def _first_documents(distinct: DataFrame, window: int, tasks: int) -> DataFrame:
-    """For every distinct segment (route, sid) the least document of each of its windows."""
-
-    def search(indexed: pa.Table) -> list[np.ndarray]:
-        starts, codes, _ = word_codes(indexed.column("seg").combine_chunks())
-        index = FMIndex(codes, starts, np.asarray(indexed.column("least")), window)
-        found = index.match(codes, starts)
-        ends = np.cumsum(np.diff(starts) - window + 1)[:-1]
-        return np.split(found, ends)
-
-    def answer(group: pa.Table) -> pa.RecordBatch:
-        """A group of whole routes; one that is too large for an index goes by pairs of blocks."""
-        words = np.cumsum(np.asarray(pc.count_substring(group.column("seg"), " ")) + 1)
-        cuts = [0, *np.flatnonzero(np.diff(words // BLOCK_WORDS)).tolist(), group.num_rows] if words[-1] > 2 * BLOCK_WORDS else [0, group.num_rows]
-        cuts = sorted(set(cuts))
-        blocks = [group.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        best: list[list[np.ndarray] | None] = [None] * len(blocks)
-        for i in range(len(blocks)):
-            for j in range(i, len(blocks)):
-                got = search(pa.concat_tables([blocks[i]] + [blocks[j]] * (j > i)))
-                for k, part in ((i, got[: blocks[i].num_rows]), (j, got[blocks[i].num_rows :] if j > i else None)):
-                    if part is not None:
-                        best[k] = part if best[k] is None else [np.minimum(x, y) for x, y in zip(best[k], part, strict=True)]
-        flat = [x for part in best for x in part]
-        bounds = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in flat]))), pa.int32())
-        return batch(route=group.column("route").combine_chunks(), sid=group.column("sid").combine_chunks(), first=pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(flat))))
+def search(group: pa.Table, window: int) -> pa.RecordBatch:
+    """The least document of each window of the segments of whole routes (in order of route): route, sid, first.
+
+    Indexed are the segments of documents that another one of the route may come
+    after, streamed are those of documents that another may come before; the rest
+    repeat nothing.
+    """
+    route, least, most = (np.asarray(group.column(c)) for c in ("route", "least", "most"))
+    begin = np.flatnonzero(np.concatenate(([True], route[1:] != route[:-1])))
+    rows = np.diff(np.append(begin, len(route)))
+    indexed = np.flatnonzero(least < np.repeat(np.maximum.reduceat(most, begin), rows))
+    streamed = np.flatnonzero(most > np.repeat(np.minimum.reduceat(least, begin), rows))
+    starts, codes, _ = word_codes(group.column("seg").combine_chunks())
+    sizes = np.diff(starts)
+
+    def pick(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = sizes[which]
+        bounds = np.concatenate(([0], np.cumsum(n)))
+        return codes[np.repeat(starts[which] - bounds[:-1], n) + np.arange(bounds[-1])], bounds
+
+    index = FMIndex(*pick(indexed), least[indexed], window)
+    own, bounds = pick(streamed)
+    many, found = index.match(own, bounds)
+    out = np.full(len(codes), LAST, np.int64)
+    place = np.repeat(starts[streamed] - bounds[:-1], sizes[streamed]) + np.arange(len(own))
+    out[place[many == window]] = found[many == window]
+    # One number a window: the last window - 1 places of a segment begin none.
+    windows = np.maximum(sizes - window + 1, 0)
+    ends = np.concatenate(([0], np.cumsum(windows)))
+    flat = out[np.repeat(starts[:-1] - ends[:-1], windows) + np.arange(ends[-1])]
+    return batch(route=group.column("route").combine_chunks(), sid=group.column("sid").combine_chunks(), first=pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
+
+
+def _first_documents(distinct: DataFrame, window: int, runs: list[int]) -> DataFrame:
+    """For every distinct segment (route, sid, seg, least, most) of routes that documents share the least document of each of its windows.
+
+    Routes of more than HOT_ROUTE segments are split by the first of runs, and so
+    on; what the whole window splits (the last of runs) is never hot, so an index
+    holds whole routes and about BLOCK_WORDS words.
+    """
+    spark = distinct.sparkSession
+    stats = distinct.groupBy("route").agg(F.count("*").alias("of"), F.min("least").alias("lo"), F.max("most").alias("hi"), F.sum(F.octet_length("seg")).alias("size")).where("lo < hi")
+    stats = spill(stats.select("route", "size", ((F.col("of") > HOT_ROUTE) & F.lit(bool(runs))).alias("hot")), "sub-stats")
+    size, n_hot = stats.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_if("hot")).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -165,13 +205,22 @@ def _first_documents(distinct: DataFrame, window: int, tasks: int) -> DataFrame:
                 route = np.asarray(whole.column("route"))
                 end = int(np.searchsorted(route, route[-1], "left"))  # the last route may go on
                 if end:
-                    yield answer(whole.slice(0, end))
+                    yield search(whole.slice(0, end), window)
                     held = whole.slice(end).to_batches()
                     words = _words(whole.slice(end))
-        if held:
-            yield answer(pa.Table.from_batches(held))
+        if held and (whole := pa.Table.from_batches(held)).num_rows:
+            yield search(whole, window)
 
-    return distinct.repartition(tasks, "route").sortWithinPartitions("route").mapInArrow(run, "route long, sid long, first array<bigint>")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (5 * BLOCK_WORDS)))
+    cold = distinct.join(stats.where("NOT hot").select("route"), "route", "left_semi")
+    found = spill(cold.repartition(tasks, "route").sortWithinPartitions("route").mapInArrow(run, "route long, sid long, first array<bigint>"), "sub-firsts")
+    if not n_hot:
+        return found
+    parts = spill(_split(distinct.join(stats.where("hot").select("route"), "route", "left_semi"), window, runs[0]), "sub-parts")
+    below = _first_documents(spill(parts.groupBy("route", "sid", "seg").agg(F.min("least").alias("least"), F.max("most").alias("most")), "sub-segments"), window, runs[1:])
+    whole = parts.join(below, ["route", "sid"], "left").withColumn("first", F.coalesce("first", F.array_repeat(F.lit(LAST), F.col("n"))))
+    joined = whole.groupBy("of_route", "of_sid").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("l"))
+    return found.union(spill(joined.select("of_route", "of_sid", F.flatten(F.transform("l", lambda x: x["first"]))), "sub-firsts"))
 
 
 def _cut(hit: DataFrame, window: int) -> DataFrame:
@@ -212,30 +261,33 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataF
     words; equal rows give equal results. Texts shorter than a window, empty
     texts and an empty table lose nothing.
     """
-    spark = docs.sparkSession
-    docs = _keyed(docs.select("doc_id", "text"))
-    rows = spill(_analyse(docs, window, run), "sub-rows")
-    # Equal word sequences are one text with its least document: every window of the others starts there.
-    # (Written before it is joined, so that very many copies of a text are not one task.)
-    firsts = spill(rows.groupBy("key").agg(F.min("id").alias("first")), "sub-copies")
-    own = rows.where(F.size("route") > 0).join(firsts, "key").where("id = first")
-    windows = F.col("n_words") - (window - 1)
-    ends = F.concat(F.slice("begin", 2, F.greatest(F.size("begin") - 1, F.lit(0))), F.array(windows.cast("int")))
-    parts = own.select("id", "th", F.explode(F.arrays_zip(F.col("route"), F.col("begin"), ends.alias("end"))).alias("s")).select("id", "th", F.col("s.route").alias("route"), F.col("s.begin").alias("begin"), (F.col("s.end") - F.col("s.begin")).alias("n"))
-    parts = spill(parts, "sub-routes")
-    shared = parts.groupBy("route").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("of")).where("lo < hi").select("route", (F.col("of") > HOT_ROUTE).alias("hot"))
-    wanted = parts.join(shared, "route").groupBy("id", "th").agg(F.collect_list(F.struct("route", "begin", "n", "hot")).alias("segs"))
-    candidates = spill(docs.select("id", "th", "text").join(wanted, ["id", "th"]), "sub-texts")
-    pieces = _pieces(candidates, window, run)
-    distinct = spill(pieces.groupBy("route", "sid", "seg").agg(F.min("id").alias("least")), "sub-segments")
-    words = distinct.agg(F.coalesce(F.sum(F.octet_length("seg")), F.lit(0))).first()[0] // 5
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // BLOCK_WORDS))
-    found = spill(_first_documents(distinct, window, tasks), "sub-firsts")
-    at = pieces.select("route", "sid", "id", "th", "begin").join(found, ["route", "sid"])
-    gone = F.filter(F.transform("first", lambda x, i: F.when(x < F.col("id"), F.col("begin") + i)), lambda x: x.isNotNull())
-    begins = at.withColumn("gone", gone).where(F.size("gone") > 0).groupBy("id", "th").agg(F.collect_list("gone").alias("begins"))
-    cut = spill(_cut(candidates.select("id", "th", "text").join(begins, ["id", "th"]), window), "sub-cut").dropDuplicates(["id", "th"])
-    joined = rows.drop("route", "begin").join(firsts, "key").join(cut, ["id", "th"], "left")
+    with Run(docs.sparkSession) as scope:
+        docs = _keyed(docs.select("doc_id", "text"))
+        rows = spill(_analyse(docs, window, run).withColumn("rid", F.monotonically_increasing_id()), "sub-rows")
+        # Equal word sequences are one text with its least document: every window of the others starts there. One row
+        # (rid) stands for it, so repeated rows go no further. (Written before it is joined, so that copies are not one task.)
+        firsts = rows.groupBy("key").agg(F.min(F.struct("id", "th", "rid")).alias("f"))
+        firsts = spill(firsts.select("key", F.col("f.id").alias("first"), F.col("f.th").alias("th"), F.col("f.rid").alias("rid")), "sub-copies")
+        own = rows.where(F.size("route") > 0).join(firsts.select("rid"), "rid", "left_semi")
+        windows = F.col("n_words") - (window - 1)
+        ends = F.concat(F.slice("begin", 2, F.greatest(F.size("begin") - 1, F.lit(0))), F.array(windows.cast("int")))
+        parts = own.select("id", "th", F.explode(F.arrays_zip(F.col("route"), F.col("begin"), ends.alias("end"))).alias("s")).select("id", "th", F.col("s.route").alias("route"), F.col("s.begin").alias("begin"), (F.col("s.end") - F.col("s.begin")).alias("n"))
+        parts = spill(parts, "sub-routes")
+        shared = parts.groupBy("route").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("route")
+        wanted = parts.join(shared, "route").groupBy("id", "th").agg(F.collect_list(F.struct("route", "begin", "n")).alias("segs"))
+        once = docs.groupBy("id", "th").agg(F.first("text").alias("text"))
+        candidates = spill(once.join(wanted, ["id", "th"]), "sub-texts")
+        pieces = spill(_pieces(candidates, window), "sub-pieces")
+        distinct = spill(pieces.groupBy("route", "sid", "seg").agg(F.min("id").alias("least"), F.max("id").alias("most")), "sub-segments")
+        found = _first_documents(distinct, window, [max(run, window * SUB_RUN // WINDOW), window])
+        at = pieces.select("route", "sid", "id", "th", "begin").join(found, ["route", "sid"])
+        gone = F.filter(F.transform("first", lambda x, i: F.when(x < F.col("id"), F.col("begin") + i)), lambda x: x.isNotNull())
+        begins = at.withColumn("gone", gone).where(F.size("gone") > 0).groupBy("id", "th").agg(F.collect_list("gone").alias("begins"))
+        cut = spill(_cut(candidates.select("id", "th", "text").join(begins, ["id", "th"]), window), "sub-cut")
+        measured = spill(rows.select("doc_id", "id", "th", "key", "n_words", "sha"), "sub-rows")
+        texts = spill(firsts.select("key", "first", "th").join(cut.withColumnRenamed("id", "first"), ["first", "th"], "left").drop("th"), "sub-texts")
+        scope.keep(measured, texts)
+    joined = measured.join(texts, "key")
     copy = (F.col("id") > F.col("first")) & (F.col("n_words") >= window)
     nothing = hashlib.sha256(b"").hexdigest()
     return joined.select(

@@ -64,6 +64,41 @@ def test_hot_routes_are_split_and_lose_nothing(spark, monkeypatch):
     assert collections.Counter(map(tuple, got)) == plain_repeats(rows, 50)
 
 
+@pytest.mark.parametrize("m", [2, 20, 2000])
+def test_repeated_rows_are_linear_in_substring_dedup(spark, m):
+    rng = random.Random(m)
+    passage = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    text = " ".join(passage)
+    other = "  ".join(passage)  # the same words, other white space
+    rows = [(1, "start " + " ".join(passage[:120]))] + [(None, text)] * m + [(5, text), (5, other)] + [(7, "x " + text)] * m
+    got = substring_dedup.find_repeats(documents(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert collections.Counter(map(tuple, got)) == plain_repeats(rows, 50)
+
+
+@pytest.mark.parametrize("m", [2, 20, 2000])
+def test_repeated_rows_are_linear_in_near_classes(spark, m):
+    rng = random.Random(m)
+    text = [f"w{rng.randrange(5000)}" for _ in range(80)]
+    near = [*text[:40], "edited", *text[41:]]
+    rows = [(6, " ".join(text))] * m + [(7, " ".join(near))] * m + [(None, " ".join(text[:-1]))] * m + [(None, " ".join(["other", *near]))] * m
+    out = near_dedup.near_classes(documents(spark, rows)).collect()
+    assert collections.Counter((r.doc_id, r.class_id) for r in out) == {(6, 6): m, (7, 6): m, (None, 6): 2 * m}
+    kept = near_dedup.keep_one(documents(spark, rows, extra=True))
+    assert [(r.doc_id, r.text) for r in kept.collect()] == [rows[0]]
+    alone = near_dedup.near_classes(documents(spark, rows[2 * m :])).collect()
+    assert collections.Counter((r.doc_id, r.class_id) for r in alone) == {(None, None): 2 * m}
+    assert near_dedup.keep_one(documents(spark, rows[2 * m :])).count() == 1
+
+
+def test_empty_tables(spark):
+    none = documents(spark, extra=True).where("false")
+    assert substring_dedup.find_repeats(none).count() == substring_dedup.remove_repeats(none).count() == 0
+    assert near_dedup.near_classes(none).count() == near_dedup.keep_one(none).count() == 0
+    assert token_counts.count_tokens(none, public.path("byte_bpe_50k.json")).count() == 0
+    hosts = none.selectExpr("*", "'h' AS source")
+    assert quality_rules.judge(hosts).count() == quality_rules.keep_good(hosts).count() == 0
+
+
 def test_remove_repeats_keeps_columns_and_clean_texts(spark):
     df = documents(spark, extra=True).selectExpr("*", "length(text) AS n_chars")
     out = substring_dedup.remove_repeats(df)
@@ -74,32 +109,52 @@ def test_remove_repeats_keeps_columns_and_clean_texts(spark):
     assert all(r.text is None or r.n_chars == len(r.text) for r in out.collect())
 
 
-@pytest.mark.parametrize("length", [2, 5])
-def test_fm_index_finds_the_least_value(length):
+def some_sequences(rng, length, n):
+    import numpy as np
+
+    parts = [rng.integers(0, 3, rng.integers(0, 25)) for _ in range(n)]
+    return parts, np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+
+
+@pytest.mark.parametrize("length", [1, 2, 5, 9])
+def test_matching_statistics_equal_brute_force(length):
     import numpy as np
 
     rng = np.random.default_rng(length)
-    for _ in range(20):
-        parts = [rng.integers(0, 3, rng.integers(length, 25)) for _ in range(rng.integers(1, 8))]
-        parts.append(parts[0])
+    for turn in range(40):
+        parts, starts = some_sequences(rng, length, int(rng.integers(1, 9)))
+        if turn % 3 == 0:
+            parts.append(parts[0])
+            starts = np.append(starts, starts[-1] + len(parts[0]))
         value = rng.integers(0, 100, len(parts))
-        starts = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-        least = {}
-        for p, v in zip(parts, value, strict=True):
-            for i in range(len(p) - length + 1):
-                g = tuple(p[i : i + length])
-                least[g] = min(least.get(g, 1000), v)
-        index = FMIndex(np.concatenate(parts), starts, value, length)
-        want = [least[tuple(p[i : i + length])] for p in parts for i in range(len(p) - length + 1)]
-        assert index.match(np.concatenate(parts), starts).tolist() == want
-
-
-def test_fm_index_rejects_a_foreign_stream():
+        found: dict = {}
+        for p, v in zip(parts, value.tolist(), strict=True):
+            for i in range(len(p)):
+                for n in range(1, min(length, len(p) - i) + 1):
+                    g = tuple(p[i : i + n].tolist())
+                    found[g] = min(found.get(g, 1000), v)
+        streams, bounds = some_sequences(rng, length, 12)
+        streams[0] = rng.integers(-1, 6, len(streams[0]))  # words that no indexed sequence has
+        many, least = FMIndex(np.concatenate(parts), starts, value, length).match(np.concatenate(streams), bounds)
+        want = []
+        for p in streams:
+            for i in range(len(p)):
+                n = max((n for n in range(1, min(length, len(p) - i) + 1) if tuple(p[i : i + n].tolist()) in found), default=0)
+                want.append((n, found[tuple(p[i : i + n].tolist())] if n == length else -1))
+        assert list(zip(many.tolist(), least.tolist(), strict=True)) == want
+
+
+def test_a_long_index_is_smaller_than_its_text():
     import numpy as np
 
-    index = FMIndex(np.array([0, 1, 2]), np.array([0, 3]), np.array([7]), 2)
-    with pytest.raises(ValueError):
-        index.match(np.array([2, 1, 0]), np.array([0, 3]))
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, 20_000, 200_000)
+    codes[100_000:110_000] = codes[:10_000]
+    starts = np.arange(0, 200_001, 200)
+    index = FMIndex(codes, starts, np.arange(1000) * 1_000_003, 50)
+    assert index.nbytes() < 4 * len(codes) * 1.5 and index.nbytes() < sum(len(f"w{c} ") for c in codes)
+    many, least = index.match(codes[100_000:110_000], np.array([0, 10_000]))
+    assert (many[:-200] > 0).all() and least[0] == 0
 
 
 def test_banded_alignment_equals_the_full_table():
