@@ -351,6 +351,7 @@ def test_near_pairs_behind_unlike_hubs_are_found(spark, monkeypatch, few):
     monkeypatch.setattr(near_dedup, "BLOCK", 16, raising=False)
     # One bucket for all, so that a pair has no second one to meet in.
     monkeypatch.setattr(near_dedup, "sketch", lambda hashes: np.array([7], np.uint64))
+    monkeypatch.setattr(near_dedup, "SKETCHES", 1)
     texts = template_texts(random.Random(4), 25, 12, 200)
     rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
     got = {r.doc_id: r.class_id for r in near_dedup.near_classes(documents(spark, rows)).collect()}
@@ -363,6 +364,7 @@ def test_a_text_near_a_member_of_the_hubs_class_is_found(spark, monkeypatch, few
 
     monkeypatch.setattr(near_dedup, "FEW", few, raising=False)
     monkeypatch.setattr(near_dedup, "sketch", lambda hashes: np.array([7], np.uint64))
+    monkeypatch.setattr(near_dedup, "SKETCHES", 1)
     hub = [f"w{k}" for k in range(200)]
     a = [f"a{k}" if k % 6 == 0 else w for k, w in enumerate(hub)]  # 17% away
     b = [f"b{k}" if k % 6 == 1 and k < 100 else w for k, w in enumerate(a)]  # 8% from a, 25% from the hub
@@ -371,11 +373,12 @@ def test_a_text_near_a_member_of_the_hubs_class_is_found(spark, monkeypatch, few
     assert got == {0: 0, 1: 0, 2: 0, 3: 3}
 
 
-def test_texts_with_spread_edits_share_an_entry():
+def test_texts_at_the_law_share_an_entry():
+    """Words replaced at random: none of the pairs at a run similarity of 0.8 is lost, few at an edit similarity of 0.9."""
     import numpy as np
 
     rng = np.random.default_rng(5)
-    for share, most in ((0.1, 0), (0.15, 2), (0.19, 10)):
+    for share, most in ((0.022, 0), (0.05, 0), (0.1, 8)):
         lost = 0
         for _ in range(200):
             words = rng.integers(1, 1 << 62, 200).astype(np.uint64)
@@ -386,6 +389,16 @@ def test_texts_with_spread_edits_share_an_entry():
         assert lost <= most, (share, lost)
 
 
+def test_hot_buckets_are_split_and_keep_pairs_at_the_law(spark, monkeypatch):
+    """Texts that share two thirds of their words, near pairs among them, in buckets that are all hot."""
+    monkeypatch.setattr(near_dedup, "HOT", 6)
+    monkeypatch.setattr(near_dedup, "FEW", 4)
+    texts = template_texts(random.Random(8), 60, 20, 200)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(documents(spark, rows)).collect()}
+    assert got == {k: k if k < 60 or (k - 60) % 2 == 0 else k - 1 for k in range(len(rows))}
+
+
 def test_html_with_stray_quotes():
     draw = lambda x: render(*parse(x))
     assert draw("<p class='x\"'\">first</p><p>second <b>third</b></p>") == "first\n\nsecond third"
