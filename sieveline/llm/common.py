@@ -24,15 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_roots: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session has none (tests, one machine) a local folder is made.
+    Only where the session has none (tests, one machine) a local folder is made for the application.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="sieveline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _own_roots:
+            _own_roots[app] = tempfile.mkdtemp(prefix="sieveline-")
+        root = _own_roots[app]
     return root.rstrip("/")
 
 
@@ -90,6 +95,16 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the scratch table behind df (as spill() returned it), if it is one."""
+    for run in {id(r): r for r in (_open.get(), _session) if r is not None}.values():
+        mine = [t for t in run.tables if t[1] is df]
+        run.tables = [t for t in run.tables if t[1] is not df]
+        gone = Run(df.sparkSession)
+        gone.tables = mine
+        gone.close()
+
+
 def spill_counted(df: DataFrame, name: str, most: int | None = None) -> tuple[DataFrame, int]:
     """spill() and the number of rows, from the same job. A table of at most `most` rows is written in few files."""
     seen = Observation()

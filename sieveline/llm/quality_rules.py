@@ -1,8 +1,8 @@
 """Quality rules of single documents, and verdicts on whole hosts.
 
 A host's failure rate is shrunk towards that of all hosts by a beta prior whose
-strength is fitted to the hosts' own rates (method of moments), so a host with
-few documents is not condemned by them.
+strength is fitted to the hosts' own rates (method of moments, less the spread
+that counting alone gives), so a host with few documents is not condemned by them.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, map_texts, spill, table, word_codes
+from .common import Run, as_bytes, batch, fresh, map_texts, quoted, spill, spill_counted, table, word_codes
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -76,7 +76,7 @@ def measure(part: pa.Array) -> dict[str, np.ndarray]:
 def base_rules(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs, the base counts of text, and base_failed."""
     fields = {f.name: f for f in docs.schema.fields}
-    schema = ", ".join([f"`{c}` {fields[c].dataType.simpleString()}" for c in keep] + [_BASE])
+    schema = ", ".join([f"{quoted(c)} {fields[c].dataType.simpleString()}" for c in keep] + [_BASE])
 
     def work(part: pa.RecordBatch):
         yield batch(**{c: part.column(c) for c in keep}, **measure(part.column("text")))
@@ -88,9 +88,10 @@ def base_rules(docs: DataFrame, keep: list[str]) -> DataFrame:
 def host_verdicts(measured: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """One row per host: n_docs, n_failed, shrunk_rate, host_rejected. Null hosts have none."""
     hosts = measured.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    n, failed, squares = hosts.agg(F.sum("n_docs"), F.sum("n_failed"), F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs"))).first()
+    hosts_n, n, failed, squares = hosts.agg(F.count("*"), F.sum("n_docs"), F.sum("n_failed"), F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs"))).first()
     mean = failed / n if n else 0.0
-    spread = max(squares / n - mean * mean, 0.0) if n else 0.0
+    # The rates' variance, weighted by documents, less what binomial counts of equal hosts would have.
+    spread = squares / n - mean * mean - hosts_n * mean * (1 - mean) / n if n else 0.0
     strength = min(max(mean * (1 - mean) / spread - 1, WEAKEST), STRONGEST) if spread > 1e-12 else STRONGEST
     shrunk = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
     return hosts.withColumn("shrunk_rate", shrunk).withColumn("host_rejected", F.col("shrunk_rate") > max_rate)
@@ -103,13 +104,18 @@ def judge(docs: DataFrame, host: str = "source", keep: tuple[str, ...] = ("doc_i
     rejected host. A null text has no words, so it fails; a document without a
     host (null) is judged alone. Rows are judged one by one, repeated ids and
     rows included; an empty table gives an empty result. Columns of docs other
-    than `keep`, host and text are not carried, so none can clash.
+    than `keep` and host are not carried; those may not have a name that is added.
     """
     own = [c for c in dict.fromkeys([*keep, host])]
-    measured = spill(base_rules(docs.select(*own, "text"), own), "quality")
-    verdicts = host_verdicts(measured, host, max_rate).select(F.col(host).alias("_host"), "host_rejected", "shrunk_rate")
-    joined = measured.join(verdicts, F.col(host) == F.col("_host"), "left").drop("_host")
-    return joined.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False))).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+    with Run(docs.sparkSession) as run:
+        measured = spill(base_rules(docs.select(*own, "text"), own), "quality")
+        host_, out_ = fresh(measured, "host", "out")
+        verdicts, n = spill_counted(host_verdicts(measured, host, max_rate).where("host_rejected").select(F.col(host).alias(host_), F.lit(True).alias(out_)), "rejected")
+        run.keep(measured, verdicts)
+    # Only rejected hosts are joined: few are broadcast, and of many, one with very many documents is split as it is read (AQE).
+    joined = measured.join(F.broadcast(verdicts) if n <= MOST_BROADCAST else verdicts, F.col(host) == F.col(host_), "left")
+    joined = joined.withColumn("host_rejected", F.coalesce(out_, F.lit(False))).drop(host_, out_)
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
 def keep_good(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -118,9 +124,11 @@ def keep_good(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_
     The rules are applied twice, first for the hosts and then to the rows, so
     that no text is written or shuffled in between.
     """
-    measured = spill(base_rules(docs.select(host, "text"), [host]), "quality")
-    rejected = spill(host_verdicts(measured, host, max_rate).where("host_rejected").select(F.col(host).alias("_rejected")), "rejected")
-    n = rejected.count()
+    (rejected_,) = fresh(docs, "rejected")
+    with Run(docs.sparkSession) as run:
+        measured = spill(base_rules(docs.select(host, "text"), [host]), "quality")
+        rejected, n = spill_counted(host_verdicts(measured, host, max_rate).where("host_rejected").select(F.col(host).alias(rejected_)), "rejected")
+        run.keep(rejected)
 
     def work(part: pa.RecordBatch):
         m = measure(part.column("text"))
@@ -130,7 +138,7 @@ def keep_good(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_
     passed = map_texts(docs, lambda: work, docs.schema)
     if not n:
         return passed
-    return passed.join(F.broadcast(rejected) if n <= MOST_BROADCAST else rejected, F.col(host) == F.col("_rejected"), "left_anti")
+    return passed.join(F.broadcast(rejected) if n <= MOST_BROADCAST else rejected, F.col(host) == F.col(rejected_), "left_anti")
 
 
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +162,8 @@ m AS (SELECT g.doc_id, source, CAST(n AS BIGINT) AS n_words, CAST(length(array_t
     FROM g LEFT JOIN r ON g.doc_id = r.doc_id),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM b WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT sum(f) / sum(n) AS mean, greatest(sum(f * f / n) / sum(n) - (sum(f) / sum(n)) ** 2, 0) AS spread FROM h),
+q AS (SELECT sum(f) / sum(n) AS mean, sum(f * f / n) / sum(n) AS squares, count(*) / sum(n) AS per_document FROM h),
+p AS (SELECT mean, squares - mean ** 2 - per_document * mean * (1 - mean) AS spread FROM q),
 s AS (SELECT mean, CASE WHEN spread > 1e-12 THEN least(greatest(mean * (1 - mean) / spread - 1, 1), 1000000) ELSE 1000000 END AS strength FROM p),
 v AS (SELECT source, (f + mean * strength) / (n + strength) > 0.5 AS rejected FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

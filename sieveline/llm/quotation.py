@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spill, table
+from .common import Run, spill, table
 
 MARK = r"^((?:[ \t]{0,3}>)+)"
 #: The line before a quote that says whose it is.
@@ -48,17 +48,17 @@ def parse_quotes(messages: DataFrame, text: str = "text") -> DataFrame:
 
 
 def chains(replies: DataFrame) -> DataFrame:
-    """conv_id, turn, root_turn and depth of each message with a reply_to (an earlier turn), by pointer doubling."""
+    """conv_id, turn, root (turn) and depth of each message with a reply_to (an earlier turn), by pointer doubling."""
     now = spill(replies.groupBy("conv_id", "turn").agg(F.min("reply_to").alias("root")).withColumn("depth", F.lit(1).cast("long")), "chains")
     if now.isEmpty():
-        return now.withColumnRenamed("root", "root_turn")
+        return now
     while True:
         up = now.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("root").alias("_r"), F.col("depth").alias("_d"))
         nxt = now.join(up, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("root") == F.col("_t")), "left")
         moved = spill(nxt.select("conv_id", "turn", F.coalesce("_r", "root").alias("root"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.col("_r").isNotNull().alias("moved")), "chains")
         now = moved.drop("moved")
         if moved.where("moved").isEmpty():
-            return now.withColumnRenamed("root", "root_turn")
+            return moved
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
@@ -77,30 +77,33 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     and share the chain of the one that answers the earliest turn. An empty table gives an
     empty result.
     """
-    parsed = parse_quotes(messages.select("conv_id", "turn", "role", "text")).withColumn("_m", F.md5(F.coalesce("text", F.lit(""))))
-    quoting = parsed.where(F.size("passages") > 0)
-    asked = quoting.where("turn IS NOT NULL").select("conv_id", "turn", "_m", F.posexplode("passages").alias("p", "q")).select("conv_id", "turn", "_m", "p", F.col("q.level").alias("level"), F.size("q.sentences").alias("of"), F.explode("q.sentences").alias("h")).distinct()
-    asked = spill(asked, "quoted")
-    if asked.isEmpty():
-        # No row quotes anything: no message has anything to be joined to.
-        found = parsed.select("*", F.lit(None).cast("bigint").alias("reply_to"), F.lit(0).cast("bigint").alias("n_linked"))
-        tied = found.withColumn("root_turn", F.col("turn").cast("bigint")).withColumn("depth", F.lit(0).cast("bigint"))
-    else:
-        wanted = asked.select("conv_id", "h").distinct()
-        own = parsed.where("turn IS NOT NULL").select("conv_id", "turn", F.explode("own").alias("h"))
-        origin = own.groupBy("conv_id", "h").agg(F.min("turn").alias("origin")).select(F.col("conv_id").alias("_c"), F.col("h").alias("_h"), "origin")
-        origin = origin.join(wanted, F.col("_c").eqNullSafe(F.col("conv_id")) & (F.col("_h") == F.col("h")), "left_semi")
-        met = asked.join(origin, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("h") == F.col("_h")) & (F.col("origin") < F.col("turn")))
-        met = spill(met.select("conv_id", "turn", "_m", "p", "level", "of", "h", "origin"), "linked")
-        key = ["conv_id", "turn", "_m"]
-        votes = met.groupBy(*key, "level", "origin").agg(F.count_distinct("h").alias("n"))
-        best = votes.groupBy(*key).agg(F.max(F.struct((-F.col("level")).alias("l"), "n", "origin")).alias("b")).select(*key, F.col("b.origin").cast("bigint").alias("reply_to"))
-        full = met.groupBy(*key, "p", "of").agg(F.count("*").alias("n")).where("2 * n >= of").groupBy(*key).agg(F.count("*").alias("n_linked"))
-        links = spill(best.join(full.select(*[F.col(c).alias(f"_{c}") for c in key], "n_linked"), F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("turn") == F.col("_turn")) & (F.col("_m") == F.col("__m")), "left").select(*key, "reply_to", "n_linked"), "replies")
-        to = links.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("_m").alias("_x"), "reply_to", "n_linked")
-        found = parsed.join(to, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("turn") == F.col("_t")) & (F.col("_m") == F.col("_x")), "left").drop("_c", "_t", "_x")
-        up = chains(links).select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), "root_turn", "depth")
-        tied = found.join(up, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("turn") == F.col("_t")), "left")
+    with Run(messages.sparkSession) as run:
+        parsed = parse_quotes(messages.select("conv_id", "turn", "role", "text")).withColumn("_m", F.md5(F.coalesce("text", F.lit(""))))
+        quoting = parsed.where(F.size("passages") > 0)
+        asked = quoting.where("turn IS NOT NULL").select("conv_id", "turn", "_m", F.posexplode("passages").alias("p", "q")).select("conv_id", "turn", "_m", "p", F.col("q.level").alias("level"), F.size("q.sentences").alias("of"), F.explode("q.sentences").alias("h")).distinct()
+        asked = spill(asked, "quoted")
+        if asked.isEmpty():
+            # No row quotes anything: no message has anything to be joined to.
+            found = parsed.select("*", F.lit(None).cast("bigint").alias("reply_to"), F.lit(0).cast("bigint").alias("n_linked"))
+            tied = found.withColumn("root_turn", F.col("turn").cast("bigint")).withColumn("depth", F.lit(0).cast("bigint"))
+        else:
+            wanted = asked.select("conv_id", "h").distinct()
+            own = parsed.where("turn IS NOT NULL").select("conv_id", "turn", F.explode("own").alias("h"))
+            origin = own.groupBy("conv_id", "h").agg(F.min("turn").alias("origin")).select(F.col("conv_id").alias("_c"), F.col("h").alias("_h"), "origin")
+            origin = origin.join(wanted, F.col("_c").eqNullSafe(F.col("conv_id")) & (F.col("_h") == F.col("h")), "left_semi")
+            met = asked.join(origin, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("h") == F.col("_h")) & (F.col("origin") < F.col("turn")))
+            met = spill(met.select("conv_id", "turn", "_m", "p", "level", "of", "h", "origin"), "linked")
+            key = ["conv_id", "turn", "_m"]
+            votes = met.groupBy(*key, "level", "origin").agg(F.count_distinct("h").alias("n"))
+            best = votes.groupBy(*key).agg(F.max(F.struct((-F.col("level")).alias("l"), "n", "origin")).alias("b")).select(*key, F.col("b.origin").cast("bigint").alias("reply_to"))
+            full = met.groupBy(*key, "p", "of").agg(F.count("*").alias("n")).where("2 * n >= of").groupBy(*key).agg(F.count("*").alias("n_linked"))
+            links = spill(best.join(full.select(*[F.col(c).alias(f"_{c}") for c in key], "n_linked"), F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("turn") == F.col("_turn")) & (F.col("_m") == F.col("__m")), "left").select(*key, "reply_to", "n_linked"), "replies")
+            to = links.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("_m").alias("_x"), "reply_to", "n_linked")
+            found = parsed.join(to, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("turn") == F.col("_t")) & (F.col("_m") == F.col("_x")), "left").drop("_c", "_t", "_x")
+            chained = chains(links)
+            run.keep(links, chained)
+            up = chained.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("root").alias("root_turn"), "depth")
+            tied = found.join(up, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("turn") == F.col("_t")), "left")
     return tied.select("conv_id", "turn", "role", "clean", F.size("passages").cast("bigint").alias("n_passages"), F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"), "reply_to", F.coalesce("root_turn", F.col("turn")).cast("bigint").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"))
 
 

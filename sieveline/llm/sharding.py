@@ -1,13 +1,14 @@
 """Sharding by histogram sort: exact bytes below candidate boundaries, refined until splitters fit, then one exchange.
 
-Rows are ordered by (hash of the text, doc_id), so equal texts stand together and
-a group is cut only where a boundary falls into it. Each round counts, in every
-partition, the bytes and rows below each candidate; the driver sees only those
-sums. A probe interval that has shrunk to one hash goes on by doc_id.
+Rows are ordered by (hash of the text, doc_id, row number), so equal texts stand
+together and a group of any size is cut where a boundary falls into it. Each
+round counts, in every partition, the bytes and rows between candidates, and what
+the least and greatest keys are there; the driver sees only those sums.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,18 +17,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, fresh, quoted, spill, table
+from .common import Run, batch, fresh, quoted, spill, table
 
 SHARDS = 24
-LOW, HIGH = -(1 << 63), (1 << 63) - 1
-#: Candidates in each open interval and round.
-PROBES = 64
+#: Candidates in each open interval and round; FEW of them while more than MANY splitters are open.
+PROBES, FEW, MANY = 64, 8, 512
 #: A splitter fits if it is off by at most this share of a shard, or no row lies nearer.
 TOLERANCE = 1e-4
 #: Cells of a shard aim at this many bytes; a cell is the unit of the exchange.
 CELL_BYTES = 128 << 20
 
-Key = tuple[int, int]  # hash of the text, doc_id
+KEY = ("hash", "id", "tie")
+_OFF = 1 << 63
+LEAST, GREATEST = -1, (1 << 192) - 1
+
+
+def number_of(key: tuple[int, int, int]) -> int:
+    """A key of three 64-bit numbers as one number, in the same order."""
+    return (key[0] + _OFF) << 128 | (key[1] + _OFF) << 64 | (key[2] + _OFF)
+
+
+def parts_of(number: int) -> tuple[int, int, int]:
+    return tuple((number >> shift & (1 << 64) - 1) - _OFF for shift in (128, 64, 0))
 
 
 @dataclass
@@ -35,8 +46,8 @@ class Splitter:
     """Where a boundary must lie: after the keys <= low, not after those <= high."""
 
     target: float
-    low: Key
-    high: Key
+    low: int
+    high: int
     below: int  # bytes of keys <= low
     rows_below: int
     upto: int  # bytes of keys <= high
@@ -44,67 +55,89 @@ class Splitter:
     slack: float
 
     def done(self) -> bool:
-        return min(self.target - self.below, self.upto - self.target) <= self.slack or not self.candidates(2)
+        return min(self.target - self.below, self.upto - self.target) <= self.slack or self.high - self.low < 2
 
-    def choice(self) -> tuple[Key, int, int]:
+    def choice(self) -> tuple[int, int, int]:
         """The nearer end: (last key of the left side, its bytes, its rows)."""
         if self.target - self.below <= self.upto - self.target:
             return self.low, self.below, self.rows_below
         return self.high, self.upto, self.rows_upto
 
-    def candidates(self, n: int) -> list[Key]:
-        """At most n keys that lie evenly within the interval, both ends left out."""
-        (a, i), (b, j) = self.low, self.high
-        if a == b:
-            return sorted({(a, i + (j - i) * k // (n + 1)) for k in range(1, n + 1)} - {self.low, self.high})
-        if b - a == 1:  # between two hashes: by doc_id within either of them
-            return sorted({(a, HIGH), *((b, LOW + (j - LOW) * k // n) for k in range(1, n)), *((a, i + (HIGH - i) * k // n) for k in range(1, n))} - {self.low, self.high})[: 2 * n]
-        return sorted({(a + (b - a) * k // (n + 1), HIGH) for k in range(1, n + 1)} - {self.low, self.high})
-
-
-def positions(hashes: np.ndarray, ids: np.ndarray, probes: list[Key]) -> np.ndarray:
-    """For each row the number of probes (in order) that are below its key."""
-    h = np.array([p[0] for p in probes], np.int64)
-    d = np.array([p[1] for p in probes], np.int64)
-    at, end = np.searchsorted(h, hashes, "left"), np.searchsorted(h, hashes, "right")
+
+def candidates(low: int, high: int, n: int) -> list[int]:
+    """At most n keys that lie evenly within an interval, both ends left out."""
+    return sorted({low + (high - low) * k // (n + 1) for k in range(1, n + 1)} - {low, high})
+
+
+def positions(columns: list[np.ndarray], probes: list[np.ndarray]) -> np.ndarray:
+    """For each row the number of probes (in order) that are below its key. Keys and probes are lists of columns."""
+    at = np.searchsorted(probes[0], columns[0], "left")
+    if len(columns) == 1:
+        return at
+    end = np.searchsorted(probes[0], columns[0], "right")
     for first in np.unique(at[at < end]):
         own = np.flatnonzero((at == first) & (end > first))
-        at[own] = first + np.searchsorted(d[first : end[own[0]]], ids[own], "left")
+        last = end[own[0]]
+        at[own] = first + positions([c[own] for c in columns[1:]], [p[first:last] for p in probes[1:]])
     return at
 
 
-def histogram(keys: DataFrame, probes: list[Key]) -> np.ndarray:
-    """Exact bytes and rows of the keys <= each probe: two rows of numbers."""
+def columns_of(probes: list[int]) -> list[np.ndarray]:
+    return [np.array(x, np.int64) for x in zip(*map(parts_of, probes), strict=True)] or [np.zeros(0, np.int64)] * 3
+
+
+def histogram(keys: DataFrame, probes: list[int]) -> dict[int, tuple[int, int, int, int]]:
+    """Of the keys between neighbouring probes (above probe i - 1, up to probe i): exact bytes and rows, the least and the greatest key. Cells without rows are left out."""
+    at_probes = columns_of(probes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, len(probes) + 1), np.int64)
+        ends: dict[int, list[tuple]] = {}
         for part in batches:
-            h, d, size = (np.asarray(part.column(c)) for c in ("hash", "id", "size"))
-            at = positions(h, d, probes)
-            np.add.at(total[0], at, size)
+            own = [np.asarray(part.column(c)) for c in KEY]
+            if not len(own[0]):
+                continue
+            at = positions(own, at_probes)
+            np.add.at(total[0], at, np.asarray(part.column("size")))
             total[1] += np.bincount(at, minlength=len(probes) + 1)
-        yield batch(i=pa.array(range(len(probes) + 1), pa.int32()), size=pa.array(total[0]), n=pa.array(total[1]))
-
-    sums = keys.select("hash", "id", "size").mapInArrow(count, "i int, size long, n long").groupBy("i").agg(F.sum("size"), F.sum("n"))
-    out = np.zeros((2, len(probes) + 1), np.int64)
-    for i, size, n in sums.collect():  # at most 23 x 64 x a few rows, whatever the input
-        out[:, i] = size, n
-    return np.cumsum(out, axis=1)[:, :-1]
-
-
-def find_splitters(keys: DataFrame, cells: int, total: int, rows: int, slack: float, tight: int, loose: float) -> list[tuple[Key, int, int]]:
+            order = np.lexsort((*own[::-1], at))
+            edge = np.flatnonzero(np.diff(at[order])) + 1
+            for a, b in zip([0, *edge], [*edge, len(order)], strict=True):
+                low, high = (tuple(int(c[order[k]]) for c in own) for k in (a, b - 1))
+                seen = ends.setdefault(int(at[order[a]]), [low, high])
+                seen[:] = min(seen[0], low), max(seen[1], high)
+        used = sorted(ends)
+        cols = [pa.array([ends[i][k][j] for i in used], pa.int64()) for k in (0, 1) for j in range(3)]
+        yield batch(i=pa.array(used, pa.int32()), size=pa.array(total[0][used]), n=pa.array(total[1][used]), **dict(zip(("l0", "l1", "l2", "h0", "h1", "h2"), cols, strict=True)))
+
+    parts = keys.select(*KEY, "size").mapInArrow(count, "i int, size long, n long, l0 long, l1 long, l2 long, h0 long, h1 long, h2 long")
+    sums = parts.groupBy("i").agg(F.sum("size"), F.sum("n"), F.min(F.struct("l0", "l1", "l2")), F.max(F.struct("h0", "h1", "h2")))
+    return {i: (size, n, number_of(tuple(low)), number_of(tuple(high))) for i, size, n, low, high in sums.collect()}  # a row for each probe
+
+
+def find_splitters(keys: DataFrame, cells: int, total: int, rows: int, slack: float, tight: int, loose: float) -> list[tuple[int, int, int]]:
     """Boundaries between cells; every tight-th one must meet slack, the others loose."""
-    open_ = [Splitter(total * k / cells, (LOW, LOW), (HIGH, HIGH), 0, 0, total, rows, slack if k % tight == 0 else loose) for k in range(1, cells)]
+    open_ = [Splitter(total * k / cells, LEAST, GREATEST, 0, 0, total, rows, slack if k % tight == 0 else loose) for k in range(1, cells)]
     while todo := [s for s in open_ if not s.done()]:
-        probes = sorted({c for low, high in {(s.low, s.high) for s in todo} for s in todo if (s.low, s.high) == (low, high) for c in s.candidates(PROBES)})
-        below, n = histogram(keys, probes)
-        for s in todo:
-            for p, size, count in zip(probes, below.tolist(), n.tolist(), strict=True):
-                if s.low < p and size <= s.target:
-                    s.low, s.below, s.rows_below = p, size, count
-                elif p < s.high and size >= s.target:
-                    s.high, s.upto, s.rows_upto = p, size, count
-                    break
+        shared = Counter((s.low, s.high) for s in todo)
+        n = PROBES if len(todo) <= MANY else FEW
+        # All ends are probes, too, so that no cell spans two intervals.
+        probes = sorted({p for low, high in shared for p in (low, *candidates(low, high, max(n, min(PROBES, shared[low, high]))), high)} - {LEAST})
+        found = histogram(keys, probes)
+        ends = {p: i for i, p in enumerate(probes)} | {LEAST: -1}
+        for low, high in shared:
+            cells_of = [found[i] for i in range(ends[low] + 1, ends[high] + 1) if i in found]
+            for s in (s for s in todo if (s.low, s.high) == (low, high)):
+                below, rows_below, last = s.below, s.rows_below, s.low
+                for size, count, least, greatest in cells_of:
+                    if below + size >= s.target:
+                        s.low, s.below, s.rows_below = max(last, least - 1), below, rows_below
+                        s.high, s.upto, s.rows_upto = greatest, below + size, rows_below + count
+                        break
+                    below, rows_below, last = below + size, rows_below + count, greatest
+                else:
+                    s.low, s.below, s.rows_below = last, below, rows_below
+                    s.high, s.upto, s.rows_upto = last, below, rows_below
     return [s.choice() for s in open_]
 
 
@@ -113,33 +146,40 @@ def shard_by_bytes(df: DataFrame, shards: int = SHARDS, text: str = "text", doc_
 
     A row's size is the UTF-8 bytes of its text (null: none) plus 8. The shards'
     sizes differ by at most tolerance on either side plus one row. Rows are in
-    order of (xxhash64 of the text, doc_id), so equal texts are neighbours. A null
-    id sorts as the least one; rows alike in id and text stay in
-    one shard, each with a slot of its own; an empty table gives an empty result. Columns of df named shard or slot are
-    replaced.
+    order of (xxhash64 of the text, doc_id, row number), so equal texts are
+    neighbours, and a group of them, rows alike in all columns too, is cut where a
+    boundary falls into it. A null id sorts as the least one; every row has a slot
+    of its own; an empty table gives an empty result. Columns of df named shard or
+    slot are replaced.
+
+    The rows are written once with their keys: row numbers must not change when a
+    lost task is run again.
     """
     df = df.drop("shard", "slot")
-    hash_, id_, size_, cell_ = fresh(df, "hash", "id", "size", "cell")
-    keyed = df.withColumn(hash_, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn(id_, F.coalesce(F.col(doc_id).cast("long"), F.lit(LOW + 1))).withColumn(size_, F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8)
-    keys = spill(keyed.select(F.col(hash_).alias("hash"), F.col(id_).alias("id"), F.col(size_).alias("size")), "shard-keys")
-    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    rows = keys.count()
-    per = max(1, min(64, -(-total // (shards * cell_bytes))))
+    hash_, id_, tie_, size_, cell_ = fresh(df, *KEY, "size", "cell")
+    keyed = df.withColumn(hash_, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn(id_, F.coalesce(F.col(doc_id).cast("long"), F.lit(1 - _OFF))).withColumn(size_, F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8)
+    with Run(df.sparkSession) as run:
+        keyed = spill(keyed.withColumn(tie_, F.monotonically_increasing_id()), "shard-rows")
+        run.keep(keyed)
+    keys = keyed.select(F.col(hash_).alias("hash"), F.col(id_).alias("id"), F.col(tie_).alias("tie"), F.col(size_).alias("size"))
+    total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    per = max(1, -(-total // (shards * cell_bytes)))
     cells = shards * per
     found = find_splitters(keys, cells, total, rows, tolerance * total / shards, per, 0.05 * total / cells)
-    probes, before = [k for k, _, _ in found], [0, *(n for _, _, n in found)]
+    before = [0, *(n for _, _, n in found)]
+    probes = columns_of([k for k, _, _ in found])
     first = [before[c - c % per] for c in range(cells)]  # rows before the shard of a cell
     names = df.columns
     kinds = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            at = positions(np.asarray(part.column(hash_)), np.asarray(part.column(id_)), probes) if probes else np.zeros(part.num_rows, np.int64)
-            yield batch(**{c: part.column(c) for c in (*names, hash_, id_)}, **{cell_: pa.array(at, pa.int32())})
+            at = positions([np.asarray(part.column(c)) for c in (hash_, id_, tie_)], probes)
+            yield batch(**{c: part.column(c) for c in (*names, hash_, id_, tie_)}, **{cell_: pa.array(at, pa.int32())})
 
-    dealt = keyed.drop(size_).mapInArrow(place, f"{kinds}, {quoted(hash_)} long, {quoted(id_)} long, {quoted(cell_)} int")
+    dealt = keyed.drop(size_).mapInArrow(place, f"{kinds}, {quoted(hash_)} long, {quoted(id_)} long, {quoted(tie_)} long, {quoted(cell_)} int")
     # One exchange: a cell goes to the partition of its number, and is sorted there.
-    own = dealt.repartitionById(cells, F.col(cell_)).sortWithinPartitions(cell_, hash_, id_)
+    own = dealt.repartitionById(cells, F.col(cell_)).sortWithinPartitions(cell_, hash_, id_, tie_)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: dict[int, int] = {}

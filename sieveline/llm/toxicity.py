@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, map_texts, spill, table, word_codes
+from .common import Run, batch, map_texts, spill, table, word_codes
 from .trees import BoostedTrees, Isotonic
 
 #: At most this many labelled rows are used (those whose ids hash lowest).
@@ -169,11 +169,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).withColumn("fold", remainder()).where("fold > 0")
-    sample = spill(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "tox-sample")
-    few = F.broadcast(sample)  # max_labelled rows at most
-    lexicon = learn_lexicon(spill(docs.join(few.where("fold < 3"), "doc_id").select("text", "toxic"), "tox-texts"))
-    table_ = spill(feature_table(docs, lexicon), "tox-features")
-    rows = table_.join(few.where("fold >= 3"), "doc_id").dropDuplicates(["doc_id"]).select("fold", "toxic", "x").orderBy("fold", "toxic", "x").collect()
+    with Run(spark) as run:
+        sample = spill(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "tox-sample")
+        few = F.broadcast(sample)  # max_labelled rows at most
+        lexicon = learn_lexicon(spill(docs.join(few.where("fold < 3"), "doc_id").select("text", "toxic"), "tox-texts"))
+        table_ = spill(feature_table(docs, lexicon), "tox-features")
+        rows = table_.join(few.where("fold >= 3"), "doc_id").dropDuplicates(["doc_id"]).select("fold", "toxic", "x").orderBy("fold", "toxic", "x").collect()
+        run.keep(table_)
     x = np.array([r["x"] for r in rows], np.float64).reshape(len(rows), len(FEATURES))
     y, fold = np.array([r["toxic"] for r in rows], float), np.array([r["fold"] for r in rows])
     model = BoostedTrees().fit(x[fold == 3], y[fold == 3])

@@ -7,7 +7,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sieveline.llm import decontamination, packing, registry, sharding, toxicity, trees
+from sieveline.llm import common, decontamination, packing, registry, sharding, toxicity, trees
+from sieveline.llm.common import Run
 
 from .cases import awkward, documents
 
@@ -42,7 +43,22 @@ def test_shards_of_no_rows_and_equal_rows(spark):
     assert sharding.shard_by_bytes(documents(spark).where("false"), 3).count() == 0
     same = documents(spark, [(None, None)] * 9)
     out = sharding.shard_by_bytes(same, 3).collect()
-    assert sorted(r.slot for r in out) == list(range(9)) and len({r.shard for r in out}) == 1
+    assert sorted((r.shard, r.slot) for r in out) == [(k, j) for k in range(3) for j in range(3)]
+
+
+@pytest.mark.parametrize("m", [2, 20, 2000])
+def test_groups_of_repeated_rows_are_cut(spark, m):
+    rng = random.Random(m)
+    rows = [(k, "x" * rng.randrange(20)) for k in range(m)] + [(None, "hot text")] * m + [(3, "hot too")] * m
+    out = sharding.shard_by_bytes(documents(spark, rows), shards=4, cell_bytes=4000).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in out) == collections.Counter(rows)
+    sizes, slots, texts = collections.Counter(), collections.defaultdict(list), collections.defaultdict(set)
+    for r in out:
+        sizes[r.shard] += len(r.text) + 8
+        slots[r.shard].append(r.slot)
+        texts[r.text].add(r.shard)
+    assert len(sizes) == 4 and max(sizes.values()) - min(sizes.values()) <= 2 * 28 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert all(max(x) - min(x) + 1 == len(x) for x in texts.values())
 
 
 def test_word_ids_equal_the_tokenizer():
@@ -228,6 +244,31 @@ def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
 
 
+def test_results_survive_other_runs_and_nothing_stays(spark, tmp_path, monkeypatch):
+    """Tables of one job are not deleted by another, and a run around a job leaves the folder empty."""
+    monkeypatch.setattr(common, "scratch_root", lambda spark: str(tmp_path / "scratch"))
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * 7 + i) % 90}" for i in range(70)), "en", f"h{k % 3}", 1) for k in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "an item that nobody has copied")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    with Run(spark):
+        first = registry.queries()["op1_substring_dedup"](spark, str(tmp_path))
+        near = registry.queries()["op3_order_minhash"](spark, str(tmp_path))
+        n = corpus_pipeline.run(spark, str(tmp_path)).count()
+        assert first.count() == near.count() == 30 and n > 0
+        assert len(list((tmp_path / "scratch").iterdir())) < 12
+    assert not list((tmp_path / "scratch").iterdir())
+
+
+def test_empty_tables(spark, tmp_path):
+    none = documents(spark, extra=True).where("false")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.score_toxicity(none, labels).count() == 0
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_every_operator_is_registered():
     names = registry.queries()
     assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
