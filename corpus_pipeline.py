@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm.common import release, spill, table
+from sieveline.llm.common import Run, drop, spill, table
 from sieveline.llm.decontamination import remove_leaks
 from sieveline.llm.near_dedup import keep_one
 from sieveline.llm.packing import pack, token_pieces
@@ -19,19 +19,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
-    release(spark)
     return keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the windows of 50 words that earlier documents have."""
-    release(spark)
     return remove_repeats(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    release(spark)
     return remove_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -39,12 +36,11 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as pieces in sequences of 2048 tokens."""
     import public_tokenizers
 
-    release(spark)
     pieces = spill(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces")
     return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-#: Each stage reads what the one before it wrote; scratch tables of a stage go when the next one begins.
+#: Each stage reads what the one before it wrote. run() deletes a stage's scratch tables, and its input, when its result is written.
 STAGES = [
     ("quality rules", quality),
     ("near-duplicates", near_duplicates),
@@ -60,8 +56,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = spill(docs, f"stage-{k}", held=False)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with Run(spark) as own:
+            written = spill(stage(spark, docs, sf_dir), f"stage-{k}")
+            own.keep(written)
+        drop(docs)
+        docs = written
+    out = STAGES[-1][1](spark, docs, sf_dir)  # reads only the pieces it has written
+    drop(docs)
+    return out
