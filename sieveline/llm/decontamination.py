@@ -1,14 +1,16 @@
 """Benchmark decontamination: items met again in documents, also with other numbers, names and units.
 
-Words become a template: numbers, names and units turn into typed placeholders.
-Windows of the template, and of the plain words, are joined by hash to those of the items; then
-the slots must agree: one value in the item always stands for one value in an
-occurrence of the item. Benchmark windows are broadcast in blocks of a bounded number.
+Words become templates: numbers, names and units turn into typed placeholders.
+Windows of the templates, and of the plain words, are joined by hash to those of
+the items; a small filter of the items' hashes spares the join what can't match.
+Then the slots must agree: within an occurrence of an item, one value of the item
+always stands for one value of the document.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,173 +18,270 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, fresh, map_texts, table, word_codes
+from .common import Run, batch, fresh, map_texts, spill, table, word_codes
 from .substring_dedup import _ODD, _mix, word_hashes
 
-#: Words of a template window. Items with fewer words are one window, if they have MIN_WORDS.
+#: Words of a window. Items with fewer words are one window.
 WINDOW = 8
-MIN_WORDS = 4
+#: Items with fewer words than this are met in their own words only.
+SHORT = 4
 #: Share of an item's windows that must be met with consistent slots.
 COVERAGE = 0.5
-#: Benchmark windows that are broadcast at once (24 bytes each).
-BLOCK = 500_000
-#: Rows of the benchmark that are read at once to make blocks.
-ITEMS = 20_000
+#: A window that an item holds more often than this is paired with a document's in turn, not all with all.
+REPEATS = 64
+#: Bits of the filter for each window of the items, and its bounds: it is broadcast, and never over 16 MB.
+FILTER_BITS, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 27
 
 #: Units after a number, and numbers in words (fixed values).
 UNITS = ["%", "percent", "mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "yd", "yards", "mi", "mile", "miles", "meter", "meters", "metre", "metres", "mg", "g", "gram", "grams", "kg", "kilograms", "lb", "lbs", "pound", "pounds", "oz", "ounces", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "mph", "kmh", "usd", "eur", "dollar", "dollars", "euro", "euros", "cent", "cents", "degrees", "celsius", "fahrenheit", "watt", "watts", "volt", "volts", "kb", "mb", "gb"]
 NUMBERS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million"]
 
-NUMBER, NAME, UNIT = 1, 2, 3
-_PLACE = _mix(np.arange(4, dtype=np.uint64) * _ODD + np.uint64(77))
+NUMBER, NAME, UNIT, OPENING = 1, 2, 3, 4
+#: Placeholders by kind. A word that opens a sentence with a capital may be a name or not: it is one in one template only.
+_PLACE = _mix(np.array([0, NUMBER, NAME, UNIT, NAME], np.uint64) * _ODD + np.uint64(77))
+_NUMBER = r"[$€£]?\d[\d.,:/]*%?"
+_ATTACHED = r"^(?P<n>[$€£]?\d[\d.,:/]*)(?P<u>(?:" + "|".join(sorted((u for u in UNITS if u != "%"), key=len, reverse=True)) + r"))$"
 
 
 class Templates:
-    """The words of many texts in a row, as raw and as template hashes."""
+    """The words of many texts in a row: as they are, and what they stand for. A number and a unit written as one word are two."""
 
     def __init__(self, column: pa.Array):
-        self.starts, self.codes, words = word_codes(column)
-        n = len(self.codes)
+        starts, codes, words = word_codes(column)
         low = pc.replace_substring_regex(pc.utf8_lower(words), r"^[^\p{L}\p{N}%$€£]+|[^\p{L}\p{N}%]+$", "")
-        self.low = low
+        split = pc.extract_regex(low, _ATTACHED)
+        two = np.asarray(pc.is_valid(split)) if len(words) else np.zeros(0, bool)
+        if two.any():
+            # Codes of the units come after those of the words.
+            unit = pc.fill_null(pc.struct_field(split, "u"), "").dictionary_encode()
+            of = np.asarray(unit.indices, np.int64)
+            n_words = len(low)
+            own = two[codes]
+            places = np.arange(len(codes)) + np.cumsum(own) - own
+            wide = np.empty(len(codes) + int(own.sum()), np.int64)
+            wide[places] = codes
+            wide[places[own] + 1] = n_words + of[codes[own]]
+            starts = starts + np.concatenate(([0], np.cumsum(own)))[starts]
+            low = pc.if_else(pc.is_valid(split), pc.struct_field(split, "n"), low)
+            low = pa.concat_arrays([low.cast(pa.string()), unit.dictionary.cast(pa.string())])
+            words = pa.concat_arrays([words.cast(pa.string()), unit.dictionary.cast(pa.string())])
+            codes = wide
+        self.starts, self.codes, self.low = starts, codes, low
+        n = len(codes)
         if not n:
-            self.raw = self.template = np.zeros(0, np.uint64)
+            self.raw = np.zeros(0, np.uint64)
             self.kind = np.zeros(0, np.int8)
             return
-        flag = lambda a: np.asarray(pc.fill_null(a, False).cast(pa.int8()), dtype=np.int8)[self.codes] == 1
-        number = flag(pc.or_(pc.match_substring_regex(low, r"^[$€£]?\d[\d.,:/]*%?$"), pc.is_in(low, pa.array(NUMBERS, low.type))))
+        flag = lambda a: np.asarray(pc.fill_null(a, False).cast(pa.int8()), dtype=np.int8)[codes] == 1
+        number = flag(pc.or_(pc.match_substring_regex(low, f"^{_NUMBER}$"), pc.is_in(low, pa.array(NUMBERS, low.type))))
         unit = flag(pc.is_in(low, pa.array(UNITS, low.type)))
         capital = flag(pc.match_substring_regex(words, r"^[\"'(\[]*\p{Lu}"))
         ends = flag(pc.match_substring_regex(words, r"[.!?:;|][\"')\]]*$"))
         inner = np.ones(n, bool)  # has a word before it in its text
-        inner[self.starts[:-1][self.starts[:-1] < n]] = False
+        inner[starts[:-1][starts[:-1] < n]] = False
         after_number = np.concatenate(([False], number[:-1])) & inner
-        after_end = np.concatenate(([True], ends[:-1])) | ~inner
-        self.kind = np.where(number, NUMBER, np.where(unit & after_number, UNIT, np.where(capital & ~after_end, NAME, 0)))
-        self.raw = word_hashes(low)[self.codes]
-        self.template = np.where(self.kind > 0, _PLACE[self.kind], self.raw)
+        opens = np.concatenate(([True], ends[:-1])) | ~inner
+        self.kind = np.where(number, NUMBER, np.where(unit & after_number, UNIT, np.where(capital, np.where(opens, OPENING, NAME), 0))).astype(np.int8)
+        self.raw = word_hashes(low)[codes]
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """The hash of every window of the row as a template, and in its own words.
+    def windows(self, size: int) -> list[np.ndarray]:
+        """The hash of every window of the row in plain words, as a template, and as one whose opening capitals are names.
 
-        One that is mostly placeholders is taken in its own words only; one
-        without any has the same hash for both.
+        A template that is mostly placeholders, or of fewer than SHORT words, is
+        taken in plain words; one that differs in nothing has the same hash.
         """
         n = len(self.raw) - size + 1
         if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        slots = np.cumsum(np.concatenate(([0], self.kind > 0)))
+            return [np.zeros(0, np.uint64)] * 3
         out = []
-        for hashes in (self.template, self.raw):
+        for slots in (np.zeros(len(self.raw), bool), (self.kind > 0) & (self.kind != OPENING), self.kind > 0):
+            words = np.where(slots, _PLACE[self.kind], self.raw)
             h = np.full(n, size, np.uint64)
             for k in range(size):
-                h = _mix(h * _ODD + hashes[k : k + n])
-            out.append(h)
-        return np.where(2 * (slots[size:] - slots[:-size]) > size, out[1], out[0]), out[1]
+                h = _mix(h * _ODD + words[k : k + n])
+            count = np.concatenate(([0], np.cumsum(slots)))
+            plain = (2 * (count[size:] - count[:-size]) > size) | (size < SHORT)
+            out.append(np.where(plain, out[0], h) if out else h)
+        return out
 
     def inside(self, size: int) -> np.ndarray:
         """Which windows lie within one text."""
         n = len(self.raw) - size + 1
         ok = np.zeros(max(n, 0) + 1, np.int64)
         counts = np.maximum(np.diff(self.starts) - size + 1, 0)
-        for a, c in zip(self.starts[:-1][counts > 0], counts[counts > 0], strict=True):
-            ok[a] += 1
-            ok[a + c] -= 1
+        np.add.at(ok, self.starts[:-1][counts > 0], 1)
+        np.add.at(ok, (self.starts[:-1] + counts)[counts > 0], -1)
         return np.cumsum(ok[:-1]) > 0
 
+    def hashes(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, hashes) of the windows of `size` words within one text, each hash once for a place."""
+        found, inside = self.windows(size), np.flatnonzero(self.inside(size))
+        for k, h in enumerate(found):
+            own = inside
+            for earlier in found[:k]:
+                own = own[h[own] != earlier[own]]
+            yield own, h[own]
 
-class Index:
-    """The windows of some benchmark items: hashes in order, and where each stands."""
 
-    def __init__(self, ids: list, texts: list):
-        t = Templates(pa.array(texts, pa.string()))
+def _windows_of_items(items: DataFrame) -> DataFrame:
+    """Per distinct window of each item (item, text): hash, size, item, at (its places), slots (kind and word of each word), total (windows of the item)."""
+
+    def work(part: pa.RecordBatch):
+        t = Templates(part.column("text"))
         words = t.low.to_pylist()
-        self.ids, self.kinds, self.words, self.sizes = ids, [], [], []
-        hashes, item, at, size = [], [], [], []
-        by_size = {w: t.windows(w) for w in range(MIN_WORDS, WINDOW + 1)}
-        for k in range(len(ids)):
-            a, b = int(t.starts[k]), int(t.starts[k + 1])
-            w = min(WINDOW, b - a)
-            self.words.append([words[c] for c in t.codes[a:b]])
-            self.kinds.append(t.kind[a:b])
-            self.sizes.append(w)
-            if w < MIN_WORDS:
-                continue
-            template, raw = (x[a : b - w + 1] for x in by_size[w])
-            differ = np.flatnonzero(template != raw)
-            hashes += [template, raw[differ]]
-            at += [np.arange(len(template)), differ]
-            item.append(np.full(len(template) + len(differ), k))
-            size.append(w)
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        h = join(hashes).astype(np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.item, self.at = h[order], join(item)[order], join(at)[order]
-        self.used = sorted(set(size))
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-
-    def find(self, texts: Templates) -> dict[int, dict[int, list[tuple[int, int]]]]:
-        """By text and item the pairs (place in the item, place in the row of words) of equal windows."""
-        found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for size in self.used:
-            template, raw = texts.windows(size)
-            for h, only in ((template, None), (raw, template)):
-                near = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
-                if only is not None:
-                    near = near[only[near] != h[near]]
-                low = np.searchsorted(self.hashes, h[near], "left")
-                hit = low < len(self.hashes)
-                hit[hit] = self.hashes[low[hit]] == h[near[hit]]
-                near, low = near[hit], low[hit]
-                ok = texts.inside(size)[near] if len(near) else np.zeros(0, bool)
-                near, low = near[ok], low[ok]
-                doc = np.searchsorted(texts.starts, near, "right") - 1
-                high = np.searchsorted(self.hashes, h[near], "right")
-                for place, d, a, b in zip(near.tolist(), doc.tolist(), low.tolist(), high.tolist(), strict=True):
-                    for j in range(a, b):
-                        if self.sizes[self.item[j]] == size:
-                            found[d][int(self.item[j])].append((int(self.at[j]), place))
-        return found
-
-    def best(self, item: int, pairs: list[tuple[int, int]], texts: Templates, words: list) -> tuple[int, bool]:
-        """consistent() of the best occurrence of the item, or of all pairs together, if those meet more.
-
-        Pairs are one occurrence while the distance of their places moves by less
-        than half the item at a time.
-        """
-        near = min(WINDOW, max(1, len(self.words[item]) // 2))
-        pairs = sorted(pairs, key=lambda x: (x[1] - x[0], x))
-        cuts = [k for k in range(1, len(pairs)) if pairs[k][1] - pairs[k][0] - pairs[k - 1][1] + pairs[k - 1][0] >= near]
-        groups = [pairs[a:b] for a, b in zip([0, *cuts], [*cuts, len(pairs)], strict=True)]
-        return max((self.consistent(item, g, texts, words) for g in (groups if len(groups) == 1 else [*groups, pairs])), key=lambda x: (x[0], not x[1]))
-
-    def consistent(self, item: int, pairs: list[tuple[int, int]], texts: Templates, words: list) -> tuple[int, bool]:
-        """How many windows of the item are met with slots that agree, and whether a slot differs."""
-        size, kinds, own = self.sizes[item], self.kinds[item], self.words[item]
-        stands = Counter()
-        seen = set()
-        for at, place in pairs:
-            for k in range(size):
-                if kinds[at + k] and (spot := (at + k, place + k)) not in seen:
-                    seen.add(spot)
-                    stands[int(kinds[at + k]), own[at + k], words[texts.codes[place + k]]] += 1
-        # The commonest reading of each value, one for one.
-        of: dict = {}
-        taken: dict = {}
-        for (kind, a, b), _ in sorted(stands.items(), key=lambda x: (-x[1], x[0][1] != x[0][2], x[0])):
-            if (kind, a) not in of and (kind, b) not in taken:
-                of[kind, a], taken[kind, b] = b, a
-        met, differs = set(), False
-        for at, place in pairs:
-            slots = [(int(kinds[at + k]), own[at + k], words[texts.codes[place + k]]) for k in range(size) if kinds[at + k]]
-            # A window in the item's own words needs no vote.
-            if all(own[at + k] == words[texts.codes[place + k]] for k in range(size)):
-                met.add(at)
-            elif all(of.get((kind, a)) == b for kind, a, b in slots):
-                met.add(at)
-                differs |= any(a != b for _, a, b in slots)
-        return len(met), differs
+        sizes = np.minimum(np.diff(t.starts), WINDOW)
+        rows: list[tuple] = []
+        items = part.column("item").to_pylist()
+        for size in sorted({int(x) for x in sizes} - {0}):
+            found: dict[tuple[int, int], list[int]] = {}
+            for places, h in t.hashes(size):
+                doc = np.searchsorted(t.starts, places, "right") - 1
+                own = sizes[doc] == size
+                for p, x, d in zip(places[own].tolist(), h[own].tolist(), doc[own].tolist(), strict=True):
+                    found.setdefault((d, x), []).append(p)
+            for (d, x), places in found.items():
+                base, total = int(t.starts[d]), int(t.starts[d + 1] - t.starts[d]) - size + 1
+                rows += [(x, size, items[d], total, p - base, t.kind[p : p + size].tolist(), [words[c] for c in t.codes[p : p + size]], k, len(places)) for k, p in enumerate(sorted(places))]
+        kinds = (pa.uint64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int8()), pa.list_(pa.string()), pa.int64(), pa.int64())
+        cols = list(zip(*rows, strict=True)) or [[]] * 9
+        named = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+        yield batch(**dict(zip(("hash", "size", "item", "total", "at", "kinds", "words", "turn", "turns"), [named[0].view(pa.int64()), *named[1:]], strict=True)))
+
+    return map_texts(items, lambda: work, "hash long, size int, item long, total long, at long, kinds array<tinyint>, words array<string>, turn long, turns long")
+
+
+class Filter:
+    """Which hashes may be among the items' windows: a Bloom filter of three bits a hash."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, np.uint64(len(words) * 64 - 1)
+
+    @staticmethod
+    def spots(h: np.ndarray, mask: np.uint64) -> list[np.ndarray]:
+        return [(h >> np.uint64(s)) & mask for s in (0, 17, 34)]
+
+    def maybe(self, h: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(h), bool)
+        for at in self.spots(h, self.mask):
+            ok &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return ok
+
+
+def build_filter(windows: DataFrame, n: int) -> Filter:
+    """The filter of the windows' hashes, of FILTER_BITS for each within its bounds: made in the tasks, joined by OR."""
+    bits = min(max(1 << (FILTER_BITS * max(n, 1) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    mask = np.uint64(bits - 1)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(bits // 64, np.uint64)
+        for part in batches:
+            for at in Filter.spots(np.asarray(part.column("hash")).view(np.uint64), mask):
+                np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        used = np.flatnonzero(words)
+        yield batch(i=pa.array(used), w=pa.array(words[used].view(np.int64)))
+
+    out = np.zeros(bits // 64, np.uint64)
+    for i, w in windows.select("hash").mapInArrow(fill, "i long, w long").groupBy("i").agg(F.bit_or("w")).collect():  # bits / 64 rows at most
+        out[i] = np.int64(w).view(np.uint64)
+    return Filter(out)
+
+
+def _candidates(docs: DataFrame, sizes: list[int], may: Filter) -> DataFrame:
+    """The windows of documents that the filter lets through: hash, size, rid, doc_id, place, words, and the turn among equal ones of a text."""
+    sent = docs.sparkSession.sparkContext.broadcast(may)
+
+    def make():
+        found = sent.value
+
+        def work(part: pa.RecordBatch):
+            t = Templates(part.column("text"))
+            words = None
+            rows: list[tuple] = []
+            rids, ids = part.column("rid"), part.column("doc_id")
+            for size in sizes:
+                for places, h in t.hashes(size):
+                    near = found.maybe(h)
+                    if not near.any():
+                        continue
+                    words = t.low.to_pylist() if words is None else words
+                    places, h = places[near], h[near]
+                    doc = np.searchsorted(t.starts, places, "right") - 1
+                    turn: Counter = Counter()
+                    for p, x, d in zip(places.tolist(), h.tolist(), doc.tolist(), strict=True):
+                        rows.append((x, size, rids[d].as_py(), ids[d].as_py(), p - int(t.starts[d]), [words[c] for c in t.codes[p : p + size]], turn[d, x]))
+                        turn[d, x] += 1
+            kinds = (pa.uint64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64())
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            named = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+            yield batch(**dict(zip(("hash", "size", "rid", "doc_id", "place", "found", "turn"), [named[0].view(pa.int64()), *named[1:]], strict=True)))
+
+        return work
+
+    return map_texts(docs, make, "hash long, size int, rid long, doc_id long, place long, found array<string>, turn long")
+
+
+Pair = tuple[int, int, list[int], list[str], list[str]]  # at, place, kinds, words of the item, words of the document
+
+
+def occurrences(pairs: list[Pair]) -> list[list[Pair]]:
+    """Pairs by occurrence of the item: as long as the distance of their places moves by less than half the item (8 words at most) at a time."""
+    pairs = sorted(pairs, key=lambda x: (x[1] - x[0], x[1]))
+    size = len(pairs[0][3])
+    length = max(p[0] for p in pairs) + size
+    near = min(WINDOW, max(1, length // 2))
+    cuts = [k for k in range(1, len(pairs)) if pairs[k][1] - pairs[k][0] - pairs[k - 1][1] + pairs[k - 1][0] >= near]
+    return [pairs[a:b] for a, b in zip([0, *cuts], [*cuts, len(pairs)], strict=True)]
+
+
+def consistent(pairs: list[Pair]) -> tuple[int, bool]:
+    """How many windows of the item an occurrence meets with slots that agree, and whether a slot differs.
+
+    A word's value is read as what most often stands for it, one for one.
+    """
+    stands: Counter = Counter()
+    seen = set()
+    pairs = [(at, place, [NAME if k == OPENING else k for k in kinds], own, found) for at, place, kinds, own, found in pairs]
+    for at, place, kinds, own, found in pairs:
+        for k, kind in enumerate(kinds):
+            if kind and (spot := (at + k, place + k)) not in seen:
+                seen.add(spot)
+                stands[kind, own[k], found[k]] += 1
+    of: dict = {}
+    taken: dict = {}
+    for (kind, a, b), _ in sorted(stands.items(), key=lambda x: (-x[1], x[0][1] != x[0][2], x[0])):
+        if (kind, a) not in of and (kind, b) not in taken:
+            of[kind, a], taken[kind, b] = b, a
+    met, differs = set(), False
+    for at, _, kinds, own, found in pairs:
+        if own == found:  # in the item's own words
+            met.add(at)
+        elif all(of.get((kind, a)) == b if kind else a == b for kind, a, b in zip(kinds, own, found, strict=True)):
+            met.add(at)
+            differs = True
+    return len(met), differs
+
+
+def best(pairs: list[Pair]) -> tuple[int, bool]:
+    """consistent() of the occurrence that meets most."""
+    return max((consistent(p) for p in occurrences(pairs)), key=lambda x: (x[0], not x[1]))
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """best() of each (rid, item), from joined windows in that order."""
+    names = ("rid", "item", "doc_id", "total", "at", "place", "kinds", "words", "found")
+    now, head, pairs, out = None, None, [], []
+    for part in batches:
+        for rid, item, doc, total, *pair in zip(*(part.column(c).to_pylist() for c in names), strict=True):
+            if (rid, item) != now:
+                if pairs:
+                    out.append((*head, *best(pairs)))
+                now, head, pairs = (rid, item), (doc, item, total), []
+            pairs.append(tuple(pair))
+    if pairs:
+        out.append((*head, *best(pairs)))
+    cols = list(zip(*out, strict=True)) or [[]] * 5
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    yield batch(**{c: pa.array(x, k) for c, x, k in zip(("doc_id", "item", "n_windows", "n_met", "reparameterised"), cols, kinds, strict=True)})
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -190,47 +289,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 
     Returns doc_id, item_id, n_windows (of the item), n_met (met in the best
     occurrence with consistent slots, coverage or more of them) and reparameterised (a slot
-    has another value than in the item). Null texts have no words; items of fewer
-    than MIN_WORDS words can't be met. Null ids are carried. Repeated rows of docs
-    give repeated results, repeated rows of the benchmark do not; an empty table
-    on either side gives an empty result.
+    has another value than in the item). Windows have 8 words, an item with fewer
+    is one window; one with fewer than 4 words must be met in its own words.
+    Null texts, empty ones and items without words have no windows. Null ids are
+    carried. Repeated rows of docs give repeated results, repeated rows of the
+    benchmark do not; an empty table on either side gives an empty result.
     """
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").where("text IS NOT NULL").dropDuplicates()
-    schema = "doc_id long, item_id long, n_windows long, n_met long, reparameterised boolean"
-    # Blocks of items by a hash: as many as keep each under BLOCK windows and ITEMS rows on the driver.
-    n, words = items.agg(F.count("*"), F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()
-    blocks = max(1, -(-n // ITEMS), -(-words // BLOCK))
-    out = []
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows]))
-
-        def make(index=index):
-            found = index.value
-
-            def work(part: pa.RecordBatch):
-                texts = Templates(part.column("text"))
-                ids = part.column("doc_id").to_pylist()
-                hits = found.find(texts)
-                words = texts.low.to_pylist() if hits else []
-                res = []
-                for d, by_item in hits.items():
-                    for item, pairs in by_item.items():
-                        total = len(found.words[item]) - found.sizes[item] + 1
-                        met, differs = found.best(item, pairs, texts, words)
-                        if met >= coverage * total:
-                            res.append((ids[d], found.ids[item], total, met, differs))
-                cols = list(zip(*res, strict=True)) or [[]] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-                yield batch(**{c: pa.array(x, k) for c, x, k in zip(("doc_id", "item_id", "n_windows", "n_met", "reparameterised"), cols, kinds, strict=True)})
-
-            return work
-
-        out.append(map_texts(docs.select("doc_id", "text"), make, schema))
-    while len(out) > 1:
-        out = [a.union(b) for a, b in zip(out[::2], out[1::2], strict=False)] + out[len(out) // 2 * 2 :]
-    return out[0]
+    with Run(docs.sparkSession) as run:
+        named = benchmark.select("item_id", "text").where("text IS NOT NULL").dropDuplicates()
+        # Items of one text are looked for once.
+        items = spill(named.withColumn("item", F.xxhash64("text")), "leak-items")
+        windows = spill(_windows_of_items(items.dropDuplicates(["item"]).select("item", "text")), "leak-windows")
+        sizes = windows.groupBy("size").agg(F.count("*")).collect()  # WINDOW rows at most
+        may = build_filter(windows, sum(n for _, n in sizes))
+        rows = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
+        near = spill(_candidates(rows, sorted(s for s, _ in sizes), may).withColumnRenamed("turn", "nth"), "leak-candidates")
+        # Equal windows of an item and a text are all paired, or in turn where an item holds very many of them.
+        few = (windows["turns"] <= REPEATS) | (F.pmod(near["nth"], windows["turns"]) == windows["turn"])
+        met = near.join(windows.drop("size").hint("shuffle_hash"), "hash").where(few)
+        met = met.select("rid", "item", "doc_id", "total", "at", "place", "kinds", "words", "found")
+        judged = met.repartition("rid", "item").sortWithinPartitions("rid", "item").mapInArrow(_judge, "doc_id long, item long, n_windows long, n_met long, reparameterised boolean")
+        judged = spill(judged.where(F.col("n_met") >= coverage * F.col("n_windows")), "leak-judged")
+        ids = spill(items.select("item", "item_id"), "leak-ids")
+        run.keep(judged, ids)
+    return judged.join(ids, "item").select("doc_id", "item_id", "n_windows", "n_met", "reparameterised")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
