@@ -34,9 +34,11 @@ class Packed:
     def __init__(self, numbers: np.ndarray, top: int):
         self.bits = max(1, int(top).bit_length())
         n = len(numbers)
-        planes = ((numbers[:, None] >> np.arange(self.bits)) & 1).astype(np.uint8).ravel() if n else np.zeros(0, np.uint8)
+        planes = np.empty((n, self.bits), np.uint8)
+        for b in range(self.bits):
+            planes[:, b] = (numbers >> b) & 1
         packed = np.zeros((n * self.bits // 64 + 2) * 8, np.uint8)
-        raw = np.packbits(planes, bitorder="little")
+        raw = np.packbits(planes.ravel(), bitorder="little")
         packed[: len(raw)] = raw
         self.words = packed.view("<u8")
 

@@ -34,7 +34,9 @@ SEGMENT = 256
 HOT_ROUTE = 200
 SUB_RUN = 44
 #: Words that an index is built over at a time, and words a shard task aims at.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
+#: Bytes of segments that a task gives out at a time.
+OUT_BYTES = 4 << 20
 #: A null doc_id counts as later than all others.
 LAST = (1 << 63) - 1
 
@@ -128,7 +130,16 @@ def _split(hot: DataFrame, window: int, run: int) -> DataFrame:
     def work(part: pa.RecordBatch):
         starts, codes, words = word_codes(part.column("seg"))
         hashes = word_hashes(words)[codes] if len(codes) else np.zeros(0, np.uint64)
+        names = ("route", "seg", "sid", "of_route", "of_sid", "at", "n", "least", "most")
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [[]] * 9
+            named = {c: pa.array(x, k) for c, x, k in zip(names, cols, kinds, strict=True)}
+            return batch(**named | {"seg": named["seg"].cast(pa.string())})
+
         rows: list[tuple] = []
+        size = 0
         for k, (route, sid, least, most, seg) in enumerate(zip(*(part.column(c).to_pylist() for c in ("route", "sid", "least", "most")), as_bytes(part.column("seg")), strict=True)):
             low = routes(hashes[starts[k] : starts[k + 1]], window, run)
             begin, low_of = segments_of(low)
@@ -137,10 +148,11 @@ def _split(hot: DataFrame, window: int, run: int) -> DataFrame:
             for key, at, n in zip(keys.tolist(), begin.tolist(), np.diff(np.append(begin, len(low))).tolist(), strict=True):
                 cut = b" ".join(own[at : at + n + window - 1])
                 rows.append((key, cut, _sid(cut), route, sid, at, n, least, most))
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        cols = list(zip(*rows, strict=True)) or [[]] * 9
-        named = {c: pa.array(x, k) for c, x, k in zip(("route", "seg", "sid", "of_route", "of_sid", "at", "n", "least", "most"), cols, kinds, strict=True)}
-        yield batch(**named | {"seg": named["seg"].cast(pa.string())})
+                size += len(cut)
+            if size >= OUT_BYTES:
+                yield out(rows)
+                rows, size = [], 0
+        yield out(rows)
 
     return map_texts(hot.select("route", "sid", "least", "most", "seg"), lambda: work, "route long, seg string, sid long, of_route long, of_sid long, at int, n int, least long, most long", "seg")
 
