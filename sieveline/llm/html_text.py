@@ -18,11 +18,11 @@ def extract_text(pages: DataFrame, html: str = "html", text: str = "text") -> Da
     repeated rows and an empty table need nothing special.
     """
     kept = [f for f in pages.schema.fields if f.name != text]
-    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in kept) + f", `{text}` string"
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in kept) + f", {quoted(text)} string"
 
     def work(part: pa.RecordBatch):
         texts = [None if x is None else render(*parse(x)) for x in part.column(html).to_pylist()]
-        yield batch(**{f.name: part.column(f.name) for f in kept}, **{text: pa.array(texts, pa.string())})
+        yield batch(**{f.name: part.column(f.name) for f in kept} | {text: pa.array(texts, pa.string())})
 
     return map_texts(pages, lambda: work, schema, html)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from html import unescape
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -31,6 +33,8 @@ IMPLIED = {
     "body": ({"head"}, set()),
 }
 _STOPS = {"table", "td", "th", "caption", "body", "html", "button", "object", "template"}
+#: Parts of a table, whose end tags reach out of cells.
+_PARTS = {"table", "tr", "tbody", "thead", "tfoot"}
 
 #: Quotes enclose only a value right after its "="; any other quote is a character of a name or value.
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|$))|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"?|'[^']*+'?|[^\s>\"'][^\s>]*+)?)?)*+)>?", re.S)
@@ -38,9 +42,13 @@ _ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^
 _SHOWN = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?", re.I)
 #: Where svg keeps what it draws only by reference, or not at all.
 _KEPT = {"defs", "symbol", "clippath", "mask", "pattern", "marker", "desc", "metadata"}
+#: Characters of indentation before a line at most.
+WIDEST = 200
 #: The screen that media queries are asked for, in px.
 SCREEN = 1280
-_SIMPLE = re.compile(r"^(?:[a-zA-Z][\w-]*|\*)?(?:[.#][\w-]+)?$")
+#: One element of a selector: a tag, and ids, classes and attributes that it must have.
+_COMPOUND = re.compile(r"(?P<tag>[a-z][\w-]*|\*)?(?P<more>(?:[.#][\w-]+|\[\s*[\w-]+\s*(?:=\s*(?:\"[^\"]*\"|'[^']*'|[\w-]+)\s*)?\])*)")
+_MORE = re.compile(r"([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*[\"']?([^\"'\]]*?)[\"']?\s*)?\]")
 
 
 class Node:
@@ -50,28 +58,50 @@ class Node:
         self.tag, self.attrs, self.children, self.foreign = tag, attrs, [], foreign
 
 
+class Open:
+    """The open elements, with the places of each tag among them, so that looking for one does not walk through all."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], defaultdict(list)
+        self.at[root.tag].append(0)
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        """End the element at a place and all within it."""
+        while len(self.nodes) > at:
+            self.at[self.nodes.pop().tag].pop()
+
+    def nearest(self, tags: set[str]) -> int:
+        """The place of the innermost of the tags; 0, the root's, for none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, tags: set[str], stops: set[str]) -> None:
+        """End the outermost of the tags above the nearest stop."""
+        stop = self.nearest(stops)
+        found = []
+        for t in tags:
+            places = self.at.get(t)
+            if places and places[-1] > stop:
+                found.append(places[bisect_right(places, stop)])
+        if found:
+            self.cut(min(found))
+
+
 def parse(html: str) -> tuple[Node, str]:
     """The tree of a page and the text of its style sheets. Any input gives a tree."""
     root = Node("html", {})
-    open_, styles, at = [root], [], 0
-
-    def close(tags: set[str], stops: set[str]) -> None:
-        """End the outermost of the open tags above the nearest stop."""
-        cut = 0
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].tag in stops:
-                break
-            if open_[k].tag in tags:
-                cut = k
-        if cut:
-            del open_[cut:]
+    open_, styles, at = Open(root), [], 0
+    nodes = open_.nodes
 
     def text(part: str) -> None:
         if not part:
             return
-        if open_[-1].tag == "head" and not part.isspace():
-            close({"head"}, set())
-        open_[-1].children.append(unescape(part) if "&" in part else part)
+        if nodes[-1].tag == "head" and not part.isspace():
+            open_.close({"head"}, set())
+        nodes[-1].children.append(unescape(part) if "&" in part else part)
 
     while found := _TOKEN.search(html, at):
         text(html[at : found.start()])
@@ -80,39 +110,33 @@ def parse(html: str) -> tuple[Node, str]:
         if end:
             tag = end.lower()
             if tag == "br":
-                open_[-1].children.append(Node("br", {}))
+                nodes[-1].children.append(Node("br", {}))
             elif tag not in ("html", "body"):
-                for k in range(len(open_) - 1, 0, -1):
-                    if open_[k].tag == tag:
-                        del open_[k:]
-                        break
-                    if open_[k].tag in _STOPS and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
-                        break
-                    if open_[k].tag == "table":
-                        break
-                else:
-                    if tag == "p":
-                        open_[-1].children.append(Node("p", {}))
+                own = open_.nearest({tag})
+                if own and own >= open_.nearest({"table"} if tag in _PARTS else _STOPS):
+                    open_.cut(own)
+                elif tag == "p":
+                    nodes[-1].children.append(Node("p", {}))
         elif start:
             tag = start.lower()
             attrs = {}
             if found[3].strip(" /\n\t\r\f"):
                 for m in _ATTR.finditer(found[3]):
                     attrs.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
-            if tag in ("html", "body") and tag != "body" or tag == "body" and any(n.tag == "body" for n in open_):
+            if tag == "html" or tag == "body" and open_.nearest({"body"}):
                 continue
             if tag in ENDS_P:
-                close({"p"}, _STOPS)
+                open_.close({"p"}, _STOPS)
             if tag in IMPLIED:
-                close(*IMPLIED[tag])
-            if open_[-1].tag == "head" and tag not in UNSEEN:
-                close({"head"}, set())
-            if tag in ("td", "th") and open_[-1].tag in ("table", "thead", "tbody", "tfoot"):
+                open_.close(*IMPLIED[tag])
+            if nodes[-1].tag == "head" and tag not in UNSEEN:
+                open_.close({"head"}, set())
+            if tag in ("td", "th") and nodes[-1].tag in ("table", "thead", "tbody", "tfoot"):
                 row = Node("tr", {})
-                open_[-1].children.append(row)
-                open_.append(row)
-            node = Node(tag, attrs, tag in ("svg", "math") or open_[-1].foreign and tag != "foreignobject")
-            open_[-1].children.append(node)
+                nodes[-1].children.append(row)
+                open_.push(row)
+            node = Node(tag, attrs, tag in ("svg", "math") or nodes[-1].foreign and tag != "foreignobject")
+            nodes[-1].children.append(node)
             if tag in VOID or node.foreign and found[3].endswith("/"):
                 continue
             if tag in RAW:
@@ -124,7 +148,7 @@ def parse(html: str) -> tuple[Node, str]:
                 elif inner:
                     node.children.append(unescape(inner) if tag in ("textarea", "title") else inner)
                 continue
-            open_.append(node)
+            open_.push(node)
     text(html[at:])
     return root, "\n".join(styles)
 
@@ -147,70 +171,123 @@ def on_screen(query: str) -> bool:
     return any(holds(q.strip()) for q in query.lower().split(","))
 
 
-def hidden_by(styles: str) -> dict[str, dict[str, tuple]]:
-    """By property (display, visibility) and simple selector (tag, .class, #id, tag.class) its last rule: rank of it, and whether it hides.
+class Styles:
+    """The rules of style sheets that say what is drawn: display and visibility.
 
-    Rules within at-rules count only in @layer and in @media for a screen.
+    Selectors are made of tags, ids, classes and attributes, within (space) and
+    right within (>) others; rules with any other part of a selector are left
+    out. Rules within at-rules count only in @layer and in @media for a screen.
+    Every beginning of a selector is one bit of a number; an element's matches
+    follow from its own, its parent's and those of all around it, so no element
+    looks up through its ancestors.
     """
-    out: dict[str, dict[str, tuple]] = {"display": {}, "visibility": {}}
-    open_: list[tuple[str, bool]] = []  # selectors or at-rule of each open block, and whether it applies
-    parts = re.split(r"([{}])", re.sub(r"/\*.*?\*/", "", styles, flags=re.S))
-    for k in range(0, len(parts) - 1, 2):
-        text, sign = parts[k], parts[k + 1]
-        if sign == "{":
-            name = text.rsplit(";", 1)[-1].replace("<!--", "").replace("-->", "").strip().lower()
-            at = re.match(r"@([\w-]+)(.*)", name, re.S)
-            ok = not at or at[1] == "layer" or at[1] == "media" and on_screen(at[2])
-            open_.append((name, ok and (not open_ or open_[-1][1])))
-        elif open_:
-            name, ok = open_.pop()
-            # A rule within a style rule has selectors relative to it, which are not simple.
-            if not ok or name.startswith("@") or any(not n.startswith("@") for n, _ in open_):
-                continue
-            for j, (prop, value, important) in enumerate(_SHOWN.findall(text)):
-                hides = value.lower() == "none" if prop.lower() == "display" else value.lower() in ("hidden", "collapse")
-                for one in name.split(","):
-                    one = one.strip()
-                    if one and _SIMPLE.match(one):
-                        rank = (bool(important), "#" in one, "." in one, one[0] not in "*.#", k, j)
-                        of = out[prop.lower()]
-                        of[one] = max(of.get(one, ((),)), (rank, hides))
-    return out if any(x[1] for of in out.values() for x in of.values()) else {}
-
-
-def unseen(node: Node, hidden: dict[str, dict[str, tuple]]) -> bool:
-    a = node.attrs
-    if node.tag in UNSEEN or (node.tag == "input" and a.get("type", "").lower() == "hidden") or (node.tag == "dialog" and "open" not in a):
-        return True
-    own = {p.lower(): (bool(i), v.lower() in ("none", "hidden", "collapse")) for p, v, i in _SHOWN.findall(a["style"])} if "style" in a else {}
-    names = []
-    if hidden:
-        names = ["*", node.tag]
-        for n in ([f"#{a['id'].lower()}"] if a.get("id") else []) + [f".{c}" for c in a.get("class", "").lower().split()]:
-            names += [n, node.tag + n, "*" + n]
-    for prop in ("display", "visibility"):
-        ranked = [of[n] for n in names if n in of] if (of := hidden.get(prop)) else []
-        if prop in own:
-            ranked.append(((own[prop][0], 2), own[prop][1]))
-        if ranked:
-            if max(ranked)[1]:
-                return True
-        elif prop == "display" and "hidden" in a:
-            return True
-    return False
-
-
-def drawn(svg: Node, hidden: dict[str, dict[str, tuple]]) -> list[Node]:
-    """The text of a drawing, in order: its text elements and foreign content."""
-    out, stack = [], svg.children[::-1]
+
+    def __init__(self, styles: str):
+        self.by_name: dict[str, list[int]] = defaultdict(list)  # "#id", ".class", tag or "*": the bits to test
+        self.tests: list[tuple] = []  # of each bit: tag, ids, classes, attributes, "" or " " or ">" before it
+        self.rules: dict[int, list[tuple]] = defaultdict(list)  # of a last bit: (property, rank, whether it hides)
+        open_: list[tuple[str, bool]] = []  # selectors or at-rule of each open block, and whether it applies
+        within = 0  # open blocks of style rules
+        parts = re.split(r"([{}])", re.sub(r"/\*.*?\*/", "", styles, flags=re.S)) if styles else []
+        for k in range(0, len(parts) - 1, 2):
+            text, sign = parts[k], parts[k + 1]
+            if sign == "{":
+                name = text.rsplit(";", 1)[-1].replace("<!--", "").replace("-->", "").strip().lower()
+                at = re.match(r"@([\w-]+)(.*)", name, re.S)
+                ok = not at or at[1] == "layer" or at[1] == "media" and on_screen(at[2])
+                open_.append((name, ok and (not open_ or open_[-1][1])))
+                within += not at
+            elif open_:
+                name, ok = open_.pop()
+                if name.startswith("@"):
+                    continue
+                within -= 1
+                # A rule within a style rule has selectors relative to it.
+                if ok and not within and (shown := _SHOWN.findall(text)):
+                    for one in re.split(r",(?![^\[]*\])", name):
+                        self._add(one.strip(), k, shown)
+
+    def _add(self, selector: str, k: int, shown: list[tuple]) -> None:
+        parts = re.split(r"(\s*>\s*|\s+)(?![^\[]*\])", selector)
+        bits, weight = [], [0, 0, 0]
+        tests = []
+        for j in range(0, len(parts), 2):
+            found = _COMPOUND.fullmatch(parts[j])
+            if not found or not parts[j]:
+                return
+            more = _MORE.findall(found["more"])
+            tag = found["tag"] if found["tag"] != "*" else None
+            ids, classes = ([n for s, n, *_ in more if s == sign] for sign in "#.")
+            attrs = [(a, v) for s, _, a, v in more if not s]
+            before = (">" if ">" in parts[j - 1] else " ") if j else ""
+            tests.append((tag, ids, classes, attrs, before))
+            for i, n in enumerate((len(ids), len(classes) + len(attrs), int(bool(tag)))):
+                weight[i] += n
+        for test in tests:
+            tag, ids, classes = test[:3]
+            self.by_name[f"#{ids[0]}" if ids else f".{classes[0]}" if classes else tag or "*"].append(len(self.tests))
+            bits.append(len(self.tests))
+            self.tests.append(test)
+        for j, (prop, value, important) in enumerate(shown):
+            prop, value = prop.lower(), value.lower()
+            hides = value == "none" if prop == "display" else value in ("hidden", "collapse")
+            self.rules[bits[-1]].append((prop, (bool(important), False, *weight, k, j), hides))
+
+    def matches(self, node: Node, around: int, parent: int) -> int:
+        """The bits that an element matches, given those matched by any element around it, and by its parent."""
+        a, out = node.attrs, 0
+        if not self.tests:
+            return 0
+        own_id, own = a.get("id", "").lower(), set(a.get("class", "").lower().split())
+        for name in (node.tag, "*", f"#{own_id}", *(f".{c}" for c in own)):
+            for bit in self.by_name.get(name, ()):
+                tag, ids, classes, attrs, before = self.tests[bit]
+                if (not tag or tag == node.tag) and all(i == own_id for i in ids) and own.issuperset(classes) and all(n in a and (not v or a[n].lower() == v) for n, v in attrs):
+                    if not before or (parent if before == ">" else around) >> (bit - 1) & 1:
+                        out |= 1 << bit
+        return out
+
+    def look(self, node: Node, bits: int) -> tuple[bool, bool | None]:
+        """Whether an element is not drawn at all, and whether it says that it is visible (None: as what is around it)."""
+        a = node.attrs
+        if node.tag in UNSEEN or (node.tag == "input" and a.get("type", "").lower() == "hidden") or (node.tag == "dialog" and "open" not in a):
+            return True, None
+        said: dict[str, tuple] = {"display": ((), True)} if "hidden" in a else {}
+        if bits:
+            for bit in self.rules:
+                if bits >> bit & 1:
+                    for prop, rank, hides in self.rules[bit]:
+                        said[prop] = max(said.get(prop, ((),)), (rank, hides))
+        if "style" in a:
+            for j, (prop, value, important) in enumerate(_SHOWN.findall(a["style"])):
+                prop, value = prop.lower(), value.lower()
+                hides = value == "none" if prop == "display" else value in ("hidden", "collapse")
+                said[prop] = max(said.get(prop, ((),)), ((bool(important), True, 0, 0, 0, 0, j), hides))
+        return said.get("display", ((), False))[1], not said["visibility"][1] if "visibility" in said else None
+
+
+State = tuple[int, int, bool]  # bits matched around, bits of the parent, whether what is around is visible
+
+
+def enter(node: Node, styles: Styles, state: State) -> State | None:
+    """The state within an element, or None if it is not drawn."""
+    around, parent, visible = state
+    bits = styles.matches(node, around, parent)
+    gone, says = styles.look(node, bits)
+    return None if gone else (around | bits, bits, visible if says is None else says)
+
+
+def drawn(svg: Node, styles: Styles, state: State) -> list[tuple[Node, State]]:
+    """The text of a drawing, in order: its text elements and foreign content, each with the state around it."""
+    out, stack = [], [(c, state) for c in svg.children[::-1]]
     while stack:
-        node = stack.pop()
-        if isinstance(node, str) or node.tag in _KEPT or unseen(node, hidden):
+        node, state = stack.pop()
+        if isinstance(node, str) or node.tag in _KEPT:
             continue
         if node.tag in ("text", "foreignobject"):
-            out.append(node)
-        else:
-            stack += node.children[::-1]
+            out.append((node, state))
+        elif (inner := enter(node, styles, state)) is not None:
+            stack += [(c, inner) for c in node.children[::-1]]
     return out
 
 
@@ -221,11 +298,27 @@ class Lines:
         self.lines: list[str] = []
         self.now: list[str] = []
         self.space = self.gap = False
-        self.prefix: list[tuple[str, str]] = []  # of each open indent: for its first line, for the others
+        self.indents: list[tuple[str, str]] = []  # of each open indent: its sign, and what stands before lines in it
+        self.used = 0  # indents whose sign is drawn
+
+    def indent(self, first: str, rest: str) -> None:
+        """What stands before the first line and the others from now on. Of very deep indents WIDEST characters are drawn."""
+        around = self.indents[-1][1] if self.indents else ""
+        self.indents.append((first, (around + rest)[:WIDEST]))
+
+    def dedent(self) -> None:
+        if self.indents:
+            self.indents.pop()
+            self.used = min(self.used, len(self.indents))
+
+    def pending(self) -> str:
+        """The sign of the innermost indent, if no line has drawn it."""
+        return self.indents[-1][0] if self.used < len(self.indents) else ""
 
     def _prefix(self) -> str:
-        out = "".join(first for first, _ in self.prefix)
-        self.prefix = [(rest, rest) for _, rest in self.prefix]
+        out = self.indents[self.used - 1][1] if self.used else ""
+        out += "".join(first for first, _ in self.indents[self.used :])
+        self.used = len(self.indents)
         return out
 
     def _begin(self) -> None:
@@ -275,65 +368,93 @@ class Lines:
 
 
 class Grid:
-    """A table's cells, drawn in columns of equal width."""
+    """A table's cells, drawn in columns of equal width; one that spans rows stands in the first of them."""
 
     def __init__(self):
-        self.rows: list[list[tuple[str, int]]] = []
+        self.rows: list[list[tuple[str, int, int]]] = []  # of each cell: content, columns, rows (0: to the end)
         self.caption = ""
 
-    def text(self) -> list[str]:
-        widths: list[int] = []
+    def placed(self) -> list[list[tuple[int, int, list[str]]]]:
+        """Per row its cells as (first column, columns, lines), those that reach into it from above without lines."""
+        out, held = [], {}  # held: first column: (columns, rows left)
         for row in self.rows:
+            now = [(k, span, [""]) for k, (span, _) in held.items()]
+            taken = {c for k, span, _ in now for c in range(k, k + span)}
+            held = {k: (span, left - 1) for k, (span, left) in held.items() if left != 1}
             k = 0
-            for content, span in row:
+            for content, span, down in row:
+                while k in taken:
+                    k += 1
+                # A cell that would run into one from above ends before it.
+                span = next((c - k for c in range(k, k + span) if c in taken), span)
+                now.append((k, span, content.split("\n")))
+                if down != 1:
+                    held[k] = (span, down - 1)
+                k += span
+            out.append(sorted(now))
+        return out
+
+    def text(self) -> list[str]:
+        rows = self.placed()
+        widths: list[int] = []
+        for row in rows:
+            for k, span, lines in row:
                 widths += [0] * (k + span - len(widths))
                 if span == 1:
-                    widths[k] = max(widths[k], *map(len, content.split("\n")))
-                k += span
+                    widths[k] = max(widths[k], *map(len, lines))
         out = [self.caption] if self.caption else []
-        for row in self.rows:
-            cells = [content.split("\n") for content, _ in row]
-            for line in range(max(map(len, cells), default=0)):
-                drawn, k = [], 0
-                for lines, (_, span) in zip(cells, row, strict=True):
+        for row in rows:
+            for line in range(max((len(lines) for _, _, lines in row), default=0)):
+                cells, at = [], 0
+                for k, span, lines in row:
+                    cells += ["".ljust(w) for w in widths[at:k]]
                     wide = sum(widths[k : k + span]) + 3 * (span - 1)
-                    drawn.append((lines[line] if line < len(lines) else "").ljust(wide))
-                    k += span
-                whole = " | ".join(drawn).rstrip()
-                out.append(whole if whole.strip(" |") else "")
+                    cells.append((lines[line] if line < len(lines) else "").ljust(wide))
+                    at = k + span
+                whole = " | ".join(cells).rstrip()
+                out.append(whole.rstrip(" |") if whole.strip(" |") else "")
         return out
 
 
+def _span(node: Node, name: str, least: int) -> int:
+    value = node.attrs.get(name, "1")
+    return max(least, min(int(value), 1000)) if re.fullmatch(r"\d{1,5}", value) else 1
+
+
 def render(root: Node, styles: str = "") -> str:
     """All text of a tree that is visible, laid out. Walks with its own stack, so any depth is fine."""
-    hidden = hidden_by(styles)
+    rules = Styles(styles)
     out = [Lines()]
     grids: list[Grid] = []
     lists: list[list] = []  # [kind, next number]
-    stack: list[tuple] = [("in", root, False)]
+    stack: list[tuple] = [("in", root, False, (0, 0, True))]
     while stack:
-        what, node, pre = stack.pop()
+        what, node, pre, state = stack.pop()
         lines = out[-1]
         if what == "text":
-            lines.write(node, pre)
+            if state[2]:
+                lines.write(node, pre)
             continue
         tag = node.tag
         if what == "in":
-            if unseen(node, hidden):
+            inner = enter(node, rules, state)
+            if inner is None:
                 continue
+            visible = inner[2]
             if tag == "br":
                 lines.end(True)
                 continue
             if tag == "hr":
                 lines.block(True)
-                lines.write("---")
+                if visible:
+                    lines.write("---")
                 lines.block(True)
                 continue
             if tag == "input":
-                if node.attrs.get("type", "text").lower() not in ("checkbox", "radio", "image", "file", "password"):
+                if visible and node.attrs.get("type", "text").lower() not in ("checkbox", "radio", "image", "file", "password"):
                     lines.write(node.attrs.get("value", ""))
                 continue
-            if tag in ("table",):
+            if tag == "table":
                 lines.block(True)
                 grids.append(Grid())
             elif grids and tag == "tr":
@@ -353,23 +474,25 @@ def render(root: Node, styles: str = "") -> str:
                         lists[-1][1] += 1
                     else:
                         sign = "- "
-                    lines.prefix.append((sign, " " * len(sign)))
+                    lines.indent(sign if visible else " " * len(sign), " " * len(sign))
                 elif tag == "dd":
-                    lines.prefix.append(("    ", "    "))
+                    lines.indent("    ", "    ")
                 elif tag == "blockquote":
-                    lines.prefix.append(("> ", "> "))
-            elif tag == "q":
+                    lines.indent("> ", "> ")
+            elif tag == "q" and visible:
                 lines.write('"')
             pre = pre or tag in ("pre", "xmp", "textarea", "plaintext")
-            stack.append(("out", node, pre))
+            stack.append(("out", node, pre, inner))
             children = node.children
             if tag == "details" and "open" not in node.attrs:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
             if tag == "svg":
-                children = [c for part in drawn(node, hidden) for c in (" ", part, " ")]
+                for part, around in reversed(drawn(node, rules, inner)):
+                    stack += [("text", " ", pre, around), ("in", part, pre, around), ("text", " ", pre, around)]
+                continue
             if grids and tag in ("table", "thead", "tbody", "tfoot", "tr"):
                 children = [c for c in children if isinstance(c, Node) or not c.isspace()]
-            stack += [("text", c, pre) if isinstance(c, str) else ("in", c, pre) for c in reversed(children)]
+            stack += [("text" if isinstance(c, str) else "in", c, pre, inner) for c in reversed(children)]
             continue
         if tag == "table" and grids:
             grid = grids.pop()
@@ -382,16 +505,15 @@ def render(root: Node, styles: str = "") -> str:
             if tag == "caption":
                 grids[-1].caption = content
             else:
-                span = node.attrs.get("colspan", "1")
-                grids[-1].rows[-1].append((content, max(1, min(int(span), 1000)) if re.fullmatch(r"\d{1,4}", span) else 1))
+                grids[-1].rows[-1].append((content, _span(node, "colspan", 1), _span(node, "rowspan", 0)))
         elif tag in BLOCK and not (grids and tag == "tr"):
-            if tag == "li" and lines.prefix and not lines.now and lines.prefix[-1][0].strip():
+            if tag == "li" and not lines.now and lines.pending().strip():
                 lines._begin()  # an empty item still shows its sign
             lines.block(tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and len(lists) > 1))
             if tag in ("ul", "ol", "menu", "dir") and lists:
                 lists.pop()
-            elif tag in ("li", "dd", "blockquote") and lines.prefix:
-                lines.prefix.pop()
-        elif tag == "q":
+            elif tag in ("li", "dd", "blockquote"):
+                lines.dedent()
+        elif tag == "q" and state[2]:
             lines.write('"')
     return out[0].whole()

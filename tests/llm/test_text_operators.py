@@ -416,3 +416,166 @@ def test_html_shows_what_a_screen_shows():
     assert page(".tab{display:none!important}.tab{display:block}") == page("@media (min-width:600px){.tab{visibility:hidden}}") == "a"
     assert draw("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>") == "x=2"
     assert draw("a<svg><title>no</title><defs><text>no</text></defs><path d='M0'/><text x=1>one <tspan>two</tspan></text><g><text>three</text></g>no</svg>b") == "a one two three b"
+
+
+def test_html_visibility_and_selectors():
+    draw = lambda x: render(*parse(x))
+    assert draw("<p style='visibility:hidden'>no <b style='visibility:visible'>yes</b> no</p>z") == "yes\n\nz"
+    assert draw("<style>.h{visibility:hidden}.h i{visibility:visible}</style><div class=h>no<i>yes</i></div>") == "yes"
+    assert draw("<style>div .x{display:none}</style><div><p><b class=x>no</b>a</p></div><b class=x>yes</b>") == "a\n\nyes"
+    assert draw("<style>div > .x{display:none}</style><div><p><b class=x>yes</b></p><b class=x>no</b></div>") == "yes"
+    assert draw("<style>p.a.b{display:none}</style><p class='b a'>no</p><p class=a>yes</p>") == "yes"
+    assert draw("<style>[aria-hidden=true],a[href='x, y']{display:none}</style><i aria-hidden=true>no</i><i aria-hidden=false>yes</i><a href='x, y'>no</a>") == "yes"
+    assert draw("<style>#a p{display:none}p.b{display:block}</style><div id=a><p class=b>no</p></div><p class=b>yes</p>") == "yes"
+    assert draw("<style>p:hover{display:none}p + p{display:none}</style><p>a</p><p>b</p>") == "a\n\nb"
+    assert draw("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>") == "- yes"
+
+
+def test_html_tables_with_cells_over_rows():
+    draw = lambda x: render(*parse(x))
+    assert draw("<table><tr><td rowspan=2>ab<td>1<tr><td>22<tr><td>c<td>3</table>") == "ab | 1\n   | 22\nc  | 3"
+    assert draw("<table><tr><td>a<td rowspan=0>down<td>b<tr><td>c<td>d<tr><td>e</table>") == "a | down | b\nc |      | d\ne"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000, "<b>" * 200_000, "<button><p>" + "<div>" * 100_000 + "</p></i>" * 100_000, "<ul><li>a" * 20_000, "<style>div div{display:block}p div div{display:none}</style>" + "<div class='a b'>" * 100_000])
+def test_html_of_any_depth_takes_linear_time(page):
+    import time
+
+    begin = time.process_time()
+    assert render(*parse(page + "end")).endswith("end") and time.process_time() - begin < 5
+
+
+def random_page(rng, depth=0):
+    """A tree of (tag, class, style, children) and texts; children of tables are rows of (rowspan, colspan, text)."""
+    out = []
+    for _ in range(rng.randrange(1, 4)):
+        kind = rng.choice(["text", "text", "b", "div", "p", "ul", "ol", "br", "table", "blockquote"]) if depth < 4 else "text"
+        looks = rng.choice(["", "", "", "k", "x"]), rng.choice(["", "", "", "display:none", "visibility:hidden", "visibility:visible"])
+        if kind == "text":
+            out.append(f"t{rng.randrange(1000)} u ")
+        elif kind in ("ul", "ol"):
+            out.append((kind, *looks, [("li", "", "", random_page(rng, depth + 2)) for _ in range(rng.randrange(1, 4))]))
+        elif kind == "table":
+            out.append((kind, "", "", [[(rng.choice([1, 1, 1, 2]), rng.choice([1, 1, 1, 2]), f"c{rng.randrange(10 ** rng.randrange(1, 7))}") for _ in range(rng.randrange(1, 4))] for _ in range(rng.randrange(1, 4))]))
+        elif kind == "p":
+            out.append((kind, *looks, [x for x in random_page(rng, 4) if isinstance(x, str)]))
+        else:
+            out.append((kind, *looks, [] if kind == "br" else random_page(rng, depth + 1)))
+    return out
+
+
+def written(page):
+    def one(x):
+        if isinstance(x, str):
+            return x
+        tag, cls, style, inner = x
+        looks = f" class={cls}" * bool(cls) + f" style='{style}'" * bool(style)
+        if tag == "br":
+            return f"<br{looks}>"
+        if tag == "table":
+            return "<table>" + "".join("<tr>" + "".join(f"<td rowspan={r} colspan={c}>{t}" for r, c, t in row) for row in inner) + "</table>"
+        return f"<{tag}{looks}>{written(inner)}</{tag}>"
+
+    return "".join(map(one, page))
+
+
+def plain_lines(page, classes=(), visible=True):
+    """The lines that a page shows, by plain recursion: strings, and None where an empty line may stand."""
+    lines, now = [], ""
+
+    def flush():
+        nonlocal now
+        if now.strip():
+            lines.append(" ".join(now.split()))
+        now = ""
+
+    for x in page:
+        if isinstance(x, str):
+            now += x if visible else (" " if now else "")
+            continue
+        tag, cls, style, inner = x
+        if style == "display:none" or (cls == "x" and "k" in classes):
+            continue
+        seen = visible if not style.startswith("visibility") else style == "visibility:visible"
+        within = (*classes, cls)
+        if tag == "b":
+            got = plain_lines(inner, within, seen)
+            if got and not any(y is None for y in got) and len(got) == 1 and all(isinstance(y, str) for y in inner):
+                now += got[0] + " "
+            else:
+                return None  # blocks within inline elements: not this plain
+        elif tag == "br":
+            return None
+        elif tag == "table":
+            flush()
+            spots, widths = {}, {}
+            for r, row in enumerate(inner):
+                c = 0
+                for down, span, text in row:
+                    while (r, c) in spots:
+                        c += 1
+                    n = 1
+                    while n < span and (r, c + n) not in spots:
+                        n += 1
+                    for i in range(down):
+                        for j in range(n):
+                            spots[r + i, c + j] = ("", 1)
+                        spots[r + i, c] = (text if visible and i == 0 else "", n)
+                    if n == 1:
+                        widths[c] = max(widths.get(c, 0), len(text) if visible else 0)
+                    c += n
+            lines.append(None)
+            for r in range(len(inner)):
+                cells, c, end = "", 0, max((j for i, j in spots if i == r), default=-1)
+                while c <= end:
+                    text, n = spots.get((r, c), ("", 1))
+                    wide = sum(widths.get(c + k, 0) for k in range(n)) + 3 * (n - 1)
+                    cells += text.ljust(wide) + " | "
+                    c += n
+                if cells.strip(" |"):
+                    lines.append(cells.rstrip(" |"))
+            lines.append(None)
+        else:
+            flush()
+            parts = inner if tag in ("ul", "ol") else [(tag, "", "", inner)]
+            spaced = tag in ("p", "ul", "ol", "blockquote")
+            got = []
+            for k, (_, _, _, content) in enumerate(parts):
+                own = plain_lines(content, within, seen)
+                if own is None or (tag in ("ul", "ol") and None in own):
+                    return None
+                sign = {"ul": "- ", "ol": f"{k + 1}. ", "blockquote": "> "}.get(tag, "")
+                if tag in ("ul", "ol"):
+                    if not own:
+                        return None
+                    got += [(sign if seen and i == 0 else " " * len(sign)) + y for i, y in enumerate(own)]
+                elif tag == "blockquote":
+                    if None in own:
+                        return None
+                    got += [sign + y for y in own]
+                else:
+                    got += own
+            lines += [None] * spaced + got + [None] * spaced
+    flush()
+    return lines
+
+
+def test_html_layout_equals_plain_recursion():
+    rng, seen = random.Random(31), 0
+    for _ in range(6000):
+        page = random_page(rng)
+        lines = plain_lines(page)
+        if lines is None:
+            continue
+        seen += 1
+        want, gap = [], False
+        for x in lines:
+            if x is None:
+                gap = bool(want)
+            else:
+                want += [""] * gap + [x]
+                gap = False
+        html = "<style>.k .x{display:none}</style>" + written(page)
+        got = render(*parse(html))
+        assert [x.rstrip() for x in got.split("\n")] == ([x.rstrip() for x in want] or [""]), html
+    assert seen > 1000
