@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.fixed import SEVERITIES
-from sieveline.operators import compare, policy, prepare, report, scan, transform
-from sieveline.operators.evidence import display_path
-from sieveline.sources import media, reports
+from sieveline.operators import compare, hygiene, policy, prepare, render, report, scan, transform
+from sieveline.sources import files, media, reports
 
 
 def session() -> SparkSession:
@@ -23,8 +22,17 @@ def session() -> SparkSession:
     return spark
 
 
-def show(value) -> None:
-    print(json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False, default=str))
+#: How answers are printed: json or text.
+FORMAT = ["json"]
+
+
+def show(value, lines=None) -> None:
+    """Print an answer, as JSON or as its lines of text."""
+    if FORMAT[0] == "json":
+        print(json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False, default=str))
+    else:
+        for line in lines if lines is not None else render.value_lines(value):
+            print(line)
 
 
 def rows(df: DataFrame) -> list[dict]:
@@ -32,29 +40,43 @@ def rows(df: DataFrame) -> list[dict]:
 
 
 def scanned(spark: SparkSession, paths: list[str], limits: dict | None = None) -> dict[str, DataFrame]:
-    """The relations of local paths, files over a limit and what a listing leaves out among the gaps and findings."""
-    limits = scan.LIMITS | (limits or {})
-    contents, left_out = scan.files(spark, *paths, limits=limits)
-    out = scan.scan(contents, limits, secrets.token_bytes(32), tuple(paths))
-    extra = [(f"{os.path.basename(os.path.abspath(top))}/{p}", k, r) for top in paths if os.path.isdir(top) for p, k, r in scan.walk(top, limits)]
-    rules = report.catalog(spark).select("rule_id", "category", F.col("default_severity").alias("severity"), "confidence")
-    listed = spark.createDataFrame([x for x in extra if x[1] == "finding"], "path string, part string, rule_id string").withColumn("part", F.lit("")).join(rules, "rule_id")
-    gaps = left_out.withColumn("part", F.lit("")).withColumn("path", display_path(scan.below(F.col("path"), tuple(paths)))["value"]).unionByName(spark.createDataFrame([(p, "files", "not_followed" if k == "finding" else r, "") for p, k, r in extra if k != "directory"], "path string, capability string, reason string, part string"))
-    return out | {"findings": out["findings"].unionByName(listed, allowMissingColumns=True), "gaps": out["gaps"].unionByName(gaps)}
+    """The relations of local paths."""
+    return scan.scan_paths(spark, *paths, limits=scan.LIMITS | (limits or {}), key=secrets.token_bytes(32))
+
+
+def checked(found: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The relations, if nothing in them is against the rules for what may leave."""
+    if bad := sorted(f"{r.relation}:{r.code}" for r in hygiene.violations(found).collect()):
+        raise reports.ReportError("report_hygiene " + ",".join(bad))
+    return found
 
 
 def totals(found: dict[str, DataFrame]) -> DataFrame:
     """One summary row of saved relations."""
     f = found["findings"].agg(F.count("*").alias("findings"), *report.severity_counts(), F.collect_set("category").alias("categories"))
-    a = found["artifacts"].agg(F.count("*").alias("artifacts_total"), F.count_if(F.col("status") == "scanned").alias("artifacts_complete"), F.count_if(F.col("status") == "partial").alias("artifacts_partial"), F.coalesce(F.array_compact(F.collect_list("coverage")), F.array().cast("array<map<string,string>>")).alias("coverage"))
+    a = found["artifacts"].agg(F.count("*").alias("artifacts_total"), F.count_if(F.col("status") == "scanned").alias("artifacts_complete"), F.count_if(F.col("status") == "partial").alias("artifacts_partial"), F.coalesce(F.collect_set(F.array_sort(F.map_entries("coverage"))), F.array()).alias("coverage")).withColumn("coverage", F.transform("coverage", F.map_from_entries))
     g = found["gaps"].agg(F.count("*").alias("gaps"))
-    row = a.join(F.broadcast(f)).join(F.broadcast(g)).withColumn("errors", F.lit(0).cast("long"))  # one row each
-    incomplete = (F.col("gaps") > 0) | (F.col("artifacts_partial") > 0)
-    return row.withColumn("verdict", report.verdict(incomplete, F.col("high") + F.col("critical") > 0, F.col("findings") > 0)).withColumn("partial_coverage", F.lit(False)).withColumn("dependencies_missing", F.lit(False))
+    e = found["errors"].agg(F.count("*").alias("errors"))
+    d = found["dependencies"].agg(F.coalesce(F.bool_or(~F.col("available")), F.lit(False)).alias("dependencies_missing"))
+    row = a.join(F.broadcast(f)).join(F.broadcast(g)).join(F.broadcast(e)).join(F.broadcast(d))  # one row each
+    incomplete = (F.col("gaps") > 0) | (F.col("artifacts_partial") > 0) | (F.col("errors") > 0)
+    partial = F.exists("coverage", lambda m: F.exists(F.map_values(m), lambda v: v.isin("partial", "unsupported")))
+    return row.withColumn("verdict", report.verdict(incomplete, F.col("high") + F.col("critical") > 0, F.col("findings") > 0)).withColumn("partial_coverage", partial)
+
+
+def parse_size(text: str) -> int:
+    """A positive whole number of bytes, with or without a unit (b, kb, kib, mb, mib, gb, gib)."""
+    units = {"": 1, "b": 1, "kb": 1000, "kib": 1 << 10, "mb": 1000**2, "mib": 1 << 20, "gb": 1000**3, "gib": 1 << 30}
+    plain = text.strip().lower()
+    number = plain.rstrip("bgikm")
+    if not (number.isascii() and number.isdigit()) or plain[len(number) :] not in units or int(number) == 0:
+        raise argparse.ArgumentTypeError(f"no size: {text!r}")
+    return int(number) * units[plain[len(number) :]]
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="sieveline", description=__doc__)
+    top.add_argument("--format", choices=["json", "text"], default="json")
     sub = top.add_subparsers(dest="command", required=True)
 
     def add(group, name, *names, **options):
@@ -66,7 +88,8 @@ def parser() -> argparse.ArgumentParser:
         return p
 
     fail = {"default": "high", "choices": ["never", *SEVERITIES]}
-    add(sub, "scan", "paths", out={"help": "a new folder for the relations"}, fail_on=fail)
+    sizes = {f"max_{n}": {"type": parse_size, "help": "a size, such as 10MiB"} for n in ("file_bytes", "total_bytes", "text_bytes", "archive_expanded_bytes")}
+    add(sub, "scan", "paths", out={"help": "a new folder for the relations"}, fail_on=fail, **sizes)
     add(sub, "check", "paths", config={"help": "a policy in TOML"})
     add(sub, "sanitize", "source", "target")
     add(sub, "verify", "before", "after")
@@ -88,7 +111,33 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def sanitize(spark: SparkSession, source: str, target: str) -> list[tuple[str, str]]:
+    """Copies of all files below source without metadata, in a new folder; and what was not copied, with the reason for each."""
+    if os.path.lexists(target):
+        raise prepare.PrepareError("target_exists")
+    found = files.listing(spark, source)
+    contents = files.contents(spark, found).persist()
+    roots = (files.plain(source),)
+    shown = lambda path: scan.display_path(scan.below(F.col(path), roots))["value"]
+    notes = [(r[0], r[1]) for r in contents.where("reason IS NOT NULL").select(shown("path"), "reason").collect()]  # as many as the limits allow files
+    left = [(p, k) for p, k in found.others if k not in ("directory", "empty")]
+    notes += [(r[0], r[1]) for r in spark.createDataFrame(left, "path string, kind string").select(shown("path"), "kind").collect()]
+    notes += [(code, message) for code, message in found.errors] + [("the scan", "file_count_limit")] * found.cut
+    root = os.path.abspath(roots[0])
+    os.makedirs(target)
+    for path, _ in (x for x in found.others if x[1] == "empty" and x[0] != root):
+        os.makedirs(os.path.join(target, os.path.relpath(path, root)), exist_ok=True)
+    for r in transform.transform(contents.where("reason IS NULL"), secrets.token_bytes(32)).toLocalIterator():
+        inner = os.path.relpath(r.path, root) if r.path != root else os.path.basename(root)
+        path = os.path.join(target, inner)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        transform.write_exclusive(path, bytes(r.copy))
+    contents.unpersist()
+    return sorted(notes)
+
+
 def run(a: argparse.Namespace) -> int:
+    FORMAT[0] = a.format
     if a.command == "formats":
         show(["text", "zip", *media.OFFICE_TYPES, "pdf", "png", "jpeg"])
         return 0
@@ -114,13 +163,14 @@ def run(a: argparse.Namespace) -> int:
         show({"cases": len(cases.RULE_CASES.rows), "wrong": [r.case_id for r in wrong]})
         return int(bool(wrong))
     if a.command == "scan":
-        found = scanned(spark, a.paths)
+        given = {k: v for k, v in vars(a).items() if k.startswith("max_") and v}
+        found = checked(scanned(spark, a.paths, given))
         if a.out:
             reports.write_relations(found, a.out)
             found = reports.read_relations(spark, a.out)
-        row = report.exit_code(totals(found).drop("coverage", "categories"), a.fail_on).first()
-        show(row.asDict())
-        return row.exit_code
+        row = report.exit_code(totals(found).drop("coverage", "categories"), a.fail_on).first().asDict()
+        show(row, render.scan_lines(row, found))
+        return row["exit_code"]
     if a.command == "check":
         p = policy.load(a.config) if a.config else policy.Policy()
         given = spark.createDataFrame([(1, p.fail_on, list(p.required_capabilities), list(p.blocking_categories), "missing" if p.manifest_enabled else None)], "policy_id long, fail_on string, required array<string>, blocking array<string>, manifest string")
@@ -130,37 +180,35 @@ def run(a: argparse.Namespace) -> int:
     if a.command == "report":
         if a.action == "diff":
             old, new = (reports.read_relations(spark, x)["findings"] for x in (a.old, a.new))
-            show(rows(compare.diff(old, new, ["rule_id", "path", "part"]).orderBy("path", "part", "rule_id")))
+            where = ["rule_id", "path", "part", "line", "column"]
+            out = rows(compare.diff(compare.sides(old, new, where), where).orderBy("path", "part", "line", "column", "rule_id"))
+            show(out, render.table_lines(out))
             return 0
         found = reports.read_relations(spark, a.folder)
         if a.action == "show":
-            show(rows(report.show(found["findings"], a.by, a.min_severity).orderBy("place")))
+            out = rows(report.show(found["findings"], a.by, a.min_severity).orderBy("place"))
+            show(out, render.table_lines(out))
         else:
             show(totals(found).drop("coverage", "categories", "partial_coverage", "dependencies_missing").first().asDict())
         return 0
     if a.command in ("sanitize", "verify"):
-        if a.command == "sanitize":
-            if os.path.lexists(a.target):
-                raise prepare.PrepareError("target_exists")
-            contents, _ = scan.files(spark, a.source)
-            os.makedirs(a.target)
-            for r in transform.transform(contents, secrets.token_bytes(32)).toLocalIterator():
-                path = os.path.join(a.target, os.path.relpath(r.path.removeprefix("file:"), a.source))
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                transform.write_exclusive(path, bytes(r.copy))
+        notes = sanitize(spark, a.source, a.target) if a.command == "sanitize" else []
         before, after = (a.source, a.target) if a.command == "sanitize" else (a.before, a.after)
         key = ["name", "part", "rule_id"]
         sides = [scanned(spark, [p]) for p in (before, after)]
-        named = [s["findings"].withColumn("name", F.substring_index("path", "/", -1)).select(*key) for s in sides]
+        # Names below the two roots, which are called differently.
+        below = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "^[^/]*/", "")).otherwise(F.col("path"))
+        named = [s["findings"].withColumn("name", below if os.path.isdir(p) else F.lit("")).select(*key) for s, p in zip(sides, (before, after), strict=True)]
         verdicts = [totals(s).first().verdict for s in sides]
-        row = compare.outcome(compare.occurrences(*named, key, key), *verdicts).first()
-        show(row.asDict())
-        return 0 if row.outcome in ("improved", "unchanged") else 1 if row.outcome == "regressed" else 2
+        row = compare.outcome(compare.occurrences(compare.sides(*named, key), key), *verdicts, verified=not notes).first().asDict()
+        show(row | {"not_done": notes}, render.operation_lines(a.command, row, notes))
+        return 0 if row["outcome"] in ("improved", "unchanged") else 1 if row["outcome"] == "regressed" else 2
     save = lambda value, path: transform.write_exclusive(path, json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False).encode())
     if a.action == "plan":
         save(prepare.make_plan(spark, a.source, reports.load(a.decisions)["actions"]), a.out)
     elif a.action == "inspect":
-        show(prepare.inspect(prepare.read(a.plan)))
+        plan = prepare.inspect(spark, prepare.read(a.plan))
+        show(plan, render.value_lines(plan))
     elif a.action == "approve":
         plan = prepare.read(a.plan)
         save(prepare.approve(plan, [x["action_id"] for x in plan["actions"]]), a.out)
@@ -168,7 +216,7 @@ def run(a: argparse.Namespace) -> int:
         plan = prepare.read(a.plan)
         out = prepare.apply(spark, a.source, plan, prepare.read(a.approval), a.target) if a.action == "apply" else prepare.verify(spark, a.source, plan, a.target)
         states = rows(out.orderBy("path"))
-        show(states)
+        show(states, render.table_lines(states))
         return int(any(r["state"] != "ok" for r in states))
     return 0
 

@@ -31,6 +31,9 @@ LIMITS = {
     "max_png_chunks": 4_096,
 }
 
+#: Gaps that are kept free to say that gaps, errors, fields or a whole report were cut (fixed value).
+CONTROL_GAPS = 4
+
 #: White space as the patterns mean it (Unicode, spelled out: Java's \\s is ASCII).
 WS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -93,8 +96,8 @@ HOME_MASKS = (
 )
 
 #: Names of files that are sensitive whatever they hold (fixed values).
-SENSITIVE_NAMES = (".env", ".git-credentials", ".netrc", ".npmrc", ".pypirc", "credentials.json", "id_dsa", "id_ecdsa", "id_ed25519", "id_rsa", "secrets.json", "secrets.yaml", "secrets.yml", "service-account.json")
-SENSITIVE_SUFFIXES = (".jks", ".key", ".keystore", ".p12", ".pem", ".pfx")
+SENSITIVE_NAMES = (".env", ".npmrc", ".pypirc", ".netrc", "credentials", "credentials.json", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "secrets.yml", "secrets.yaml", "service-account.json", "key.pem", "private.pem")
+SENSITIVE_SUFFIXES = (".pem", ".key", ".p12", ".pfx")
 VCS_DIRECTORIES = (".git", ".hg", ".svn")
 
 #: Structural rules of files and containers, and their severities.

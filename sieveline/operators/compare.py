@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def diff(old: DataFrame, new: DataFrame, structure: list[str]) -> DataFrame:
-    """For each structure how often it is in both, only in the new, and only in the old report (multisets)."""
-    a = old.groupBy(*structure).agg(F.count("*").alias("_o"))
-    b = new.groupBy(*structure).agg(F.count("*").alias("_n"))
-    o, n = F.coalesce("_o", F.lit(0)), F.coalesce("_n", F.lit(0))
-    return a.join(b, structure, "full_outer").select(*structure, F.least(o, n).cast("long").alias("same"), F.greatest(n - o, F.lit(0)).cast("long").alias("new"), F.greatest(o - n, F.lit(0)).cast("long").alias("resolved"))
+def sides(old: DataFrame, new: DataFrame, structure: list[str]) -> DataFrame:
+    """The rows of both reports, each with its side ('old' or 'new')."""
+    return old.select(*structure, F.lit("old").alias("side")).unionByName(new.select(*structure, F.lit("new").alias("side")))
 
 
-def numbered(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The occurrence of each row among those with an equal key."""
-    return rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+def diff(rows: DataFrame, structure: list[str]) -> DataFrame:
+    """For each structure of sided rows how often it is in both, only in the new, and only in the old report (multisets). One aggregate, no join."""
+    counted = rows.groupBy(*structure).agg(F.count_if(F.col("side") == "old").alias("_o"), F.count_if(F.col("side") == "new").alias("_n"))
+    o, n = F.col("_o"), F.col("_n")
+    return counted.select(*structure, F.least(o, n).cast("long").alias("same"), F.greatest(n - o, F.lit(0)).cast("long").alias("new"), F.greatest(o - n, F.lit(0)).cast("long").alias("resolved"))
 
 
-def occurrences(before: DataFrame, after: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Every finding of either scan as resolved, remaining or introduced, paired by key and occurrence."""
-    a = numbered(before, key, order).select(*key, "occurrence", F.lit(1).alias("_b"))
-    b = numbered(after, key, order).select(*key, "occurrence", F.lit(1).alias("_a"))
-    state = F.when(F.col("_a").isNull(), "resolved").when(F.col("_b").isNull(), "introduced").otherwise("remaining")
-    return a.join(b, [*key, "occurrence"], "full_outer").select(*key, "occurrence", state.alias("state"))
+def occurrences(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Every finding of sided rows as resolved, remaining or introduced, paired by key and occurrence (which counts those of an equal key)."""
+    counted = rows.groupBy(*key).agg(F.count_if(F.col("side") == "old").alias("_o"), F.count_if(F.col("side") == "new").alias("_n"))
+    each = counted.withColumn("occurrence", F.explode(F.sequence(F.lit(1), F.greatest("_o", "_n").cast("int"))))
+    state = F.when(F.col("occurrence") > F.col("_n"), "resolved").when(F.col("occurrence") > F.col("_o"), "introduced").otherwise("remaining")
+    return each.select(*key, "occurrence", state.alias("state"))
 
 
 def outcome(states: DataFrame, before_verdict: str, after_verdict: str, verified: Column | bool = True) -> DataFrame:
@@ -36,12 +35,16 @@ def outcome(states: DataFrame, before_verdict: str, after_verdict: str, verified
     return counts.withColumn("outcome", result).withColumn("ready_for_review", complete & ok & F.lit(after_verdict == "no_findings") & (F.col("introduced") == 0))
 
 
-def artifact_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Artifacts (path, token) of two scans by path: added, removed, changed, unchanged; a path that is there twice compares as a multiset."""
-    sign = lambda d, n: d.groupBy("path").agg(F.array_sort(F.collect_list("token")).alias(n))
-    both = sign(before, "_b").join(sign(after, "_a"), "path", "full_outer")
-    state = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").when(F.col("_a") == F.col("_b"), "unchanged").otherwise("changed")
-    return both.select("path", state.alias("state"), F.coalesce(F.size("_b"), F.lit(0)).cast("long").alias("before"), F.coalesce(F.size("_a"), F.lit(0)).cast("long").alias("after"))
+def artifact_changes(rows: DataFrame) -> DataFrame:
+    """Artifacts (path, token, side) of two scans by path: added, removed, changed, unchanged; a path that is there twice compares as a multiset of tokens.
+
+    Tokens are counted before paths are, so that a path of very many artifacts is never one row.
+    """
+    count = lambda s: F.count_if(F.col("side") == s)
+    each = rows.groupBy("path", "token").agg(count("old").alias("_o"), count("new").alias("_n"))
+    per = each.groupBy("path").agg(F.sum("_o").alias("before"), F.sum("_n").alias("after"), F.bool_and(F.col("_o") == F.col("_n")).alias("_same"))
+    state = F.when(F.col("before") == 0, "added").when(F.col("after") == 0, "removed").when(F.col("_same"), "unchanged").otherwise("changed")
+    return per.select("path", state.alias("state"), F.col("before").cast("long").alias("before"), F.col("after").cast("long").alias("after"))
 
 
 def receipts(changed: DataFrame, actions: DataFrame, receipts_: DataFrame) -> DataFrame:

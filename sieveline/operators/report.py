@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import fixed
-from sieveline.functions.fixed import SEVERITIES
+from sieveline.functions.fixed import LIMITS, SEVERITIES
 
-from .detect import ALL, findings
+from .detect import ALL, detect, findings
 from .evidence import hmac_token, mask_value, stable_id
 
 
@@ -39,11 +41,61 @@ def masked_findings(docs: DataFrame, keys: list[str], key: bytes | None = None,
     return found.withColumn("finding_id", stable_id("f", *[F.col(k) for k in keys], F.col("rule_id"), F.col("line"), F.col("column"), F.col("occurrence")))
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add each row's place among those of its key (_n, from 1) and how many those are (_total), from one exchange."""
+    same = Window.partitionBy(*keys)
+    return rows.withColumns({"_n": F.row_number().over(same.orderBy(*order)), "_total": F.count("*").over(same)})
+
+
 def cap(rows: DataFrame, keys: list[str], order: list[str], most: int) -> tuple[DataFrame, DataFrame]:
     """The first `most` rows of each key, and a gap row for each key that had more (not for one that just fits)."""
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    gaps = rows.groupBy(*keys).agg(F.count("*").alias("total")).where(F.col("total") > most).select(*keys, F.lit("text").alias("capability"), F.lit("finding_limit").alias("reason"), (F.col("total") - most).cast("long").alias("omitted"))
-    return numbered.where(F.col("_n") <= most).drop("_n"), gaps
+    placed = numbered(rows, keys, order)
+    gaps = placed.where((F.col("_n") == 1) & (F.col("_total") > most)).select(*keys, F.lit("text").alias("capability"), F.lit("finding_limit").alias("reason"), (F.col("_total") - most).cast("long").alias("omitted"))
+    return placed.where(F.col("_n") <= most).drop("_n", "_total"), gaps
+
+
+def cap_all(rows: DataFrame, keys: list[str], order: list[str], each: int = LIMITS["max_findings_per_artifact"], total: int = LIMITS["max_findings_total"]) -> tuple[DataFrame, DataFrame]:
+    """The first `each` rows of each key and of those, in the order of keys, the first `total`; and the gaps.
+
+    A key that had more than `each` has the gap artifact_finding_limit, unless the
+    total was used up before; a row without keys (global_finding_limit) says that
+    the total cut something. Neither is there for an exact fit. Only the first
+    `total` keys can keep anything, so only they are put in order.
+    """
+    placed = numbered(rows, keys, order)
+    per = placed.where("_n = 1").select(*keys, F.col("_total").alias("_of"))
+    before = F.sum(F.least("_of", F.lit(each))).over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))  # of `total` rows at most
+    first = per.orderBy(*keys).limit(total).withColumn("_before", F.coalesce(before, F.lit(0)))
+    on = [F.col(f"_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    spans = F.broadcast(first.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_before"))
+    joined = placed.join(spans, reduce(lambda a, b: a & b, on)).where((F.col("_n") <= each) & (F.col("_before") + F.col("_n") <= total))
+    full = first.where((F.col("_of") > each) & (F.col("_before") + each <= total)).select(*keys, F.lit("findings").alias("capability"), F.lit("artifact_finding_limit").alias("reason"))
+    # What is tried: one more than fits of each key, until the total is full.
+    sums = per.agg(F.sum(F.least("_of", F.lit(each))).alias("fit"))
+    last = first.agg(F.max(F.col("_before") + F.least("_of", F.lit(each + 1))).alias("tried"))
+    over = sums.join(F.broadcast(last)).where((F.col("fit") > total) | (F.col("tried") > total))  # one row each
+    none = [F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys]
+    return joined.drop("_n", "_total", "_before", *[f"_k{i}" for i in range(len(keys))]), full.unionByName(over.select(*none, F.lit("findings").alias("capability"), F.lit("global_finding_limit").alias("reason")))
+
+
+def cap_gaps(gaps: DataFrame, errors: DataFrame, order: list[str], most: int = LIMITS["max_gaps_total"], most_errors: int = LIMITS["max_errors_total"]) -> tuple[DataFrame, DataFrame]:
+    """Gaps and errors within their limits. Four gaps are kept free for what says that something was cut: control gaps, without path."""
+    room = max(0, most - fixed.CONTROL_GAPS)
+    each = gaps.distinct()
+    first = each.orderBy(*order).limit(room)
+    control = lambda df, n, reason: df.agg(F.count("*").alias("_c")).where(F.col("_c") > n).select(*[F.lit({"capability": "reporting", "reason": reason}.get(c)).cast(gaps.schema[c].dataType).alias(c) for c in gaps.columns])
+    out = first.unionByName(control(each, room, "global_gap_limit")).unionByName(control(errors, most_errors, "global_error_limit"))
+    return out, errors.orderBy(*errors.columns).limit(most_errors)
+
+
+def artifacts_of(docs: DataFrame, keys: list[str], text: str = "text", most: int = LIMITS["max_findings_per_artifact"]) -> DataFrame:
+    """One row for each row of docs, as artifacts() gives them, and the categories of its findings: all within the row, without a shuffle."""
+    found = detect(docs.select(*dict.fromkeys([*keys, text])), text, "_hits").withColumn("_kept", F.slice("_hits", 1, most))
+    of = lambda s: F.size(F.filter("_kept", lambda h: h["severity"] == s)).cast("long").alias(s)
+    worst = F.array_max(F.transform("_kept", lambda h: rank(h["severity"])))
+    named = F.when(worst.isNotNull(), F.element_at(F.array(*map(F.lit, SEVERITIES)), worst.cast("int") + 1))
+    gaps = (F.size("_hits") > most).cast("long")
+    return found.select(*keys, F.size("_kept").cast("long").alias("findings"), *[of(s) for s in SEVERITIES], gaps.alias("gaps"), named.alias("worst"), F.when(gaps > 0, "partial").otherwise("scanned").alias("status"), F.array_distinct(F.transform("_kept", lambda h: h["category"])).alias("categories"))
 
 
 def artifacts(docs: DataFrame, found: DataFrame, gaps: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,10 +112,10 @@ def verdict(incomplete: Column, high: Column, any_: Column) -> Column:
     return F.when(incomplete, "incomplete").when(high, "block").when(any_, "review").otherwise("no_findings")
 
 
-def summary(per_artifact: DataFrame, errors: int = 0) -> DataFrame:
-    """One row: totals, counts by severity and the technical verdict."""
+def summary(per_artifact: DataFrame, errors: int = 0, more: list[Column] | None = None) -> DataFrame:
+    """One row: totals, counts by severity and the technical verdict, and what else is to be summed in the same pass."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    out = per_artifact.agg(F.count("*").alias("artifacts_total"), F.count_if(F.col("status") == "scanned").alias("artifacts_complete"), F.count_if(F.col("status") == "partial").alias("artifacts_partial"), *[total(s).alias(s) for s in SEVERITIES], total("findings").alias("findings"), total("gaps").alias("gaps"))
+    out = per_artifact.agg(F.count("*").alias("artifacts_total"), F.count_if(F.col("status") == "scanned").alias("artifacts_complete"), F.count_if(F.col("status") == "partial").alias("artifacts_partial"), *[total(s).alias(s) for s in SEVERITIES], total("findings").alias("findings"), total("gaps").alias("gaps"), *(more or []))
     out = out.withColumn("errors", F.lit(errors).cast("long"))
     incomplete = (F.col("gaps") > 0) | (F.col("errors") > 0) | (F.col("artifacts_partial") > 0)
     return out.withColumn("verdict", verdict(incomplete, F.col("high") + F.col("critical") > 0, F.col("findings") > 0))

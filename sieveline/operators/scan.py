@@ -14,27 +14,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.functions import fixed
 from sieveline.functions.fixed import LIMITS
-from sieveline.sources import archives, images, media
+from sieveline.functions.spans import column_of, line_of
+from sieveline.sources import archives, files, images, media
+from sieveline.sources.scratch import held
 
 from . import report
-from .evidence import display_path
+from .detect import detect
+from .evidence import display_path, hmac_token, mask_value, stable_id
 
 #: PDF names and the rules they stand for (fixed values).
 PDF_NAMES = {"Author": "author", "Creator": "creator", "Producer": "producer", "Title": "title", "Subject": "subject", "Keywords": "keywords", "EmbeddedFiles": "attachment", "Filespec": "file_spec", "JavaScript": "javascript", "OpenAction": "open_action", "AcroForm": "form", "Annots": "annotation", "Redact": "redaction_annotation", "Encrypt": "encrypted"}
 EVENTS = "path string, event string, part string, name string, value string, n long, text string"
 
 
-def files(spark: SparkSession, *paths: str, limits: dict = LIMITS) -> tuple[DataFrame, DataFrame]:
-    """(files within the limits: path, length, content; gaps of the others). Sizes are checked before contents are read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-    order = Window.orderBy(F.lower("path"), "path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.when(F.col("length") <= limits["max_file_bytes"], F.col("length")).otherwise(0)
-    meta = listed.select("path", "length").withColumn("_total", F.sum(size).over(order)).withColumn("_n", F.count("*").over(order))
-    meta = meta.withColumn("reason", F.when(F.col("length") > limits["max_file_bytes"], "file_size_limit").when(F.col("_n") > limits["max_files"], "file_count_limit").when(F.col("_total") > limits["max_total_bytes"], "total_size_limit"))
-    gaps = meta.where("reason IS NOT NULL").select("path", F.lit("files").alias("capability"), "reason")
-    return listed.select("path", "length", "content").join(meta.where("reason IS NULL").select("path"), "path", "left_semi"), gaps
+def events_of_listing(spark: SparkSession, found: files.Found) -> DataFrame:
+    """The events of what a listing found besides files: links, folders, special files, and where it stopped."""
+    rows = []
+    for path, kind in found.others:
+        emit = lambda event, name="", value="": rows.append((path, event, "", name, value, 0 if event == "artifact" else 1, None))  # noqa: B023, E731
+        emit("artifact", {"link": "link", "special": "special"}.get(kind, "directory"), {"link": "inode/symlink", "special": "application/octet-stream"}.get(kind, "inode/directory"))
+        if rule := {"link": "file.symlink", "vcs": "file.vcs_metadata"}.get(kind):
+            emit("finding", rule)
+        if reason := {"link": "link_not_followed", "vcs": "vcs_history_not_scanned", "special": "special_file", "too_deep": "directory_depth_limit"}.get(kind):
+            emit("gap", "content", reason)
+            if kind != "vcs":
+                emit("coverage", "content", "partial")
+    if found.cut:
+        rows.append((None, "gap", "", "content", "file_count_limit", 1, None))
+    return spark.createDataFrame(rows, EVENTS)
+
+
+def unread(path: str, size: int, reason: str) -> Iterator[tuple]:
+    """The events of a file that was listed but not read."""
+    yield path, "artifact", "", "unread", "application/octet-stream", size, None
+    yield path, "gap", "", "content", reason, 1, None
+    yield path, "coverage", "", "content", "partial", 1, None
 
 
 def events_of(path: str, data: bytes, budget: list[int], depth: int = 0, limits: dict = LIMITS) -> Iterator[tuple]:
@@ -173,16 +188,26 @@ def _container(path: str, data: bytes, budget: list[int], depth: int, limits: di
 
 
 def open_files(contents: DataFrame, limits: dict = LIMITS) -> DataFrame:
-    """The events of files (path, content). One file is one task's work at a time; its expansion has a budget of its own."""
+    """The events of files (path, content, and reason and length if there are such columns). One file is one task's work at a time; its expansion has a budget of its own."""
+
+    def events(path: str, data: bytes | None, size: int | None, reason: str | None) -> Iterator[tuple]:
+        if data is None and reason:
+            yield from unread(path, size or 0, reason)
+            return
+        yield from events_of(path, data or b"", [limits["max_archive_expanded_bytes"]], 0, limits)
+        if reason:
+            yield path, "gap", "", "content", reason, 1, None
+            yield path, "coverage", "", "content", "partial", 1, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(),) * 5 + (pa.int64(), pa.string())
         for part in batches:
-            for path, data in zip(part.column("path"), part.column("content"), strict=True):
-                rows = list(events_of(path.as_py() or "", data.as_py() or b"", [limits["max_archive_expanded_bytes"]], 0, limits))
+            for path, data, size, reason in zip(*(part.column(c) for c in ("path", "content", "length", "reason")), strict=True):
+                rows = list(events(path.as_py() or "", data.as_py(), size.as_py(), reason.as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "event", "part", "name", "value", "n", "text"])
 
-    return contents.select("path", "content").mapInArrow(run, EVENTS)
+    extra = [F.col(c) if c in contents.columns else F.lit(None).cast(k).alias(c) for c, k in (("length", "long"), ("reason", "string"))]
+    return contents.select("path", "content", *extra).mapInArrow(run, EVENTS)
 
 
 def below(path: Column, roots: tuple[str, ...]) -> Column:
@@ -193,58 +218,75 @@ def below(path: Column, roots: tuple[str, ...]) -> Column:
     return path
 
 
-def scan(contents: DataFrame, limits: dict = LIMITS, key: bytes | None = None, roots: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """artifacts, findings and gaps of files (path, content). Read the events once: pass a DataFrame that is cheap to read again.
+#: Readers that are not here, by the kinds of files that they would read: name and capability.
+READERS = {"pdf": ("pdf_reader", "pdf_text_and_structure"), **dict.fromkeys(("png", "jpeg", "tiff", "webp"), ("image_reader", "rich_image_metadata"))}
+
+
+def scan(contents: DataFrame, limits: dict = LIMITS, key: bytes | None = None, roots: tuple[str, ...] = (), found: files.Found | None = None) -> dict[str, DataFrame]:
+    """artifacts, findings, gaps, errors and dependencies of files (path, content, reason), and of what a listing found besides them.
 
     Paths are reported from the last part of their root on, and names are
     searched in that form: what stands above a root is not part of a report.
+    Files are opened once: one pass finds, masks and drops their texts, and only
+    what is masked is written for the relations to be made of.
     """
-    events = open_files(contents, limits).withColumn("path", below(F.col("path"), roots))
-    texts = events.where("event = 'text'").select("path", "part", "text")
-    in_text, over = report.cap(report.masked_findings(texts, ["path", "part"], key), ["path", "part"], ["start", "end", "rule_id"], limits["max_findings_per_artifact"])
-    over = over.withColumns({"capability": F.lit("findings"), "reason": F.lit("artifact_finding_limit")})
-    in_names = report.masked_findings(events.where("event = 'artifact'").select("path", F.lit("name").alias("part"), F.col("path").alias("text")), ["path", "part"], key)
-    in_names = in_names.where("category IN ('pii', 'secret', 'unicode_control')").withColumns({"rule_id": F.lit("file.personal_name"), "severity": F.lit("high")})
-    rules = report.catalog(contents.sparkSession).select("rule_id", "category", F.col("default_severity").alias("severity"), "confidence")
-    named = events.where("event = 'artifact'").where(report.sensitive_name(F.col("path"))).select("path", F.lit("").alias("part"), F.lit("file.sensitive_name").alias("rule_id"), F.lit(1).cast("long").alias("n"))
-    built = events.where("event = 'finding'").select("path", "part", F.col("name").alias("rule_id"), "n").unionByName(named).join(F.broadcast(rules), "rule_id")
-    columns = ["path", "part", "rule_id", "category", "severity", "confidence", "evidence", "line", "column"]
-    found = in_text.select(*columns).unionByName(in_names.select(*columns)).unionByName(built.select("path", "part", "rule_id", "category", "severity", "confidence"), allowMissingColumns=True)
-    found = found.withColumn("path", display_path(F.col("path"))["value"])
-    gaps = events.where("event = 'gap'").select("path", "part", F.col("name").alias("capability"), F.col("value").alias("reason")).unionByName(over.drop("omitted")).distinct()
-    covered = report.coverage(events.where("event = 'coverage'").select(F.col("path").alias("artifact_id"), F.col("name").alias("capability"), "value", F.lit(0).alias("seq")))
-    artifacts = events.where("event = 'artifact'").select("path", F.col("name").alias("kind"), F.col("value").alias("media_type"), F.col("n").alias("size"))
-    artifacts = artifacts.join(covered, artifacts["path"] == covered["artifact_id"], "left").drop("artifact_id").withColumn("status", F.coalesce("status", F.lit("scanned")))
-    cut = over.select("path", F.lit("partial").alias("_cut")).distinct()
-    artifacts = artifacts.join(cut, "path", "left").withColumn("status", F.coalesce("_cut", "status")).drop("_cut")
-    shown = lambda df: df.withColumn("path", display_path(F.col("path"))["value"])
-    return {"artifacts": shown(artifacts), "findings": found, "gaps": shown(gaps)}
-
-
-def walk(root: str, limits: dict = LIMITS) -> list[tuple[str, str, str]]:
-    """(path below root, kind, rule or reason) of what a listing of files leaves out: links, version-control and empty folders, special files. On the driver, for local trees."""
-    import os
-
-    out, todo, n = [], [(root, "", 0)], 0
-    while todo:
-        top, below, depth = todo.pop()
-        entries = sorted(os.scandir(top), key=lambda e: (e.name.casefold(), e.name))
-        if not entries:
-            out.append((below or ".", "directory", ""))
-        for e in entries:
-            n += 1
-            path = f"{below}/{e.name}" if below else e.name
-            if n > limits["max_files"]:
-                return [*out, (path, "gap", "file_count_limit")]
-            if e.is_symlink():
-                out.append((path, "finding", "file.symlink"))
-            elif e.is_dir():
-                if e.name in fixed.VCS_DIRECTORIES:
-                    out.append((path, "finding", "file.vcs_metadata"))
-                elif depth + 1 >= limits["max_directory_depth"]:
-                    out.append((path, "gap", "directory_depth_limit"))
-                else:
-                    todo.append((e.path, path, depth + 1))
-            elif not e.is_file():
-                out.append((path, "gap", "special_file"))
-    return sorted(out)
+    spark = contents.sparkSession
+    events = open_files(contents, limits)
+    if found is not None:
+        events = events.unionByName(events_of_listing(spark, found))
+    each, total = limits["max_findings_per_artifact"], limits["max_findings_total"]
+    facts = held(_facts(events.withColumn("path", below(F.col("path"), roots)), key, each), "scan-facts")
+    event = lambda kind: facts.where((F.col("event") == kind) & (F.coalesce("pos", F.lit(0)) == 0))
+    turn = F.row_number().over(Window.partitionBy("shown").orderBy("path", "media_type"))
+    artifacts = event("artifact").select("path", "shown", F.col("name").alias("kind"), F.col("value").alias("media_type"), F.col("n").alias("size")).withColumn("occurrence", turn)
+    artifacts = held(artifacts.withColumn("artifact_id", stable_id("a", F.col("shown"), F.col("media_type"), F.col("occurrence"))), "scan-artifacts")
+    # Findings and gaps are tied to the artifact of their path; of two with one path, to the first.
+    ids = artifacts.groupBy("path").agg(F.min_by(F.struct("artifact_id", "shown"), "occurrence").alias("_a"))
+    hits = facts.where("rule_id IS NOT NULL")
+    in_names = hits.where("event = 'artifact' AND category IN ('pii', 'secret', 'unicode_control')").withColumns({"rule_id": F.lit("file.personal_name"), "severity": F.lit("high"), "part": F.lit("name")})
+    rules = report.catalog(spark).select("rule_id", "category", F.col("default_severity").alias("severity"), "confidence")
+    named = event("artifact").where(report.sensitive_name(F.col("path"))).select("path", F.lit("").alias("part"), F.lit("file.sensitive_name").alias("rule_id"))
+    built = event("finding").select("path", "part", F.col("name").alias("rule_id")).unionByName(named).join(F.broadcast(rules), "rule_id")
+    columns = ["path", "part", "rule_id", "category", "severity", "confidence", "evidence", "token", "line", "column", "start", "end"]
+    phase = lambda df, k: df.withColumn("_phase", F.lit(k))
+    every = phase(in_names.select(*columns), 0).unionByName(phase(built.select(*columns[:6]), 1), allowMissingColumns=True).unionByName(phase(hits.where("event = 'text'").select(*columns), 2))
+    kept, over = report.cap_all(every, ["path"], ["_phase", "part", "start", "end", "rule_id"], each, total)
+    kept, over = held(kept, "scan-findings"), held(over, "scan-cut")
+    place = Window.partitionBy("path", "part", "rule_id", "line", "column").orderBy("start", "end")
+    tied = lambda df: df.join(ids, "path", "left").withColumns({"artifact_id": F.col("_a.artifact_id"), "path": F.col("_a.shown")}).drop("_a")
+    findings = tied(kept.withColumn("occurrence", F.row_number().over(place)))
+    findings = findings.withColumn("finding_id", stable_id("f", *[F.col(c) for c in ("artifact_id", "part", "rule_id", "line", "column", "occurrence")]))
+    gaps = event("gap").select("path", "part", F.col("name").alias("capability"), F.col("value").alias("reason")).unionByName(over.withColumn("part", F.lit("")))
+    errors = spark.createDataFrame(found.errors if found is not None else [], "code string, message string")
+    gaps, errors = report.cap_gaps(tied(gaps), errors, ["path", "part", "capability", "reason"], limits["max_gaps_total"], limits["max_errors_total"])
+    covered = report.coverage(event("coverage").select(F.col("path").alias("artifact_id"), F.col("name").alias("capability"), "value", F.lit(0).alias("seq")))
+    cut = over.where("path IS NOT NULL").select("path", F.lit("partial").alias("_cut"))
+    out = artifacts.join(covered.withColumnRenamed("artifact_id", "path"), "path", "left").join(cut, "path", "left")
+    out = out.withColumn("status", F.coalesce("_cut", "status", F.lit("scanned"))).withColumn("path", F.col("shown")).drop("_cut", "shown")
+    reader = F.create_map(*[F.lit(x) for k, v in READERS.items() for x in (k, "/".join(v))])
+    needed = artifacts.select(F.try_element_at(reader, F.col("kind")).alias("r")).where("r IS NOT NULL").distinct()
+    dependencies = needed.select(F.substring_index("r", "/", 1).alias("name"), F.lit(False).alias("available"), F.substring_index("r", "/", -1).alias("capability"))
+    return {"artifacts": out, "findings": findings.select("finding_id", "artifact_id", *columns[:-2], "occurrence"), "gaps": gaps, "errors": errors, "dependencies": dependencies}
+
+
+def _facts(events: DataFrame, key: bytes | None, each: int) -> DataFrame:
+    """Events with what is found in texts and in artifacts' names, a row for each hit (pos from 0) or one for none; values are masked, texts gone.
+
+    One hit more than is kept of a text tells that there are more.
+    """
+    subject = F.when(F.col("event") == "text", F.col("text")).when(F.col("event") == "artifact", F.col("path"))
+    rows = detect(events.withColumn("_subject", subject).drop("text"), "_subject", "_hits", each + 1)
+    rows = rows.select("path", "event", "part", "name", "value", "n", "_subject", F.posexplode_outer("_hits").alias("pos", "_h"))
+    hit = {c: F.col(f"_h.{c}") for c in ("start", "end", "rule_id", "category", "severity", "confidence")}
+    evidence = mask_value(F.col("_h.value"), F.col("_h.value_class"))
+    token = F.lit(None).cast("string") if key is None else hmac_token(key, F.col("_h.value"))
+    place = {"line": line_of(F.col("_subject"), hit["start"]), "column": column_of(F.col("_subject"), hit["start"])}
+    shown = F.when((F.col("event") == "artifact") & (F.coalesce("pos", F.lit(0)) == 0), display_path(F.col("path"))["value"])
+    found = F.col("_h").isNotNull()
+    return rows.select("path", "event", "part", "name", "value", "n", "pos", *[c.alias(k) for k, c in hit.items()], F.when(found, evidence).alias("evidence"), F.when(found, token).alias("token"), *[F.when(found, c).alias(k) for k, c in place.items()], shown.alias("shown"))
+
+
+def scan_paths(spark: SparkSession, *paths: str, limits: dict = LIMITS, key: bytes | None = None) -> dict[str, DataFrame]:
+    """scan() of all that lies below some paths. Every entry of the listing is an artifact or a gap."""
+    found = files.listing(spark, *paths, limits=limits)
+    return scan(files.contents(spark, found, limits), limits, key, tuple(files.plain(p) if files.is_local(p) else p for p in paths), found)

@@ -117,3 +117,40 @@ INVENTORY = Literal("path string", [("copy.txt",), ("old.txt",), ("gone.txt",),
 TREE = Literal("path string", [("a/b.txt",), ("A/c.txt",), ("x/y",), ("x/y/z",), ("Same.txt",), ("same.TXT",), ("q/r/s",), ("q/R/t",), ("fine/file",)])
 EXPECTED = Literal("path string, size long, digest string, media_type string", [("a", 1, "d1", "text/plain"), ("b", 2, "d2", "text/plain"), ("c", 3, "d3", "image/png"), ("d", 4, "d4", "text/plain")])
 OBSERVED = Literal("path string, size long, digest string, media_type string", [("a", 1, "d1", "text/plain"), ("b", 9, "d9", "text/plain"), ("c", 3, "d3", "image/jpeg"), ("e", 5, "d5", "text/plain")])
+
+#: Texts of n findings each, in reports of their own: an exact fit of both limits, one more, and more than either.
+LONG_TEXTS = Literal(
+    "report string, artifact long, n long",
+    [("fits", k, 1000) for k in range(10)]
+    + [("fits_and_one", k, 1000) for k in range(10)] + [("fits_and_one", 10, 1)]
+    + [("long_text", 0, 1500), ("long_text", 1, 1001), ("long_text", 2, 1000), ("long_text", 3, 0)]
+    + [("last_is_long", k, 1000) for k in range(9)] + [("last_is_long", 9, 1001)]
+    + [("many", k, 900) for k in range(13)]
+    + [("few", 1, 1), ("few", 2, 0)],
+)
+#: Name, gaps and errors of cases for limits of 20 gaps and 5 errors.
+GAP_BUDGETS = [("none", 0, 0), ("fits", 16, 5), ("gaps_over", 17, 0), ("errors_over", 3, 6), ("both_over", 400, 90)]
+SENSITIVE_CASES = Literal(
+    "path string, sensitive boolean",
+    [("x/credentials", True), ("credentials", True), (".env", True), ("a/.ENV.local", True), ("a\\ID_RSA", True), ("k/server.pem", True), ("k/a.p12", True), ("secrets.yaml", True), ("service-account.json", True), ("key.pem", True)]
+    + [("x/my-credentials", False), (".git-credentials", False), ("secrets.json", False), ("a.jks", False), ("a.keystore", False), (".environment", False), ("id_rsa/readme.txt", False), ("pem", False)],
+)
+#: Faults, one in each row, and the codes that must be found: relation, column, value, codes.
+HYGIENE_FAULTS = [
+    ("findings", "path", "a\u202eb", ["raw_control_character", "unmasked_display_path"]),
+    ("findings", "path", "/home/ann/x", ["unmasked_home_path", "absolute_display_path", "unmasked_display_path"]),
+    ("findings", "path", "C:\\data\\x", ["absolute_display_path"]),
+    ("findings", "path", "docs/ann@example.com", ["unmasked_display_path"]),
+    ("findings", "part", "\\\\server\\share", ["unmasked_home_path", "absolute_display_path", "unmasked_display_path"]),
+    ("findings", "severity", "huge", ["invalid_severity"]),
+    ("findings", "confidence", "1.5", ["invalid_confidence"]),
+    ("findings", "evidence", "x" * 20_000, ["report_field_limit", "invalid_evidence"]),
+    ("findings", "evidence", "ann@example.com", ["invalid_evidence"]),
+    ("findings", "finding_id", "f-12", ["invalid_id"]),
+    ("findings", "artifact_id", "a-badbadbadbadbadbadba", ["unknown_artifact"]),
+    ("findings", "line", "0", ["invalid_location"]),
+    ("gaps", "reason", "a\tb", ["raw_control_character"]),
+    ("gaps", "artifact_id", "a-badbadbadbadbadbadba", ["unknown_artifact"]),
+    ("artifacts", "status", "fine", ["invalid_status"]),
+    ("artifacts", "path", "x" * 17_000, ["report_field_limit", "display_path_limit"]),
+]

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.operators import compare, inventory, policy, report
+from sieveline.operators import compare, hygiene, inventory, policy, report
 from sieveline.operators.detect import detect, findings
 from sieveline.operators.evidence import display_path, hmac_token, mask_value
+from sieveline.sources.scratch import held
 
 from . import cases
 
@@ -30,8 +31,14 @@ def query(sql: str | None = None):
     return add
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt to all of them: detection is work on texts, and a file of one row group is one task. Larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return _spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +83,7 @@ def scan_documents_severity(spark, sf_dir):
 @query("WITH " + _sql_findings("pages", "page_id", "html") + " SELECT rule_id, severity, count(*) AS n, count(DISTINCT k) AS artifacts FROM f GROUP BY ALL")
 def scan_pages(spark, sf_dir):
     """Findings in the markup of pages."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    pages = _spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
     return findings(pages, ["page_id"], "html").groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("artifacts"))
 
 
@@ -119,13 +126,11 @@ def findings_line_column(spark, sf_dir):
 @query(_F + f", c AS (SELECT k, count(*) AS findings, {_COUNTS}, max({_RANK.format('severity')}) AS w FROM f GROUP BY k) SELECT src.k AS doc_id, coalesce(findings, 0) AS findings, {', '.join(f'coalesce({s}, 0) AS {s}' for s in report.SEVERITIES)}, ['info', 'low', 'medium', 'high', 'critical'][w] AS worst, 'scanned' AS status FROM src LEFT JOIN c ON src.k = c.k")
 def artifact_summary(spark, sf_dir):
     """Each document as an artifact with its findings by severity."""
-    return _artifacts(spark, sf_dir).drop("gaps")
+    return _artifacts(spark, sf_dir).drop("gaps", "categories")
 
 
-def _artifacts(spark, sf_dir, most: int = 1000) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    kept, gaps = report.cap(_found(spark, sf_dir), ["doc_id"], ["start", "end", "rule_id"], most)
-    return report.artifacts(docs, kept, gaps, ["doc_id"])
+def _artifacts(spark, sf_dir) -> DataFrame:
+    return report.artifacts_of(_docs(spark, sf_dir), ["doc_id"])
 
 
 _SUMMARY = f"""c AS (SELECT k, count(*) AS findings, {_COUNTS} FROM f GROUP BY k),
@@ -165,8 +170,50 @@ for _by, _least in (("rule", "info"), ("category", "high"), ("severity", "medium
 @query(_F + ", n AS (SELECT k, count(*) AS n FROM f GROUP BY k) SELECT k AS doc_id, least(n, 1) AS kept, CAST(greatest(n - 1, 0) AS BIGINT) AS omitted FROM n")
 def findings_capped(spark, sf_dir):
     """One finding for each document, and gaps for those that have more."""
-    kept, gaps = report.cap(_found(spark, sf_dir), ["doc_id"], ["start", "end", "rule_id"], 1)
-    return kept.groupBy("doc_id").agg(F.count("*").alias("kept")).join(gaps.select("doc_id", "omitted"), "doc_id", "left").na.fill(0, ["omitted"])
+    placed = report.numbered(_found(spark, sf_dir), ["doc_id"], ["start", "end", "rule_id"])
+    return placed.groupBy("doc_id").agg(F.count_if(F.col("_n") <= 1).alias("kept"), F.max(F.greatest(F.col("_total") - 1, F.lit(0))).alias("omitted"))
+
+
+_PER, _ALL = 1000, 10_000
+
+
+@query(
+    f"""WITH t AS (SELECT * FROM {cases.LONG_TEXTS.sql()}),
+b AS (SELECT *, coalesce(sum(least(n, {_PER})) OVER (PARTITION BY report ORDER BY artifact ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
+g AS (SELECT report, max(before + least(n, {_PER} + 1)) > {_ALL} AS over FROM b WHERE n > 0 GROUP BY report)
+SELECT report, artifact, CAST(greatest(least(n, {_PER}, {_ALL} - before), 0) AS BIGINT) AS kept, n > {_PER} AND before + {_PER} <= {_ALL} AS artifact_gap, over AS global_gap FROM b JOIN g USING (report) WHERE n > 0"""
+)
+def findings_truncated(spark, sf_dir):
+    """Findings kept of texts with exactly as many as the limits allow, and with more, and the gaps that say so."""
+    out = None
+    texts = cases.LONG_TEXTS.spark(spark).withColumn("text", F.expr("repeat('a@example.test ', CAST(n AS INT))"))
+    every = held(report.findings(texts, ["report", "artifact"], most=_PER + 1).drop("value"), "truncated")
+    for name in sorted({r[0] for r in cases.LONG_TEXTS.rows}):
+        kept, gaps = report.cap_all(every.where(F.col("report") == name).drop("report"), ["artifact"], ["start", "end", "rule_id"], _PER, _ALL)
+        own = gaps.where("artifact IS NOT NULL").select(F.col("artifact").alias("_a"))
+        each = texts.where((F.col("report") == name) & (F.col("n") > 0)).select("report", "artifact")
+        counted = each.join(kept.groupBy("artifact").agg(F.count("*").alias("kept")), "artifact", "left").join(own, F.col("artifact") == F.col("_a"), "left")
+        over = gaps.where("artifact IS NULL").agg((F.count("*") > 0).alias("global_gap"))
+        part = counted.join(F.broadcast(over)).select("report", "artifact", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"), F.col("_a").isNotNull().alias("artifact_gap"), "global_gap")  # one row
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "SELECT * FROM (VALUES " + ", ".join(f"('{name}', CAST({g} AS BIGINT), CAST({min(g, 16)} AS BIGINT), {str(g > 16).lower()}, CAST({min(e, 5)} AS BIGINT), {str(e > 5).lower()})" for name, g, e in cases.GAP_BUDGETS) + ") AS t(case_name, gaps, kept, gaps_cut, errors, errors_cut)"
+)
+def gap_budget(spark, sf_dir):
+    """Gaps and errors within limits of 20 and 5: four gaps are kept free for what says that something was cut."""
+    out = None
+    for name, n_gaps, n_errors in cases.GAP_BUDGETS:
+        gaps = spark.range(n_gaps).select(F.col("id").cast("string").alias("path"), F.lit("content").alias("capability"), F.lit("read_error").alias("reason"))
+        errors = spark.range(n_errors).select(F.lit("entry_unreadable").alias("code"), F.col("id").cast("string").alias("message"))
+        kept, shown = report.cap_gaps(gaps.union(gaps), errors, ["path"], 20, 5)
+        control = lambda r: F.count_if(F.col("reason") == r) > 0
+        row = kept.agg(F.lit(name).alias("case_name"), F.lit(n_gaps).cast("long").alias("gaps"), F.count_if(F.col("path").isNotNull()).alias("kept"), control("global_gap_limit").alias("gaps_cut"), control("global_error_limit").alias("errors_cut"))
+        row = row.join(F.broadcast(shown.agg(F.count("*").alias("errors")))).select("case_name", "gaps", "kept", "gaps_cut", "errors", "errors_cut")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query(_F + f" SELECT k AS doc_id, sum({_RANK.format('severity')} * {_RANK.format('severity')})::BIGINT AS score, count(*) AS n FROM f GROUP BY k ORDER BY score DESC, doc_id LIMIT 20")
@@ -243,11 +290,9 @@ def duplicate_content_groups(spark, sf_dir):
     return report.duplicate_contents(_docs(spark, sf_dir))
 
 
-_SENSITIVE = "', '".join(report.fixed.SENSITIVE_NAMES)
-_ENDS = " OR ".join(f"ends_with(name, '{e}')" for e in report.fixed.SENSITIVE_SUFFIXES)
-
-
-@query(f"WITH p AS (SELECT page_id, url, lower(string_split(url, '/')[-1]) AS name FROM pages) SELECT page_id, name IN ('{_SENSITIVE}') OR starts_with(name, '.env.') OR {_ENDS} AS sensitive, CAST(len(regexp_extract_all(url, '[^/]+')) AS BIGINT) AS parts FROM p")
+@query(
+    "WITH p AS (SELECT page_id, url, lower(string_split(url, '/')[-1]) AS name FROM pages) SELECT page_id, name IN ('.env', '.npmrc', '.pypirc', '.netrc', 'credentials', 'credentials.json', 'id_rsa', 'id_dsa', 'id_ecdsa', 'id_ed25519', 'secrets.yml', 'secrets.yaml', 'service-account.json', 'key.pem', 'private.pem') OR starts_with(name, '.env.') OR ends_with(name, '.pem') OR ends_with(name, '.key') OR ends_with(name, '.p12') OR ends_with(name, '.pfx') AS sensitive, CAST(len(regexp_extract_all(url, '[^/]+')) AS BIGINT) AS parts FROM p"
+)
 def filename_scan(spark, sf_dir):
     """The urls of pages as paths: sensitive names, and number of parts."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -255,14 +300,22 @@ def filename_scan(spark, sf_dir):
     return pages.select("page_id", report.sensitive_name(F.col("url")).alias("sensitive"), parts.alias("parts"))
 
 
+@query(f"SELECT path, sensitive FROM {cases.SENSITIVE_CASES.sql()}")
+def sensitive_names(spark, sf_dir):
+    """Paths whose last part is a name that should not be shared, and some that only look so."""
+    return cases.SENSITIVE_CASES.spark(spark).select("path", report.sensitive_name(F.col("path")).alias("sensitive"))
+
+
 _EDIT = "CASE WHEN rule_id = 'pii.email' AND k % 2 = 0 THEN 'pii.renamed' ELSE rule_id END"
 
 
-def _two_reports(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The findings, and an edited copy: some renamed, some gone, some twice."""
-    old = _found(spark, sf_dir).select("doc_id", "rule_id")
-    new = old.where("doc_id % 5 <> 0").withColumn("rule_id", F.when((F.col("rule_id") == "pii.email") & (F.col("doc_id") % 2 == 0), "pii.renamed").otherwise(F.col("rule_id")))
-    return old, new.unionByName(old.where("doc_id % 7 = 0"))
+def _two_reports(spark, sf_dir) -> DataFrame:
+    """The findings, and an edited copy: some renamed, some gone, some twice. One scan gives both sides."""
+    found = _found(spark, sf_dir).select("doc_id", "rule_id")
+    renamed = F.when((F.col("rule_id") == "pii.email") & (F.col("doc_id") % 2 == 0), "pii.renamed").otherwise(F.col("rule_id"))
+    row = lambda side, rule: F.struct(F.lit(side).alias("side"), rule.alias("rule_id"))
+    rows = F.array_compact(F.array(row("old", F.col("rule_id")), F.when(F.col("doc_id") % 5 != 0, row("new", renamed)), F.when(F.col("doc_id") % 7 == 0, row("new", F.col("rule_id")))))
+    return found.select("doc_id", F.explode(rows).alias("_r")).select("doc_id", "_r.side", "_r.rule_id")
 
 
 _TWO = _F + f", o AS (SELECT k AS doc_id, rule_id FROM f), w AS (SELECT k AS doc_id, {_EDIT} AS rule_id FROM f WHERE k % 5 <> 0 UNION ALL SELECT k, rule_id FROM f WHERE k % 7 = 0)"
@@ -271,7 +324,7 @@ _TWO = _F + f", o AS (SELECT k AS doc_id, rule_id FROM f), w AS (SELECT k AS doc
 @query(_TWO + ", a AS (SELECT doc_id, rule_id, count(*) AS o FROM o GROUP BY ALL), b AS (SELECT doc_id, rule_id, count(*) AS n FROM w GROUP BY ALL) SELECT doc_id, rule_id, CAST(least(coalesce(o, 0), coalesce(n, 0)) AS BIGINT) AS same, CAST(greatest(coalesce(n, 0) - coalesce(o, 0), 0) AS BIGINT) AS new, CAST(greatest(coalesce(o, 0) - coalesce(n, 0), 0) AS BIGINT) AS resolved FROM a FULL JOIN b USING (doc_id, rule_id)")
 def diff_structural(spark, sf_dir):
     """Two reports as multisets: same, new and resolved."""
-    return compare.diff(*_two_reports(spark, sf_dir), ["doc_id", "rule_id"])
+    return compare.diff(_two_reports(spark, sf_dir), ["doc_id", "rule_id"])
 
 
 _STATES = _TWO + ", a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rule_id) AS occurrence FROM o), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rule_id) AS occurrence FROM w), s AS (SELECT doc_id, rule_id, CASE WHEN b.occurrence IS NULL THEN 'resolved' WHEN a.occurrence IS NULL THEN 'introduced' ELSE 'remaining' END AS state FROM a FULL JOIN b USING (doc_id, rule_id, occurrence))"
@@ -280,14 +333,14 @@ _STATES = _TWO + ", a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rule
 @query(_STATES + " SELECT doc_id, rule_id, state, count(*) AS n FROM s GROUP BY ALL")
 def compare_occurrences(spark, sf_dir):
     """Two scans by occurrence: resolved, remaining, introduced."""
-    states = compare.occurrences(*_two_reports(spark, sf_dir), ["doc_id", "rule_id"], ["rule_id"])
+    states = compare.occurrences(_two_reports(spark, sf_dir), ["doc_id", "rule_id"])
     return states.groupBy("doc_id", "rule_id", "state").agg(F.count("*").alias("n"))
 
 
 @query(_STATES + ", c AS (SELECT count(*) FILTER (state = 'resolved') AS resolved, count(*) FILTER (state = 'remaining') AS remaining, count(*) FILTER (state = 'introduced') AS introduced FROM s) SELECT *, CASE WHEN introduced > 0 THEN 'regressed' WHEN resolved > 0 THEN 'improved' ELSE 'unchanged' END AS outcome, false AS ready_for_review FROM c")
 def compare_outcome(spark, sf_dir):
     """What a comparison comes to."""
-    states = compare.occurrences(*_two_reports(spark, sf_dir), ["doc_id", "rule_id"], ["rule_id"])
+    states = compare.occurrences(_two_reports(spark, sf_dir), ["doc_id", "rule_id"])
     return compare.outcome(states, "block", "block")
 
 
@@ -295,10 +348,11 @@ def compare_outcome(spark, sf_dir):
 def artifact_changes(spark, sf_dir):
     """Contents by path in two scans, paths that occur several times as multisets."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = docs.select(F.col("source").alias("path"), F.sha2("text", 256).alias("token"))
     text = F.when(F.col("doc_id") % 100 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    after = docs.where("source <> 'src7' AND doc_id % 20 < 15").select(F.col("source").alias("path"), F.sha2(text, 256).alias("token"))
-    return compare.artifact_changes(before, after)
+    row = lambda side, t: F.struct(F.lit(side).alias("side"), F.sha2(t, 256).alias("token"))
+    both = F.array_compact(F.array(row("old", F.col("text")), F.when(F.expr("source <> 'src7' AND doc_id % 20 < 15"), row("new", text))))
+    rows = docs.select(F.col("source").alias("path"), F.explode(both).alias("_r")).select("path", "_r.side", "_r.token")
+    return compare.artifact_changes(rows)
 
 
 _LACK = "len(list_filter(required, lambda c: c <> 'text')) > 0"
@@ -319,9 +373,8 @@ array_to_string(list_filter([CASE WHEN manifest = 'missing' THEN 'manifest_valid
 )
 def check_decisions(spark, sf_dir):
     """Decisions of several policies on the scan of the documents."""
-    found = _found(spark, sf_dir)
-    categories = found.agg(F.collect_set("category").alias("categories"))
-    row = report.summary(_artifacts(spark, sf_dir)).join(F.broadcast(categories))  # one row each
+    each = _artifacts(spark, sf_dir)
+    row = report.summary(each, more=[F.array_distinct(F.flatten(F.collect_set("categories"))).alias("categories")])
     full = row.withColumns({"partial_coverage": F.lit(False), "dependencies_missing": F.lit(False), "coverage": F.array(F.create_map(F.lit("text"), F.lit("complete")))})
     return policy.decide(full, cases.POLICIES.spark(spark)).withColumn("reasons", F.array_join("reasons", ","))
 
@@ -372,3 +425,33 @@ def byte_budget(spark, sf_dir):
     """Documents in order until a budget of bytes is used up."""
     sizes = _docs(spark, sf_dir).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
     return inventory.running_budget(sizes, "doc_id", "size", 1_000_000).select("doc_id", "running", "within")
+
+
+_FAULTS: dict = {}
+for _relation, _, _, _codes in cases.HYGIENE_FAULTS:
+    for _code in _codes:
+        _FAULTS[_relation, _code] = _FAULTS.get((_relation, _code), 0) + 1
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{c}', CAST({n} AS BIGINT))" for (r, c), n in sorted(_FAULTS.items())) + ") AS t(relation, code, n)")
+def hygiene_violations(spark, sf_dir):
+    """What is found in relations with planted faults; the masked findings of the documents, which are in them, too, have none."""
+    docs = _docs(spark, sf_dir).select(F.format_string("a-%020x", "doc_id").alias("artifact_id"), F.lit("docs").alias("path"), "text")
+    found = report.masked_findings(docs, ["artifact_id", "path"]).withColumn("part", F.lit(""))
+    findings = found.select("finding_id", "artifact_id", "path", "part", "rule_id", "category", "severity", "confidence", "evidence", "line", "column")
+    artifacts = docs.select("artifact_id", "path", F.lit("text/plain").alias("media_type"), F.lit("scanned").alias("status"))
+    own = "a-ffffffffffffffffffff"  # of the first row of artifacts
+    good = {
+        "findings": {"finding_id": "f-0123456789abcdef0123", "artifact_id": own, "path": "a/b", "part": "", "rule_id": "pii.email", "category": "pii", "severity": "high", "confidence": "0.98", "evidence": "<email:redacted>", "line": "1", "column": "1"},
+        "gaps": {"artifact_id": own, "path": "a/b", "part": "", "capability": "text", "reason": "text_size_limit"},
+        "artifacts": {"artifact_id": own, "path": "a/b", "media_type": "text/plain", "status": "scanned"},
+    }
+    out = {}
+    for name, like in (("findings", findings), ("artifacts", artifacts), ("gaps", None)):
+        rows = [good[name]] + [good[name] | {column: value} for relation, column, value, _ in cases.HYGIENE_FAULTS if relation == name]
+        if like is None:
+            out[name] = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in good[name]))
+            continue
+        given = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in good[name]))
+        out[name] = like.unionByName(given.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in like.schema.fields]))
+    return hygiene.violations(out)

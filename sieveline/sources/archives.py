@@ -30,27 +30,43 @@ def snake(name: str) -> str:
     return re.sub(r"(?<!^)(?=[A-Z][a-z])", "_", name).lower()
 
 
-def entry_count(data: bytes, most: int) -> int:
-    """Entries that the end record declares (also in ZIP64 form), checked before any entry is made."""
-    at = data.rfind(b"PK\x05\x06", max(0, len(data) - 65_557))
-    if at < 0 or at + 22 > len(data):
-        raise Refused("invalid_archive")
-    disk, start_disk, here, n, size, offset, comment = struct.unpack("<4H2LH", data[at + 4 : at + 22])
-    if at + 22 + comment != len(data):
+def _directory(data: bytes) -> tuple[int, int, int]:
+    """(where the central directory begins, where it ends, entries declared) by the end record, also in ZIP64 form."""
+    least = max(0, len(data) - 65_557)
+    at = data.rfind(b"PK\x05\x06", least)
+    while at >= 0 and (at + 22 > len(data) or at + 22 + struct.unpack_from("<H", data, at + 20)[0] != len(data)):
+        at = data.rfind(b"PK\x05\x06", least, at)
+    if at < 0:
         raise Refused("invalid_archive")
+    disk, start_disk, here, n, size, offset = struct.unpack_from("<4H2L", data, at + 4)
+    end = at
     if 0xFFFF in (here, n) or 0xFFFFFFFF in (size, offset):
-        where = data[at - 20 : at]
-        if len(where) < 20 or where[:4] != b"PK\x06\x07":
+        if at < 20 or data[at - 20 : at - 16] != b"PK\x06\x07":
+            raise Refused("invalid_archive")
+        end = data.rfind(b"PK\x06\x06", 0, at - 20)
+        if end < 0 or end + 56 > at - 20 or end + 12 + struct.unpack_from("<Q", data, end + 4)[0] != at - 20:
             raise Refused("invalid_archive")
-        base = struct.unpack("<Q", where[8:16])[0]
-        record = data[base : base + 56]
-        if len(record) < 56 or record[:4] != b"PK\x06\x06":
+        disk, start_disk, here, n, size, offset = struct.unpack_from("<2L4Q", data, end + 16)
+    if disk or start_disk or here != n or size > end:
+        raise Refused("invalid_archive")
+    return end - size, end, n
+
+
+def entry_count(data: bytes, most: int) -> int:
+    """Entries of the central directory, counted record by record before any entry is made; what the end record declares is not believed."""
+    at, end, declared = _directory(data)
+    n = 0
+    while at < end:
+        if data[at : at + 4] != b"PK\x01\x02" or at + 46 > end:
+            if data[at : at + 4] == b"PK\x05\x05":  # a signature of the directory ends it
+                break
             raise Refused("invalid_archive")
-        disk, start_disk, here, n, size, offset = struct.unpack("<2L4Q", record[16:56])
-    if disk or start_disk or here != n or offset + size > at:
+        at += 46 + sum(struct.unpack_from("<3H", data, at + 28))
+        n += 1
+        if n > most:
+            raise Refused("entry_limit")
+    if at > end or n != declared:
         raise Refused("invalid_archive")
-    if n > most:
-        raise Refused("entry_limit")
     return n
 
 

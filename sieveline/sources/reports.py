@@ -62,5 +62,5 @@ def write_relations(relations: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("errorifexists").parquet(os.path.join(folder, name))
 
 
-def read_relations(spark: SparkSession, folder: str, names=("artifacts", "findings", "gaps")) -> dict[str, DataFrame]:
+def read_relations(spark: SparkSession, folder: str, names=("artifacts", "findings", "gaps", "errors", "dependencies")) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(os.path.join(folder, n)) for n in names}

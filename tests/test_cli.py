@@ -28,7 +28,7 @@ def run(capsys, *args):
 
 def test_scan_and_report(spark, tree, tmp_path, capsys):
     code, out = run(capsys, "scan", tree, "--out", tmp_path / "r1")
-    assert code == 2 and out["findings"] == 2 and out["verdict"] == "incomplete"  # pictures are never read in full
+    assert code == 2 and out["findings"] == 2 and out["verdict"] == "incomplete" and out["dependencies_missing"]  # pictures are never read in full
     assert run(capsys, "scan", tree / "copy.txt")[0] == 1 and run(capsys, "scan", tree / "old.txt")[0] == 0
     (tree / "old.txt").write_text("now bob@example.org")
     run(capsys, "scan", tree, "--out", tmp_path / "r2")
@@ -55,6 +55,42 @@ def test_sanitize_and_verify(spark, tree, tmp_path, capsys):
     assert run(capsys, "verify", tree, tmp_path / "out")[1]["resolved"] == 1
 
 
+def test_hidden_files_are_scanned_and_copied(spark, tmp_path, capsys):
+    from .test_scan import HIDDEN, hidden_tree
+
+    root = tmp_path / "t"
+    hidden_tree(root)
+    code, out = run(capsys, "scan", root)
+    assert code == 1 and out["findings"] == 5 and out["gaps"] == 0
+    (root / "big.txt").write_text("x")
+    os.truncate(root / "big.txt", 60 << 20)
+    code, out = run(capsys, "sanitize", root, tmp_path / "copy")
+    assert code == 2 and out["not_done"] == [["t/big.txt", "file_size_limit"]] and not out["ready_for_review"]
+    for name, text in HIDDEN.items():
+        assert (tmp_path / "copy" / name).read_text() == text
+
+
+def test_verify_pairs_by_path(spark, tmp_path, capsys):
+    for side, where in (("a", "x"), ("b", "y")):
+        for folder in ("x", "y"):
+            (tmp_path / side / folder).mkdir(parents=True)
+            (tmp_path / side / folder / "n.txt").write_text("mail ann@example.com" if folder == where else "plain")
+    code, out = run(capsys, "verify", tmp_path / "a", tmp_path / "b")
+    assert (code, out["resolved"], out["introduced"]) == (1, 1, 1)
+
+
+def test_text_and_sizes(spark, tree, capsys):
+    assert cli.main(["--format", "text", "scan", str(tree), "--max-file-bytes", "1MiB"]) == 2
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0].startswith("incomplete | artifacts 5") and any(x.startswith("- HIGH pii.email src/copy.txt:1:6 <email:redacted>") for x in lines) and any("INCOMPLETE src/photo.png: ocr" in x for x in lines)
+    assert [cli.parse_size(x) for x in ("7", "2 kb".replace(" ", ""), "3KiB", "1GB")] == [7, 2000, 3072, 1_000_000_000]
+    for bad in ("", "0", "1.5mb", "-1", "kb", "5 tb"):
+        with pytest.raises(Exception, match="no size"):
+            cli.parse_size(bad)
+    assert cli.main(["--format", "text", "scan", str(tree / "old.txt")]) == 0
+    assert "no guarantee" in capsys.readouterr().out
+
+
 def test_prepare(spark, tree, tmp_path, capsys):
     actions = [("copy.txt", "copy.txt", "copy_unchanged"), ("old.txt", "new/name.txt", "rename_in_bundle"), ("omit.txt", None, "omit_from_boundary"), ("photo.png", "photo.png", "strip_png_metadata")]
     write = lambda a: (tmp_path / "d.json").write_text(json.dumps({"actions": [dict(zip(("source_path", "target_path", "action"), x, strict=True)) for x in a]}))
@@ -63,6 +99,9 @@ def test_prepare(spark, tree, tmp_path, capsys):
     write(actions)
     assert run(capsys, "prepare", "plan", tree, tmp_path / "d.json", tmp_path / "plan.json")[0] == 0
     assert run(capsys, "prepare", "inspect", tmp_path / "plan.json")[1]["counts"]["omit_from_boundary"] == 1
+    plan = prepare.read(str(tmp_path / "plan.json"))
+    plan["actions"][0]["source_path"] = "mail/ann@example.com.txt"
+    assert prepare.inspect(spark, plan)["actions"][0]["source_path"] == "mail/<email:redacted>"
     assert run(capsys, "prepare", "approve", tmp_path / "plan.json", tmp_path / "ok.json")[0] == 0
     code, out = run(capsys, "prepare", "apply", tree, tmp_path / "plan.json", tmp_path / "ok.json", tmp_path / "bundle")
     assert code == 0 and {r["path"] for r in out} == {"copy.txt", "new/name.txt", "photo.png"}

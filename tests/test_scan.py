@@ -4,8 +4,8 @@ import struct
 
 import pytest
 
-from sieveline.operators import compare, inventory, policy, report, scan, transform
-from sieveline.sources import archives, images, media, reports
+from sieveline.operators import compare, hygiene, inventory, policy, report, scan, transform
+from sieveline.sources import archives, files, images, media, reports
 
 from . import makers
 
@@ -115,20 +115,92 @@ def test_scan_of_a_folder(spark, tmp_path):
     (root / "x.zip").write_bytes(makers.archive(("in.txt", b"4111 1111 1111 1111")))
     (root / "big.txt").write_text("x" * 5000)
     os.symlink(root / "a.txt", root / "link")
-    listed, gaps = scan.files(spark, str(root), limits=scan.LIMITS | {"max_file_bytes": 4000})
-    assert [(os.path.basename(r.path), r.reason) for r in gaps.collect()] == [("big.txt", "file_size_limit")]
-    out = scan.scan(listed, key=KEY, roots=(str(root),))
+    out = scan.scan_paths(spark, str(root), limits=scan.LIMITS | {"max_file_bytes": 4000}, key=KEY)
+    gaps = {(r.path.removeprefix("tree/"), r.reason) for r in out["gaps"].collect()}
+    assert gaps == {("big.txt", "file_size_limit"), ("link", "link_not_followed"), (".git", "vcs_history_not_scanned")}
     found = {(r.path.removeprefix("tree/"), r.rule_id) for r in out["findings"].collect()}
     assert {("a.txt", "pii.email"), ("a.txt", "secret.credential_assignment"), ("sub/id_rsa", "file.sensitive_name"), ("sub/<email:redacted>", "file.personal_name"), ("x.docx", "pii.email"), ("x.docx", "office.comments"), ("x.zip!/in.txt", "pii.bank_card")} <= found
     kinds = {r.path.removeprefix("tree/"): (r.kind, r.status) for r in out["artifacts"].collect()}
     assert kinds["a.txt"] == ("text", "scanned") and kinds["x.zip!/in.txt"][0] == "text"
-    assert {(p, r) for p, _, r in scan.walk(str(root))} >= {("link", "file.symlink"), (".git", "file.vcs_metadata"), ("empty", "")}
+    assert kinds["empty"] == ("directory", "scanned") and kinds["link"] == ("link", "partial") and kinds["big.txt"] == ("unread", "partial")
+    assert {("link", "file.symlink"), (".git", "file.vcs_metadata")} <= found
+    assert hygiene.violations(out).count() == 0
     reports.write_relations(out, str(tmp_path / "saved"))
     assert reports.read_relations(spark, str(tmp_path / "saved"))["findings"].count() == out["findings"].count()
     with pytest.raises(Exception, match="exists"):
         reports.write_relations(out, str(tmp_path / "saved"))
 
 
+HIDDEN = {".env": "token = 'abc123xyz'", "_notes.txt": "mail ann@example.com", ".conf/a.txt": "mail bob@example.com", "_x/b.txt": "4111 1111 1111 1111", "ok.txt": "plain"}
+
+
+def hidden_tree(root):
+    for name, text in HIDDEN.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+
+
+def test_files_with_hidden_names_are_scanned(spark, tmp_path):
+    hidden_tree(tmp_path / "tree")
+    out = scan.scan_paths(spark, str(tmp_path / "tree"))
+    found = {(r.path.removeprefix("tree/"), r.rule_id) for r in out["findings"].collect()}
+    assert found == {(".env", "secret.credential_assignment"), (".env", "file.sensitive_name"), ("_notes.txt", "pii.email"), (".conf/a.txt", "pii.email"), ("_x/b.txt", "pii.bank_card")}
+    listed = files.listing(spark, str(tmp_path / "tree"))
+    assert {os.path.relpath(f[0], tmp_path / "tree") for f in listed.files} == set(HIDDEN)
+    assert out["artifacts"].count() == len(listed.files) + len(listed.others) and out["gaps"].count() == 0
+
+
+def test_every_listed_entry_is_an_artifact_or_a_gap(spark, tmp_path):
+    root = tmp_path / "tree"
+    (root / "deep" / "er" / "still").mkdir(parents=True)
+    for k in range(6):
+        (root / f"f{k}.txt").write_text("x" * (10 + k))
+    (root / "deep" / "er" / "still" / "z.txt").write_text("z")
+    os.mkfifo(root / "pipe")
+    gaps = lambda *paths, **limits: {(r.path, r.reason) for r in scan.scan_paths(spark, *map(str, paths), limits=scan.LIMITS | limits)["gaps"].collect()}
+    assert gaps(root) == {("tree/pipe", "special_file")}
+    assert ("tree/deep/er/still", "directory_depth_limit") in gaps(root, max_directory_depth=2)
+    assert (None, "file_count_limit") in gaps(root, max_files=3)
+    assert {("tree/f5.txt", "total_size_limit"), ("tree/f4.txt", "total_size_limit")} <= gaps(root, max_total_bytes=50)
+    out = scan.scan_paths(spark, str(root / "f0.txt"), str(tmp_path / "gone"))
+    assert [r.code for r in out["errors"].collect()] == ["path_unavailable"] and out["artifacts"].count() == 1
+
+
+def test_reads_are_of_the_listed_file(spark, tmp_path):
+    path = tmp_path / "a.txt"
+    path.write_text("first")
+    (_, size, device, inode, time, _), = files.listing(spark, str(path)).files
+    assert files.read_verified(str(path), size, device, inode, time, 100) == (b"first", None)
+    assert files.read_verified(str(path), size, device, inode, time, 3) == (None, "file_size_limit")
+    assert files.read_verified(str(path), size, device, inode + 1, time, 100) == (None, "file_identity_changed_before_read")
+    os.rename(path, tmp_path / "b.txt")
+    os.symlink(tmp_path / "b.txt", path)
+    assert files.read_verified(str(path), size, device, inode, time, 100) == (None, "read_error")
+    found = files.listing(spark, str(tmp_path / "b.txt"))
+    (tmp_path / "b.txt").write_text("other text")
+    assert [(r.content, r.reason) for r in files.contents(spark, found).collect()] == [(None, "file_identity_changed_before_read")]
+
+
+def test_archives_with_forged_counts(spark):
+    data = makers.archive(*[(f"e{k}", b"x") for k in range(50)])
+    at = data.rfind(b"PK\x05\x06")
+    forged = data[: at + 8] + struct.pack("<HH", 1, 1) + data[at + 12 :]
+    for most, why in ((2, "entry_limit"), (100, "invalid_archive")):
+        with pytest.raises(archives.Refused, match=why):
+            archives.entry_count(forged, most)
+    assert archives.entry_count(data, 50) == archives.entry_count(b"some prefix" + data, 50) == 50
+    with pytest.raises(archives.Refused, match="entry_limit"):
+        archives.entry_count(data, 49)
+    assert not [e for e in events(forged, "x.zip", max_archive_entries=2)[1] if "!/" in e[0]]
+
+
+def test_missing_readers_are_dependencies(spark, tmp_path):
+    (tmp_path / "p.pdf").write_bytes(b"%PDF-1.4")
+    (tmp_path / "i.png").write_bytes(makers.png())
+    out = scan.scan_paths(spark, str(tmp_path))
+    assert {(r.name, r.available) for r in out["dependencies"].collect()} == {("pdf_reader", False), ("image_reader", False)}
+
+
 def test_saved_reports_are_strict(tmp_path):
     path = str(tmp_path / "r.json")
     reports.save({"summary": {"verdict": "review"}, "findings": [1]}, path)
@@ -158,7 +230,7 @@ def test_empty_scans_and_states(spark):
     found = report.findings(docs, ["doc_id"])
     row = report.exit_code(report.summary(report.artifacts(docs, found, report.cap(found, ["doc_id"], ["start"], 5)[1], ["doc_id"]))).first()
     assert (row.verdict, row.exit_code, row.artifacts_total) == ("no_findings", 0, 0)
-    states = compare.occurrences(found.select("doc_id"), found.select("doc_id"), ["doc_id"], ["doc_id"])
+    states = compare.occurrences(compare.sides(found, found, ["doc_id"]), ["doc_id"])
     assert compare.outcome(states, "no_findings", "no_findings").first().ready_for_review
     assert compare.outcome(states, "incomplete", "review").first().outcome == "incomplete"
 
