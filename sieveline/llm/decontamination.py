@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Run, batch, fresh, map_texts, spill, table, word_codes
+from .common import MOST_BROADCAST, Run, batch, fresh, map_texts, spill, table, word_codes
 from .substring_dedup import _ODD, _mix, word_hashes
 
 #: Words of a window. Items with fewer words are one window.
@@ -301,12 +301,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
         items = spill(named.withColumn("item", F.xxhash64("text")), "leak-items")
         windows = spill(_windows_of_items(items.dropDuplicates(["item"]).select("item", "text")), "leak-windows")
         sizes = windows.groupBy("size").agg(F.count("*")).collect()  # WINDOW rows at most
-        may = build_filter(windows, sum(n for _, n in sizes))
+        n_windows = sum(n for _, n in sizes)
+        may = build_filter(windows, n_windows)
         rows = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
         near = spill(_candidates(rows, sorted(s for s, _ in sizes), may).withColumnRenamed("turn", "nth"), "leak-candidates")
         # Equal windows of an item and a text are all paired, or in turn where an item holds very many of them.
         few = (windows["turns"] <= REPEATS) | (F.pmod(near["nth"], windows["turns"]) == windows["turn"])
-        met = near.join(windows.drop("size").hint("shuffle_hash"), "hash").where(few)
+        # Few windows are sent to all tasks; many are shuffled by their hash.
+        met = near.join(windows.drop("size").hint("broadcast" if n_windows <= MOST_BROADCAST else "shuffle_hash"), "hash").where(few)
         met = met.select("rid", "item", "doc_id", "total", "at", "place", "kinds", "words", "found")
         judged = met.repartition("rid", "item").sortWithinPartitions("rid", "item").mapInArrow(_judge, "doc_id long, item long, n_windows long, n_met long, reparameterised boolean")
         judged = spill(judged.where(F.col("n_met") >= coverage * F.col("n_windows")), "leak-judged")

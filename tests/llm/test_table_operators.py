@@ -258,7 +258,9 @@ def questions(rng):
     return items
 
 
-def test_leaks_equal_brute_force(spark):
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_leaks_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "MOST_BROADCAST", most)
     rng = random.Random(21)
     shapes = questions(rng)
     items = [(k, f(rng)) for k, f in enumerate(shapes)] + [(90, "Forty two."), (91, "seven kites"), (92, "ok"), (93, "? !"), (94, "echo " * 30)]
