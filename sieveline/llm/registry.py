@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontamination, html_text, near_dedup, packing, quality_rules, quotation, sharding, substring_dedup, token_counts, toxicity
+from . import cases, decontamination, html_text, near_dedup, packing, quality_rules, quotation, sharding, substring_dedup, token_counts, toxicity
 
-MODULES = (decontamination, html_text, near_dedup, packing, quality_rules, quotation, sharding, substring_dedup, token_counts, toxicity)
+MODULES = (cases, decontamination, html_text, near_dedup, packing, quality_rules, quotation, sharding, substring_dedup, token_counts, toxicity)
 
 
 def queries() -> dict:
