@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Actions of a plan: needs approval, relation of the output, losses, target, may be executed (fixed values).
 ACTIONS = {
@@ -26,14 +30,29 @@ def portable(path: Column, max_name: int = 255) -> Column:
     return F.coalesce((path != "") & (F.octet_length(path) <= 4096) & ~F.rlike(path, F.lit(r"^[/\\]|^[A-Za-z]:|\\")) & ~F.exists(F.split(path, "/"), bad), F.lit(False))
 
 
-def path_key(path: Column) -> Column:
-    """What two paths have in common if a system can't tell them apart.
+def _composed(path: Column, fold: bool = False) -> Column:
+    """A string in Unicode's composed form (NFC), if asked for with its case folded: Spark has functions for neither."""
+
+    def normal(paths: pd.Series) -> pd.Series:
+        form = lambda p: unicodedata.normalize("NFC", p)
+        return paths.map(lambda p: None if p is None else form(form(p).casefold()) if fold else form(p))
+
+    return F.pandas_udf(normal, StringType())(path)
 
-    Upper and then lower case folds more than lower case alone (sharp s, final
-    sigma). Strings in composed and decomposed form are told apart only for the
-    letters of Latin-1: give others in one form.
+
+def path_key(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Add what two paths have in common if a system can't tell them apart: composed form, folded case.
+
+    Only paths beyond ASCII go through Python, in a pass of their own.
     """
-    return F.lower(F.upper(path))
+    plain = F.coalesce(F.rlike(path, F.lit(r"^[\x00-\x7f]*$")), F.lit(True))
+    return df.where(plain).withColumn(key, F.lower(path)).unionByName(df.where(~plain).withColumn(key, _composed(F.col(path), True)))
+
+
+def sort_key(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Add the order of a path on every system: folded parts, then composed parts, then the path as it is."""
+    folded = path_key(df, path, "_folded")
+    return folded.withColumn(key, F.struct(F.split("_folded", "/"), F.split(F.coalesce(F.when(F.rlike(path, F.lit(r"^[\x00-\x7f]*$")), F.col(path)), _composed(F.col(path))), "/"), F.col(path))).drop("_folded")
 
 
 def plan(decisions: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -47,7 +66,7 @@ def plan(decisions: DataFrame, inventory: DataFrame) -> DataFrame:
     contract = F.create_map(*[F.lit(x) for k, v in ACTIONS.items() for x in (k, v[3])])
     each = decisions.groupBy("source_path").agg(F.count("*").alias("n"), F.min("action").alias("action"), F.min("target_path").alias("target_path"))
     files = inventory.select(F.col("path").alias("source_path"), F.lit(True).alias("there")).distinct()
-    numbered = files.withColumn("number", F.row_number().over(Window.orderBy(path_key(F.col("source_path")), "source_path")))
+    numbered = path_key(files, "source_path", "_key").withColumn("number", F.row_number().over(Window.orderBy("_key", "source_path"))).drop("_key")
     both = numbered.join(each, "source_path", "full_outer")
     wants = F.try_element_at(contract, F.col("action"))
     target = F.col("target_path")
@@ -73,8 +92,8 @@ def _above(files: DataFrame) -> DataFrame:
 
 def collisions(files: DataFrame) -> DataFrame:
     """Paths (path) that collide: key and kind (same_file, file_is_folder, folder_spelling), a row for each key and kind."""
-    named = files.select("path", path_key(F.col("path")).alias("key"))
-    folders = _above(files).select("folder", path_key(F.col("folder")).alias("key"))
+    named = path_key(files.select("path"), "path", "key")
+    folders = path_key(_above(files).select("folder"), "folder", "key")
     same = named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit("same_file").alias("kind"))
     above = named.join(folders, "key", "left_semi").select("key", F.lit("file_is_folder").alias("kind")).distinct()
     spelling = folders.groupBy("key").agg(F.count_distinct("folder").alias("n")).where("n > 1").select("key", F.lit("folder_spelling").alias("kind"))
@@ -84,9 +103,9 @@ def collisions(files: DataFrame) -> DataFrame:
 def aliases(actions: DataFrame) -> DataFrame:
     """Source paths that are omitted or renamed away, though some target still has them or lies below them."""
     targets = actions.where("target_path IS NOT NULL").select(F.col("target_path").alias("path"))
-    taken = targets.select(path_key(F.col("path")).alias("key")).union(_above(targets).select(path_key(F.col("folder"))))
+    taken = path_key(targets, "path", "key").select("key").union(path_key(_above(targets).select("folder"), "folder", "key").select("key"))
     gone = actions.where(F.col("action").isin("omit_from_boundary", "rename_in_bundle"))
-    return gone.withColumn("key", path_key(F.col("source_path"))).join(taken, "key", "left_semi").select("source_path")
+    return path_key(gone.select("source_path"), "source_path", "key").join(taken, "key", "left_semi").select("source_path")
 
 
 def approved(actions: DataFrame, approvals: DataFrame) -> DataFrame:
@@ -125,3 +144,21 @@ def running_budget(rows: DataFrame, order: str, size: str, budget: int, rows_of_
     w = Window.partitionBy("_bucket").orderBy(order, size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = dealt.join(F.broadcast(before), "_bucket")  # `parts` rows
     return out.withColumn("running", F.sum(size).over(w) + F.col("_before")).withColumn("within", F.col("running") <= budget).drop("_bucket", "_before")
+
+
+def fitting_prefix(rows: DataFrame, order: str, budget: int) -> DataFrame:
+    """The longest beginning of rows, in the order of a numeric column, whose JSON comes to at most `budget` bytes."""
+    sized = rows.withColumn("_size", F.octet_length(F.to_json(F.struct(*rows.columns))) + 1)
+    return running_budget(sized, order, "_size", budget).where("within").drop("_size", "running", "within")
+
+
+def merge_issues(*relations: DataFrame) -> DataFrame:
+    """Issues (code, action_id, path, and others) of several relations, each once: of equal ones that of the first relation."""
+    key = ["code", "action_id", "path"]
+    every = None
+    for k, df in enumerate(relations):
+        own = df.withColumn("_turn", F.lit(k))
+        every = own if every is None else every.unionByName(own)
+    others = [c for c in every.columns if c not in (*key, "_turn")]
+    first = every.groupBy(*key).agg(F.min_by(F.struct(*others, "_turn"), "_turn").alias("_f"))
+    return first.select(*key, *[F.col(f"_f.{c}").alias(c) for c in others])

@@ -22,6 +22,7 @@ from sieveline.sources.scratch import held
 from . import report
 from .detect import detect
 from .evidence import display_path, hmac_token, mask_value, stable_id
+from .hygiene import bounded
 
 #: PDF names and the rules they stand for (fixed values).
 PDF_NAMES = {"Author": "author", "Creator": "creator", "Producer": "producer", "Title": "title", "Subject": "subject", "Keywords": "keywords", "EmbeddedFiles": "attachment", "Filespec": "file_spec", "JavaScript": "javascript", "OpenAction": "open_action", "AcroForm": "form", "Annots": "annotation", "Redact": "redaction_annotation", "Encrypt": "encrypted"}
@@ -251,12 +252,14 @@ def scan(contents: DataFrame, limits: dict = LIMITS, key: bytes | None = None, r
     phase = lambda df, k: df.withColumn("_phase", F.lit(k))
     every = phase(in_names.select(*columns), 0).unionByName(phase(built.select(*columns[:6]), 1), allowMissingColumns=True).unionByName(phase(hits.where("event = 'text'").select(*columns), 2))
     kept, over = report.cap_all(every, ["path"], ["_phase", "part", "start", "end", "rule_id"], each, total)
+    kept = bounded(kept, ["part", "evidence"], limits["max_field_chars"])
     kept, over = held(kept, "scan-findings"), held(over, "scan-cut")
+    fields = kept.agg(F.coalesce(F.bool_or("_cut"), F.lit(False)).alias("_c")).where("_c").select(F.lit(None).cast("string").alias("path"), F.lit("").alias("part"), F.lit("reporting").alias("capability"), F.lit("report_field_limit").alias("reason"))
     place = Window.partitionBy("path", "part", "rule_id", "line", "column").orderBy("start", "end")
     tied = lambda df: df.join(ids, "path", "left").withColumns({"artifact_id": F.col("_a.artifact_id"), "path": F.col("_a.shown")}).drop("_a")
     findings = tied(kept.withColumn("occurrence", F.row_number().over(place)))
     findings = findings.withColumn("finding_id", stable_id("f", *[F.col(c) for c in ("artifact_id", "part", "rule_id", "line", "column", "occurrence")]))
-    gaps = event("gap").select("path", "part", F.col("name").alias("capability"), F.col("value").alias("reason")).unionByName(over.withColumn("part", F.lit("")))
+    gaps = event("gap").select("path", "part", F.col("name").alias("capability"), F.col("value").alias("reason")).unionByName(over.withColumn("part", F.lit(""))).unionByName(fields)
     errors = spark.createDataFrame(found.errors if found is not None else [], "code string, message string")
     gaps, errors = report.cap_gaps(tied(gaps), errors, ["path", "part", "capability", "reason"], limits["max_gaps_total"], limits["max_errors_total"])
     covered = report.coverage(event("coverage").select(F.col("path").alias("artifact_id"), F.col("name").alias("capability"), "value", F.lit(0).alias("seq")))

@@ -44,6 +44,18 @@ def is_local(path: str) -> bool:
     return "://" not in path or path.startswith("file:///")
 
 
+def has_stream(path: str) -> bool:
+    """Whether a Windows path names an alternate stream: a colon anywhere but after a drive's letter."""
+    rest = path[2:] if path[1:2] == ":" and path[:1].isalpha() else path
+    return ":" in rest
+
+
+def within(path: str, root: str) -> bool:
+    """Whether a path is its root or lies below it, once links and dots are resolved."""
+    inner, outer = os.path.realpath(path), os.path.realpath(root)
+    return inner == outer or inner.startswith(outer.rstrip(os.sep) + os.sep)
+
+
 def _local(path: str) -> tuple:
     """(path, mode, size, device, inode, time) of a local path."""
     s = os.lstat(path)

@@ -243,3 +243,35 @@ def test_receipts_and_approvals(spark):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "action_id string")
     assert {(r.action_id, r.state) for r in inventory.approved(ids("1", "2"), ids("2", "3")).collect()} == {("1", "unapproved"), ("3", "unknown")}
     assert inventory.drift(ids("1"), ids("1")).isEmpty() and inventory.drift(ids("1", "1"), ids("1")).count() == 1
+
+
+def test_paths_of_one_name_in_two_forms_collide(spark):
+    rows = [("caf\u00e9/a",), ("cafe\u0301/b",), ("Stra\u00dfe",), ("STRASSE",), ("plain",)]
+    tree = spark.createDataFrame(rows, "path string")
+    assert {(r.key, r.kind) for r in inventory.collisions(tree).collect()} == {("caf\u00e9", "folder_spelling"), ("strasse", "same_file")}
+    order = inventory.sort_key(tree, "path", "k").orderBy("k").select("path").collect()
+    assert [r.path for r in order] == ["caf\u00e9/a", "cafe\u0301/b", "plain", "STRASSE", "Stra\u00dfe"]
+
+
+def test_prefixes_and_issues(spark):
+    rows = spark.createDataFrame([(k, "x" * 10) for k in range(20)], "n long, text string")
+    size = len('{"n":1,"text":"xxxxxxxxxx"}') + 1
+    assert sorted(r.n for r in inventory.fitting_prefix(rows, "n", 5 * size).collect()) == [0, 1, 2, 3, 4]
+    a = spark.createDataFrame([("gone", "action-1", "p", "first"), ("odd", None, "q", "first")], "code string, action_id string, path string, detail string")
+    b = spark.createDataFrame([("gone", "action-1", "p", "second"), ("new", "action-2", "p", "second")], a.schema)
+    assert {(r.code, r.detail) for r in inventory.merge_issues(a, b).collect()} == {("gone", "first"), ("odd", "first"), ("new", "second")}
+
+
+def test_containment_and_streams(tmp_path):
+    (tmp_path / "in").mkdir()
+    os.symlink("/etc", tmp_path / "in" / "out")
+    assert files.within(str(tmp_path / "in" / "x"), str(tmp_path / "in")) and files.within(str(tmp_path / "in"), str(tmp_path / "in"))
+    assert not files.within(str(tmp_path / "in" / "out" / "x"), str(tmp_path / "in")) and not files.within(str(tmp_path / "inner"), str(tmp_path / "in"))
+    assert files.has_stream("a.txt:hidden") and files.has_stream("C:\\x:y") and not files.has_stream("C:\\x") and not files.has_stream("a/b")
+
+
+def test_long_fields_are_bounded(spark):
+    content = [("/d/a.zip", makers.archive(("n" * 400 + "/a.txt", b"x@example.test")))]
+    out = scan.scan(spark.createDataFrame([(p, bytearray(c)) for p, c in content], "path string, content binary"), scan.LIMITS | {"max_field_chars": 4})
+    assert (None, "report_field_limit") in {(g.path, g.reason) for g in out["gaps"].collect()}
+    assert {r.evidence for r in out["findings"].where("rule_id = 'pii.email'").collect()} == {hygiene.OMITTED}
