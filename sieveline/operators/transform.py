@@ -12,7 +12,12 @@ from pyspark.sql import DataFrame
 
 from sieveline.sources import archives, images, media
 
-STRIP = {"png": ("strip_png_metadata", images.strip_png), "jpeg": ("strip_jpeg_metadata", images.strip_jpeg), "office": ("strip_ooxml_metadata", archives.strip_office)}
+#: By kind the action and the function (content, path) -> (copy, how much went, why not).
+STRIP = {
+    "png": ("strip_png_metadata", lambda data, path: images.strip_png(data)),
+    "jpeg": ("strip_jpeg_metadata", lambda data, path: images.strip_jpeg(data)),
+    "office": ("strip_ooxml_metadata", archives.strip_office),
+}
 
 
 def strip(path: str, data: bytes) -> tuple[str, bytes, str, str | None, int]:
@@ -21,7 +26,7 @@ def strip(path: str, data: bytes) -> tuple[str, bytes, str, str | None, int]:
     if kind not in STRIP:
         return "copy_unchanged", data, "unsupported" if kind in ("zip", "pdf", "tiff", "webp") else "not_needed", None, 0
     action, f = STRIP[kind]
-    out, removed, reason = f(data)
+    out, removed, reason = f(data, path)
     if out != data:
         return action, out, "partial" if reason else "applied", reason, removed
     return action, data, "skipped" if reason else "not_needed", reason, 0
@@ -30,11 +35,7 @@ def strip(path: str, data: bytes) -> tuple[str, bytes, str, str | None, int]:
 def kept(path: str, before: bytes, after: bytes, key: bytes) -> list[tuple[str, str, bool]]:
     """(facet, keyed token, whether the copy has it unchanged) of what a transformation must keep."""
     kind = media.sniff(before, path)[0]
-    if kind in ("png", "jpeg"):
-        a, b = images.facets(before, kind), images.facets(after, kind)
-    else:
-        pick = lambda d: {m.name: m.data for m in archives.members(d, [1 << 28]) if not m.name.lower().startswith("docprops/") and m.name.lower() not in ("[content_types].xml", "_rels/.rels")}
-        a, b = pick(before), pick(after)
+    a, b = (images.facets(x, kind) if kind in ("png", "jpeg") else archives.office_facets(x) for x in (before, after))
     token = lambda n, v: hmac.new(key, f"{len(n)}:{n}:{len(v)}:".encode() + v, hashlib.sha256).hexdigest()[:32]
     return [(n, token(n, v), b.get(n) == v) for n, v in sorted(a.items())] + [(n, token(n, v), False) for n, v in sorted(b.items()) if n not in a]
 

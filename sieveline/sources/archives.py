@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote, urlsplit
 from xml.etree import ElementTree
 
 from sieveline.functions.fixed import LIMITS
@@ -212,42 +213,129 @@ def office_rules(parts: dict[str, bytes]) -> Iterator[tuple[str, str, int]]:
             yield "office.external_data", n, 1
 
 
-def strip_office(data: bytes) -> tuple[bytes, int, str | None]:
-    """(copy without core, app and custom properties and with plain entry metadata, how many went, why not)."""
+#: The part that makes a package a document of its kind, by extension, and extensions of macro-enabled ones (fixed values).
+MAIN_PARTS = {".docx": "word/document.xml", ".docm": "word/document.xml", ".xlsx": "xl/workbook.xml", ".xlsm": "xl/workbook.xml", ".pptx": "ppt/presentation.xml", ".pptm": "ppt/presentation.xml"}
+MACRO_EXTENSIONS = (".docm", ".xlsm", ".pptm")
+CUSTOM = "docprops/custom.xml"
+
+
+def target_part(relations: str, target: str) -> str | None:
+    """The part, from the package's root on, that a target in a relationships part means; None for anything outside of the package."""
+    owner = re.fullmatch(r"(?:(.*)/)?_rels/([^/]*)\.rels", relations.replace("\\", "/").strip("/"), re.I)
+    split = urlsplit(target) if target.count("[") == target.count("]") else None
+    if owner is None or split is None or split.scheme or split.netloc or not split.path:
+        return None
+    path = unquote(split.path)
+    if "\\" in path or "\0" in path:
+        return None
+    base = "" if path.startswith("/") else f"{owner[1] or ''}/"
+    out: list[str] = []
+    for step in (base + path).split("/"):
+        if step == ".." and not out:
+            return None
+        out = out[:-1] if step == ".." else [*out, step] if step not in ("", ".") else out
+    return "/".join(out)
+
+
+def _types(root: ElementTree.Element) -> str:
+    return " ".join(v for e in root.iter() for k, v in e.attrib.items() if local(k) in ("ContentType", "Type")).lower()
+
+
+def reason_against(found: list[Member], path: str, limits: dict = LIMITS) -> str | None:
+    """Why a package may not be rewritten, the first of the reasons; None if it may."""
+    names = [m.name.replace("\\", "/").lower() for m in found]
+    ending = "." + path.lower().rpartition(".")[2]
+    refused = {m.refused for m in found} - {None}
+    folders = {f for n in names for f in n.split("/")}
+    raw = {n: m.data or b"" for n, m in zip(names, found, strict=True)}
+    xml = {n: d for n, d in raw.items() if n.endswith((".xml", ".rels"))}
+    by_name = (
+        ("unsafe_or_ambiguous_package_structure", len(set(names)) < len(names) or any(m.unsafe for m in found) or refused & {"symlink", "encrypted"}),
+        ("ooxml_type_mismatch", not {"[content_types].xml", MAIN_PARTS.get(ending)} <= set(names)),
+        ("macro_enabled_document", ending in MACRO_EXTENSIONS or any("vbaproject.bin" in n or n.endswith("/vbadata.xml") for n in names)),
+        ("embedded_object_not_supported", folders & {"embeddings", "activex"}),
+        ("package_resource_limit", refused & {"member_size_limit", "compression_ratio_limit", "expanded_size_limit"}),
+        ("package_part_size_mismatch", "declared_size_mismatch" in refused),
+        ("package_rewrite_error", refused),
+        ("embedded_object_not_supported", any(d.startswith(OLE) for n, d in raw.items() if n not in xml)),
+        ("xml_part_size_limit", any(len(d) > limits["max_xml_bytes"] for d in xml.values())),
+    )
+    for reason, holds in by_name:
+        if holds:
+            return reason
     try:
-        budget = [LIMITS["max_archive_expanded_bytes"]]
-        found = list(members(data, budget))
-    except Refused as e:
-        return data, 0, e.args[0]
-    if any(m.refused or m.unsafe or m.occurrence > 1 for m in found):
-        return data, 0, "package_not_plain"
-    parts = {m.name: m.data for m in found}
-    if any("_xmlsignatures/" in n.lower() for n in parts):
-        return data, 0, "digital_signature_present"
-    removed, out = 0, {}
-    custom = {n for n in parts if n.lower() == "docprops/custom.xml"}
+        said = {n: _types(parse_xml(d)) for n, d in xml.items()}
+    except Refused:
+        return "package_rewrite_error"
+    links = [t for n, t in said.items() if n.endswith(".rels") or n == "[content_types].xml"]
+    by_content = (
+        ("macro_enabled_document", ("macroenabled", "vbaproject"), said.values()),
+        ("embedded_object_not_supported", ("/oleobject", "oleobject+", "/package\"", "activex"), links),
+        ("digitally_signed_document", ("digital-signature",), links),
+    )
+    for reason, words, texts in by_content:
+        if any(w in t for t in texts for w in words):
+            return reason
+    return "digitally_signed_document" if "_xmlsignatures" in folders else None
+
+
+def without_properties(name: str, part: bytes) -> tuple[bytes, int, int]:
+    """(a part without the properties that are to go and without references to custom ones, properties that went, references that went); the part itself if none did."""
+    low = name.lower()
+    wanted = {"docprops/core.xml": CORE, "docprops/app.xml": APP}.get(low, ())
+    types = low == "[content_types].xml"
+    if not wanted and not types and not low.endswith(".rels"):
+        return part, 0, 0
+    root = parse_xml(part)
+    properties, references = [], []
+    for e in root:
+        a = {local(k) or k: v for k, v in e.attrib.items()}
+        if local(e.tag) in wanted and ("".join(e.itertext()).strip() or e.attrib):
+            properties.append(e)
+        elif types and local(e.tag) == "Override" and a.get("PartName", "").startswith("/") and (target_part("_rels/.rels", a["PartName"]) or "").lower() == CUSTOM:
+            references.append(e)
+        elif low.endswith(".rels") and local(e.tag) == "Relationship" and a.get("TargetMode", "").strip().lower() != "external" and (target_part(name, a.get("Target", "")) or "").lower() == CUSTOM:
+            references.append(e)
+    for e in [*properties, *references]:
+        root.remove(e)
+    out = ElementTree.tostring(root, encoding="utf-8", xml_declaration=True) if properties or references else part
+    return out, len(properties), len(references)
+
+
+def office_facets(data: bytes) -> dict[str, bytes]:
+    """What a copy must keep, by name: parts as they are, and canonical XML of those that lose properties or references, without these."""
+    out = {}
+    for m in members(data, [LIMITS["max_archive_expanded_bytes"]]):
+        low = m.name.lower()
+        if low == CUSTOM or m.data is None:
+            continue
+        if low in ("docprops/core.xml", "docprops/app.xml", "[content_types].xml") or low.endswith(".rels"):
+            plain = without_properties(m.name, m.data)[0]
+            out[f"canonical:{m.name}"] = ElementTree.canonicalize(plain.decode("utf-8-sig", "replace"), with_comments=True, rewrite_prefixes=True).encode()
+        else:
+            out[m.name] = m.data
+    return out
+
+
+def strip_office(data: bytes, path: str = "x.docx") -> tuple[bytes, int, str | None]:
+    """(copy without core, app and custom properties and with plain entry metadata, how many went, why not)."""
     try:
-        for n, part in parts.items():
-            low = n.lower()
-            if n in custom:
-                removed += 1
-                continue
-            wanted = {"docprops/core.xml": CORE, "docprops/app.xml": APP}.get(low, ())
-            if wanted or custom and (low == "_rels/.rels" or low == "[content_types].xml"):
-                root = parse_xml(part)
-                gone = [e for e in root if local(e.tag) in wanted or custom and (e.attrib.get("Target", "").lower().lstrip("/") == "docprops/custom.xml" or e.attrib.get("PartName", "").lower() == "/docprops/custom.xml")]
-                removed += sum(local(e.tag) in wanted for e in gone)
-                for e in gone:
-                    root.remove(e)
-                if gone:
-                    part = ElementTree.tostring(root, encoding="utf-8", xml_declaration=True)
-            out[n] = part
+        found = list(members(data, [LIMITS["max_archive_expanded_bytes"]]))
     except Refused as e:
-        return data, 0, e.args[0]
-    if not removed and not any(m.comment or m.dated for m in found) and not archive_comment(data):
+        return data, 0, "package_resource_limit" if e.args[0] == "entry_limit" else "malformed_ooxml"
+    if reason := reason_against(found, path):
+        return data, 0, reason
+    kept, removed, references = {}, 0, 0
+    for m in found:
+        if m.name.lower() == CUSTOM:
+            removed += 1
+            continue
+        kept[m.name], properties, links = without_properties(m.name, m.data)
+        removed, references = removed + properties, references + links
+    if not removed and not references and not any(m.comment or m.dated for m in found) and not archive_comment(data):
         return data, 0, None
     box = io.BytesIO()
     with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as z:
-        for n, part in out.items():
+        for n, part in kept.items():
             z.writestr(zipfile.ZipInfo(n, DAWN), part, zipfile.ZIP_DEFLATED)
     return box.getvalue(), removed, None

@@ -94,8 +94,8 @@ def test_copies_without_metadata(spark):
     out, removed, reason = images.strip_jpeg(photo)
     assert out == makers.jpeg() and removed == 2 and reason is None
     out, removed, reason = archives.strip_office(makers.docx())
-    assert reason is None and removed == 6 and not {r for r in rules(out, "x.docx") if ".core." in r or ".app." in r or "custom" in r}
-    assert archives.strip_office(makers.docx([("_xmlsignatures/s.xml", "<s/>")]))[1:] == (0, "digital_signature_present")
+    assert reason is None and removed == 5 and not {r for r in rules(out, "x.docx") if ".core." in r or ".app." in r or "custom" in r}
+    assert archives.strip_office(makers.docx([("_xmlsignatures/s.xml", "<s/>")]))[1:] == (0, "digitally_signed_document")
     rows = [("a.png", makers.png((b"tEXt", b"k\0v"))), ("b.jpg", photo), ("c.docx", makers.docx()), ("d.txt", b"x"), ("e.png", b"\x89PNG\r\n\x1a\nbad")]
     got = {r.path: r for r in transform.transform(spark.createDataFrame([(p, bytearray(d)) for p, d in rows], "path string, content binary"), KEY).collect()}
     assert {p: r.status for p, r in got.items()} == {"a.png": "applied", "b.jpg": "applied", "c.docx": "applied", "d.txt": "not_needed", "e.png": "skipped"}
@@ -275,3 +275,34 @@ def test_long_fields_are_bounded(spark):
     out = scan.scan(spark.createDataFrame([(p, bytearray(c)) for p, c in content], "path string, content binary"), scan.LIMITS | {"max_field_chars": 4})
     assert (None, "report_field_limit") in {(g.path, g.reason) for g in out["gaps"].collect()}
     assert {r.evidence for r in out["findings"].where("rule_id = 'pii.email'").collect()} == {hygiene.OMITTED}
+
+
+def test_reasons_not_to_rewrite_a_package():
+    why = lambda data, path="x.docx": archives.strip_office(data, path)[2]
+    assert why(b"PK\x03\x04 nothing") == "malformed_ooxml"
+    assert why(makers.archive(*[(f"p{k}", b"x") for k in range(2001)])) == "package_resource_limit"
+    assert why(makers.docx([("WORD/document.xml", "<x/>")])) == why(makers.docx([("../up.xml", "<x/>")])) == "unsafe_or_ambiguous_package_structure"
+    assert why(makers.docx(), "x.xlsx") == why(makers.docx(), "x.zip") == "ooxml_type_mismatch"
+    assert why(makers.docx([("word/vbaProject.bin", b"v")])) == why(makers.docx(), "x.docm") == "macro_enabled_document"
+    assert why(makers.docx([("word/embeddings/o.bin", b"x")])) == why(makers.docx([("word/media/o.bin", archives.OLE + b"x")])) == "embedded_object_not_supported"
+    assert why(makers.docx([("word/big.bin", b"\0" * (40 << 20))])) == "package_resource_limit"
+    assert why(makers.docx([("word/bad.xml", "<x>")])) == why(makers.docx([("word/bad.xml", "<!DOCTYPE a><a/>")])) == "package_rewrite_error"
+    assert why(makers.docx()) is None
+
+
+def test_targets_of_relationships():
+    part = archives.target_part
+    assert part("_rels/.rels", "docProps/custom.xml") == part("_rels/.rels", "/docProps/custom.xml") == part("word/_rels/document.xml.rels", "../docProps/./custom.xml") == "docProps/custom.xml"
+    assert part("word/_rels/document.xml.rels", "media/a%20b.png?x#y") == "word/media/a b.png"
+    for target in ("http://example.test/a", "//host/a", "../../up", "", "a\\b", "#only", "a%00b"):
+        assert part("word/_rels/document.xml.rels", target) is None
+    assert part("word/document.xml", "a") is None
+
+
+def test_facets_of_packages_are_canonical():
+    before = makers.docx()
+    after = archives.strip_office(before)[0]
+    a, b = archives.office_facets(before), archives.office_facets(after)
+    assert a == b and any(n.startswith("canonical:") for n in a)
+    changed = makers.docx([("word/more.xml", "<x/>")])
+    assert archives.office_facets(changed) != a
