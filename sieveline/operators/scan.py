@@ -136,10 +136,20 @@ def _container(path: str, data: bytes, budget: list[int], depth: int, limits: di
     parts: dict[str, bytes] = {}
     folded: dict[str, int] = {}
     whole = True
+    room = limits["max_text_bytes"]  # for the text of all comments together
+
+    def said(comment: bytes, part: str) -> tuple:
+        nonlocal room, whole
+        if len(comment) > room:
+            whole = False
+            return emit("gap", "text", "archive_comment_text_limit", part=part)
+        room -= len(comment)
+        return emit("text", "comment", part=part, text=media.decode(comment)[0] or "")
+
     try:
         if comment := archives.archive_comment(data):
             yield emit("finding", "archive.comment" if kind == "zip" else "office.package_comment")
-            yield emit("text", "comment", part="comment", text=media.decode(comment)[0] or "")
+            yield said(comment, "comment")
         dated = 0
         for m in archives.members(data, budget, limits):
             part = m.name if m.occurrence == 1 else f"{m.name} [duplicate {m.occurrence}]"
@@ -152,7 +162,7 @@ def _container(path: str, data: bytes, budget: list[int], depth: int, limits: di
                 yield emit("finding", "archive.duplicate_name" if kind == "zip" else "office.duplicate_part", part=m.name)
             if m.comment:
                 yield emit("finding", "archive.comment" if kind == "zip" else "office.part_comment", part=part)
-                yield emit("text", "comment", part=part, text=media.decode(m.comment)[0] or "")
+                yield said(m.comment, part)
             if m.refused:
                 rule = {"symlink": ("archive.symlink", "office.symlink_part"), "encrypted": ("archive.encrypted", "office.encrypted_part")}.get(m.refused)
                 if rule:

@@ -306,3 +306,10 @@ def test_facets_of_packages_are_canonical():
     assert a == b and any(n.startswith("canonical:") for n in a)
     changed = makers.docx([("word/more.xml", "<x/>")])
     assert archives.office_facets(changed) != a
+
+
+def test_comments_share_one_budget():
+    data = makers.archive(("a", b"x", {"comment": b"c" * 30}), ("b", b"x", {"comment": b"mail ann@example.com"}), comment=b"d" * 30)
+    found, rows = events(data, "x.zip", max_text_bytes=60)
+    assert ("gap", "text", "b") in found and ("gap", "text", "a") not in found
+    assert [r[4] for r in rows if r[1] == "gap"] == ["archive_comment_text_limit"]
