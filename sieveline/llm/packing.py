@@ -159,13 +159,34 @@ def _largest(sizes: list[int], count: Counter, limit: int) -> int:
     return sizes[lo - 1] if lo else 0
 
 
+def _pairs(sizes: list[int], count: Counter, room: int) -> tuple[int, int]:
+    """Of all pairs that fit a room the largest sum, and the largest smaller one; 0 for none."""
+    there = [x for x in sizes if count[x]]
+    top, second, hi = 0, 0, len(there) - 1
+    for lo, x in enumerate(there):
+        if 2 * x > room:
+            break
+        while hi >= 0 and there[hi] + x > room:
+            hi -= 1
+        # The largest partner that is not smaller, another copy of x itself among them.
+        if hi > lo:
+            top, second = max(top, x + there[hi]), x
+        elif hi == lo and count[x] > 1:
+            top, second = max(top, 2 * x), x
+    return top, second
+
+
 def reduce_by_dominance(count: Counter, capacity: int) -> list[tuple[int, list[int]]]:
-    """Martello-Toth reduction: take out bins that no other choice can beat.
+    """Martello-Toth reduction: take out bins of up to three that no other choice can beat.
 
     For the largest size s with room r beside it, t the largest that fits r: the
     bin {s} dominates every other bin of s if nothing fits; {s, t} does if t
-    fills r, or if no two of the rest fit r together. Leaves a size
-    that neither settles and goes on to smaller ones; count keeps what remains. Returns (bins, their sizes).
+    fills r, if no two of the rest fit r together, or if no three do and t is as
+    large as any two that do. {s, t, u}, u the largest beside both, does if no
+    three fit r and in no pair that fits it the smaller is larger than u: each
+    part of another choice then has a part of this one to take its place. Leaves
+    a size that none settles and goes on to smaller ones; count keeps what
+    remains. Returns (bins, their sizes).
     """
     fixed = []
     sizes = sorted(s for s, n in count.items() if n)
@@ -174,20 +195,34 @@ def reduce_by_dominance(count: Counter, capacity: int) -> list[tuple[int, list[i
             room, n = capacity - s, count[s]
             count[s] -= 1  # one s is in the bin, another may be its partner
             t = _largest(sizes, count, room)
-            least = next((x for x in sizes if count[x]), 0)
-            second = least if count[least] > 1 else next((x for x in sizes if x > least and count[x]), capacity)
-            count[s] = n
+            small: list[int] = []  # the three least that are there
+            for x in sizes:
+                small += [x] * min(count[x], 3 - len(small))
+                if len(small) == 3:
+                    break
+            bin_: list[int] | None = None
             if not t:
-                fixed.append((n, [s]))
-                count[s] = 0
-            elif t == room or least + second > room:
-                # As sizes are used up the rule holds all the more, so it takes all bins of this kind at once.
-                m = n // 2 if t == s else min(n, count[t])
-                fixed.append((m, [s, t]))
-                count[s] -= m
-                count[t] -= m
-            else:
+                bin_ = []
+            elif t == room or len(small) < 2 or sum(small[:2]) > room:
+                bin_ = [t]
+            elif len(small) < 3 or sum(small) > room:
+                top, second = _pairs(sizes, count, room)
+                count[t] -= 1
+                u = _largest(sizes, count, room - t)
+                count[t] += 1
+                if t >= top:
+                    bin_ = [t]
+                elif u and second <= u:
+                    bin_ = [t, u]
+            count[s] = n
+            if bin_ is None:
                 break
+            # As sizes are used up the rules hold all the more, so they take all bins of this kind at once.
+            need = Counter([s, *bin_])
+            m = min(count[x] // k for x, k in need.items())
+            fixed.append((m, [s, *bin_]))
+            for x, k in need.items():
+                count[x] -= m * k
     return fixed
 
 
