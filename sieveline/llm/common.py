@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -37,6 +39,7 @@ def scratch_root(spark: SparkSession) -> str:
         app = spark.sparkContext.applicationId
         if app not in _own_roots:
             _own_roots[app] = tempfile.mkdtemp(prefix="sieveline-")
+            atexit.register(shutil.rmtree, _own_roots[app], True)
         root = _own_roots[app]
     return root.rstrip("/")
 
