@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,7 @@ def root(spark: SparkSession) -> str:
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="sieveline-")
+            atexit.register(shutil.rmtree, _own[app], True)
         given = _own[app]
     return given.rstrip("/")
 
