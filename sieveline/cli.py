@@ -89,7 +89,7 @@ def parser() -> argparse.ArgumentParser:
 
     fail = {"default": "high", "choices": ["never", *SEVERITIES]}
     sizes = {f"max_{n}": {"type": parse_size, "help": "a size, such as 10MiB"} for n in ("file_bytes", "total_bytes", "text_bytes", "archive_expanded_bytes")}
-    add(sub, "scan", "paths", out={"help": "a new folder for the relations"}, fail_on=fail, **sizes)
+    add(sub, "scan", "paths", out={"help": "a new folder for the relations"}, report={"help": "a new file for the whole report in JSON"}, fail_on=fail, **sizes)
     add(sub, "check", "paths", config={"help": "a policy in TOML"})
     add(sub, "sanitize", "source", "target")
     add(sub, "verify", "before", "after")
@@ -169,6 +169,8 @@ def run(a: argparse.Namespace) -> int:
             reports.write_relations(found, a.out)
             found = reports.read_relations(spark, a.out)
         row = report.exit_code(totals(found).drop("coverage", "categories"), a.fail_on).first().asDict()
+        if a.report:
+            reports.save(reports.document(row, found), a.report)
         show(row, render.scan_lines(row, found))
         return row["exit_code"]
     if a.command == "check":

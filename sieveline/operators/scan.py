@@ -93,6 +93,20 @@ def events_of(path: str, data: bytes, budget: list[int], depth: int = 0, limits:
         yield from covers(content="unsupported")
 
 
+def _exif(payload: bytes, part: str, emit) -> Iterator[tuple]:
+    """Findings and texts of EXIF data; a gap if it can't be read."""
+    try:
+        place, person, device, text = images.exif_facts(payload)
+    except ValueError:
+        yield emit("gap", "metadata", "exif_unreadable", part=part)
+        return
+    for rule, n in (("image.gps", int(place)), ("image.identity", person), ("image.device", device)):
+        if n:
+            yield emit("finding", rule, part=part, n=n)
+    if text:
+        yield emit("text", "exif", part=part, text=text)
+
+
 def _image(data: bytes, kind: str, limits: dict, emit) -> Iterator[tuple]:
     left = limits["max_text_bytes"]
     try:
@@ -101,6 +115,8 @@ def _image(data: bytes, kind: str, limits: dict, emit) -> Iterator[tuple]:
                 if chunk not in images.PNG_METADATA:
                     continue
                 yield emit("finding", {"eXIf": "image.png_exif", "tIME": "image.png_time"}.get(chunk, f"image.png_{chunk.lower()}"), part=f"PNG/{chunk}")
+                if chunk == "eXIf":
+                    yield from _exif(payload, f"PNG/{chunk}", emit)
                 try:
                     text = images.png_text(chunk, payload, left)
                 except images.LimitError:
@@ -116,6 +132,8 @@ def _image(data: bytes, kind: str, limits: dict, emit) -> Iterator[tuple]:
             for marker, payload, _, _ in images.jpeg_segments(data):
                 if found := images.jpeg_kind(marker, payload):
                     yield emit("finding", f"image.jpeg_{found}", part=f"JPEG/0x{marker:02x}")
+                    if found == "exif":
+                        yield from _exif(payload, f"JPEG/0x{marker:02x}", emit)
                     if found in ("xmp", "comment") and (text := media.decode(payload)[0]):
                         yield emit("text", found, part=f"JPEG/0x{marker:02x}", text=text)
         yield emit("coverage", "metadata", "partial")

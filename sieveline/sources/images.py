@@ -128,25 +128,61 @@ def jpeg_kind(marker: int, payload: bytes) -> str | None:
     return {0xED: "iptc", 0xFE: "comment"}.get(marker)
 
 
-def orientation(payload: bytes) -> tuple[int | None, bool]:
-    """(orientation in the first directory of EXIF data, whether it could be read)."""
+#: EXIF tags by what they tell (fixed values of the format): where, who, and with what and when.
+EXIF_GPS = 0x8825
+EXIF_IDENTITY = frozenset({0x013B, 0x8298, 0xA430, 0xA431, 0xA435, 0xC62F})
+EXIF_DEVICE = frozenset({0x010F, 0x0110, 0x0131, 0x0132, 0x013C, 0x9003, 0x9004, 0xA433, 0xA434, 0xC614})
+EXIF_MORE, EXIF_TURN = 0x8769, 0x0112
+#: Bytes of one value of each type (fixed values of the format).
+EXIF_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+MOST_ENTRIES, MOST_TEXT = 4096, 4096
+
+
+def exif(payload: bytes) -> dict[int, tuple[int, int, bytes]]:
+    """Type, count and bytes by tag, of the first directory of EXIF data and of the one it names for more. ValueError if it can't be read."""
     tiff = payload.removeprefix(b"Exif\0\0")
     order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
     if not order or len(tiff) < 8 or struct.unpack(order + "H", tiff[2:4])[0] != 42:
+        raise ValueError("no EXIF data")
+    out: dict[int, tuple[int, int, bytes]] = {}
+    todo = [struct.unpack(order + "I", tiff[4:8])[0]]
+    for at in todo:
+        if at + 2 > len(tiff):
+            raise ValueError("a directory outside of the data")
+        n = struct.unpack(order + "H", tiff[at : at + 2])[0]
+        if at + 2 + 12 * n > len(tiff) or n > MOST_ENTRIES:
+            raise ValueError("a cut directory")
+        for k in range(n):
+            tag, kind, count, value = struct.unpack(order + "HHI4s", tiff[at + 2 + 12 * k : at + 14 + 12 * k])
+            size = EXIF_SIZES.get(kind, 1) * count
+            if size > 4:
+                where = struct.unpack(order + "I", value)[0]
+                value = tiff[where : where + min(size, MOST_TEXT)]
+            out.setdefault(tag, (kind, count, value[:size]))
+            if tag == EXIF_MORE and len(todo) == 1 and kind == 4 and count == 1:
+                todo.append(struct.unpack(order + "I", value)[0])
+    if EXIF_TURN in out:
+        kind, count, value = out[EXIF_TURN]
+        out[EXIF_TURN] = (kind, count, struct.pack("<H", struct.unpack(order + "H", value)[0]) if kind == 3 and count == 1 else value)
+    return out
+
+
+def exif_facts(payload: bytes) -> tuple[bool, int, int, str]:
+    """(whether EXIF data tells a place, how many tags tell a person, how many a device, software or time, and its texts)."""
+    tags = exif(payload)
+    texts = [v.split(b"\0")[0].decode("utf-8", "replace") for kind, _, v in tags.values() if kind == 2]
+    return EXIF_GPS in tags, len(EXIF_IDENTITY & tags.keys()), len(EXIF_DEVICE & tags.keys()), "\n".join(filter(None, texts))
+
+
+def orientation(payload: bytes) -> tuple[int | None, bool]:
+    """(orientation in the first directory of EXIF data, whether it could be read)."""
+    try:
+        kind, count, value = exif(payload).get(EXIF_TURN, (3, 1, b""))
+    except ValueError:
         return None, False
-    at = struct.unpack(order + "I", tiff[4:8])[0]
-    if at + 2 > len(tiff):
-        return None, False
-    n = struct.unpack(order + "H", tiff[at : at + 2])[0]
-    if at + 2 + 12 * n > len(tiff):
+    if kind != 3 or count != 1:
         return None, False
-    for k in range(n):
-        tag, kind, count, value = struct.unpack(order + "HHI4s", tiff[at + 2 + 12 * k : at + 14 + 12 * k])
-        if tag == 0x0112:
-            if kind != 3 or count != 1:
-                return None, False
-            return struct.unpack(order + "H", value[:2])[0], True
-    return None, True
+    return (struct.unpack("<H", value)[0] if value else None), True
 
 
 def _keeps(payload: bytes) -> bool:

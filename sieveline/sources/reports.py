@@ -36,6 +36,10 @@ def parse(data: bytes) -> dict:
         raise ReportError("invalid_json") from e
     if not isinstance(out, dict):
         raise ReportError("no_object")
+    try:
+        json.dumps(out, ensure_ascii=False).encode("utf-8")  # half of a surrogate pair is no character
+    except UnicodeEncodeError as e:
+        raise ReportError("not_unicode") from e
     return out
 
 
@@ -64,3 +68,9 @@ def write_relations(relations: dict[str, DataFrame], folder: str) -> None:
 
 def read_relations(spark: SparkSession, folder: str, names=("artifacts", "findings", "gaps", "errors", "dependencies")) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(os.path.join(folder, n)) for n in names}
+
+
+def document(summary: dict, relations: dict[str, DataFrame]) -> dict:
+    """A scan as one object, its rows in order. The relations are within the limits of a report, so they fit the driver."""
+    order = {"artifacts": ["path", "artifact_id"], "findings": ["path", "part", "line", "column", "finding_id"], "gaps": ["path", "part", "capability", "reason"], "errors": ["code", "message"], "dependencies": ["name"]}
+    return {"summary": summary} | {n: [r.asDict(recursive=True) for r in relations[n].orderBy(*c).collect()] for n, c in order.items()}

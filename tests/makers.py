@@ -16,6 +16,29 @@ def exif(turn):
     return b"II*\0" + struct.pack("<IHHHIHHI", 8, 1, 0x0112, 3, 1, turn, 0, 0)
 
 
+def exif_of(first, more=()):
+    """EXIF data with ASCII values by tag in both directories; a value of None is a pointer of no use."""
+
+    def directory(entries, at, extra):
+        out, rest = struct.pack("<H", len(entries)), b""
+        base = at + 2 + 12 * len(entries) + 4
+        for tag, value in entries:
+            if isinstance(value, int):
+                out += struct.pack("<HHII", tag, 4, 1, value)
+            elif len(value) <= 4:
+                out += struct.pack("<HHI4s", tag, 2, len(value), value)
+            else:
+                out += struct.pack("<HHII", tag, 2, len(value), base + len(rest))
+                rest += value
+        return out + b"\0" * 4 + rest
+
+    first = [*first, *([(0x8769, 0)] if more else [])]
+    size = len(directory(first, 8, b""))
+    if more:
+        first[-1] = (0x8769, 8 + size)
+    return b"II*\0\x08\0\0\0" + directory(first, 8, b"") + (directory(list(more), 8 + size, b"") if more else b"")
+
+
 def jpeg(*segments):
     one = lambda m, p: b"\xff" + bytes([m]) + struct.pack(">H", len(p) + 2) + p
     return b"\xff\xd8" + b"".join(one(m, p) for m, p in segments) + one(0xDB, b"\0" * 65) + one(0xC0, b"\x08\0\1\0\1\1\1\x11\0") + one(0xDA, b"\1\1\0\0?\0") + b"ab\xff\0cd\xff\xd0ef\xff\xd9"

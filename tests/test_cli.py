@@ -5,6 +5,7 @@ import pytest
 
 from sieveline import cli
 from sieveline.operators import prepare
+from sieveline.sources import reports
 
 from . import makers
 
@@ -28,6 +29,10 @@ def run(capsys, *args):
 
 def test_scan_and_report(spark, tree, tmp_path, capsys):
     code, out = run(capsys, "scan", tree, "--out", tmp_path / "r1")
+    assert run(capsys, "scan", tree / "copy.txt", "--report", tmp_path / "r.json")[0] == 1
+    saved = reports.load(str(tmp_path / "r.json"))
+    assert saved["summary"]["verdict"] == "block" and [f["rule_id"] for f in saved["findings"]] == ["pii.email"] and saved["findings"][0]["artifact_id"] == saved["artifacts"][0]["artifact_id"]
+    assert run(capsys, "scan", tree / "copy.txt", "--report", tmp_path / "r.json")[0] == 3
     assert code == 2 and out["findings"] == 2 and out["verdict"] == "incomplete" and out["dependencies_missing"]  # pictures are never read in full
     assert run(capsys, "scan", tree / "copy.txt")[0] == 1 and run(capsys, "scan", tree / "old.txt")[0] == 0
     (tree / "old.txt").write_text("now bob@example.org")

@@ -313,3 +313,20 @@ def test_comments_share_one_budget():
     found, rows = events(data, "x.zip", max_text_bytes=60)
     assert ("gap", "text", "b") in found and ("gap", "text", "a") not in found
     assert [r[4] for r in rows if r[1] == "gap"] == ["archive_comment_text_limit"]
+
+
+def test_exif_tells_place_person_and_device():
+    data = makers.exif_of([(0x010F, b"Cam\0"), (0x013B, b"mail ann@example.com\0"), (0x8825, 1)], [(0xA431, b"SN-12345\0"), (0x9003, b"2024:01:01 00:00:00\0")])
+    assert images.exif_facts(data) == (True, 2, 2, "Cam\nmail ann@example.com\nSN-12345\n2024:01:01 00:00:00")
+    for picture, path in ((makers.jpeg((0xE1, b"Exif\0\0" + data)), "x.jpg"), (makers.png((b"eXIf", data)), "x.png")):
+        found, rows = events(picture, path)
+        assert {"image.gps", "image.identity", "image.device"} <= set(rules(picture, path))
+        assert any(r[1] == "text" and "ann@example.com" in r[6] for r in rows)
+    assert not {"image.gps", "image.identity"} & set(rules(makers.jpeg((0xE1, b"Exif\0\0" + makers.exif(1))), "x.jpg"))
+    assert ("gap", "metadata", "JPEG/0xe1") in events(makers.jpeg((0xE1, b"Exif\0\0II*\0\xff\xff\0\0")), "x.jpg")[0]
+    assert images.orientation(b"Exif\0\0" + makers.exif(6)) == (6, True) and images.orientation(b"II") == (None, False)
+
+
+def test_reports_refuse_half_characters(tmp_path):
+    with pytest.raises(reports.ReportError, match="not_unicode"):
+        reports.parse(b'{"a": "\\ud800"}')
