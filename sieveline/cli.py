@@ -106,8 +106,9 @@ def parser() -> argparse.ArgumentParser:
     add(group, "plan", "source", "decisions", "out")
     add(group, "inspect", "plan")
     add(group, "approve", "plan", "out")
-    add(group, "apply", "source", "plan", "approval", "target")
-    add(group, "verify", "source", "plan", "target")
+    saved = {"help": "a new file for the result in JSON, with a scan of the bundle"}
+    add(group, "apply", "source", "plan", "approval", "target", report=saved)
+    add(group, "verify", "source", "plan", "target", report=saved)
     return top
 
 
@@ -218,6 +219,9 @@ def run(a: argparse.Namespace) -> int:
         plan = prepare.read(a.plan)
         out = prepare.apply(spark, a.source, plan, prepare.read(a.approval), a.target) if a.action == "apply" else prepare.verify(spark, a.source, plan, a.target)
         states = rows(out.orderBy("path"))
+        if a.report:
+            final = totals(checked(scanned(spark, [a.target]))).drop("coverage").first().asDict()
+            save(prepare.result(plan, out, final), a.report)
         show(states, render.table_lines(states))
         return int(any(r["state"] != "ok" for r in states))
     return 0

@@ -108,7 +108,10 @@ def test_prepare(spark, tree, tmp_path, capsys):
     plan["actions"][0]["source_path"] = "mail/ann@example.com.txt"
     assert prepare.inspect(spark, plan)["actions"][0]["source_path"] == "mail/<email:redacted>"
     assert run(capsys, "prepare", "approve", tmp_path / "plan.json", tmp_path / "ok.json")[0] == 0
-    code, out = run(capsys, "prepare", "apply", tree, tmp_path / "plan.json", tmp_path / "ok.json", tmp_path / "bundle")
+    code, out = run(capsys, "prepare", "apply", tree, tmp_path / "plan.json", tmp_path / "ok.json", tmp_path / "bundle", "--report", tmp_path / "result.json")
+    saved = reports.load(str(tmp_path / "result.json"))
+    assert (saved["outcome"], saved["ready_for_review"], saved["expected"], saved["observed"], saved["issues_total"], saved["detail"]) == ("verified", False, 3, 3, 0, "complete")
+    assert saved["final_scan"]["findings"] == 1 and saved["actions"]["omit_from_boundary"] == 1
     assert code == 0 and {r["path"] for r in out} == {"copy.txt", "new/name.txt", "photo.png"}
     (tmp_path / "bundle" / "copy.txt").write_text("tampered")
     (tmp_path / "bundle" / "more.txt").write_text("x")
@@ -122,6 +125,16 @@ def test_prepare(spark, tree, tmp_path, capsys):
         prepare.approve(plan, [a["action_id"] for a in plan["actions"]])
 
 
+def test_results_of_many_issues_are_cut_to_size(spark):
+    states = spark.createDataFrame([(f"folder/file-{k:04d}.txt", "missing") for k in range(300)] + [("fine", "ok")], "path string, state string")
+    plan = {"digest": "sha256:0", "actions": []}
+    for most in (2000, 9000, 1 << 20):
+        out = prepare.result(plan, states, {"verdict": "no_findings"}, most)
+        assert len(json.dumps(out, sort_keys=True, indent=2).encode()) <= most and len(out["issues"]) + out["issues_omitted"] == out["issues_total"] == 300
+        assert out["outcome"] == "incomplete" and not out["ready_for_review"] and out["detail"] == ("complete" if most == 1 << 20 else "truncated")
+    assert prepare.result(plan, states.where("state = 'ok'"), {"verdict": "no_findings"})["ready_for_review"]
+
+
 def test_metadata_commands(spark, capsys):
     assert len(run(capsys, "rules")[1]) == 95
     assert run(capsys, "doctor")[0] == 0 and ".docx" in run(capsys, "formats")[1]
