@@ -217,13 +217,13 @@ def _container(path: str, data: bytes, budget: list[int], depth: int, limits: di
 
 
 def open_files(contents: DataFrame, limits: dict = LIMITS) -> DataFrame:
-    """The events of files (path, content, and reason and length if there are such columns). One file is one task's work at a time; its expansion has a budget of its own."""
+    """The events of files (path, content, and reason, length and budget if there are such columns). One file is one task's work at a time; budget is what it may expand to."""
 
-    def events(path: str, data: bytes | None, size: int | None, reason: str | None) -> Iterator[tuple]:
+    def events(path: str, data: bytes | None, size: int | None, reason: str | None, budget: int | None) -> Iterator[tuple]:
         if data is None and reason:
             yield from unread(path, size or 0, reason)
             return
-        yield from events_of(path, data or b"", [limits["max_archive_expanded_bytes"]], 0, limits)
+        yield from events_of(path, data or b"", [limits["max_archive_expanded_bytes"] if budget is None else budget], 0, limits)
         if reason:
             yield path, "gap", "", "content", reason, 1, None
             yield path, "coverage", "", "content", "partial", 1, None
@@ -231,11 +231,11 @@ def open_files(contents: DataFrame, limits: dict = LIMITS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(),) * 5 + (pa.int64(), pa.string())
         for part in batches:
-            for path, data, size, reason in zip(*(part.column(c) for c in ("path", "content", "length", "reason")), strict=True):
-                rows = list(events(path.as_py() or "", data.as_py(), size.as_py(), reason.as_py()))
+            for path, data, size, reason, budget in zip(*(part.column(c) for c in ("path", "content", "length", "reason", "budget")), strict=True):
+                rows = list(events(path.as_py() or "", data.as_py(), size.as_py(), reason.as_py(), budget.as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "event", "part", "name", "value", "n", "text"])
 
-    extra = [F.col(c) if c in contents.columns else F.lit(None).cast(k).alias(c) for c, k in (("length", "long"), ("reason", "string"))]
+    extra = [F.col(c) if c in contents.columns else F.lit(None).cast(k).alias(c) for c, k in (("length", "long"), ("reason", "string"), ("budget", "long"))]
     return contents.select("path", "content", *extra).mapInArrow(run, EVENTS)
 
 
@@ -320,4 +320,8 @@ def _facts(events: DataFrame, key: bytes | None, each: int) -> DataFrame:
 def scan_paths(spark: SparkSession, *paths: str, limits: dict = LIMITS, key: bytes | None = None) -> dict[str, DataFrame]:
     """scan() of all that lies below some paths. Every entry of the listing is an artifact or a gap."""
     found = files.listing(spark, *paths, limits=limits)
-    return scan(files.contents(spark, found, limits), limits, key, tuple(files.plain(p) if files.is_local(p) else p for p in paths), found)
+    contents = files.contents(spark, found, limits)
+    if budgets := files.expansion_budgets(spark, found, limits):
+        shared = spark.createDataFrame(list(budgets.items()), "path string, budget long")  # a row for each archive of the listing
+        contents = contents.join(F.broadcast(shared), "path", "left")
+    return scan(contents, limits, key, tuple(files.plain(p) if files.is_local(p) else p for p in paths), found)

@@ -71,6 +71,20 @@ def entry_count(data: bytes, most: int) -> int:
     return n
 
 
+def declared(data: bytes, most: int) -> int:
+    """Bytes that the first `most` entries say they expand to; none for what is no archive."""
+    try:
+        at, end, _ = _directory(data)
+    except Refused:
+        return 0
+    size = n = 0
+    while at + 46 <= end and data[at : at + 4] == b"PK\x01\x02" and n < most:
+        size += struct.unpack_from("<I", data, at + 24)[0]
+        at += 46 + sum(struct.unpack_from("<3H", data, at + 28))
+        n += 1
+    return size
+
+
 @dataclass
 class Member:
     name: str

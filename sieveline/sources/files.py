@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sieveline.functions import fixed
 from sieveline.functions.fixed import LIMITS
 
+from . import archives
+
 #: Bytes of files that one task reads, about.
 TASK_BYTES = 256 << 20
 CONTENTS = "path string, length long, content binary, reason string"
@@ -173,6 +175,36 @@ def _read_remote(path: str, most: int) -> tuple[bytes | None, str | None]:
     return (None, "file_size_limit") if len(data) > most else (data, None)
 
 
+def expansion_budgets(spark: SparkSession, found: Found, limits: dict = LIMITS) -> dict[str, int]:
+    """What each local archive may expand to: what those before it in the listing leave of the scan's budget, by the sizes that they declare."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            paths, sizes = [], []
+            for path, size, device, inode, time in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                try:
+                    with open(path, "rb") as f:
+                        if f.read(2) != b"PK":
+                            continue
+                except OSError:
+                    continue
+                data, _ = read_verified(path, size, int(device), int(inode), time, limits["max_file_bytes"])
+                if n := archives.declared(data or b"", limits["max_archive_entries"]):
+                    paths.append(path)
+                    sizes.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["path", "size"])
+
+    own = [(p, n, str(d), str(i), t) for p, n, d, i, t, r in found.files if not r and is_local(p)]
+    rows = spark.createDataFrame(own, "path string, size long, device string, inode string, time long")
+    sizes = {r.path: r.size for r in rows.repartition(max(1, min(len(own), spark.sparkContext.defaultParallelism))).mapInArrow(read, "path string, size long").collect()}
+    left, out = limits["max_archive_expanded_bytes"], {}
+    for path, *_ in found.files:
+        if path in sizes:
+            out[path] = max(0, left)
+            left -= sizes[path]
+    return out
+
+
 def contents(spark: SparkSession, found: Found, limits: dict = LIMITS) -> DataFrame:
     """A row for each listed file: path, length, content, reason (why it was not read, or may not be what it was).
 

@@ -330,3 +330,13 @@ def test_exif_tells_place_person_and_device():
 def test_reports_refuse_half_characters(tmp_path):
     with pytest.raises(reports.ReportError, match="not_unicode"):
         reports.parse(b'{"a": "\\ud800"}')
+
+
+def test_archives_of_a_scan_share_one_budget(spark, tmp_path):
+    for name in ("a.zip", "b.zip", "c.zip"):
+        (tmp_path / name).write_bytes(makers.archive((f"in-{name}.txt", os.urandom(500).hex().encode())))
+    (tmp_path / "d.txt").write_text("PK is no archive")
+    out = scan.scan_paths(spark, str(tmp_path), limits=scan.LIMITS | {"max_archive_expanded_bytes": 2500})
+    assert [(r.path.rpartition("/")[2], r.reason) for r in out["gaps"].collect()] == [("c.zip", "expanded_size_limit")]
+    found = files.listing(spark, str(tmp_path))
+    assert [v for _, v in sorted(files.expansion_budgets(spark, found, scan.LIMITS | {"max_archive_expanded_bytes": 2500}).items())] == [2500, 1500, 500]
