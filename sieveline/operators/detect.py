@@ -141,7 +141,8 @@ def findings(df: DataFrame, keys: list[str], text: str = "text", most: int = ALL
     """A row for each hit: the keys, the hit's fields (value included), and line and column of its start."""
     from sieveline.functions.spans import column_of, line_of
 
-    found = detect(df.select(*dict.fromkeys([*keys, text])), text, "_hits", most).where(F.size("_hits") > 0)
-    rows = found.select(*keys, F.col(text).alias("_text"), F.explode("_hits").alias("_h"))
+    found = detect(df.select(*dict.fromkeys([*keys, text])), text, "_hits", most)
+    # Of a plain column explode() infers a filter, which is pushed down and detects all once more, below any exchange.
+    rows = found.select(*keys, F.col(text).alias("_text"), F.explode(F.slice("_hits", 1, ALL)).alias("_h"))
     start = F.col("_h.start")
     return rows.select(*keys, "_h.*", line_of(F.col("_text"), start).alias("line"), column_of(F.col("_text"), start).alias("column"))
