@@ -5,9 +5,8 @@ its occurrence, so that repeats count) under one hash and keeps them in text
 order; texts with an equal entry meet. In each bucket all are compared with its
 least text by banded alignment of their words, never with all others; those that
 are not joined by that are compared with the least of the rest, and so on until a
-round joins nothing. What a bucket then still holds apart is compared pair by
-pair; one that holds very many texts is first split by further entries, which
-near copies share as well.
+round joins nothing. What a bucket then still holds apart is compared pair by pair,
+however many texts it holds: large ones by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -32,17 +31,12 @@ SIMILARITY = 0.8
 #: probability s^2 or so: of pairs at 0.8, one in 10^10 shares none.
 SKETCHES = 24
 PAIRS_OF_A_TASK = 500
-#: A bucket of more texts than HOT, in several classes, is split by further entries (WAYS of them; the last number goes on);
-#: its parts again from GROWTH times HOT on, and so on, DEPTH times at most. A pair at the law meets again in a split with
-#: probability 1 - (1 - 0.64)^ways, in each of the 15 or so buckets that it shares: in all of them, two splits deep, one in 10^7
-#: is lost, six deep (over 100,000 texts in a bucket) one in 10^5.
-HOT = 128
-GROWTH = 4
-WAYS = (2, 2, 3)
-DEPTH = 10
-#: Pairs of a bucket of up to FEW texts are rows; those of a larger one go by pairs of blocks of about BLOCK texts and BLOCK_WORDS words.
+#: Pairs of a bucket of up to FEW texts are rows; those of a larger one go by pairs of blocks of about BLOCK texts and at most BLOCK_WORDS words.
+#: Blocks of a bucket of more than HOT texts grow with it, so that a text still goes to HOT / BLOCK groups, up to MOST_BLOCK texts.
 FEW = 16
 BLOCK = 256
+HOT = 4096
+MOST_BLOCK = 2048
 BLOCK_WORDS = 1 << 20
 #: Counts by which the distance of two texts is bounded from below.
 COUNTS = 256
@@ -137,7 +131,8 @@ def block_links(members: DataFrame, texts: DataFrame, similarity: float = SIMILA
     size. Pairs are left out only if their texts are in one class by then, or if
     lengths or counts of words prove that they are too far apart.
     """
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
+    block = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(BLOCK), F.ceil(F.col("n") * (BLOCK / HOT))))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
     dealt = members.withColumn("_of", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("_of")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
     dealt = dealt.select("bucket", "rid", "root", "leaves", "block", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"))
@@ -169,35 +164,10 @@ def block_links(members: DataFrame, texts: DataFrame, similarity: float = SIMILA
     return dealt.join(texts, "rid").groupBy("bucket", "i", "j").applyInArrow(work, "a long, b long")
 
 
-def split_hot(left: DataFrame, marks: DataFrame) -> DataFrame:
-    """Members (bucket, place, rid, root, words) of buckets, those of hot ones dealt to smaller buckets by the entries at the next places.
-
-    Returns bucket, rid, root, n and words (sums of the bucket), without buckets of one class.
-    """
-
-    def open_(members: DataFrame, limit: int) -> tuple[DataFrame, int]:
-        sums = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("words").alias("_words"), F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least < _most").select("bucket", "n", "_words")
-        seen = Observation()
-        out = spill(members.join(sums, "bucket").observe(seen, F.count_if(F.col("n") > limit).alias("hot")), "near-left")
-        return out, seen.get["hot"]
-
-    limit = HOT
-    ready, (now, n_hot) = [], open_(left, limit)
-    for depth in range(DEPTH):
-        if not n_hot:
-            break
-        ready.append(now.where(F.col("n") <= limit))
-        wide = now.where(F.col("n") > limit).join(marks.select("rid", "entries"), "rid")
-        ways = F.explode(F.sequence(F.lit(1), F.lit(WAYS[min(depth, len(WAYS) - 1)]))).alias("_way")
-        at = F.pmod(F.col("place") + F.col("_way"), F.lit(SKETCHES))
-        dealt = wide.select("bucket", "place", "rid", "root", "words", "entries", ways)
-        dealt = dealt.select(F.xxhash64("bucket", F.get("entries", at)).alias("bucket"), at.alias("place"), "rid", "root", "words").distinct()
-        limit *= GROWTH
-        now, n_hot = open_(dealt, limit)
-    out = now
-    for part in ready:
-        out = out.unionByName(part)
-    return out.select("bucket", "rid", "root", "n", F.col("_words").alias("words"))
+def in_several_classes(members: DataFrame) -> DataFrame:
+    """The members (bucket, rid, root, words) of buckets that hold several classes, with n and words (sums of the bucket)."""
+    sums = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("words").alias("_words"), F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least < _most")
+    return members.drop("words").join(sums.select("bucket", "n", F.col("_words").alias("words")), "bucket")
 
 
 def forest_roots(parents: DataFrame, rows: int, most: int = 60) -> DataFrame:
@@ -268,13 +238,13 @@ def _roots(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         docs = docs.select("doc_id", "text").withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
         rows = spill(sketches(docs), "near-rows")
         reps = spill(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("rid").alias("rep")), "near-copies")
-        own = rows.where("key IS NOT NULL").join(reps, "key").where("rid = rep").select("rid", F.posexplode("entries").alias("place", "bucket"))
+        own = rows.where("key IS NOT NULL").join(reps, "key").where("rid = rep").select("rid", F.explode("entries").alias("bucket"))
         own = spill(own, "near-buckets")
         buckets = own.join(own.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rid").alias("least")).where("n > 1"), "bucket")
-        every, n_met = spill_counted(buckets.select("bucket", "place", "rid", "least"), "near-met")
-        buckets = every.select("bucket", "rid", "least")
+        every, n_met = spill_counted(buckets.select("bucket", "rid", "least"), "near-met")
+        buckets = every
         of = lambda df: df.select(F.col("rid").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
-        marks = spill(rows.select("rid", "doc_id", "th", "entries", "words").join(buckets.select("rid").distinct(), "rid", "left_semi"), "near-marks")
+        marks = spill(rows.select("rid", "doc_id", "th", "words").join(buckets.select("rid").distinct(), "rid", "left_semi"), "near-marks")
         # One text for each (id, text): rows that are repeated count once here, by a partial aggregate before the exchange.
         once = docs.select(F.struct("doc_id").alias("_d"), "th", "text").groupBy("_d", "th").agg(F.first("text").alias("text"))
         texts = spill(marks.select("rid", F.struct("doc_id").alias("_d"), "th").join(once, ["_d", "th"]).select("rid", "text"), "near-texts")
@@ -315,8 +285,8 @@ def _roots(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             elif turn:
                 break  # a whole round of stars has joined nothing
         # What the stars leave: all pairs of a bucket whose texts are still in several classes, those of the hubs' classes too.
-        left = every.join(root("rid"), "rid", "left").select("bucket", "place", "rid", F.coalesce("_rid", "rid").alias("root")).join(marks.select("rid", "words"), "rid")
-        left, n_left = spill_counted(split_hot(left, marks), "near-left")
+        left = every.join(root("rid"), "rid", "left").select("bucket", "rid", F.coalesce("_rid", "rid").alias("root")).join(marks.select("rid", "words"), "rid")
+        left, n_left = spill_counted(in_several_classes(left), "near-left")
         if n_left:
             side = lambda c: left.where(F.col("n") <= FEW).select("bucket", F.col("rid").alias(c), F.col("root").alias(f"r{c}"))
             pairs = side("a").join(side("b"), "bucket").where("a > b AND ra <> rb").select("a", "b", "ra", "rb").distinct()
@@ -324,7 +294,7 @@ def _roots(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             found, n_found = checked(todo.select("a", "b"), n_todo) if n_todo else (todo.select("a", "b"), 0)
             links = todo.join(small(found, n_found), ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
             large = left.where(F.col("n") > FEW)
-            leaves = left.groupBy("rid").agg(F.collect_list("bucket").alias("leaves"))  # as many as entries, and a few for each that was split
+            leaves = left.groupBy("rid").agg(F.collect_list("bucket").alias("leaves"))  # at most SKETCHES
             large = large.join(leaves, "rid")
             links, n_found = spill_counted(links.union(block_links(large, texts, similarity)), "near-links")
             if n_found:

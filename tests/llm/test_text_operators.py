@@ -399,6 +399,27 @@ def test_hot_buckets_are_split_and_keep_pairs_at_the_law(spark, monkeypatch):
     assert got == {k: k if k < 60 or (k - 60) % 2 == 0 else k - 1 for k in range(len(rows))}
 
 
+def one_shared_entry(hashes):
+    """A sketch whose first entry all texts share, and no other."""
+    import numpy as np
+
+    return np.concatenate(([7], hashes[:1] + np.arange(1, 24, dtype=np.uint64) * hashes.sum(dtype=np.uint64))).astype(np.uint64)
+
+
+@pytest.mark.parametrize("hot", [6, 4096])
+def test_pairs_that_share_one_hot_bucket_only_are_found(spark, monkeypatch, hot):
+    """No pair of a large bucket is lost because its texts share no second entry."""
+    monkeypatch.setattr(near_dedup, "HOT", hot)
+    monkeypatch.setattr(near_dedup, "FEW", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    monkeypatch.setattr(near_dedup, "sketch", one_shared_entry)
+    texts = template_texts(random.Random(9), 120, 20, 200)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    want = {k: k if k < 120 or (k - 120) % 2 == 0 else k - 1 for k in range(len(rows))}
+    assert {r.doc_id: r.class_id for r in near_dedup.near_classes(documents(spark, rows)).collect()} == want
+    assert {r.doc_id for r in near_dedup.keep_one(documents(spark, rows)).collect()} == set(want.values())
+
+
 def test_html_with_stray_quotes():
     draw = lambda x: render(*parse(x))
     assert draw("<p class='x\"'\">first</p><p>second <b>third</b></p>") == "first\n\nsecond third"
