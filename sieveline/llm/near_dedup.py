@@ -4,8 +4,8 @@ A sketch entry takes the two least of a text's five-word runs (each labelled wit
 its occurrence, so that repeats count) under one hash and keeps them in text
 order; texts with an equal entry meet. In each bucket all are compared with its
 least text by banded alignment of their words, never with all others; those that
-are not joined by that are compared with the least of the rest, and so on until a
-round joins nothing. What a bucket then still holds apart is compared pair by pair,
+are not joined by that are compared with the least of the rest, and so on while
+rounds join much. What a bucket then still holds apart is compared pair by pair,
 however many texts it holds: large ones by pairs of blocks.
 """
 
@@ -31,6 +31,8 @@ SIMILARITY = 0.8
 #: probability s^2 or so: of pairs at 0.8, one in 10^10 shares none.
 SKETCHES = 24
 PAIRS_OF_A_TASK = 500
+#: Star rounds go on while one joins at least this share of the pairs that it compares; all pairs follow anyway.
+STAR_SHARE = 0.1
 #: Pairs of a bucket of up to FEW texts are rows; those of a larger one go by pairs of blocks of about BLOCK texts and at most BLOCK_WORDS words.
 #: Blocks of a bucket of more than HOT texts grow with it, so that a text still goes to HOT / BLOCK groups, up to MOST_BLOCK texts.
 FEW = 16
@@ -251,10 +253,9 @@ def _roots(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
         def checked(pairs: DataFrame, n: int) -> tuple[DataFrame, int]:
             """Those of n pairs that align."""
-            needed = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-            own = texts.join(small(needed, 2 * n), "rid", "left_semi")
-            left = own.select(F.col("rid").alias("a"), F.col("text").alias("ta")).join(small(pairs, n), "a")
-            both = left.join(own.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b").coalesce(max(12, n // PAIRS_OF_A_TASK))
+            left = texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")).join(small(pairs, n), "a")
+            right = texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")).join(small(pairs.select("b").distinct(), n), "b", "left_semi")
+            both = left.join(right, "b").coalesce(max(12, n // PAIRS_OF_A_TASK))
             return spill_counted(alike(both, similarity), "near-links")
 
         met = spill(of(buckets), "near-pairs")
@@ -282,8 +283,8 @@ def _roots(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 # Links between classes join their roots.
                 across, n_across = components(todo.join(small(found, n_found), ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")), n_found)
                 roots, n_roots = move_roots(roots, across, n_across), n_roots + n_across
-            elif turn:
-                break  # a whole round of stars has joined nothing
+            if n_found <= STAR_SHARE * n_todo:
+                break
         # What the stars leave: all pairs of a bucket whose texts are still in several classes, those of the hubs' classes too.
         left = every.join(root("rid"), "rid", "left").select("bucket", "rid", F.coalesce("_rid", "rid").alias("root")).join(marks.select("rid", "words"), "rid")
         left, n_left = spill_counted(in_several_classes(left), "near-left")

@@ -420,6 +420,16 @@ def test_pairs_that_share_one_hot_bucket_only_are_found(spark, monkeypatch, hot)
     assert {r.doc_id for r in near_dedup.keep_one(documents(spark, rows)).collect()} == set(want.values())
 
 
+def test_stars_of_unlike_texts_end_after_a_round_without_links(spark, monkeypatch):
+    """The pairs that are rows grow with the number of texts; the rest is compared in blocks."""
+    pairs, alike = [], near_dedup.alike
+    monkeypatch.setattr(near_dedup, "alike", lambda df, similarity: pairs.append(df.count()) or alike(df, similarity))
+    monkeypatch.setattr(near_dedup, "sketch", one_shared_entry)
+    rows = [(k, " ".join(t)) for k, t in enumerate(template_texts(random.Random(3), 60, 0, 200))]
+    assert all(r.class_id == r.doc_id for r in near_dedup.near_classes(documents(spark, rows)).collect())
+    assert sum(pairs) == 59
+
+
 def test_html_with_stray_quotes():
     draw = lambda x: render(*parse(x))
     assert draw("<p class='x\"'\">first</p><p>second <b>third</b></p>") == "first\n\nsecond third"
