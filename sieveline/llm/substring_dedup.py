@@ -6,8 +6,9 @@ two or more documents share are kept. In a shard the segments (runs of windows o
 one route, equal ones once) of documents that others may repeat make a compressed
 FM-index, and those of documents that may repeat others are streamed against it:
 backward search gives the matching statistics, and for every window that is
-matched whole the least document that has it. A route of very many unlike
-segments is split by longer runs of words first, in the end by whole windows.
+matched whole the least document that has it. Of a route of very many unlike
+segments those of early documents are indexed first; windows that these do not
+have are split by longer runs of words, in the end by whole windows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Run, as_bytes, batch, fresh, map_texts, quoted, spill, table, word_codes
+from .common import Run, as_bytes, batch, fresh, map_texts, quoted, small, spill, table, word_codes
 from .fm_index import FMIndex
 
 WINDOW = 50
@@ -33,6 +34,8 @@ SEGMENT = 256
 #: A route of more unlike segments than this is split by the least hash of longer runs inside its windows: of SUB_RUN words, then of WINDOW.
 HOT_ROUTE = 200
 SUB_RUN = 44
+#: Segments of a hot route that all its others are streamed against before it is split.
+PIVOTS = 4
 #: Words that an index is built over at a time, and words a shard task aims at.
 BLOCK_WORDS = 500_000
 #: Bytes of segments that a task gives out at a time.
@@ -124,14 +127,32 @@ def _pieces(candidates: DataFrame, window: int) -> DataFrame:
     return map_texts(candidates, lambda: work, "route long, seg string, sid long, id long, th long, begin int")
 
 
+def _pivots(hot: DataFrame) -> DataFrame:
+    """PIVOTS segments of each route, the earliest of as many parts of it: route and pivots (seg, least)."""
+    part = hot.groupBy("route", F.pmod("sid", F.lit(PIVOTS)).alias("_part")).agg(F.min_by(F.struct("seg", "least"), F.struct("least", "sid")).alias("p"))
+    return part.groupBy("route").agg(F.collect_list("p").alias("pivots"))
+
+
 def _split(hot: DataFrame, window: int, run: int) -> DataFrame:
-    """Segments cut anew by runs of `run` words: route, words and sid of each part, what it is part of (of_route, of_sid), from which window on (at), how many (n), and its documents' bounds."""
+    """Segments (with their route's pivots) cut anew by runs of `run` words: route, words and sid of each part, what it is part of (of_route, of_sid), from which windows on (at), how many (n), and its documents' bounds.
+
+    Windows that stand in a pivot of a document before all of the segment's are
+    in no part: they are the places (at) of a row without words, whose least is such
+    a document. Any later segment that has them has them from the pivot, too. Equal parts
+    of a segment are one row.
+    """
 
     def work(part: pa.RecordBatch):
-        starts, codes, words = word_codes(part.column("seg"))
+        own_routes, offsets, pivots = part.column("route").to_numpy(), np.asarray(part.column("pivots").offsets), part.column("pivots").values
+        chosen = np.concatenate([np.arange(offsets[k], offsets[k + 1]) for k in np.unique(own_routes, return_index=True)[1]])
+        early = pivots.take(pa.array(chosen))
+        starts, codes, words = word_codes(pa.concat_arrays([part.column("seg"), early.field("seg")]))
         hashes = word_hashes(words)[codes] if len(codes) else np.zeros(0, np.uint64)
+        end = starts[part.num_rows]
+        index = FMIndex(codes[end:], starts[part.num_rows :] - end, np.asarray(early.field("least")), window)
+        many, found = index.match(codes[:end], starts[: part.num_rows + 1])
         names = ("route", "seg", "sid", "of_route", "of_sid", "at", "n", "least", "most")
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64())
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True)) or [[]] * 9
@@ -142,11 +163,20 @@ def _split(hot: DataFrame, window: int, run: int) -> DataFrame:
         size = 0
         for k, (route, sid, least, most, seg) in enumerate(zip(*(part.column(c).to_pylist() for c in ("route", "sid", "least", "most")), as_bytes(part.column("seg")), strict=True)):
             low = routes(hashes[starts[k] : starts[k + 1]], window, run)
-            begin, low_of = segments_of(low)
-            keys = _mix(low_of * _ODD + np.int64(route).view(np.uint64)).view(np.int64)
+            place = slice(starts[k], starts[k] + len(low))
+            known = (many[place] == window) & (found[place] < least)
+            if known.any():
+                rows.append((None, None, None, route, sid, np.flatnonzero(known), 1, int(found[place][known].max()), most))
+            left = np.flatnonzero(~known)
+            turn = np.flatnonzero(np.diff(left) > 1) + 1
+            keys = _mix(low * _ODD + np.int64(route).view(np.uint64)).view(np.int64)
             own = seg.split()
-            for key, at, n in zip(keys.tolist(), begin.tolist(), np.diff(np.append(begin, len(low))).tolist(), strict=True):
-                cut = b" ".join(own[at : at + n + window - 1])
+            places: dict[tuple, list] = {}
+            for of in np.split(left, turn) if len(left) else []:
+                begin, _ = segments_of(low[of])
+                for at, n in zip((of[0] + begin).tolist(), np.diff(np.append(begin, len(of))).tolist(), strict=True):
+                    places.setdefault((keys[at].item(), b" ".join(own[at : at + n + window - 1]), n), []).append(at)
+            for (key, cut, n), at in places.items():
                 rows.append((key, cut, _sid(cut), route, sid, at, n, least, most))
                 size += len(cut)
             if size >= OUT_BYTES:
@@ -154,7 +184,7 @@ def _split(hot: DataFrame, window: int, run: int) -> DataFrame:
                 rows, size = [], 0
         yield out(rows)
 
-    return map_texts(hot.select("route", "sid", "least", "most", "seg"), lambda: work, "route long, seg string, sid long, of_route long, of_sid long, at int, n int, least long, most long", "seg")
+    return map_texts(hot.select("route", "sid", "least", "most", "seg", "pivots"), lambda: work, "route long, seg string, sid long, of_route long, of_sid long, at array<int>, n int, least long, most long", "seg")
 
 
 def _words(rows: pa.Table | pa.RecordBatch) -> int:
@@ -195,11 +225,12 @@ def search(group: pa.Table, window: int) -> pa.RecordBatch:
 
 
 def _first_documents(distinct: DataFrame, window: int, runs: list[int]) -> DataFrame:
-    """For every distinct segment (route, sid, seg, least, most) of routes that documents share the least document of each of its windows.
+    """For every distinct segment (route, sid, seg, least, most) of routes that documents share the least document of each of its windows, or one before all of the segment's.
 
-    Routes of more than HOT_ROUTE segments are split by the first of runs, and so
-    on; what the whole window splits (the last of runs) is never hot, so an index
-    holds whole routes and about BLOCK_WORDS words.
+    Routes of more than HOT_ROUTE segments are streamed against their pivots, and
+    what these do not have is split by the first of runs, and so on; what the whole
+    window splits (the last of runs) is never hot, so an index holds whole routes
+    and about BLOCK_WORDS words.
     """
     spark = distinct.sparkSession
     stats = distinct.groupBy("route").agg(F.count("*").alias("of"), F.min("least").alias("lo"), F.max("most").alias("hi"), F.sum(F.octet_length("seg")).alias("size")).where("lo < hi")
@@ -228,10 +259,15 @@ def _first_documents(distinct: DataFrame, window: int, runs: list[int]) -> DataF
     found = spill(cold.repartition(tasks, "route").sortWithinPartitions("route").mapInArrow(run, "route long, sid long, first array<bigint>"), "sub-firsts")
     if not n_hot:
         return found
-    parts = spill(_split(distinct.join(stats.where("hot").select("route"), "route", "left_semi"), window, runs[0]), "sub-parts")
+    hot = distinct.join(stats.where("hot").select("route"), "route", "left_semi")
+    pivots = spill(_pivots(hot), "sub-pivots")
+    every = spill(_split(hot.join(small(pivots, n_hot), "route"), window, runs[0]), "sub-parts")
+    parts, known = every.where("seg IS NOT NULL"), every.where("seg IS NULL")
     below = _first_documents(spill(parts.groupBy("route", "sid", "seg").agg(F.min("least").alias("least"), F.max("most").alias("most")), "sub-segments"), window, runs[1:])
-    whole = parts.join(below, ["route", "sid"], "left").withColumn("first", F.coalesce("first", F.array_repeat(F.lit(LAST), F.col("n"))))
-    joined = whole.groupBy("of_route", "of_sid").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("l"))
+    whole = parts.join(below, ["route", "sid"], "left").select("of_route", "of_sid", "at", F.coalesce("first", F.array_repeat(F.lit(LAST), F.col("n"))).alias("first"))
+    whole = whole.union(known.select("of_route", "of_sid", "at", F.array("least")))
+    placed = F.transform("at", lambda x: F.struct(x.alias("at"), F.col("first").alias("first")))
+    joined = whole.groupBy("of_route", "of_sid").agg(F.array_sort(F.flatten(F.collect_list(placed))).alias("l"))
     return found.union(spill(joined.select("of_route", "of_sid", F.flatten(F.transform("l", lambda x: x["first"]))), "sub-firsts"))
 
 

@@ -64,6 +64,28 @@ def test_hot_routes_are_split_and_lose_nothing(spark, monkeypatch):
     assert collections.Counter(map(tuple, got)) == plain_repeats(rows, 50)
 
 
+def test_a_common_passage_is_not_split_for_every_document(spark, monkeypatch):
+    """Windows that the pivots of a hot route have make no parts, and equal parts of a segment are one."""
+    rng = random.Random(21)
+    passage, rows = [f"p{k}" for k in range(200)], []
+    for k in range(80):
+        w = list(passage)
+        w[rng.randrange(200)] = f"edit{k}"
+        rows.append((k if k % 9 else None, " ".join(w + ["once", "more"] * (30 + k))))
+    made, split = [], substring_dedup._split
+
+    def counted(*given):
+        out = split(*given)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "_split", counted)
+    monkeypatch.setattr(substring_dedup, "HOT_ROUTE", 5)
+    got = substring_dedup.find_repeats(documents(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert collections.Counter(map(tuple, got)) == plain_repeats(rows, 50)
+    assert 0 < sum(made) < 2000
+
+
 @pytest.mark.parametrize("m", [2, 20, 2000])
 def test_repeated_rows_are_linear_in_substring_dedup(spark, m):
     rng = random.Random(m)
