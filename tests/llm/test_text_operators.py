@@ -442,6 +442,18 @@ def test_pairs_that_share_one_hot_bucket_only_are_found(spark, monkeypatch, hot)
     assert {r.doc_id for r in near_dedup.keep_one(documents(spark, rows)).collect()} == set(want.values())
 
 
+def test_the_pipeline_drops_copies_that_share_one_hot_bucket_only(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_dedup, "HOT", 6)
+    monkeypatch.setattr(near_dedup, "FEW", 4)
+    monkeypatch.setattr(near_dedup, "sketch", one_shared_entry)
+    texts = template_texts(random.Random(10), 30, 15, 200)
+    docs = documents(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {*range(30), *range(30, 60, 2)}
+
+
 def test_stars_of_unlike_texts_end_after_a_round_without_links(spark, monkeypatch):
     """The pairs that are rows grow with the number of texts; the rest is compared in blocks."""
     pairs, alike = [], near_dedup.alike
