@@ -27,8 +27,8 @@ WINDOW = 8
 SHORT = 4
 #: Share of an item's windows that must be met with consistent slots.
 COVERAGE = 0.5
-#: A window that an item holds more often than this is paired with a document's in turn, not all with all.
-REPEATS = 64
+#: Places of one window, of an item or a text, that go in one row; more take more rows. And pairs of places that are compared at a time.
+PLACES, PAIRS = 256, 1 << 17
 #: Bits of the filter for each window of the items, and its bounds: it is broadcast, and never over 16 MB.
 FILTER_BITS, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 27
 
@@ -123,8 +123,14 @@ class Templates:
             yield own, h[own]
 
 
+def _cut(places: list[int]) -> list[list[int]]:
+    """Places in order, PLACES at a time."""
+    places = sorted(places)
+    return [places[k : k + PLACES] for k in range(0, len(places), PLACES)]
+
+
 def _windows_of_items(items: DataFrame) -> DataFrame:
-    """Per distinct window of each item (item, text): hash, size, item, at (its places), slots (kind and word of each word), total (windows of the item)."""
+    """Per distinct window of each item (item, text), PLACES at a time: hash, size, item, total (windows of the item), at (its places), and the kinds and words of all of them in turn."""
 
     def work(part: pa.RecordBatch):
         t = Templates(part.column("text"))
@@ -141,13 +147,15 @@ def _windows_of_items(items: DataFrame) -> DataFrame:
                     found.setdefault((d, x), []).append(p)
             for (d, x), places in found.items():
                 base, total = int(t.starts[d]), int(t.starts[d + 1] - t.starts[d]) - size + 1
-                rows += [(x, size, items[d], total, p - base, t.kind[p : p + size].tolist(), [words[c] for c in t.codes[p : p + size]], k, len(places)) for k, p in enumerate(sorted(places))]
-        kinds = (pa.uint64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int8()), pa.list_(pa.string()), pa.int64(), pa.int64())
-        cols = list(zip(*rows, strict=True)) or [[]] * 9
+                for own in _cut(places):
+                    inside = [k for p in own for k in range(p, p + size)]
+                    rows.append((x, size, items[d], total, [p - base for p in own], t.kind[inside].tolist(), [words[c] for c in t.codes[inside]]))
+        kinds = (pa.uint64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.string()))
+        cols = list(zip(*rows, strict=True)) or [[]] * 7
         named = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-        yield batch(**dict(zip(("hash", "size", "item", "total", "at", "kinds", "words", "turn", "turns"), [named[0].view(pa.int64()), *named[1:]], strict=True)))
+        yield batch(**dict(zip(("hash", "size", "item", "total", "at", "kinds", "words"), [named[0].view(pa.int64()), *named[1:]], strict=True)))
 
-    return map_texts(items, lambda: work, "hash long, size int, item long, total long, at long, kinds array<tinyint>, words array<string>, turn long, turns long")
+    return map_texts(items, lambda: work, "hash long, size int, item long, total long, at array<bigint>, kinds array<tinyint>, words array<string>")
 
 
 class Filter:
@@ -187,7 +195,7 @@ def build_filter(windows: DataFrame, n: int) -> Filter:
 
 
 def _candidates(docs: DataFrame, sizes: list[int], may: Filter) -> DataFrame:
-    """The windows of documents that the filter lets through: hash, size, rid, doc_id, place, words, and the turn among equal ones of a text."""
+    """The windows of documents that the filter lets through, PLACES of an equal hash at a time: hash, size, rid, doc_id, place (their places), and the words of all of them in turn."""
     sent = docs.sparkSession.sparkContext.broadcast(may)
 
     def make():
@@ -199,6 +207,7 @@ def _candidates(docs: DataFrame, sizes: list[int], may: Filter) -> DataFrame:
             rows: list[tuple] = []
             rids, ids = part.column("rid"), part.column("doc_id")
             for size in sizes:
+                own: dict[tuple[int, int], list[int]] = {}
                 for places, h in t.hashes(size):
                     near = found.maybe(h)
                     if not near.any():
@@ -206,82 +215,179 @@ def _candidates(docs: DataFrame, sizes: list[int], may: Filter) -> DataFrame:
                     words = t.low.to_pylist() if words is None else words
                     places, h = places[near], h[near]
                     doc = np.searchsorted(t.starts, places, "right") - 1
-                    turn: Counter = Counter()
                     for p, x, d in zip(places.tolist(), h.tolist(), doc.tolist(), strict=True):
-                        rows.append((x, size, rids[d].as_py(), ids[d].as_py(), p - int(t.starts[d]), [words[c] for c in t.codes[p : p + size]], turn[d, x]))
-                        turn[d, x] += 1
-            kinds = (pa.uint64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64())
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
+                        own.setdefault((d, x), []).append(p)
+                for (d, x), places in own.items():
+                    base, rid, id_ = int(t.starts[d]), rids[d].as_py(), ids[d].as_py()
+                    for part_of in _cut(places):
+                        rows.append((x, size, rid, id_, [p - base for p in part_of], [words[c] for p in part_of for c in t.codes[p : p + size]]))
+            kinds = (pa.uint64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
             named = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-            yield batch(**dict(zip(("hash", "size", "rid", "doc_id", "place", "found", "turn"), [named[0].view(pa.int64()), *named[1:]], strict=True)))
+            yield batch(**dict(zip(("hash", "size", "rid", "doc_id", "place", "found"), [named[0].view(pa.int64()), *named[1:]], strict=True)))
 
         return work
 
-    return map_texts(docs, make, "hash long, size int, rid long, doc_id long, place long, found array<string>, turn long")
-
+    return map_texts(docs, make, "hash long, size int, rid long, doc_id long, place array<bigint>, found array<string>")
 
-Pair = tuple[int, int, list[int], list[str], list[str]]  # at, place, kinds, words of the item, words of the document
 
+class Meeting:
+    """The places (at, place) at which an item and a text have equal windows: all with all of each row, never held at once.
 
-def occurrences(pairs: list[Pair]) -> list[list[Pair]]:
-    """Pairs by occurrence of the item: as long as the distance of their places moves by less than half the item (8 words at most) at a time."""
-    pairs = sorted(pairs, key=lambda x: (x[1] - x[0], x[1]))
-    size = len(pairs[0][3])
-    length = max(p[0] for p in pairs) + size
-    near = min(WINDOW, max(1, length // 2))
-    cuts = [k for k in range(1, len(pairs)) if pairs[k][1] - pairs[k][0] - pairs[k - 1][1] + pairs[k - 1][0] >= near]
-    return [pairs[a:b] for a, b in zip([0, *cuts], [*cuts, len(pairs)], strict=True)]
+    A row has places of the item and of the text, in order; kinds, own and found
+    are of the words of all windows in turn, as codes into names. kind and own of
+    the object are those of each word of the item, word that of each of the text
+    from `base` on.
+    """
 
+    def __init__(self, at: list[np.ndarray], place: list[np.ndarray], kinds: np.ndarray, own: np.ndarray, found: np.ndarray, names: list[str]):
+        self.at, self.place, self.names = at, place, names
+        every, there = np.concatenate(at), np.concatenate(place)
+        self.size = len(own) // len(every)
+        self.inside = np.arange(self.size)
+        self.length, self.base = int(every.max()) + self.size, int(there.min())
+        self.kind, self.own = np.zeros(self.length, np.int64), np.full(self.length, -1, np.int64)
+        self.kind[every[:, None] + self.inside] = np.where(kinds == OPENING, NAME, kinds).reshape(-1, self.size)
+        self.own[every[:, None] + self.inside] = own.reshape(-1, self.size)
+        self.word = np.full(int(there.max()) - self.base + self.size, -1, np.int64)
+        self.word[there[:, None] - self.base + self.inside] = found.reshape(-1, self.size)
+        self.many = sum(len(a) * len(p) for a, p in zip(at, place, strict=True))
+
+    def pairs(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """All (at, place) whose distance place - at is from lo to hi - 1, by distance."""
+        ats, places = [], []
+        for at, place in zip(self.at, self.place, strict=True):
+            first = np.searchsorted(place, at + lo)
+            n = np.searchsorted(place, at + hi) - first
+            ats.append(np.repeat(at, n))
+            places.append(place[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        at, place = np.concatenate(ats), np.concatenate(places)
+        order = np.argsort(place - at, kind="stable")
+        return at[order], place[order]
+
+    def occurrences(self) -> Iterator[list]:
+        """Pairs by occurrence of the item: as long as the distance of their places moves by less than half the item (8 words at most) at a time.
+
+        An occurrence is a list of its pairs, or of the bounds of distances that hold about PAIRS of them.
+        """
+        near = min(WINDOW, max(1, self.length // 2))
+        least = self.base - self.length
 
-def consistent(pairs: list[Pair]) -> tuple[int, bool]:
-    """How many windows of the item an occurrence meets with slots that agree, and whether a slot differs.
+        def split(lo: int, hi: int) -> Iterator[list]:
+            at, place = self.pairs(lo, hi)
+            turn = np.flatnonzero(np.diff(place - at) >= near) + 1
+            yield from ([x] for x in zip(np.split(at, turn), np.split(place, turn), strict=True))
 
-    A word's value is read as what most often stands for it, one for one.
-    """
-    stands: Counter = Counter()
-    seen = set()
-    pairs = [(at, place, [NAME if k == OPENING else k for k in kinds], own, found) for at, place, kinds, own, found in pairs]
-    for at, place, kinds, own, found in pairs:
-        for k, kind in enumerate(kinds):
-            if kind and (spot := (at + k, place + k)) not in seen:
-                seen.add(spot)
-                stands[kind, own[k], found[k]] += 1
-    of: dict = {}
-    taken: dict = {}
-    for (kind, a, b), _ in sorted(stands.items(), key=lambda x: (-x[1], x[0][1] != x[0][2], x[0])):
-        if (kind, a) not in of and (kind, b) not in taken:
-            of[kind, a], taken[kind, b] = b, a
-    met, differs = set(), False
-    for at, _, kinds, own, found in pairs:
-        if own == found:  # in the item's own words
-            met.add(at)
-        elif all(of.get((kind, a)) == b if kind else a == b for kind, a, b in zip(kinds, own, found, strict=True)):
-            met.add(at)
-            differs = True
-    return len(met), differs
-
-
-def best(pairs: list[Pair]) -> tuple[int, bool]:
-    """consistent() of the occurrence that meets most."""
-    return max((consistent(p) for p in occurrences(pairs)), key=lambda x: (x[0], not x[1]))
+        if self.many <= PAIRS:
+            yield from split(least, self.base + len(self.word))
+            return
+        count = np.zeros(self.length + len(self.word) + 1, np.int64)  # pairs of each distance, from least on
+        for at, place in zip(self.at, self.place, strict=True):
+            if len(at) <= len(place):
+                for a in at:
+                    count[place - a - least] += 1
+            else:
+                for p in place:
+                    count[p - at - least] += 1
+        there = np.flatnonzero(count)
+        ends = np.concatenate((np.flatnonzero(np.diff(there) >= near) + 1, [len(there)]))
+        so_far = np.concatenate(([0], np.cumsum(count[there])))
+        begin = 0
+        while begin < len(there):
+            end = ends[np.searchsorted(ends, begin, side="right")]  # of one occurrence, or of as many as hold PAIRS
+            end = max(end, ends[max(0, np.searchsorted(so_far[ends], so_far[begin] + PAIRS, side="right") - 1)])
+            lo, hi = int(there[begin]) + least, int(there[end - 1]) + least + 1
+            if so_far[end] - so_far[begin] <= PAIRS:
+                yield from split(lo, hi)
+            else:
+                own = there[begin:end]
+                turn = np.flatnonzero(np.diff(np.cumsum(count[own]) // PAIRS)) + 1
+                yield [(int(x[0]) + least, int(x[-1]) + least + 1) for x in np.split(own, turn)]
+            begin = end
+
+    def consistent(self, parts: list) -> tuple[int, bool]:
+        """How many windows of the item an occurrence meets with slots that agree, and whether a slot differs.
+
+        A word's value is read as what most often stands for it, one for one.
+        """
+        each = lambda: (x if isinstance(x[0], np.ndarray) else self.pairs(*x) for x in parts)
+        n, wide = len(self.names), len(self.word)
+        stands: Counter = Counter()
+        for at, place in each():  # parts differ in the distance, so none has a spot of another
+            i = at[:, None] + self.inside
+            slots = self.kind[i] > 0
+            if slots.any():
+                i, j = i[slots], (place[:, None] - self.base + self.inside)[slots]
+                i, j = np.divmod(np.unique(i * wide + j), wide)
+                found, times = np.unique((self.kind[i] * n + self.own[i]) * n + self.word[j], return_counts=True)
+                stands.update(dict(zip(found.tolist(), times.tolist(), strict=True)))
+        votes = [(c // n // n, self.names[c // n % n], self.names[c % n], c) for c in stands]
+        of: dict = {}
+        taken = set()
+        for kind, _, _, c in sorted(votes, key=lambda x: (-stands[x[3]], x[1] != x[2], x)):
+            if c // n not in of and (kind, c % n) not in taken:
+                of[c // n] = c % n
+                taken.add((kind, c % n))
+        want = self.own.copy()
+        slots = np.flatnonzero(self.kind)
+        want[slots] = [of.get(x, -2) for x in (self.kind[slots] * n + self.own[slots]).tolist()]
+        met, differs = np.zeros(self.length, bool), False
+        for at, place in each():
+            i, word = at[:, None] + self.inside, self.word[place[:, None] - self.base + self.inside]
+            same = (word == self.own[i]).all(axis=1)  # in the item's own words
+            read = (word == want[i]).all(axis=1)
+            met[at[same | read]] = True
+            differs |= bool((read & ~same).any())
+        return int(met.sum()), differs
+
+    def best(self) -> tuple[int, bool]:
+        """consistent() of the occurrence that meets most."""
+        found = (0, True)
+        for parts in self.occurrences():
+            if not isinstance(parts[0][0], np.ndarray) or len(parts[0][0]) >= found[0]:  # fewer pairs meet fewer windows
+                found = max(found, self.consistent(parts), key=lambda x: (x[0], not x[1]))
+        return found
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """best() of each (rid, item), from joined windows in that order."""
-    names = ("rid", "item", "doc_id", "total", "at", "place", "kinds", "words", "found")
-    now, head, pairs, out = None, None, [], []
+    """Meeting.best() of each (rid, item), from joined windows in that order."""
+
+    def judged(rows: pa.Table) -> pa.RecordBatch:
+        """For whole (rid, item)."""
+        rid, item, doc, total = (np.asarray(rows.column(c)) if c != "doc_id" else rows.column(c).to_pylist() for c in ("rid", "item", "doc_id", "total"))
+        begin = np.flatnonzero(np.concatenate(([True], (rid[1:] != rid[:-1]) | (item[1:] != item[:-1]))))
+        end = np.append(begin[1:], len(rid))
+        lists = {c: rows.column(c).combine_chunks() for c in ("at", "place", "kinds", "words", "found")}
+        bounds = {c: np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(x), dtype=np.int64)))) for c, x in lists.items()}
+        flat = {c: np.asarray(lists[c].flatten()) for c in ("at", "place", "kinds")}
+        coded = pa.concat_arrays([lists["words"].flatten(), lists["found"].flatten()]).dictionary_encode()
+        names, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices, np.int64)
+        flat["words"], flat["found"] = np.split(codes, [bounds["words"][-1]])
+        whole = lambda c, a, b: flat[c][bounds[c][a] : bounds[c][b]]
+        out = []
+        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+            at, place = (np.split(whole(c, a, b), bounds[c][a + 1 : b] - bounds[c][a]) for c in ("at", "place"))
+            meeting = Meeting(at, place, whole("kinds", a, b), whole("words", a, b), whole("found", a, b), names)
+            out.append((doc[a], int(item[a]), int(total[a]), *meeting.best()))
+        cols = list(zip(*out, strict=True))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        return batch(**{c: pa.array(x, k) for c, x, k in zip(("doc_id", "item", "n_windows", "n_met", "reparameterised"), cols, kinds, strict=True)})
+
+    held: list[pa.RecordBatch] = []
+    last = lambda x, k: (x.column("rid")[k].as_py(), x.column("item")[k].as_py())
     for part in batches:
-        for rid, item, doc, total, *pair in zip(*(part.column(c).to_pylist() for c in names), strict=True):
-            if (rid, item) != now:
-                if pairs:
-                    out.append((*head, *best(pairs)))
-                now, head, pairs = (rid, item), (doc, item, total), []
-            pairs.append(tuple(pair))
-    if pairs:
-        out.append((*head, *best(pairs)))
-    cols = list(zip(*out, strict=True)) or [[]] * 5
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-    yield batch(**{c: pa.array(x, k) for c, x, k in zip(("doc_id", "item", "n_windows", "n_met", "reparameterised"), cols, kinds, strict=True)})
+        if not part.num_rows:
+            continue
+        held.append(part)
+        if last(held[0], 0) == last(part, part.num_rows - 1):
+            continue  # it may go on
+        rows = pa.Table.from_batches(held)
+        rid, item = (np.asarray(part.column(c)) for c in ("rid", "item"))
+        open_ = int(((rid == rid[-1]) & (item == item[-1])).sum())  # the last one may, too
+        yield judged(rows.slice(0, rows.num_rows - open_))
+        held = [part.slice(part.num_rows - open_)]
+    if held:
+        yield judged(pa.Table.from_batches(held))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -300,15 +406,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
         # Items of one text are looked for once.
         items = spill(named.withColumn("item", F.xxhash64("text")), "leak-items")
         windows = spill(_windows_of_items(items.dropDuplicates(["item"]).select("item", "text")), "leak-windows")
-        sizes = windows.groupBy("size").agg(F.count("*")).collect()  # WINDOW rows at most
+        sizes = windows.groupBy("size").agg(F.sum(F.size("at"))).collect()  # WINDOW rows at most
         n_windows = sum(n for _, n in sizes)
         may = build_filter(windows, n_windows)
         rows = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
-        near = spill(_candidates(rows, sorted(s for s, _ in sizes), may).withColumnRenamed("turn", "nth"), "leak-candidates")
-        # Equal windows of an item and a text are all paired, or in turn where an item holds very many of them.
-        few = (windows["turns"] <= REPEATS) | (F.pmod(near["nth"], windows["turns"]) == windows["turn"])
+        near = spill(_candidates(rows, sorted(s for s, _ in sizes), may), "leak-candidates")
+        # Equal windows of an item and a text are one row, whatever their number; all of their pairs are judged.
         # Few windows are sent to all tasks; many are shuffled by their hash.
-        met = near.join(windows.drop("size").hint("broadcast" if n_windows <= MOST_BROADCAST else "shuffle_hash"), "hash").where(few)
+        met = near.join(windows.drop("size").hint("broadcast" if n_windows <= MOST_BROADCAST else "shuffle_hash"), "hash")
         met = met.select("rid", "item", "doc_id", "total", "at", "place", "kinds", "words", "found")
         judged = met.repartition("rid", "item").sortWithinPartitions("rid", "item").mapInArrow(_judge, "doc_id long, item long, n_windows long, n_met long, reparameterised boolean")
         judged = spill(judged.where(F.col("n_met") >= coverage * F.col("n_windows")), "leak-judged")

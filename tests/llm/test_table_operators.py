@@ -294,6 +294,53 @@ def test_recall_and_precision_of_reparameterised_items(spark):
     assert len(got & want) >= 0.95 * len(want) and len(wrong) <= 0.05 * len(got)
 
 
+def test_windows_that_an_item_holds_very_often_are_all_paired(spark, tmp_path):
+    """A list of 80 alike lines: copies with other numbers, behind alike lines of their own or without the first lines."""
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    values = [rng.randrange(10, 15) for _ in range(80)]
+    lines = lambda own: " ".join(f"row {v} then" for v in own)
+    other = [v + 50 for v in values]
+    texts = [lines(values), lines(other), f"{lines([31, 32, 33])} and on. {lines(other)}", lines(other[25:]), lines([rng.randrange(10, 99) for _ in values]), "Nothing here is like any of the lines, however often it is read."]
+    rows, items = list(enumerate(texts)), [(1, lines(values)), (2, "echo " * 100)]
+    rows += [(20, "echo " * 50 + " pause here " + "echo " * 90), (21, "echo " * 45)]
+    docs, bench = documents(spark, rows, extra=True), spark.createDataFrame(items, "item_id long, text string")
+    got = collections.Counter(map(tuple, decontamination.find_leaks(docs, bench).collect()))
+    assert got == plain_leaks(rows, items) and {(d, i) for d, i, *_ in got} >= {(0, 1), (1, 1), (2, 1), (3, 1), (20, 2)}
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {r.doc_id for r in corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path)).collect()}
+    assert left == set(dict(rows)) - {d for d, *_ in got} and 5 in left
+
+
+@pytest.mark.parametrize("distinct", [0, 3])
+def test_pairs_of_places_in_parts_are_judged_alike(monkeypatch, distinct):
+    """Equal windows in rows of a few places, compared a few at a time."""
+    n, m = 40, 150
+    rng = np.random.default_rng(24)
+    item, text = np.arange(n) % 4, np.arange(m) % 4
+    kinds = np.zeros(n, np.int8)
+    if distinct:
+        kinds[::4] = 1
+        item[::4] = 4 + rng.integers(distinct, size=10)
+        text[::4] = 7 + rng.integers(distinct, size=38)
+        text[80:120:4] = item[::4] + 3  # a copy with other values
+    inside = lambda own, of: np.concatenate([of[k : k + 8] for x in own for k in x])
+    found = []
+    for pairs, cut in ((1 << 17, 1000), (1, 1000), (30, 7)):
+        monkeypatch.setattr(decontamination, "PAIRS", pairs)
+        monkeypatch.setattr(decontamination, "PLACES", cut)
+        ats, places = [], []
+        for c in range(4):
+            for a in decontamination._cut(list(range(c, n - 7, 4))):
+                for p in decontamination._cut(list(range(c, m - 7, 4))):
+                    ats.append(np.array(a))
+                    places.append(np.array(p))
+        meeting = decontamination.Meeting(ats, places, inside(ats, kinds), inside(ats, item), inside(places, text), [f"w{k}" for k in range(10)])
+        found.append(meeting.best())
+    assert found == [(33, distinct > 0)] * 3
+
+
 def test_trees_and_calibration():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))
