@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.fixed import LIMITS, SEVERITIES
 
+from .detect import ALL
 from .evidence import NAME_OMITTED, PATH_OMITTED, display_path, mask_homes
 
 #: Control characters, and characters that can't be seen (fixed values).
@@ -44,13 +45,6 @@ def path(value: Column, most: int = LIMITS["max_path_chars"]) -> list[tuple[str,
     ]
 
 
-def _found(df: DataFrame, codes: list[tuple[str, Column]]) -> DataFrame:
-    """relation, code and n of the codes that some rows of a relation have: one pass."""
-    counts = df.groupBy("relation").agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(f"_{k}") for k, (_, c) in enumerate(codes)])
-    rows = F.array(*[F.struct(F.lit(code).alias("code"), F.col(f"_{k}").alias("n")) for k, (code, _) in enumerate(codes)])
-    return counts.select("relation", F.explode(rows).alias("r")).select("relation", "r.code", "r.n").where("n > 0")
-
-
 #: The strings of each relation, and which of them are paths.
 STRINGS = {
     "artifacts": (["path", "media_type"], ["path"]),
@@ -59,29 +53,47 @@ STRINGS = {
 }
 
 
+def rows_of(name: str) -> list[tuple[str, Column]]:
+    """Those of a relation's row as a whole."""
+    id_ = lambda c, prefix: ~F.rlike(F.col(c), F.lit(f"^{prefix}-[0-9a-f]{{20}}$"))
+    if name == "artifacts":
+        return [("invalid_status", ~F.col("status").isin(*STATUS)), ("invalid_id", id_("artifact_id", "a"))]
+    if name == "gaps":
+        return []
+    evidence = F.col("evidence").isNotNull() & ~F.rlike("evidence", F.lit(MASK)) & ~((F.col("category") == "path_disclosure") & F.contains("evidence", F.lit("<")))
+    return [
+        ("invalid_severity", ~F.col("severity").isin(*SEVERITIES)),
+        ("invalid_confidence", ~F.col("confidence").between(0, 1)),
+        ("invalid_evidence", evidence),
+        ("invalid_location", (F.col("line") < 1) | (F.col("column") < 1)),
+        ("invalid_id", id_("finding_id", "f")),
+        ("unknown_artifact", F.col("artifact_id").isNull()),
+    ]
+
+
 def violations(relations: dict[str, DataFrame]) -> DataFrame:
     """relation, code and n (rows) of what the relations of a scan (artifacts, findings, gaps) break; none if they may be saved.
 
     Findings and gaps must name an artifact that there is (a gap may name none).
+    Each relation is read once, as it may be costly to make: its rows give their
+    strings, their artifact's id and the codes of their own faults, which are
+    counted, so that each different string is judged once.
     """
-    out = []
-    strings = None
+    seen = None
     for name, (columns, paths) in STRINGS.items():
-        each = F.array(*[F.struct(F.col(c).alias("value"), F.lit(c in paths).alias("is_path")) for c in columns])
-        rows = relations[name].select(F.lit(name).alias("relation"), F.explode(each).alias("s")).select("relation", "s.value", "s.is_path").where("value <> ''")
-        strings = rows if strings is None else strings.unionByName(rows)
-    shown = F.when(F.col("is_path"), F.col("value"))
-    out.append(_found(strings, [*field(F.col("value")), *path(shown)]))
-    artifacts, findings, gaps = (relations[k].withColumn("relation", F.lit(k)) for k in ("artifacts", "findings", "gaps"))
-    id_ = lambda c, prefix: ~F.rlike(F.col(c), F.lit(f"^{prefix}-[0-9a-f]{{20}}$"))
-    evidence = F.col("evidence").isNotNull() & ~F.rlike("evidence", F.lit(MASK)) & ~((F.col("category") == "path_disclosure") & F.contains("evidence", F.lit("<")))
-    out.append(_found(artifacts, [("invalid_status", ~F.col("status").isin(*STATUS)), ("invalid_id", id_("artifact_id", "a"))]))
-    out.append(_found(findings, [("invalid_severity", ~F.col("severity").isin(*SEVERITIES)), ("invalid_confidence", ~F.col("confidence").between(0, 1)), ("invalid_evidence", evidence), ("invalid_location", (F.col("line") < 1) | (F.col("column") < 1)), ("invalid_id", id_("finding_id", "f"))]))
-    known = artifacts.select("artifact_id")
-    for df in (findings, gaps.where("artifact_id IS NOT NULL")):
-        lost = df.select("relation", "artifact_id").join(known, "artifact_id", "left_anti")
-        out.append(lost.groupBy("relation").agg(F.lit("unknown_artifact").alias("code"), F.count("*").alias("n")))
-    return reduce(DataFrame.unionByName, out)
+        entry = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+        each = [entry("path" if c in paths else "field", F.col(c)) for c in columns] + [entry("id", F.col("artifact_id"))]
+        each += [entry("fault", F.when(condition, F.lit(code))) for code, condition in rows_of(name)]
+        rows = relations[name].select(F.explode(F.array(*each)).alias("s")).select(F.lit(name).alias("relation"), "s.kind", "s.value").where("value <> '' OR kind = 'id' AND value IS NOT NULL")
+        seen = rows if seen is None else seen.unionByName(rows)
+    counted = seen.groupBy("kind", "value").agg(*[F.count_if(F.col("relation") == name).alias(name) for name in STRINGS])
+    value, is_path = F.col("value"), F.col("kind") == "path"
+    judged = F.array(*[F.when(c, code) for code, c in field(value)], *[F.when(is_path, F.when(c, code)) for code, c in path(value)])
+    codes = F.when(F.col("kind") == "fault", F.array(value)).when(F.col("kind") == "id", F.when(F.col("artifacts") == 0, F.array(F.lit("unknown_artifact")))).otherwise(F.array_compact(judged))
+    # As in findings(): of a plain column explode() infers a filter, which judges everything once more.
+    found = counted.select(F.explode(F.slice(codes, 1, ALL)).alias("code"), *STRINGS).groupBy("code").agg(*[F.sum(name).alias(name) for name in STRINGS])
+    each = F.array(*[F.struct(F.lit(name).alias("relation"), F.col(name).alias("n")) for name in STRINGS])
+    return found.select("code", F.explode(each).alias("r")).select("r.relation", "code", "r.n").where("n > 0")
 
 
 def bounded(df: DataFrame, columns: list[str], most: int = LIMITS["max_field_chars"]) -> DataFrame:
